@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.keys import shuffle_key
 from sqlcorpus.functions.labels import level_rank
+from sqlcorpus.operators.quota import small_frame
 from sqlcorpus.operators.ranking import rank_by_key
 from sqlcorpus.session import BROADCAST_ROWS
 
@@ -32,7 +33,7 @@ def without(df: DataFrame, *used: DataFrame | None) -> DataFrame:
         if table is not None:
             column = table.select(F.col("question_id").cast("string").alias("question_id"))
             ids = column if ids is None else ids.union(column)
-    return df if ids is None else df.join(ids.distinct(), "question_id", "left_anti")
+    return df if ids is None else df.join(ids, "question_id", "left_anti")
 
 
 def level_counts(filled: DataFrame | None) -> dict[str, int]:
@@ -56,15 +57,18 @@ def _number_of(level: Column, numbers: dict[str, int]) -> Column:
     return number.cast("bigint")
 
 
-def _capped(filled: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` rows by label order, then rank; counts of a few labels set the cut-offs."""
-    running = Window.orderBy(level_rank(F.col("level"))).rowsBetween(Window.unboundedPreceding, -1)
-    counts = filled.groupBy("level").agg(F.count(F.lit(1)).alias("_n"))
-    allowed = counts.select(
-        "level", (F.lit(cap) - F.coalesce(F.sum("_n").over(running), F.lit(0))).alias("_allowed")
-    )
+def _capped(filled: DataFrame, rooms: dict[str, int]) -> DataFrame:
+    """Each split cut to its room, in label order, then by rank.
+
+    Counts of a few labels set the cut-offs.
+    """
+    running = Window.partitionBy("split").orderBy(level_rank(F.col("level")))
+    before = F.coalesce(F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = filled.groupBy("split", "level").agg(F.count(F.lit(1)).alias("_n"))
+    allowed = counts.select("split", "level", (_number_of(F.col("split"), rooms) - before).alias("_allowed"))
     # One row a label of the quota.
-    return filled.join(F.broadcast(allowed), "level").filter(F.col("position") <= F.col("_allowed")).drop("_allowed")
+    kept = filled.join(F.broadcast(allowed), ["split", "level"])
+    return kept.filter(F.col("position") <= F.col("_allowed")).drop("_allowed")
 
 
 def _picked(df: DataFrame, stage: str, split: Column | None = None) -> DataFrame:
@@ -97,7 +101,7 @@ def fill_single(
     rows = without(_keyed(pool.filter(F.col("level").isin(list(need))), seed), locked, existing)
     ranked = rank_by_key(rows, KEY, ["level"], TIES, limit, rank="position")
     if sum(need.values()) > room:
-        ranked = _capped(ranked, room)
+        ranked = _capped(ranked.withColumn("split", F.lit(split)), {split: room})
     return _picked(ranked, stage, F.lit(split))
 
 
@@ -108,17 +112,12 @@ def slots(spark, levels: list[tuple[str, int, int, int, int]]) -> DataFrame:
     to the split with the lower fill ratio, to train on ties. So place ``j`` of train comes after
     the places ``i`` of validation with ``i/V < j/T``, which whole-number division counts.
     """
-    quota = spark.createDataFrame(
-        levels, "level string, tc bigint, tt bigint, vc bigint, vt bigint"
-    )
+    quota = small_frame(spark, levels, "level string, tc bigint, tt bigint, vc bigint, vt bigint")
 
     def open_places(held: str, target: str) -> DataFrame:
         room = quota.filter(F.col(held) < F.col(target))
         return room.withColumn("place", F.explode(F.sequence(F.col(held), F.col(target) - 1)))
 
-    def clamp(number: Column, high: Column) -> Column:
-        return F.greatest(F.least(number, high), F.lit(0))
-
     train = open_places("tc", "tt").select(
         "level",
         F.lit(S.TRAIN).alias("split"),
@@ -177,11 +176,7 @@ def fill_dual(
     filled = ranked.join(places, ["level", "slot"])
     needed = {S.TRAIN: sum(train_need.values()), S.VAL_IN: sum(val_need.values())}
     if any(needed[split] > rooms[split] for split in rooms):
-        parts = [
-            _capped(filled.filter(F.col("split") == split), rooms[split]).select(filled.columns)
-            for split in rooms
-        ]
-        filled = parts[0].union(parts[1])
+        filled = _capped(filled, rooms)
     return _picked(filled, stage)
 
 

@@ -129,5 +129,5 @@ def verify_candidates(
         F.when(generated_ok, F.coalesce("_ran", F.lit(False))).alias("predicted_exec_status"),
         F.when(generated_ok, F.col("error_occurred")).alias("error_occurred"),
     )
-    asked = candidates.join(scored.select("question_id").distinct(), "question_id", "left_semi")
+    asked = candidates.join(scored.select("question_id"), "question_id", "left_semi")
     return merge_result(asked, scored)

@@ -44,12 +44,21 @@ def target_counts(
     return staged.select(*sizes.columns, F.inline(lines))
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows known to the driver, as constants of the plan."""
+    kinds = [field.split() for field in schema.split(", ")]
+    structs = [
+        F.struct(*[F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, kinds)]) for row in rows
+    ]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+
+
 def split_targets(
     spark: SparkSession, sizes: dict[str, int], shares: dict[str, float] = S.LEVEL_SHARES,
     strict_compat: bool = False,
 ) -> dict[str, dict[str, int]]:
     """Targets by split and label, as plain numbers: at most labels times splits of them."""
-    asked = spark.createDataFrame(list(sizes.items()), "split string, size bigint")
+    asked = small_frame(spark, list(sizes.items()), "split string, size bigint")
     targets = {split: {} for split in sizes}
     for row in target_counts(asked, "size", shares, strict_compat).collect():
         targets[row["split"]][row["level"]] = row["target"]
@@ -59,7 +68,7 @@ def split_targets(
 def quota_frame(spark: SparkSession, targets: dict[str, dict[str, int]]) -> DataFrame:
     """Targets by split and label as a table of a few rows."""
     rows = [(split, level, n) for split, levels in targets.items() for level, n in levels.items()]
-    return spark.createDataFrame(rows, "split string, level string, target bigint")
+    return small_frame(spark, rows, "split string, level string, target bigint")
 
 
 def filled_counts(filled: DataFrame, by: list[str] = ("split", "level")) -> DataFrame:
@@ -72,8 +81,7 @@ def pending(quota: DataFrame, filled: DataFrame) -> DataFrame:
     held = filled_counts(filled)
     need = F.greatest(F.col("target") - F.coalesce("filled", F.lit(0)), F.lit(0))
     return (
-        F.broadcast(quota)
-        .join(held, ["split", "level"], "left")
+        quota.join(held, ["split", "level"], "left")
         .select("split", "level", "target", F.coalesce("filled", F.lit(0)).alias("filled"), need.alias("need"))
     )
 

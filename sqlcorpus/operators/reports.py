@@ -26,10 +26,10 @@ def target_vs_filled(filled: DataFrame, quota: DataFrame) -> DataFrame:
     """
     level = F.coalesce(F.col("level"), F.lit(S.LEVEL_OTHER))
     held = filled.groupBy("split", level.alias("level")).agg(F.count(F.lit(1)).alias("filled"))
-    matched = F.broadcast(quota).join(held, ["split", "level"], "left")
+    matched = quota.join(held, ["split", "level"], "left")
     lines = matched.select("split", "level", "target", F.coalesce("filled", F.lit(0)).alias("filled"))
     targets = quota.groupBy("split").agg(F.sum("target").alias("target"))
-    sums = F.broadcast(targets).join(held.groupBy("split").agg(F.sum("filled").alias("filled")), "split", "left")
+    sums = targets.join(held.groupBy("split").agg(F.sum("filled").alias("filled")), "split", "left")
     totals = sums.select("split", F.lit(TOTAL).alias("level"), "target", F.coalesce("filled", F.lit(0)).alias("filled"))
     pct = F.when(F.col("target") > 0, F.col("filled") * 100.0 / F.col("target")).otherwise(0.0)
     return lines.union(totals).withColumn("pct_filled", pct)
@@ -52,7 +52,7 @@ def coverage_summary(coverage: DataFrame) -> DataFrame:
 
 def missing_databases(df: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected databases without a row."""
-    return expected.select("db_id").distinct().join(df.select("db_id").distinct(), "db_id", "left_anti")
+    return expected.select("db_id").distinct().join(df.select("db_id"), "db_id", "left_anti")
 
 
 def format_distribution(report: DataFrame, title: str) -> str:

@@ -82,7 +82,7 @@ def merge_result(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 def remaining(questions: DataFrame, done: DataFrame) -> DataFrame:
     """Questions that have no answer yet."""
-    ids = done.select(F.col("question_id").cast("string").alias("question_id")).distinct()
+    ids = done.select(F.col("question_id").cast("string").alias("question_id"))
     return questions.join(ids, "question_id", "left_anti")
 
 
@@ -101,7 +101,7 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def in_domain(df: DataFrame, databases: DataFrame) -> DataFrame:
     """Rows of the given databases."""
-    return df.join(databases.select("db_id").distinct(), "db_id", "left_semi")
+    return df.join(databases.select("db_id"), "db_id", "left_semi")
 
 
 def split_statistics(triaged: DataFrame, domains: DataFrame) -> DataFrame:

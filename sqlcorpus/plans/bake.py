@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from sqlcorpus import schemas as S
 from sqlcorpus.operators.catalog import render_schema_with_rows
 from sqlcorpus.operators.prompts import bake
+from sqlcorpus.session import Workspace
 from sqlcorpus.sources.writers import write_baked
 
 
@@ -15,7 +16,13 @@ def prompt_contexts(catalog: DataFrame, samples: DataFrame) -> DataFrame:
     return render_schema_with_rows(catalog, samples, S.SAMPLE_ROW_VARIANTS)
 
 
-def run_bake(curated: DataFrame, catalog: DataFrame, samples: DataFrame, template: str, path: str) -> None:
-    """Store ``prompt, completion, db_id, teacher_sql`` by split."""
-    contexts = render_schema_with_rows(catalog, samples, [3])
+def run_bake(
+    workspace: Workspace, curated: DataFrame, catalog: DataFrame, samples: DataFrame, template: str, path: str
+) -> None:
+    """Store ``prompt, completion, db_id, teacher_sql`` by split.
+
+    The schema texts are stored first: each is built once, their size decides whether the join
+    broadcasts them, and if not, a database that holds much of the corpus can still be split.
+    """
+    contexts = workspace.table(render_schema_with_rows(catalog, samples, [3]), "contexts")
     write_baked(bake(curated, contexts, template), path)

@@ -175,15 +175,14 @@ class Pools:
 def prepare_pools(
     workspace: Workspace, questions: DataFrame, results: DataFrame, settings: Settings
 ) -> dict[str, Pools]:
-    """Triage the corpus and divide it by domain, in one pass over questions and results."""
+    """Triage the corpus and divide it by domain, in one join of questions and results."""
     labelled = questions
     if "level" not in questions.columns:
         labelled = questions.withColumn("level", classify_sql(F.col("gold_sql")))
     valid = validate_questions(labelled)
-    triaged = workspace.table(triage(valid, results), "triaged")
     domains = split_domains(valid.select("db_id"), settings.domain_ratio, settings.seed)
     domains = workspace.table(domains, "domains")
-    placed = triaged.filter(F.col("cache_state") != S.CACHE_FAILED).join(
+    placed = triage(valid, results).filter(F.col("cache_state") != S.CACHE_FAILED).join(
         bounded_broadcast(domains), "db_id"
     )
     path = workspace.path("pools")
@@ -238,7 +237,7 @@ def fetch_curated(picked: DataFrame, questions: DataFrame, results: DataFrame) -
 
     Chosen ids are few beside the corpus, so both sides are cut down to them before they meet.
     """
-    ids = picked.select("question_id").distinct()
+    ids = picked.select("question_id")
     merged = merge_result(
         questions.join(ids, "question_id", "left_semi"), results.join(ids, "question_id", "left_semi")
     )

@@ -25,7 +25,7 @@ def new_rows(df: DataFrame, stored: DataFrame, key: str = "question_id") -> Data
     The stored keys are first cut down to those at hand, so a large table is scanned in one column
     and filtered in place when the new rows are few, instead of being shuffled whole.
     """
-    known = stored.select(key).join(df.select(key).distinct(), key, "left_semi").distinct()
+    known = stored.select(key).join(df.select(key), key, "left_semi")
     return df.join(known, key, "left_anti")
 
 

@@ -55,7 +55,9 @@ def triaged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf: str, state: str) -> DataFrame:
-    return triaged(spark, sf).filter(F.col("cache_state") == state)
+    """Stored questions of one state, as every fill reads its pool twice."""
+    kept = triaged(spark, sf).filter(F.col("cache_state") == state)
+    return Workspace(spark).table(kept, f"pool_{state}")
 
 
 def domains(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +89,10 @@ def contexts(spark: SparkSession, sf: str) -> DataFrame:
     return prompt_contexts(catalog(spark, sf), samples(spark, sf))
 
 
+def stored_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return Workspace(spark).table(contexts(spark, sf), "contexts")
+
+
 def compared(spark: SparkSession, sf: str) -> DataFrame:
     raw = X.of(spark, sf, X.RESULT_ROWS)
     rows = compare.result_rows(raw, F.col("pair_id"), F.col("side"), ["c1", "c2"])
@@ -570,7 +576,7 @@ def choose_variant(spark, sf):
 @query
 def render_prompt(spark, sf):
     """Prompts within a budget that leaves some databases fewer sample rows, or none."""
-    made = prompts.render_prompts(questions(spark, sf), contexts(spark, sf), TEMPLATE, 1600, "Answer in SQL.")
+    made = prompts.render_prompts(questions(spark, sf), stored_contexts(spark, sf), TEMPLATE, 1600, "Answer in SQL.")
     return made.select("question_id", "num_rows", "prompt", "prompt_status")
 
 
@@ -578,7 +584,7 @@ def _baked(spark: SparkSession, sf: str) -> DataFrame:
     merged = triage.merge_result(labelled(spark, sf), results(spark, sf)).filter(triage.is_success())
     third = F.pmod(F.col("question_id").cast("bigint"), F.lit(5))
     split = F.when(third == 0, S.VAL_IN).when(third == 1, S.VAL_OUT).otherwise(S.TRAIN)
-    return prompts.bake(merged.withColumn("split", split), contexts(spark, sf), TEMPLATE)
+    return prompts.bake(merged.withColumn("split", split), stored_contexts(spark, sf), TEMPLATE)
 
 
 @query
