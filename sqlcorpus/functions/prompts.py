@@ -6,6 +6,8 @@ from string import Formatter
 
 from pyspark.sql import Column, functions as F
 
+from sqlcorpus.functions.text import strip_right
+
 # The slots of a prompt template, and the heading between plan and statement.
 CONTEXT_SLOT = "db_schema_context_hmr"
 QUESTION_SLOT = "nl_question"
@@ -41,7 +43,7 @@ def prompt_slots(context: Column, question: Column, hint: Column, instructions:
 
 def close_prompt(prompt: Column) -> Column:
     """A prompt that ends in exactly one newline and no other white space."""
-    return F.concat(F.regexp_replace(prompt, r"(?U)\s+$", ""), F.lit("\n"))
+    return F.concat(strip_right(prompt), F.lit("\n"))
 
 
 def completion(plan: Column, sql: Column) -> Column:

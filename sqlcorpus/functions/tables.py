@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
-NULL_TEXT = "None"
-
+from sqlcorpus.functions.text import let
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate a value once for all its uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+NULL_TEXT = "None"
 
 
 def table_widths(header: Column, rows: Column) -> Column:

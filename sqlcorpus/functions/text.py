@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from sqlcorpus import schemas as S
 
 FENCE = "```"
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Drop white space, in the Unicode sense, from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def strip_right(text: Column) -> Column:
+    """Drop white space from the end."""
+    return F.rtrim(text, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once for all its uses in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_sql(sql: Column) -> Column:
@@ -23,8 +41,12 @@ def clean_sql(sql: Column) -> Column:
     text = F.regexp_replace(text, r"(?iU)^```(?:sqlite|sql)?\s*|\s*```$", "")
     text = F.regexp_replace(text, r"""(?s)('[^']*'|"[^"]*"|`[^`]*`)|--[^\n]*|/\*.*?\*/""", "$1")
     text = strip(F.rtrim(strip(text), F.lit(";")))
-    verb = F.regexp_like(text, F.lit(r"(?i)^(?:select|with)\b"))
-    return F.when((text == "") | verb, text).otherwise(F.concat(F.lit("SELECT "), text))
+
+    def with_verb(text: Column) -> Column:
+        verb = F.regexp_like(text, F.lit(r"(?i)^(?:select|with)\b"))
+        return F.when((text == "") | verb, text).otherwise(F.concat(F.lit("SELECT "), text))
+
+    return let(text, with_verb)
 
 
 def extract_with_reasoning(raw: Column) -> Column:
@@ -50,15 +72,22 @@ def extract_sql(raw: Column) -> Column:
     Tried in turn: a block marked as SQL; everything from the first line that begins with a
     SELECT or WITH clause; the whole answer, if it mentions SELECT at all.
     """
-    answer = strip(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?s)<think>.*?</think>", ""))
-    block = strip(F.regexp_extract(answer, r"(?is)```sql\n(.*?)\n```", 1))
-    tail = F.regexp_extract(answer, r"(?dims)^[^\S\n]*((?:select|with) [^\n]*?\S.*)", 1)
-    whole = F.when(F.contains(F.upper(answer), F.lit("SELECT")), answer)
-    picked = F.coalesce(F.nullif(block, F.lit("")), F.nullif(tail, F.lit("")), whole, F.lit(""))
-    picked = strip(F.replace(picked, F.lit(FENCE), F.lit("")))
-    return F.when((picked == "") | F.endswith(picked, F.lit(";")), picked).otherwise(
-        F.concat(picked, F.lit(";"))
-    )
+
+    def filled(text: Column) -> Column:
+        return let(text, lambda text: F.when(text != "", text))
+
+    def pick(answer: Column) -> Column:
+        block = strip(F.regexp_extract(answer, r"(?is)```sql\n(.*?)\n```", 1))
+        tail = F.regexp_extract(answer, r"(?dims)^[^\S\n]*((?:select|with) [^\n]*?\S.*)", 1)
+        whole = F.when(F.contains(F.upper(answer), F.lit("SELECT")), answer)
+        return F.coalesce(filled(block), filled(tail), whole, F.lit(""))
+
+    def close(sql: Column) -> Column:
+        closed = (sql == "") | F.endswith(sql, F.lit(";"))
+        return F.when(closed, sql).otherwise(F.concat(sql, F.lit(";")))
+
+    thought = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?s)<think>.*?</think>", "")
+    return let(strip(F.replace(let(strip(thought), pick), F.lit(FENCE), F.lit(""))), close)
 
 
 def canonical_name(name: Column) -> Column:

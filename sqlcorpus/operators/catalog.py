@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sqlcorpus.functions.cells import readable_cell
-from sqlcorpus.functions.tables import let, render_table
-from sqlcorpus.functions.text import quote_ident, strip, truncate_cell
+from sqlcorpus.functions.tables import render_table
+from sqlcorpus.functions.text import let, quote_ident, strip, truncate_cell
 
 UNKNOWN_TYPE = "UNKNOWN"
 BLOB = "BLOB"
@@ -45,9 +45,9 @@ def _columns() -> Column:
     every = F.transform(
         "column_names_original",
         lambda pair, i: F.struct(
-            F.get(pair, F.lit(0)).cast("int").alias("table_idx"),
-            F.get("table_names_original", F.get(pair, F.lit(0)).cast("int")).alias("table_name"),
-            F.get("table_names", F.get(pair, F.lit(0)).cast("int")).alias("table_friendly"),
+            F.get(pair, F.lit(0)).try_cast("int").alias("table_idx"),
+            F.get("table_names_original", F.get(pair, F.lit(0)).try_cast("int")).alias("table_name"),
+            F.get("table_names", F.get(pair, F.lit(0)).try_cast("int")).alias("table_friendly"),
             i.alias("col_idx"),
             F.get(pair, F.lit(1)).alias("col_name"),
             F.get(F.get("column_names", i), F.lit(1)).alias("col_friendly"),
@@ -61,7 +61,7 @@ def _column_at(index: Column) -> Column:
     """The column of a global index as ``struct<table_name, col_name>``; nulls if out of range."""
     pair = F.get("column_names_original", index)
     return F.struct(
-        F.get("table_names_original", F.get(pair, F.lit(0)).cast("int")).alias("table_name"),
+        F.get("table_names_original", F.get(pair, F.lit(0)).try_cast("int")).alias("table_name"),
         F.get(pair, F.lit(1)).alias("col_name"),
     )
 
@@ -70,7 +70,7 @@ def _primary_keys() -> Column:
     """``array<struct<table_name, columns>>``: scalar entries are global, lists count in their table."""
 
     def single(entry: Column) -> Column:
-        column = _column_at(entry.cast("int"))
+        column = _column_at(entry.try_cast("int"))
         return F.struct(
             column["table_name"].alias("table_name"),
             F.array(column["col_name"]).alias("columns"),
@@ -78,9 +78,12 @@ def _primary_keys() -> Column:
         )
 
     def composite(entry: Column) -> Column:
-        numbers = F.from_json(entry, "array<int>")
+        inside = F.split(F.translate(entry, "[] ", ""), ",")
+        return let(F.transform(inside, lambda number: number.try_cast("int")), of_numbers)
+
+    def of_numbers(numbers: Column) -> Column:
         table_idx = F.get(numbers, F.lit(0))
-        of_table = F.filter("column_names_original", lambda pair: F.get(pair, F.lit(0)).cast("int") == table_idx)
+        of_table = F.filter("column_names_original", lambda pair: F.get(pair, F.lit(0)).try_cast("int") == table_idx)
         names = F.transform(
             F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0))),
             lambda place: F.get(F.get(of_table, place), F.lit(1)),
@@ -144,77 +147,71 @@ def foreign_keys(catalog: DataFrame) -> DataFrame:
     return keys.select("db_id", "fk_no", "key.*")
 
 
-def _resolved(catalog: DataFrame) -> DataFrame:
-    """The catalog with look-ups done once, for the renderers below."""
-    return catalog.select(
-        "db_id",
-        F.coalesce("table_names_original", F.array().cast("array<string>")).alias("tables"),
-        F.coalesce("table_names", F.array().cast("array<string>")).alias("friendly"),
-        _columns().alias("columns"),
-        _primary_keys().alias("pks"),
-        _foreign_keys().alias("fks"),
-    )
+def _tables() -> Column:
+    """``array<struct<table_idx, table_name, friendly, columns>>`` of a catalog row."""
 
+    def of_each(columns: Column) -> Column:
+        return F.transform(
+            F.coalesce("table_names_original", F.array().cast("array<string>")),
+            lambda name, i: F.struct(
+                i.alias("table_idx"),
+                name.alias("table_name"),
+                F.get("table_names", i).alias("friendly"),
+                F.filter(columns, lambda column: column["table_idx"] == i).alias("columns"),
+            ),
+        )
 
-def _blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return let(_columns(), of_each)
 
 
-def _of_table(table_idx: Column) -> Column:
-    return F.filter("columns", lambda column: column["table_idx"] == table_idx)
+def _blank(text: Column) -> Column:
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
-def _table_lines(name: Column, table_idx: Column) -> Column:
-    """Description lines of one table."""
-    friendly = F.get("friendly", table_idx)
+def _description(table: Column) -> Column:
+    """Description of one table."""
+    name, friendly = table["table_name"], table["friendly"]
     named = ~_blank(friendly) & (friendly != name)
-    heading = F.when(
-        named,
-        F.array(
-            F.concat(F.lit("Table: "), name), F.concat(F.lit("  Human-friendly Table name: "), friendly)
-        ),
-    ).otherwise(F.array(F.concat(F.lit("Table: "), name)))
     lines = F.transform(
-        _of_table(table_idx),
+        table["columns"],
         lambda column: F.concat(
-            F.lit("  Column "), column["col_name"], F.lit(": Type -> "), column["col_type"],
+            F.lit("\n  Column "), column["col_name"], F.lit(": Type -> "), column["col_type"],
             F.when(_blank(column["col_friendly"]), "").otherwise(
                 F.concat(F.lit(", Desc -> "), column["col_friendly"])
             ),
         ),
     )
-    return F.concat(heading, lines)
+    return F.concat(
+        F.lit("Table: "), name,
+        F.when(named, F.concat(F.lit("\n  Human-friendly Table name: "), friendly)).otherwise(""),
+        F.array_join(lines, ""),
+    )
 
 
-def _closing(heading: str, lines: Column) -> Column:
+def _section(heading: str, lines: Column) -> Column:
     """A section with its heading and a blank line behind it, or nothing."""
-    section = F.concat(F.array(F.lit(heading)), lines, F.array(F.lit("")))
-    return F.when(F.size(lines) > 0, section).otherwise(F.array().cast("array<string>"))
-
-
-def _text(lines: Column) -> Column:
-    return strip(F.array_join(F.concat(lines, F.array(*[F.lit(line) for line in LEGEND])), "\n"))
+    return let(lines, lambda lines: F.when(
+        F.size(lines) > 0, F.concat(F.lit(heading + "\n"), F.array_join(lines, "\n"), F.lit("\n\n"))
+    ).otherwise(""))
 
 
 def describe_tables(catalog: DataFrame) -> DataFrame:
     """One row a table: its description, as the schema text shows it."""
     texts = F.transform(
-        "tables",
-        lambda name, i: F.struct(
-            i.alias("table_idx"), name.alias("table_name"),
-            F.array_join(_table_lines(name, i), "\n").alias("description"),
+        _tables(),
+        lambda table: F.struct(
+            table["table_idx"].alias("table_idx"), table["table_name"].alias("table_name"),
+            _description(table).alias("description"),
         ),
     )
-    return _resolved(catalog).select("db_id", F.inline(texts))
+    return catalog.select("db_id", F.inline(texts))
 
 
 def render_schema(catalog: DataFrame) -> DataFrame:
     """``db_id, schema_text``: tables, columns, primary and foreign keys, legend."""
-    tables = F.flatten(
-        F.transform("tables", lambda name, i: F.concat(_table_lines(name, i), F.array(F.lit(""))))
-    )
+    tables = F.transform(_tables(), lambda table: F.concat(_description(table), F.lit("\n\n")))
     pks = F.transform(
-        "pks",
+        _primary_keys(),
         lambda key: F.concat(
             F.lit("  "), key["table_name"], F.lit("."),
             F.when(key["composite"], F.concat(F.lit("("), F.array_join(key["columns"], ", "), F.lit(")")))
@@ -222,16 +219,17 @@ def render_schema(catalog: DataFrame) -> DataFrame:
         ),
     )
     fks = F.transform(
-        "fks",
+        _foreign_keys(),
         lambda key: F.concat(
             F.lit("  "), key["from_table"], F.lit("."), key["from_column"], F.lit(" -> "),
             key["to_table"], F.lit("."), key["to_column"],
         ),
     )
-    lines = F.concat(
-        tables, _closing("Primary Keys (PKs):", pks), _closing("Foreign Keys (FKs):", fks)
+    text = F.concat(
+        F.array_join(tables, ""), _section("Primary Keys (PKs):", pks), _section("Foreign Keys (FKs):", fks),
+        F.lit("\n".join(LEGEND)),
     )
-    return _resolved(catalog).select("db_id", _text(lines).alias("schema_text"))
+    return catalog.select("db_id", strip(text).alias("schema_text"))
 
 
 def sample_cells(df: DataFrame, columns: list[str]) -> Column:
@@ -271,24 +269,17 @@ def collect_samples(samples: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _sample_block(name: Column, table_idx: Column, num_rows: int) -> Column:
-    """Lines that show the first rows of one table, or none."""
-    nothing = F.array().cast("array<string>")
-    if num_rows == 0:
-        return nothing
-    rows = F.slice(F.try_element_at("samples", table_idx), F.lit(1), F.lit(num_rows))
-    plain = F.filter(_of_table(table_idx), lambda column: F.upper(column["col_type"]) != BLOB)
-    header = F.transform(plain, lambda column: column["col_name"])
-    shown = let(rows, lambda rows: let(header, lambda header: F.when(
-        (F.coalesce(F.size(rows), F.lit(0)) > 0) & (F.size(header) > 0),
-        F.array(
-            F.lit("/*"),
-            F.concat(F.size(rows).cast("string"), F.lit(" rows from "), name, F.lit(" table:")),
-            F.concat(F.lit("  "), F.replace(render_table(header, rows), F.lit("\n"), F.lit("\n  "))),
-            F.lit("*/"),
+def _sample_block(table: Column, num_rows: int) -> Column:
+    """The first rows of one table as text, or nothing."""
+    rows = F.slice(table["rows"], F.lit(1), F.lit(num_rows))
+    shown = let(rows, lambda rows: F.when(
+        (F.size(rows) > 0) & (F.size(table["header"]) > 0),
+        F.concat(
+            F.lit("/*\n"), F.size(rows).cast("string"), F.lit(" rows from "), table["table_name"], F.lit(" table:\n  "),
+            F.replace(render_table(table["header"], rows), F.lit("\n"), F.lit("\n  ")), F.lit("\n*/\n"),
         ),
-    )))
-    return F.coalesce(shown, nothing)
+    ))
+    return F.coalesce(shown, F.lit(""))
 
 
 def render_schema_with_rows(
@@ -298,15 +289,31 @@ def render_schema_with_rows(
 
     The samples of a table list its columns in catalog order, binary ones left out.
     """
-    held = _resolved(catalog).join(collect_samples(samples, max(num_rows)), "db_id", "left")
+    held = catalog.join(collect_samples(samples, max(num_rows)), "db_id", "left")
 
-    def text(n: int) -> Column:
-        return _text(F.flatten(F.transform(
-            "tables",
-            lambda name, i: F.concat(_table_lines(name, i), _sample_block(name, i, n), F.array(F.lit(""))),
-        )))
+    def with_rows(table: Column) -> Column:
+        plain = F.filter(table["columns"], lambda column: F.upper(column["col_type"]) != BLOB)
+        return F.struct(
+            table["table_name"].alias("table_name"),
+            _description(table).alias("description"),
+            F.transform(plain, lambda column: column["col_name"]).alias("header"),
+            F.try_element_at("samples", table["table_idx"]).alias("rows"),
+        )
 
-    return held.select("db_id", *[text(n).alias(f"context_{n}") for n in num_rows])
+    def text(tables: Column, n: int) -> Column:
+        parts = F.transform(
+            tables,
+            lambda table: F.concat(
+                table["description"], F.lit("\n"), _sample_block(table, n) if n else F.lit(""), F.lit("\n")
+            ),
+        )
+        return strip(F.concat(F.array_join(parts, ""), F.lit("\n".join(LEGEND))))
+
+    texts = let(
+        F.transform(_tables(), with_rows),
+        lambda tables: F.struct(*[text(tables, n).alias(f"context_{n}") for n in num_rows]),
+    )
+    return held.select("db_id", texts.alias("_texts")).select("db_id", "_texts.*")
 
 
 def render_ddl(catalog: DataFrame, annotate: bool = False) -> DataFrame:
@@ -318,55 +325,53 @@ def render_ddl(catalog: DataFrame, annotate: bool = False) -> DataFrame:
     def remark(friendly: Column, name: Column) -> Column:
         if not annotate:
             return F.lit("")
-        differs = ~_blank(friendly) & (friendly != name)
-        return F.when(differs, F.concat(F.lit(" -- "), friendly)).otherwise("")
+        return F.when(~_blank(friendly) & (friendly != name), F.concat(F.lit(" -- "), friendly)).otherwise("")
 
     def idents(names: Column) -> Column:
         return F.array_join(F.transform(names, quote_ident), ", ")
 
-    def statement(name: Column, i: Column) -> Column:
+    def part(line: Column, comment: Column) -> Column:
+        return F.struct(line.alias("line"), comment.alias("remark"))
+
+    def statement(table: Column, keys: Column) -> Column:
+        name = table["table_name"]
         columns = F.transform(
-            _of_table(i),
-            lambda column: F.struct(
-                F.concat(quote_ident(column["col_name"]), F.lit(" "), column["col_type"]).alias("line"),
-                remark(column["col_friendly"], column["col_name"]).alias("remark"),
+            table["columns"],
+            lambda column: part(
+                F.concat(quote_ident(column["col_name"]), F.lit(" "), column["col_type"]),
+                remark(column["col_friendly"], column["col_name"]),
             ),
         )
         pks = F.transform(
-            F.filter("pks", lambda key: key["table_name"] == name),
-            lambda key: F.struct(
-                F.concat(F.lit("PRIMARY KEY ("), idents(key["columns"]), F.lit(")")).alias("line"),
-                F.lit("").alias("remark"),
-            ),
+            F.filter(keys["pks"], lambda key: key["table_name"] == name),
+            lambda key: part(F.concat(F.lit("PRIMARY KEY ("), idents(key["columns"]), F.lit(")")), F.lit("")),
         )
         fks = F.transform(
-            F.filter("fks", lambda key: key["from_table"] == name),
-            lambda key: F.struct(
+            F.filter(keys["fks"], lambda key: key["from_table"] == name),
+            lambda key: part(
                 F.concat(
                     F.lit("FOREIGN KEY ("), quote_ident(key["from_column"]), F.lit(") REFERENCES "),
                     quote_ident(key["to_table"]), F.lit(" ("), quote_ident(key["to_column"]), F.lit(")"),
-                ).alias("line"),
-                F.lit("").alias("remark"),
+                ),
+                F.lit(""),
             ),
         )
 
         def body(parts: Column) -> Column:
-            return F.array_join(
-                F.transform(
-                    parts,
-                    lambda part, at: F.concat(
-                        F.lit("    "), part["line"],
-                        F.when(at < F.size(parts) - 1, ",").otherwise(""), part["remark"],
-                    ),
+            lines = F.transform(
+                parts,
+                lambda entry, at: F.concat(
+                    F.lit("    "), entry["line"], F.when(at < F.size(parts) - 1, ",").otherwise(""), entry["remark"]
                 ),
-                "\n",
             )
+            return F.array_join(lines, "\n")
 
         return F.concat(
-            F.lit("CREATE TABLE "), quote_ident(name), F.lit(" ("), remark(F.get("friendly", i), name),
+            F.lit("CREATE TABLE "), quote_ident(name), F.lit(" ("), remark(table["friendly"], name),
             F.lit("\n"), let(F.concat(columns, pks, fks), body), F.lit("\n)"),
         )
 
-    texts = F.transform("tables", lambda name, i: F.when(~name.isin(INTERNAL_TABLES), statement(name, i)))
-    ddl = F.array_join(F.filter(texts, lambda text: text.isNotNull()), "\n\n" if annotate else "\n")
-    return _resolved(catalog).select("db_id", ddl.alias("ddl"))
+    tables = F.filter(_tables(), lambda table: ~table["table_name"].isin(INTERNAL_TABLES))
+    keys = F.struct(_primary_keys().alias("pks"), _foreign_keys().alias("fks"))
+    ddl = let(keys, lambda keys: F.transform(tables, lambda table: statement(table, keys)))
+    return catalog.select("db_id", F.array_join(ddl, "\n\n" if annotate else "\n").alias("ddl"))

@@ -76,7 +76,8 @@ def of_split(df: DataFrame, split: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return X.of(spark, sf, X.CATALOG)
+    """A stored catalog, as a reader would find it."""
+    return Workspace(spark).table(X.of(spark, sf, X.CATALOG), "catalog")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
