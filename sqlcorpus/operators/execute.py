@@ -49,8 +49,9 @@ def _run(session: SparkSession, statement, path: str, timeout: float) -> tuple:
         df = session.sql(f"SELECT * FROM (\n{statement['sql']}\n)")
         names = df.columns
         cells = [f"c{i}" for i in range(len(names))]
-        rows = result_rows(df.toDF(*cells), F.lit(statement["statement_id"]), "", cells)
-        rows.select(F.col("pair_id").alias("statement_id"), "row").write.mode("append").parquet(path)
+        rows = result_rows(df.toDF(*cells), F.lit(""), "", cells).select("row")
+        # A folder of its own, as jobs that write at the same time must not share one.
+        rows.write.mode("overwrite").parquet(f"{path}/statement_id={statement['statement_id']}")
         return statement["statement_id"], True, names, None
     except Exception as error:
         text = re.split(r"\n|JVM stacktrace", str(error), maxsplit=1)[0][:1000]
@@ -76,8 +77,7 @@ def execute_pairs(
     spark = pairs.sparkSession
     statements = workspace.table(distinct_statements(pairs).orderBy("db_id"), "statements")
     rows_path, status_path = workspace.path("statement_rows"), workspace.path("status")
-    empty = spark.createDataFrame([], "statement_id string, row array<string>")
-    empty.write.mode("append").parquet(rows_path)
+    spark.createDataFrame([], "row array<string>").write.parquet(f"{rows_path}/statement_id=none")
     sessions: dict[str, SparkSession] = {}
 
     def session_of(db_id: str) -> SparkSession:
@@ -96,7 +96,7 @@ def execute_pairs(
             done = list(pool.map(lambda job: _run(job[0], job[1], rows_path, timeout), ready))
             spark.createDataFrame(done, STATUS).coalesce(1).write.mode("append").parquet(status_path)
     status = spark.read.schema(STATUS).parquet(status_path).withColumn("cols", dedupe_columns(F.col("cols")))
-    ran = spark.read.schema("statement_id string, row array<string>").parquet(rows_path)
+    ran = spark.read.schema("row array<string>, statement_id string").parquet(rows_path)
     return _by_pair(pairs, status, ran)
 
 

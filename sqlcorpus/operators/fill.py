@@ -49,7 +49,7 @@ def needs(targets: dict[str, int], held: dict[str, int]) -> dict[str, int]:
     return {level: n - held.get(level, 0) for level, n in targets.items() if n > held.get(level, 0)}
 
 
-def _number_of(level: Column, numbers: dict[str, int]) -> Column:
+def number_of(level: Column, numbers: dict[str, int]) -> Column:
     """The number a label is mapped to, 0 for other labels."""
     number = F.lit(0)
     for name, value in numbers.items():
@@ -65,7 +65,7 @@ def _capped(filled: DataFrame, rooms: dict[str, int]) -> DataFrame:
     running = Window.partitionBy("split").orderBy(level_rank(F.col("level")))
     before = F.coalesce(F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = filled.groupBy("split", "level").agg(F.count(F.lit(1)).alias("_n"))
-    allowed = counts.select("split", "level", (_number_of(F.col("split"), rooms) - before).alias("_allowed"))
+    allowed = counts.select("split", "level", (number_of(F.col("split"), rooms) - before).alias("_allowed"))
     # One row a label of the quota.
     kept = filled.join(F.broadcast(allowed), ["split", "level"])
     return kept.filter(F.col("position") <= F.col("_allowed")).drop("_allowed")
@@ -97,7 +97,7 @@ def fill_single(
     room = sum(targets.values()) - sum(held.values())
     if not need or room <= 0:
         return _nothing(pool)
-    limit = _number_of(F.col("level"), need)
+    limit = number_of(F.col("level"), need)
     rows = without(_keyed(pool.filter(F.col("level").isin(list(need))), seed), locked, existing)
     ranked = rank_by_key(rows, KEY, ["level"], TIES, limit, rank="position")
     if sum(need.values()) > room:
@@ -158,7 +158,7 @@ def fill_dual(
     }
     if not both or not any(rooms.values()):
         return _nothing(pool)
-    limit = _number_of(F.col("level"), both)
+    limit = number_of(F.col("level"), both)
     rows = without(
         _keyed(pool.filter(F.col("level").isin(list(both))), seed), locked, existing_train, existing_val
     )

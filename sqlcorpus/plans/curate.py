@@ -46,21 +46,16 @@ class Splits:
         self.names = names
         self.counts: dict[str, int] = dict.fromkeys(names, 0)
         self.parts: list[DataFrame] = []
-        self._added = 0
         if existing is not None:
             kept = existing.filter(F.col("split").isin(names))
-            self._store(kept.select("question_id", "db_id", "level", "split", F.lit(EXISTING).alias("stage")))
+            self.add(kept.select("question_id", "db_id", "level", "split", F.lit(EXISTING).alias("stage")))
 
-    def _store(self, rows: DataFrame) -> None:
-        self._added += 1
-        table = self.workspace.table(rows, f"{'_'.join(self.names)}_{self._added}")
+    def add(self, rows: DataFrame) -> None:
+        table = self.workspace.table(rows, "_".join(self.names))
         for row in table.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect():
             self.counts[row["split"]] += row["n"]
         self.parts.append(table)
 
-    def add(self, rows: DataFrame) -> None:
-        self._store(rows)
-
     def rows(self) -> DataFrame:
         if not self.parts:
             return self.workspace.spark.createDataFrame([], PICKED_SCHEMA)

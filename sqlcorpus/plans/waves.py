@@ -26,15 +26,13 @@ def verify_in_waves(
     """Responses to candidates, in shuffled order label by label, until every need is met.
 
     ``verify`` takes ``question_id, db_id, level`` and returns stored-result rows. Each wave takes the
-    next ranks of the labels still short, and grows where a wave brought too little. A fill from the
-    result takes the same rows as one from responses to all candidates, for any wave size. The last
-    wave takes all that is left.
+    next ranks of the labels still short, and grows where a wave brought too little; the last takes
+    all that is left. A fill from the result takes the same rows as one from responses to all
+    candidates, for any wave size. ``candidates`` should be a stored table, as every wave reads it.
     """
     pool = candidates.filter(F.col("level").isin(list(need)))
     keyed = pool.select("question_id", "db_id", "level", shuffle_key(F.col("question_id"), seed).alias(fill.KEY))
-    ranked = rank_by_key(keyed, fill.KEY, ["level"], fill.TIES).drop(fill.KEY)
-    ranked = workspace.table(ranked, "wave_ranks")
-    sizes = {row["level"]: row["n"] for row in ranked.groupBy("level").agg(F.max("rank").alias("n")).collect()}
+    sizes = fill.level_counts(pool)
     done = dict.fromkeys(need, 0)
     asked = dict.fromkeys(need, 0)
     waves: list[DataFrame] = []
@@ -51,16 +49,15 @@ def verify_in_waves(
             else min(sizes[level], asked[level] + math.ceil(n * oversample * 2**wave))
             for level, n in short.items()
         }
-        turn = F.lit(False)
-        for level, end in upto.items():
-            turn = turn | (
-                (F.col("level") == level) & (F.col("rank") > asked[level]) & (F.col("rank") <= end)
-            )
-        answers = workspace.table(verify(ranked.filter(turn).drop("rank")), f"wave_{wave}")
+        wanted = keyed.filter(F.col("level").isin(list(upto)))
+        ranked = rank_by_key(
+            wanted, fill.KEY, ["level"], fill.TIES, fill.number_of(F.col("level"), upto)
+        ).filter(F.col("rank") > fill.number_of(F.col("level"), asked))
+        answers = workspace.table(verify(ranked.select(*fill.TIES)), f"wave_{wave}")
         waves.append(answers)
         success = answers.filter((F.col("generation_status") == S.SUCCESS) & F.col("execution_match"))
-        for row in success.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect():
-            done[row["level"]] += row["n"]
+        for level, n in fill.level_counts(success).items():
+            done[level] = done.get(level, 0) + n
         asked.update(upto)
     if not waves:
         return workspace.spark.createDataFrame([], S.RESULTS)

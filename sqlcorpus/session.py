@@ -48,13 +48,17 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/sqlcorpus/{uuid.uuid4().hex}"
+        self._count = 0
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """A path of its own for every call."""
+        self._count += 1
+        return f"{self.root}/{self._count:04d}_{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
         """Delete the tables; call it once nothing reads them any more."""

@@ -79,7 +79,8 @@ def read_questions(
 ) -> DataFrame:
     """A corpus of questions: a JSON array, JSON lines (``jsonl``) or Parquet.
 
-    A missing path or a file that is no JSON array of objects is an error.
+    A missing path or a file that is no JSON array of objects is an error; broken JSON is found, and
+    ends the job, when it is read.
     """
     _require(spark, path)
     if fmt == "parquet":
@@ -87,14 +88,13 @@ def read_questions(
         if with_position:
             raw = with_file_position(raw, fmt)
         return _as_text(raw, S.QUESTIONS)
-    raw = _read_json(spark, path, S.QUESTIONS, fmt == "json")
     if fmt == "json":
-        # A corrupt array yields one record with nothing but its text.
-        bad = raw.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT).limit(1)
         first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        if (first and not first[0][0].lstrip("﻿ \t").startswith("[")) or bad.count():
+        if first and not first[0][0].lstrip("\ufeff \t").startswith("["):
             raise ValueError(f"{path} is not a JSON array of records")
-        raw = raw.drop(CORRUPT)
+    # A record that cannot be read ends the job.
+    reader = spark.read.schema(_file_schema(S.QUESTIONS)).option("mode", "FAILFAST")
+    raw = _named(reader.option("multiLine", fmt == "json").json(path), S.QUESTIONS)
     if with_position:
         raw = with_file_position(raw, fmt)
     return _as_text(raw, S.QUESTIONS)

@@ -684,9 +684,9 @@ def stream_ingest_orders(spark, sf):
     schema = X.table(spark, sf, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     raw = spark.sql(X.GENERATIONS, orders=stream)
-    ingest = stream_ingest(spark, raw, workspace.path("ingested"), workspace.path("progress"))
-    ingest.awaitTermination()
-    return read_ingested(spark, workspace.path("ingested"))
+    target = workspace.path("ingested")
+    stream_ingest(spark, raw, target, workspace.path("progress")).awaitTermination()
+    return read_ingested(spark, target)
 
 
 @query
