@@ -180,11 +180,14 @@ def fill_dual(
     return _picked(filled, stage)
 
 
-def verified(candidates: DataFrame, responses: DataFrame) -> DataFrame:
+def verified(candidates: DataFrame, responses: DataFrame | None) -> DataFrame:
     """Candidates whose answer was generated and matched the gold result.
 
-    ``responses`` has ``question_id, generation_status, execution_match``.
+    ``responses`` has ``question_id, generation_status, execution_match``; none means that the
+    candidates have been checked before.
     """
+    if responses is None:
+        return candidates
     success = (F.col("generation_status") == S.SUCCESS) & F.col("execution_match")
     return candidates.join(responses.filter(success).select("question_id"), "question_id", "left_semi")
 
@@ -260,11 +263,12 @@ def _cover(
     """Bring databases up to ``density`` rows, within the budget, in shuffled order."""
     if budget <= 0:
         return _nothing(pool)
-    rows = without(_keyed(pool, seed), *used)
+    held = filled.groupBy("db_id").agg(F.count(F.lit(1)).alias("_held"))
+    dense = held.filter(F.col("_held") >= density)
+    rows = without(_keyed(pool.join(dense, "db_id", "left_anti"), seed), *used)
     # The plain limit lets every task keep only a few rows a database before the shuffle.
     by_db = Window.partitionBy("db_id").orderBy(KEY, "question_id", "level")
     first = rows.withColumn("_place", F.row_number().over(by_db)).filter(F.col("_place") <= density)
-    held = filled.groupBy("db_id").agg(F.count(F.lit(1)).alias("_held"))
     thin = first.join(held, "db_id", "left").filter(
         F.col("_place") <= density - F.coalesce("_held", F.lit(0))
     )

@@ -1,23 +1,25 @@
 """The curation job: from questions and earlier results to filled splits.
 
-The job decides on ids alone. Questions are triaged once into a narrow table; each stage reads that
-table, writes at most a quota of rows, and hands the driver counts by split and label. Text columns
-are fetched at the end, for the chosen rows only.
+The job decides on ids alone. Questions are triaged once into narrow stored pools; each stage reads
+the head of a pool, writes at most a quota of rows, and hands the driver counts by split. Text
+columns are fetched at the end, for the chosen rows only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.labels import classify_sql
 from sqlcorpus.operators import fill
 from sqlcorpus.operators.quota import split_targets
-from sqlcorpus.operators.triage import bounded_broadcast, split_domains, triage, merge_result
+from sqlcorpus.operators.triage import merge_result
 from sqlcorpus.operators.validate import validate_questions
+from sqlcorpus.plans.pools import Pool, prepare_domains
 from sqlcorpus.session import Workspace
+from sqlcorpus.sources.readers import read_curated
 from sqlcorpus.sources.writers import write_curated
 
 PICKED_SCHEMA = "question_id string, db_id string, level string, split string, stage string"
@@ -41,17 +43,22 @@ class Settings:
 class Splits:
     """Rows chosen so far: stored tables of at most a quota of rows each, and their counts."""
 
-    def __init__(self, workspace: Workspace, existing: DataFrame | None, names: list[str]):
+    def __init__(
+        self, workspace: Workspace, targets: dict[str, dict[str, int]],
+        existing: DataFrame | None, locked: DataFrame | None,
+    ):
         self.workspace = workspace
-        self.names = names
-        self.counts: dict[str, int] = dict.fromkeys(names, 0)
+        self.targets = targets
+        self.locked = locked
+        self.counts: dict[str, int] = dict.fromkeys(targets, 0)
         self.parts: list[DataFrame] = []
+        self._locked = 0 if locked is None else locked.count()
         if existing is not None:
-            kept = existing.filter(F.col("split").isin(names))
+            kept = existing.filter(F.col("split").isin(list(targets)))
             self.add(kept.select("question_id", "db_id", "level", "split", F.lit(EXISTING).alias("stage")))
 
     def add(self, rows: DataFrame) -> None:
-        table = self.workspace.table(rows, "_".join(self.names))
+        table = self.workspace.table(rows, "_".join(self.targets))
         for row in table.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect():
             self.counts[row["split"]] += row["n"]
         self.parts.append(table)
@@ -67,12 +74,35 @@ class Splits:
     def of(self, split: str) -> DataFrame | None:
         return self.rows().filter(F.col("split") == split) if self.parts else None
 
+    def total(self, split: str) -> int:
+        return sum(self.targets[split].values())
+
+    def open(self, split: str) -> int:
+        """Places of a split still open, none if it holds more than it should."""
+        return max(0, self.total(split) - self.counts[split])
+
+    def is_full(self) -> bool:
+        return not any(self.open(split) for split in self.targets)
+
+    def in_use(self) -> int:
+        """An upper bound of the rows of a pool that are taken."""
+        return self._locked + sum(self.counts.values())
+
+    def by_label(self, pool: Pool) -> DataFrame:
+        """The head of a pool that can fill every label up to its targets."""
+        levels = {level for targets in self.targets.values() for level in targets}
+        wanted = {level: sum(targets.get(level, 0) for targets in self.targets.values()) for level in levels}
+        return pool.head({level: n for level, n in wanted.items() if n}, self.in_use())
+
+    def of_any_label(self, pool: Pool) -> DataFrame:
+        """The head of a pool that can fill all open places."""
+        return pool.head_of_all(sum(self.open(split) for split in self.targets), self.in_use())
+
 
 def curate_in_domain(
     workspace: Workspace,
-    success: DataFrame,
-    candidates: DataFrame,
-    responses: DataFrame | None,
+    success: Pool,
+    passed: Pool | None,
     train_targets: dict[str, int],
     val_targets: dict[str, int],
     databases: int,
@@ -83,47 +113,42 @@ def curate_in_domain(
     """Train and in-domain validation: cache by label, verified candidates by label, cache
     regardless of label, coverage of databases, verified candidates regardless of label.
 
-    ``success`` and ``candidates`` should be stored tables, as every stage reads them. Without
-    ``responses`` the stages that need them add nothing.
+    Without ``passed`` candidates the stages that need them add nothing.
     """
-    state = Splits(workspace, existing, [S.TRAIN, S.VAL_IN])
-    train_total, val_total = sum(train_targets.values()), sum(val_targets.values())
-
-    def open_places() -> tuple[int, int]:
-        return val_total - state.counts[S.VAL_IN], train_total - state.counts[S.TRAIN]
+    state = Splits(workspace, {S.TRAIN: train_targets, S.VAL_IN: val_targets}, existing, locked)
 
-    def is_full() -> bool:
-        return max(open_places()) <= 0
+    def by_label(pool: Pool, stage: str) -> None:
+        if not state.is_full():
+            state.add(fill.fill_dual(
+                state.by_label(pool), train_targets, val_targets,
+                state.of(S.TRAIN), state.of(S.VAL_IN), locked, seed, stage,
+            ))
 
-    def by_level(add, *sources: DataFrame) -> None:
-        if not is_full():
-            state.add(add(
-                *sources, train_targets, val_targets, state.of(S.TRAIN), state.of(S.VAL_IN), locked, seed=seed
+    def any_label(pool: Pool, stage: str) -> None:
+        if not state.is_full():
+            state.add(fill.backfill_dual(
+                state.of_any_label(pool), state.open(S.VAL_IN), state.open(S.TRAIN),
+                locked, state.rows(), seed=seed, stage=stage,
             ))
 
-    by_level(fill.fill_dual, success)
-    if responses is not None:
-        by_level(fill.verify_fill_dual, candidates, responses)
-    if not is_full():
-        state.add(fill.backfill_dual(success, *open_places(), locked, state.rows(), seed=seed))
-    if responses is None:
+    by_label(success, "1")
+    if passed is not None:
+        by_label(passed, "2")
+    any_label(success, "3")
+    if passed is None:
         return state.rows()
-    if fill.coverage_budget(train_total, state.counts[S.TRAIN]) > 0:
+    if fill.coverage_budget(state.total(S.TRAIN), state.counts[S.TRAIN]) > 0:
         state.add(fill.cover_dual(
-            candidates, responses, state.rows(), train_total, state.counts[S.TRAIN], databases, locked, seed
-        ))
-    if not is_full():
-        state.add(fill.active_fill_dual(
-            candidates, responses, *open_places(), locked, state.rows(), seed=seed
+            passed.rows, None, state.rows(), state.total(S.TRAIN), state.counts[S.TRAIN], databases, locked, seed
         ))
+    any_label(passed, "4")
     return state.rows()
 
 
 def curate_single(
     workspace: Workspace,
-    success: DataFrame,
-    candidates: DataFrame,
-    responses: DataFrame | None,
+    success: Pool,
+    passed: Pool | None,
     targets: dict[str, int],
     split: str = S.VAL_OUT,
     existing: DataFrame | None = None,
@@ -131,75 +156,34 @@ def curate_single(
     seed: int = 42,
 ) -> DataFrame:
     """One split through the same stages."""
-    state = Splits(workspace, existing, [split])
-    total = sum(targets.values())
+    state = Splits(workspace, {split: targets}, existing, locked)
+
+    def by_label(pool: Pool, stage: str) -> None:
+        if not state.is_full():
+            state.add(fill.fill_single(
+                state.by_label(pool), targets, split, state.of(split), locked, seed, stage
+            ))
 
-    def open_places() -> int:
-        return total - state.counts[split]
+    def any_label(pool: Pool, stage: str) -> None:
+        if not state.is_full():
+            state.add(fill.backfill_single(
+                state.of_any_label(pool), state.open(split), locked, state.rows(), split=split, seed=seed, stage=stage
+            ))
 
-    if open_places() > 0:
-        state.add(fill.fill_single(success, targets, split, state.of(split), locked, seed))
-    if responses is not None and open_places() > 0:
-        state.add(fill.verify_fill_single(
-            candidates, responses, targets, split, state.of(split), locked, seed=seed
-        ))
-    if open_places() > 0:
-        state.add(fill.backfill_single(success, open_places(), locked, state.rows(), split=split, seed=seed))
-    if responses is None:
+    by_label(success, "1")
+    if passed is not None:
+        by_label(passed, "2")
+    any_label(success, "3")
+    if passed is None:
         return state.rows()
-    if fill.coverage_budget(total, state.counts[split]) > 0:
+    if fill.coverage_budget(state.total(split), state.counts[split]) > 0:
         state.add(fill.cover_single(
-            candidates, responses, state.rows(), total, state.counts[split], locked, split, seed
-        ))
-    if open_places() > 0:
-        state.add(fill.active_fill_single(
-            candidates, responses, open_places(), locked, state.rows(), split=split, seed=seed
+            passed.rows, None, state.rows(), state.total(split), state.counts[split], locked, split, seed
         ))
+    any_label(passed, "4")
     return state.rows()
 
 
-@dataclass
-class Pools:
-    """Stored, narrow tables of one domain."""
-
-    success: DataFrame
-    candidates: DataFrame
-    databases: DataFrame
-
-
-def prepare_pools(
-    workspace: Workspace, questions: DataFrame, results: DataFrame, settings: Settings
-) -> dict[str, Pools]:
-    """Triage the corpus and divide it by domain, in one join of questions and results."""
-    labelled = questions
-    if "level" not in questions.columns:
-        labelled = questions.withColumn("level", classify_sql(F.col("gold_sql")))
-    valid = validate_questions(labelled)
-    domains = split_domains(valid.select("db_id"), settings.domain_ratio, settings.seed)
-    domains = workspace.table(domains, "domains")
-    placed = triage(valid, results).filter(F.col("cache_state") != S.CACHE_FAILED).join(
-        bounded_broadcast(domains), "db_id"
-    )
-    path = workspace.path("pools")
-    placed.write.mode("overwrite").partitionBy("domain", "cache_state").parquet(path)
-    pools = workspace.spark.read.schema(
-        "question_id string, db_id string, level string, domain string, cache_state string"
-    ).parquet(path)
-
-    def pool(domain: str, state: str) -> DataFrame:
-        kept = pools.filter((F.col("domain") == domain) & (F.col("cache_state") == state))
-        return kept.select("question_id", "db_id", "level")
-
-    return {
-        domain: Pools(
-            pool(domain, S.CACHE_SUCCESS),
-            pool(domain, S.CACHE_CANDIDATE),
-            domains.filter(F.col("domain") == domain).select("db_id"),
-        )
-        for domain in (S.IN_DOMAIN, S.OUT_OF_DOMAIN)
-    }
-
-
 def curate(
     workspace: Workspace,
     questions: DataFrame,
@@ -211,18 +195,25 @@ def curate(
     """Fill all splits: ``question_id, db_id, level, split, stage``.
 
     ``existing`` holds rows of earlier runs with their split; they stay, and fill their quotas.
+    Questions without a label are labelled.
     """
-    pools = prepare_pools(workspace, questions, results, settings)
+    labelled = questions
+    if "level" not in questions.columns:
+        labelled = questions.withColumn("level", classify_sql(F.col("gold_sql")))
+    domains = prepare_domains(
+        workspace, validate_questions(labelled), results, responses, list(settings.shares),
+        settings.domain_ratio, settings.seed,
+    )
     targets = split_targets(workspace.spark, settings.sizes(), settings.shares, settings.strict_compat)
-    locked = existing
-    inside, outside = pools[S.IN_DOMAIN], pools[S.OUT_OF_DOMAIN]
+    inside, outside = domains[S.IN_DOMAIN], domains[S.OUT_OF_DOMAIN]
+    asked = responses is not None
     in_domain = curate_in_domain(
-        workspace, inside.success, inside.candidates, responses, targets[S.TRAIN], targets[S.VAL_IN],
-        inside.databases.count(), existing, locked, settings.seed,
+        workspace, inside.success, inside.passed if asked else None, targets[S.TRAIN], targets[S.VAL_IN],
+        inside.databases.count(), existing, existing, settings.seed,
     )
     out_of_domain = curate_single(
-        workspace, outside.success, outside.candidates, responses, targets[S.VAL_OUT], S.VAL_OUT,
-        existing, locked, settings.seed,
+        workspace, outside.success, outside.passed if asked else None, targets[S.VAL_OUT], S.VAL_OUT,
+        existing, existing, settings.seed,
     )
     return in_domain.union(out_of_domain)
 
@@ -246,13 +237,15 @@ def run_curation(
     responses: DataFrame | None,
     path: str,
     settings: Settings = Settings(),
-    existing: DataFrame | None = None,
 ) -> None:
-    """Curate and store the splits, a folder each.
+    """Curate and store the splits below ``path``, a folder each.
 
-    ``responses`` holds result records of candidates; read ``existing`` from another path than
-    ``path`` is.
+    Rows stored there by earlier runs stay as they are; only new ones are added. ``responses`` holds
+    result records of candidates.
     """
+    earlier = read_curated(workspace.spark, path).select("question_id", "db_id", "level", "split")
+    existing = workspace.table(earlier, EXISTING)
     picked = curate(workspace, questions, results, responses, settings, existing)
     answers = results if responses is None else results.unionByName(responses, allowMissingColumns=True)
-    write_curated(fetch_curated(picked, questions, answers), path)
+    new = picked.filter(F.col("stage") != EXISTING)
+    write_curated(fetch_curated(new, questions, answers), path, mode="append")

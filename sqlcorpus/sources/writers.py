@@ -46,9 +46,9 @@ def append_results(df: DataFrame, path: str, order_by: str | None = None) -> Non
     first.write.mode("append").parquet(path)
 
 
-def write_curated(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_curated(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Curated rows, a folder a split."""
-    df.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
+    df.write.mode(mode).partitionBy("split").format(fmt).save(path)
 
 
 def write_baked(df: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from sqlcorpus.functions.keys import shuffle_key
 from sqlcorpus.operators import fill, quota
 from sqlcorpus.operators.ranking import rank_by_key, rank_by_order
 from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, run_curation
+from sqlcorpus.plans.pools import SUCCESS_POOL, store_pools
 from sqlcorpus.plans.waves import verify_in_waves
 from sqlcorpus.sources.readers import read_curated
 from sqlcorpus.session import Workspace
@@ -199,8 +200,9 @@ def test_resumed_surplus_binds_the_total(spark, workspace):
         [(f"h{i}", "db", S.LEVEL_OTHER, S.TRAIN) for i in range(6)], "question_id string, db_id string, level string, split string"
     )
     pool = spark.createDataFrame([(str(i), "db", level) for i in range(50)], "question_id string, db_id string, level string")
-    none = pool.limit(0)
-    rows = curate_in_domain(workspace, pool, none, None, {level: 10}, {level: 2}, 1, existing=held)
+    placed = pool.withColumns({"domain": F.lit(S.IN_DOMAIN), "state": F.lit(SUCCESS_POOL)})
+    success = store_pools(workspace, placed, S.LEVELS, 42)[S.IN_DOMAIN, SUCCESS_POOL]
+    rows = curate_in_domain(workspace, success, None, {level: 10}, {level: 2}, 1, existing=held)
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     assert counts == {S.TRAIN: 10, S.VAL_IN: 2}
 
@@ -233,3 +235,28 @@ def test_run_curation_stores_full_records(spark, workspace):
     assert rows.count() == expected.count()
     assert rows.filter("question is null or predicted_sql is null or not execution_match").count() == 0
     assert read_curated(spark, path, S.VAL_IN).select("split").distinct().collect()[0][0] == S.VAL_IN
+    # A second run finds its splits full; a larger one keeps what is stored and adds to it.
+    run_curation(
+        Workspace(spark), Q.questions(spark, SF_SMALL), Q.results(spark, SF_SMALL), responses, path, Q.SMALL
+    )
+    assert read_curated(spark, path).count() == expected.count()
+    run_curation(
+        Workspace(spark), Q.questions(spark, SF_SMALL), Q.results(spark, SF_SMALL), responses, path, MEDIUM
+    )
+    grown = read_curated(spark, path)
+    assert grown.select("question_id").distinct().count() == grown.count() > expected.count()
+
+
+def test_heads_hold_the_first_rows(spark, workspace):
+    rows = [(str(i), "db", S.LEVELS[i % 5], S.IN_DOMAIN, SUCCESS_POOL) for i in range(3000)]
+    df = spark.createDataFrame(rows, "question_id string, db_id string, level string, domain string, state string")
+    pool = store_pools(workspace, df, LEVELS, 42)[S.IN_DOMAIN, SUCCESS_POOL]
+    first = sorted((python_key(q), q) for q, _, level, *_ in rows if level == LEVELS[0])
+    head = {r["question_id"] for r in pool.head({LEVELS[0]: 20}, 5).collect()}
+    assert {q for _, q in first[:25]} <= head and len(head) < 40
+    every = sorted((python_key(q), q) for q, *_ in rows)
+    head = {r["question_id"] for r in pool.head_of_all(100, 0).collect()}
+    assert {q for _, q in every[:100]} <= head and len(head) < 110
+    assert pool.head_of_all(5000, 0).count() == 3000
+    assert "PushedFilters" in (text := pool.head_of_all(10, 0)._jdf.queryExecution().executedPlan().toString())
+    assert "LessThan(_key" in text

@@ -12,7 +12,8 @@ from sqlcorpus.functions import labels, prompts as P, tables, text
 from sqlcorpus.operators import catalog as C, compare, evaluate as E, fill, prompts, quota, reports, triage, validate
 from sqlcorpus.operators.generate import extract_responses, generate, verify_candidates
 from sqlcorpus.plans.bake import prompt_contexts
-from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, curate_single, fetch_curated, prepare_pools
+from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, curate_single
+from sqlcorpus.plans.pools import Domain, prepare_domains
 from sqlcorpus.session import Workspace
 from sqlcorpus.sources.readers import parse_predictions, with_file_position
 from sqlcorpus.sources.writers import format_predictions, new_rows
@@ -23,8 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TEMPLATE = (Path(__file__).parent / "template.txt").read_text(encoding="utf-8")
 
-# Quotas of the fill queries: large enough for every stage, and small ones for coverage.
-LARGE = Settings(train_size=6000, val_in_size=800, val_out_size=1600)
+# Small quotas, so that some databases stay uncovered.
 SMALL = Settings(train_size=40, val_in_size=8, val_out_size=40)
 LEVELS = [S.LEVEL_4, S.LEVEL_3, S.LEVEL_2, S.LEVEL_1]
 
@@ -348,6 +348,10 @@ def active_fill_single(spark, sf):
     )
 
 
+def _domains(workspace: Workspace, spark: SparkSession, sf: str) -> dict[str, Domain]:
+    return prepare_domains(workspace, labelled(spark, sf), results(spark, sf), responses(spark, sf), S.LEVELS)
+
+
 def _curated(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
     return curate(Workspace(spark), questions(spark, sf), results(spark, sf), responses(spark, sf), settings)
 
@@ -355,17 +359,17 @@ def _curated(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
 @query
 def curate_in_domain_large(spark, sf):
     workspace = Workspace(spark)
-    inside = prepare_pools(workspace, questions(spark, sf), results(spark, sf), LARGE)[S.IN_DOMAIN]
+    inside = _domains(workspace, spark, sf)[S.IN_DOMAIN]
     return curate_in_domain(
-        workspace, inside.success, inside.candidates, responses(spark, sf), even(6000), even(800), inside.databases.count()
+        workspace, inside.success, inside.passed, even(6000), even(800), inside.databases.count()
     )
 
 
 @query
 def curate_out_of_domain_large(spark, sf):
     workspace = Workspace(spark)
-    outside = prepare_pools(workspace, questions(spark, sf), results(spark, sf), LARGE)[S.OUT_OF_DOMAIN]
-    return curate_single(workspace, outside.success, outside.candidates, responses(spark, sf), even(1600))
+    outside = _domains(workspace, spark, sf)[S.OUT_OF_DOMAIN]
+    return curate_single(workspace, outside.success, outside.passed, even(1600))
 
 
 @query
