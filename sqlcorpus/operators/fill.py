@@ -3,7 +3,8 @@
 Walking a shuffled list and taking rows while there is room equals taking the first ranks in the
 shuffled order, so every stage is exact and depends on neither partitions nor arrival order.
 
-A pool has the columns ``question_id, db_id, level``; stages add ``split`` and ``stage``.
+A pool has the columns ``question_id, db_id, level``; stages add ``split`` and ``stage``. ``few`` says
+that a pool is known to hold no more rows than one task can rank.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from sqlcorpus import schemas as S
 from sqlcorpus.functions.keys import shuffle_key
 from sqlcorpus.functions.labels import level_rank
 from sqlcorpus.operators.quota import small_frame
-from sqlcorpus.operators.ranking import rank_by_key
+from sqlcorpus.operators.ranking import rank_by_key, rank_few
 from sqlcorpus.session import BROADCAST_ROWS
 
 PICKED = ["question_id", "db_id", "level", "split", "stage"]
@@ -26,6 +27,10 @@ def _keyed(pool: DataFrame, seed: int) -> DataFrame:
     return pool.select("question_id", "db_id", "level", shuffle_key(F.col("question_id"), seed).alias(KEY))
 
 
+def _ranker(few: bool):
+    return rank_few if few else rank_by_key
+
+
 def without(df: DataFrame, *used: DataFrame | None) -> DataFrame:
     """Rows whose question is in none of the given tables."""
     ids = None
@@ -90,16 +95,21 @@ def fill_single(
     locked: DataFrame | None = None,
     seed: int = 42,
     stage: str = "1",
+    few: bool = False,
+    held: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Fill one split by label from a pool, up to the targets and their sum."""
-    held = level_counts(existing)
+    """Fill one split by label from a pool, up to the targets and their sum.
+
+    ``held`` gives the rows of ``existing`` by label, where they are known.
+    """
+    held = level_counts(existing) if held is None else held
     need = needs(targets, held)
     room = sum(targets.values()) - sum(held.values())
     if not need or room <= 0:
         return _nothing(pool)
     limit = number_of(F.col("level"), need)
     rows = without(_keyed(pool.filter(F.col("level").isin(list(need))), seed), locked, existing)
-    ranked = rank_by_key(rows, KEY, ["level"], TIES, limit, rank="position")
+    ranked = _ranker(few)(rows, KEY, ["level"], TIES, limit, rank="position")
     if sum(need.values()) > room:
         ranked = _capped(ranked.withColumn("split", F.lit(split)), {split: room})
     return _picked(ranked, stage, F.lit(split))
@@ -144,9 +154,14 @@ def fill_dual(
     locked: DataFrame | None = None,
     seed: int = 42,
     stage: str = "1",
+    few: bool = False,
+    held: tuple[dict[str, int], dict[str, int]] | None = None,
 ) -> DataFrame:
-    """Fill train and validation together, label by label, keeping both at the same fill ratio."""
-    train_held, val_held = level_counts(existing_train), level_counts(existing_val)
+    """Fill train and validation together, label by label, keeping both at the same fill ratio.
+
+    ``held`` gives the rows of both existing tables by label, where they are known.
+    """
+    train_held, val_held = held or (level_counts(existing_train), level_counts(existing_val))
     train_need, val_need = needs(train_targets, train_held), needs(val_targets, val_held)
     rooms = {
         S.TRAIN: max(0, sum(train_targets.values()) - sum(train_held.values())),
@@ -162,7 +177,7 @@ def fill_dual(
     rows = without(
         _keyed(pool.filter(F.col("level").isin(list(both))), seed), locked, existing_train, existing_val
     )
-    ranked = rank_by_key(rows, KEY, ["level"], TIES, limit, rank="slot")
+    ranked = _ranker(few)(rows, KEY, ["level"], TIES, limit, rank="slot")
     places = slots(
         pool.sparkSession,
         [
@@ -209,13 +224,14 @@ def backfill_dual(
     *used: DataFrame | None,
     seed: int = 42,
     stage: str = "3",
+    few: bool = False,
 ) -> DataFrame:
     """Fill what is missing regardless of labels: validation first, then train."""
     val_need, train_need = max(0, val_need), max(0, train_need)
     if val_need + train_need == 0:
         return _nothing(pool)
     rows = without(_keyed(pool, seed), *used)
-    ranked = rank_by_key(rows, KEY, ties=TIES, limit=val_need + train_need)
+    ranked = _ranker(few)(rows, KEY, ties=TIES, limit=val_need + train_need)
     split = F.when(F.col("rank") <= val_need, S.VAL_IN).otherwise(S.TRAIN)
     return _picked(ranked, stage, split)
 
@@ -227,12 +243,13 @@ def backfill_single(
     split: str = S.VAL_OUT,
     seed: int = 42,
     stage: str = "3",
+    few: bool = False,
 ) -> DataFrame:
     """Fill one split regardless of labels."""
     if need <= 0:
         return _nothing(pool)
     rows = without(_keyed(pool, seed), *used)
-    return _picked(rank_by_key(rows, KEY, ties=TIES, limit=need), stage, F.lit(split))
+    return _picked(_ranker(few)(rows, KEY, ties=TIES, limit=need), stage, F.lit(split))
 
 
 def active_fill_dual(candidates: DataFrame, responses: DataFrame, *args, **kwargs) -> DataFrame:
@@ -259,6 +276,7 @@ def _cover(
     split: str,
     seed: int,
     stage: str,
+    databases: int | None = None,
 ) -> DataFrame:
     """Bring databases up to ``density`` rows, within the budget, in shuffled order."""
     if budget <= 0:
@@ -272,7 +290,8 @@ def _cover(
     thin = first.join(held, "db_id", "left").filter(
         F.col("_place") <= density - F.coalesce("_held", F.lit(0))
     )
-    ranked = rank_by_key(thin.select(*TIES, KEY), KEY, ties=TIES, limit=budget)
+    few = databases is not None and databases * density <= BROADCAST_ROWS
+    ranked = _ranker(few)(thin.select(*TIES, KEY), KEY, ties=TIES, limit=budget)
     return _picked(ranked, stage, F.lit(split))
 
 
@@ -291,7 +310,7 @@ def cover_dual(
     budget = coverage_budget(train_target, train_held)
     density = S.COVERAGE_DENSITY if budget >= databases else 1
     pool = verified(candidates, responses)
-    return _cover(pool, filled, density, budget, (locked, filled), S.TRAIN, seed, stage)
+    return _cover(pool, filled, density, budget, (locked, filled), S.TRAIN, seed, stage, databases)
 
 
 def cover_single(
@@ -304,7 +323,9 @@ def cover_single(
     split: str = S.VAL_OUT,
     seed: int = 42,
     stage: str = "3.1",
+    databases: int | None = None,
 ) -> DataFrame:
-    """Add one verified row for each database that has none yet."""
+    """Add one verified row for each database that has none yet; their number, if known, eases the plan."""
     pool = verified(candidates, responses)
-    return _cover(pool, filled, 1, coverage_budget(target, held), (locked, filled), split, seed, stage)
+    budget = coverage_budget(target, held)
+    return _cover(pool, filled, 1, budget, (locked, filled), split, seed, stage, databases)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlcorpus import schemas as S
-from sqlcorpus.functions.labels import level_rank
 
 
 def target_counts(
@@ -86,5 +85,6 @@ def pending(quota: DataFrame, filled: DataFrame) -> DataFrame:
     )
 
 
-def order_by_level(df: DataFrame) -> DataFrame:
-    return df.orderBy(level_rank(F.col("level")))
+def unfilled_levels(needed: DataFrame) -> DataFrame:
+    """Labels that any split still needs rows of, from ``pending``."""
+    return needed.filter(F.col("need") > 0).select("level").distinct()

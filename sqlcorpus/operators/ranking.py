@@ -72,6 +72,17 @@ def rank_by_key(
     return out.drop("_all")
 
 
+def rank_few(
+    df: DataFrame, key: str, groups: list[str] = (), ties: list[str] = (),
+    limit: Column | int | None = None, rank: str = "rank",
+) -> DataFrame:
+    """``rank_by_key`` for rows known to be few enough for one task a group: a single window."""
+    window = Window.partitionBy(*groups).orderBy(key, *ties)
+    columns = list(dict.fromkeys([*groups, *ties, key]))
+    ranked = df.select(*columns, F.row_number().over(window).cast("bigint").alias(rank))
+    return ranked if limit is None else ranked.filter(F.col(rank) <= limit)
+
+
 def _bucket_of(value: Column, bounds: list[float]) -> Column:
     """Index of the interval a value falls in, as a balanced tree of comparisons."""
 

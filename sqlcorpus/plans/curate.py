@@ -51,6 +51,7 @@ class Splits:
         self.targets = targets
         self.locked = locked
         self.counts: dict[str, int] = dict.fromkeys(targets, 0)
+        self.held: dict[str, dict[str, int]] = {split: {} for split in targets}
         self.parts: list[DataFrame] = []
         self._locked = 0 if locked is None else locked.count()
         if existing is not None:
@@ -59,8 +60,10 @@ class Splits:
 
     def add(self, rows: DataFrame) -> None:
         table = self.workspace.table(rows, "_".join(self.targets))
-        for row in table.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect():
+        for row in table.groupBy("split", "level").agg(F.count(F.lit(1)).alias("n")).collect():
             self.counts[row["split"]] += row["n"]
+            levels = self.held[row["split"]]
+            levels[row["level"]] = levels.get(row["level"], 0) + row["n"]
         self.parts.append(table)
 
     def rows(self) -> DataFrame:
@@ -88,13 +91,13 @@ class Splits:
         """An upper bound of the rows of a pool that are taken."""
         return self._locked + sum(self.counts.values())
 
-    def by_label(self, pool: Pool) -> DataFrame:
+    def by_label(self, pool: Pool) -> tuple[DataFrame, bool]:
         """The head of a pool that can fill every label up to its targets."""
         levels = {level for targets in self.targets.values() for level in targets}
         wanted = {level: sum(targets.get(level, 0) for targets in self.targets.values()) for level in levels}
         return pool.head({level: n for level, n in wanted.items() if n}, self.in_use())
 
-    def of_any_label(self, pool: Pool) -> DataFrame:
+    def of_any_label(self, pool: Pool) -> tuple[DataFrame, bool]:
         """The head of a pool that can fill all open places."""
         return pool.head_of_all(sum(self.open(split) for split in self.targets), self.in_use())
 
@@ -119,16 +122,17 @@ def curate_in_domain(
 
     def by_label(pool: Pool, stage: str) -> None:
         if not state.is_full():
+            head, few = state.by_label(pool)
             state.add(fill.fill_dual(
-                state.by_label(pool), train_targets, val_targets,
-                state.of(S.TRAIN), state.of(S.VAL_IN), locked, seed, stage,
+                head, train_targets, val_targets, state.of(S.TRAIN), state.of(S.VAL_IN), locked, seed, stage, few,
+                (state.held[S.TRAIN], state.held[S.VAL_IN]),
             ))
 
     def any_label(pool: Pool, stage: str) -> None:
         if not state.is_full():
+            head, few = state.of_any_label(pool)
             state.add(fill.backfill_dual(
-                state.of_any_label(pool), state.open(S.VAL_IN), state.open(S.TRAIN),
-                locked, state.rows(), seed=seed, stage=stage,
+                head, state.open(S.VAL_IN), state.open(S.TRAIN), locked, state.rows(), seed=seed, stage=stage, few=few
             ))
 
     by_label(success, "1")
@@ -150,6 +154,7 @@ def curate_single(
     success: Pool,
     passed: Pool | None,
     targets: dict[str, int],
+    databases: int,
     split: str = S.VAL_OUT,
     existing: DataFrame | None = None,
     locked: DataFrame | None = None,
@@ -160,14 +165,14 @@ def curate_single(
 
     def by_label(pool: Pool, stage: str) -> None:
         if not state.is_full():
-            state.add(fill.fill_single(
-                state.by_label(pool), targets, split, state.of(split), locked, seed, stage
-            ))
+            head, few = state.by_label(pool)
+            state.add(fill.fill_single(head, targets, split, state.of(split), locked, seed, stage, few, state.held[split]))
 
     def any_label(pool: Pool, stage: str) -> None:
         if not state.is_full():
+            head, few = state.of_any_label(pool)
             state.add(fill.backfill_single(
-                state.of_any_label(pool), state.open(split), locked, state.rows(), split=split, seed=seed, stage=stage
+                head, state.open(split), locked, state.rows(), split=split, seed=seed, stage=stage, few=few
             ))
 
     by_label(success, "1")
@@ -178,7 +183,7 @@ def curate_single(
         return state.rows()
     if fill.coverage_budget(state.total(split), state.counts[split]) > 0:
         state.add(fill.cover_single(
-            passed.rows, None, state.rows(), state.total(split), state.counts[split], locked, split, seed
+            passed.rows, None, state.rows(), state.total(split), state.counts[split], locked, split, seed, databases=databases
         ))
     any_label(passed, "4")
     return state.rows()
@@ -212,8 +217,8 @@ def curate(
         inside.databases.count(), existing, existing, settings.seed,
     )
     out_of_domain = curate_single(
-        workspace, outside.success, outside.passed if asked else None, targets[S.VAL_OUT], S.VAL_OUT,
-        existing, existing, settings.seed,
+        workspace, outside.success, outside.passed if asked else None, targets[S.VAL_OUT],
+        outside.databases.count(), S.VAL_OUT, existing, existing, settings.seed,
     )
     return in_domain.union(out_of_domain)
 

@@ -22,6 +22,8 @@ from sqlcorpus.session import Workspace
 SUCCESS_POOL, PASSED_POOL = "success", "passed"
 POOL_SCHEMA = f"question_id string, db_id string, level string, {KEY} string, domain string, state string"
 OTHER_LABELS = ""
+# The most narrow rows that one task ranks.
+FEW_ROWS = 1_000_000
 
 
 @dataclass
@@ -31,33 +33,35 @@ class Pool:
     rows: DataFrame
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
 
-    def _cut(self, buckets: dict[str, int], wanted: int) -> str | None:
-        """The key below which at least ``wanted`` rows lie, or nothing if all rows are needed."""
+    def _cut(self, buckets: dict[str, int], wanted: int) -> tuple[str | None, int]:
+        """The key below which the first ``wanted`` rows lie, none if all are needed, and the rows below it."""
         found = 0
         for bucket in sorted(buckets):
             found += buckets[bucket]
-            if found >= wanted:
-                after = int(bucket, 16) + 1
-                return None if after == 16**BUCKET_DIGITS else format(after, f"0{BUCKET_DIGITS}x")
-        return None
-
-    def head(self, wanted: dict[str, int], slack: int) -> DataFrame:
-        """At least the first rows wanted of each label, ``slack`` of which may be in use already."""
-        kept = F.lit(False)
+            after = int(bucket, 16) + 1
+            if found >= wanted and after < 16**BUCKET_DIGITS:
+                return format(after, f"0{BUCKET_DIGITS}x"), found
+        return None, found
+
+    def head(self, wanted: dict[str, int], slack: int) -> tuple[DataFrame, bool]:
+        """At least the first rows wanted of each label, ``slack`` of which may be in use already; and
+        whether that is little enough to rank in one task a label."""
+        kept, most = F.lit(False), 0
         for level, n in wanted.items():
-            cut = self._cut(self.counts.get(level, {}), n + slack)
+            cut, size = self._cut(self.counts.get(level, {}), n + slack)
             mine = F.col("level") == level
             kept = kept | (mine if cut is None else mine & (F.col(KEY) < cut))
-        return self.rows.filter(kept)
+            most = max(most, size)
+        return self.rows.filter(kept), most <= FEW_ROWS
 
-    def head_of_all(self, wanted: int, slack: int) -> DataFrame:
-        """At least the first ``wanted`` rows regardless of label."""
+    def head_of_all(self, wanted: int, slack: int) -> tuple[DataFrame, bool]:
+        """At least the first ``wanted`` rows regardless of label, and whether one task can rank them."""
         every: dict[str, int] = {}
         for buckets in self.counts.values():
             for bucket, n in buckets.items():
                 every[bucket] = every.get(bucket, 0) + n
-        cut = self._cut(every, wanted + slack)
-        return self.rows if cut is None else self.rows.filter(F.col(KEY) < cut)
+        cut, size = self._cut(every, wanted + slack)
+        return self.rows if cut is None else self.rows.filter(F.col(KEY) < cut), size <= FEW_ROWS
 
 
 def store_pools(workspace: Workspace, rows: DataFrame, levels: list[str], seed: int) -> dict[tuple[str, str], Pool]:
@@ -66,8 +70,8 @@ def store_pools(workspace: Workspace, rows: DataFrame, levels: list[str], seed:
     keyed = rows.select(
         "question_id", "db_id", "level", shuffle_key(F.col("question_id"), seed).alias(KEY), "domain", "state"
     )
-    order = ["domain", "state", KEY]
-    laid_out = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Keys are even, so their prefixes make even files, and sorted ones, without sampling the rows.
+    laid_out = keyed.repartition(F.substring(KEY, 1, BUCKET_DIGITS)).sortWithinPartitions("domain", "state", KEY)
     laid_out.write.partitionBy("domain", "state").parquet(path)
     stored = workspace.spark.read.schema(POOL_SCHEMA).parquet(path)
     level = F.when(F.col("level").isin(levels), F.col("level")).otherwise(OTHER_LABELS)

@@ -6,15 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from sqlcorpus import schemas as S
 from sqlcorpus.functions.text import extract_sql
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.evaluate import evaluate
 from sqlcorpus.operators.generate import Generator, generate
 from sqlcorpus.operators.prompts import render_prompts
 from sqlcorpus.operators.triage import remaining
-from sqlcorpus.session import path_exists
-from sqlcorpus.sources.readers import _empty
+from sqlcorpus.sources.readers import read_generations
 from sqlcorpus.sources.writers import append_raw
 
 
@@ -32,17 +30,11 @@ def predict(
     Output is stored as it comes; a question whose batch failed is asked again by the next run.
     """
     spark = questions.sparkSession
-
-    def stored() -> DataFrame:
-        if not path_exists(spark, raw_path):
-            return _empty(spark, S.GENERATIONS)
-        return spark.read.schema(S.GENERATIONS).json(raw_path)
-
-    todo = remaining(questions, stored())
+    todo = remaining(questions, read_generations(spark, raw_path))
     prompts = render_prompts(todo, contexts, template, instructions=instructions)
     answers = generate(prompts, make, batch_size)
     append_raw(answers.filter(F.col("raw_content").isNotNull()), raw_path)
-    return to_predictions(questions, stored())
+    return to_predictions(questions, read_generations(spark, raw_path))
 
 
 def to_predictions(questions: DataFrame, generations: DataFrame) -> DataFrame:

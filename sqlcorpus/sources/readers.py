@@ -197,6 +197,13 @@ def load_template(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def read_generations(spark: SparkSession, path: str) -> DataFrame:
+    """Raw model output as JSON lines; nothing if there is none yet."""
+    if not path_exists(spark, path):
+        return _empty(spark, S.GENERATIONS)
+    return spark.read.schema(S.GENERATIONS).json(path)
+
+
 def parse_predictions(df: DataFrame) -> DataFrame:
     """``question_id, sql, db_id`` from submission objects in a ``value`` text column."""
     entries = df.select(F.explode(F.from_json("value", "map<string,string>")).alias("question_id", "_value"))

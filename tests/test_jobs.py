@@ -11,6 +11,7 @@ from sqlcorpus.operators.execute import execute_pairs
 from sqlcorpus.operators.generate import ContextLengthExceeded, generate, with_retry
 from sqlcorpus.operators.validate import assign_question_id
 from sqlcorpus.plans.bake import run_bake
+from sqlcorpus.plans.label import label_corpus
 from sqlcorpus.plans.predict import predict, score
 from sqlcorpus.sources import readers, writers
 from sqlcorpus.streaming.ingest import ingest_batch, read_ingested, stream_ingest
@@ -108,6 +109,14 @@ def test_template_and_materialize(spark, tmp_path):
     assert len(built) == 1
 
 
+def test_label_corpus(spark, tmp_path):
+    source = write_json(tmp_path / "raw.json", [{"db_id": "a", "SQL": "SELECT 1"}, {"db_id": "a", "SQL": "SELECT a JOIN b"}])
+    for _ in range(2):
+        df = label_corpus(spark, source, str(tmp_path / "labelled"))
+        assert [(r["question_id"], r["level"]) for r in df.orderBy("question_id").collect()] == [("0", S.LEVEL_1), ("1", S.LEVEL_3)]
+        (tmp_path / "raw.json").write_text("[]")
+
+
 def test_append_results_is_first_wins(spark, tmp_path):
     path = str(tmp_path / "results")
     kind = "question_id string, predicted_sql string, generation_status string, extra string"

@@ -131,7 +131,7 @@ def test_validation(spark):
     assert tuple(validate.validation_report(df).first()) == (5, 1, 1, 1, 1, 2)
 
 
-def test_reports(spark):
+def test_reports(spark, workspace):
     filled = spark.createDataFrame(
         [(S.TRAIN, S.LEVEL_1, "a"), (S.TRAIN, None, "b"), (S.TRAIN, S.LEVEL_1, "z")], "split string, level string, db_id string"
     )
@@ -139,13 +139,19 @@ def test_reports(spark):
     assert lines[S.LEVEL_OTHER]["n"] == 1 and lines[reports.TOTAL]["n"] == 3 and lines[reports.TOTAL]["pct"] == 100
     text = reports.format_distribution(reports.level_distribution(filled), "Train")
     assert text.splitlines()[-1].startswith("Total") and "66.67%" in text
+    assert "empty" in reports.format_distribution(reports.level_distribution(filled.limit(0)), "Train")
     assert reports.level_distribution(filled.limit(0)).count() == 0
     goal = spark.createDataFrame([(S.TRAIN, S.LEVEL_1, 4), (S.TRAIN, S.LEVEL_2, 0)], "split string, level string, target bigint")
     got = {row["level"]: tuple(row)[2:] for row in reports.target_vs_filled(filled, goal).collect()}
     assert got == {S.LEVEL_1: (4, 2, 50.0), S.LEVEL_2: (0, 0, 0.0), reports.TOTAL: (4, 3, 75.0)}
+    lines = reports.format_target_vs_filled(reports.target_vs_filled(filled, goal), S.TRAIN).splitlines()
+    assert lines[-1].split("|")[1:3] == ["       4 ", "       3 "]
     expected = spark.createDataFrame([("a",), ("b",), ("c",)], "db_id string")
     coverage = reports.database_coverage(filled, expected)
     assert {row["db_id"]: row["missing"] for row in coverage.collect()} == {"a": False, "b": False, "c": True}
+    folder = workspace.path("coverage")
+    assert reports.format_coverage(coverage, "Train", folder) == "Train: 2/3 databases covered (66.7%)"
+    assert [row[0].split() for row in spark.read.text(folder).collect()][-1] == ["c", "|", "0", "MISSING"]
     summary = reports.coverage_summary(coverage).first()
     assert (summary["covered"], summary["total"], round(summary["pct"], 2)) == (2, 3, 66.67)
     assert [row[0] for row in reports.missing_databases(filled, expected).collect()] == ["c"]

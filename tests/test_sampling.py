@@ -247,16 +247,24 @@ def test_run_curation_stores_full_records(spark, workspace):
     assert grown.select("question_id").distinct().count() == grown.count() > expected.count()
 
 
+def test_large_heads_lead_to_the_same_rows(spark, workspace, monkeypatch):
+    key = lambda rows: sorted(tuple(r) for r in rows.collect())
+    expected = key(curated(spark, workspace, MEDIUM))
+    monkeypatch.setattr("sqlcorpus.plans.pools.FEW_ROWS", 0)
+    monkeypatch.setattr("sqlcorpus.operators.fill.BROADCAST_ROWS", 0)
+    assert key(curated(spark, workspace, MEDIUM)) == expected
+
+
 def test_heads_hold_the_first_rows(spark, workspace):
     rows = [(str(i), "db", S.LEVELS[i % 5], S.IN_DOMAIN, SUCCESS_POOL) for i in range(3000)]
     df = spark.createDataFrame(rows, "question_id string, db_id string, level string, domain string, state string")
     pool = store_pools(workspace, df, LEVELS, 42)[S.IN_DOMAIN, SUCCESS_POOL]
     first = sorted((python_key(q), q) for q, _, level, *_ in rows if level == LEVELS[0])
-    head = {r["question_id"] for r in pool.head({LEVELS[0]: 20}, 5).collect()}
+    head = {r["question_id"] for r in pool.head({LEVELS[0]: 20}, 5)[0].collect()}
     assert {q for _, q in first[:25]} <= head and len(head) < 40
     every = sorted((python_key(q), q) for q, *_ in rows)
-    head = {r["question_id"] for r in pool.head_of_all(100, 0).collect()}
+    head = {r["question_id"] for r in pool.head_of_all(100, 0)[0].collect()}
     assert {q for _, q in every[:100]} <= head and len(head) < 110
-    assert pool.head_of_all(5000, 0).count() == 3000
-    assert "PushedFilters" in (text := pool.head_of_all(10, 0)._jdf.queryExecution().executedPlan().toString())
+    assert pool.head_of_all(5000, 0)[0].count() == 3000
+    assert "PushedFilters" in (text := pool.head_of_all(10, 0)[0]._jdf.queryExecution().executedPlan().toString())
     assert "LessThan(_key" in text

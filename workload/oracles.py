@@ -453,6 +453,11 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT split, level, count(*) AS n FROM existing GROUP BY ALL) USING (split, level)""",
         ["questions", "labelled", "existing", "levels"], quota=QUOTA,
     ),
+    "unfilled_levels": build(
+        """SELECT level FROM levels l WHERE (SELECT count(*) FROM existing e WHERE e.level = l.level AND split = 'train') < 25
+        OR (SELECT count(*) FROM existing e WHERE e.level = l.level AND split = 'val_in_domain') < 3""",
+        ["questions", "labelled", "existing", "levels"],
+    ),
     "target_vs_filled": build(
         """SELECT *, CASE WHEN target > 0 THEN CAST(filled AS DOUBLE) * 100 / target ELSE 0.0 END AS pct_filled FROM (
          SELECT split, level, target, (SELECT count(*) FROM existing e WHERE e.split = q.split AND e.level = q.level) AS filled FROM quota q

@@ -288,6 +288,12 @@ def pending(spark, sf):
     return quota.pending(quota.quota_frame(spark, {S.TRAIN: even(2000), S.VAL_IN: even(100)}), existing(spark, sf))
 
 
+@query
+def unfilled_levels(spark, sf):
+    goals = quota.quota_frame(spark, {S.TRAIN: even(100), S.VAL_IN: even(12)})
+    return quota.unfilled_levels(quota.pending(goals, existing(spark, sf)))
+
+
 @query
 def target_vs_filled(spark, sf):
     return reports.target_vs_filled(
@@ -369,7 +375,7 @@ def curate_in_domain_large(spark, sf):
 def curate_out_of_domain_large(spark, sf):
     workspace = Workspace(spark)
     outside = _domains(workspace, spark, sf)[S.OUT_OF_DOMAIN]
-    return curate_single(workspace, outside.success, outside.passed, even(1600))
+    return curate_single(workspace, outside.success, outside.passed, even(1600), outside.databases.count())
 
 
 @query
