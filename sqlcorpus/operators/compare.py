@@ -73,6 +73,6 @@ def compare_results(rows: DataFrame, executions: DataFrame) -> DataFrame:
 
 def set_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: whether two tables of equal width hold the same set of rows."""
-    other = right.toDF(*left.columns)
-    differing = left.subtract(other).union(other.subtract(left))
-    return differing.agg((F.count(F.lit(1)) == 0).alias("equal"))
+    sides = left.withColumn("_side", F.lit(0)).union(right.withColumn("_side", F.lit(1)))
+    rows = sides.groupBy(*left.columns).agg((F.min("_side") == F.max("_side")).alias("_single"))
+    return rows.agg((F.count_if("_single") == 0).alias("equal"))

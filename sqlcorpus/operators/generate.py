@@ -57,33 +57,35 @@ def generate(df: DataFrame, make: Callable[[], Generator], batch_size: int = 16)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make()
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                yield _one_batch(fn, frame.iloc[start : start + batch_size])
+            ids, prompts = frame["question_id"].tolist(), frame["prompt"].tolist()
+            for start in range(0, len(ids), batch_size):
+                batch = slice(start, start + batch_size)
+                yield _one_batch(fn, ids[batch], prompts[batch])
 
     return df.select(F.col("question_id").cast("string").alias("question_id"), "prompt").mapInPandas(
         run, GENERATED
     )
 
 
-def _one_batch(fn: Generator, batch: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame(
-        {"question_id": batch["question_id"], "raw_content": None,
-         "generation_status": S.ERROR, "error_message": S.CONTEXT_EXCEEDED}
-    )
-    sent = batch["prompt"].notna()
-    if sent.any():
+def _one_batch(fn: Generator, ids: list[str], prompts: list[str | None]) -> pd.DataFrame:
+    answers: list[str | None] = [None] * len(ids)
+    errors: list[str | None] = [S.CONTEXT_EXCEEDED] * len(ids)
+    sent = [i for i, prompt in enumerate(prompts) if prompt is not None]
+    if sent:
         try:
-            answers = list(fn(list(batch.loc[sent, "prompt"])))
-            if len(answers) != sent.sum():
-                raise ValueError(f"{len(answers)} answers to {sent.sum()} prompts")
-            out.loc[sent, "raw_content"] = answers
-            out.loc[sent, "generation_status"] = S.SUCCESS
-            out.loc[sent, "error_message"] = None
+            found = list(fn([prompts[i] for i in sent]))
+            if len(found) != len(sent):
+                raise ValueError(f"{len(found)} answers to {len(sent)} prompts")
+            for i, answer in zip(sent, found):
+                answers[i], errors[i] = answer, None
         except ContextLengthExceeded:
             pass
         except Exception as error:
-            out.loc[sent, "error_message"] = str(error)
-    return out
+            for i in sent:
+                errors[i] = str(error)
+    status = [S.SUCCESS if error is None else S.ERROR for error in errors]
+    columns = zip(ids, answers, status, errors)
+    return pd.DataFrame(list(columns), columns=["question_id", "raw_content", "generation_status", "error_message"], dtype=object)
 
 
 def extract_responses(generated: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ lie wholly beyond it are dropped before anything is shuffled.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Leading hex digits of a sampling key that make up its bucket: 16**3 buckets a group.
@@ -83,18 +86,6 @@ def rank_few(
     return ranked if limit is None else ranked.filter(F.col(rank) <= limit)
 
 
-def _bucket_of(value: Column, bounds: list[float]) -> Column:
-    """Index of the interval a value falls in, as a balanced tree of comparisons."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(bounds))
-
-
 def rank_by_order(
     df: DataFrame, order_by: str, rank: str = "rank", buckets: int = 200, error: float = 0.001
 ) -> DataFrame:
@@ -110,8 +101,9 @@ def rank_by_order(
     placed = df.withColumn("_order", value.cast("double"))
     probabilities = [position / buckets for position in range(1, buckets)]
     found = placed.select("_order").stat.approxQuantile("_order", probabilities, error)
-    bounds = sorted(set(found))
-    placed = placed.withColumn("_bucket", F.coalesce(_bucket_of(F.col("_order"), bounds), F.lit(0)))
+    splits = [-math.inf, *sorted(set(found) or {0.0}), math.inf]
+    bucketizer = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
+    placed = bucketizer.transform(placed)
     counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sqlcorpus import schemas as S
 
 TOTAL = "Total"
 
 
+def _named(level: Column) -> Column:
+    """A label, or the name of the total where a roll-up has none."""
+    return F.when(F.grouping(level) == 1, TOTAL).otherwise(level)
+
+
 def level_distribution(df: DataFrame) -> DataFrame:
     """Rows and share by label, with a total row; a null label counts as other."""
     level = F.coalesce(F.col("level"), F.lit(S.LEVEL_OTHER))
-    # A handful of labels is left by the time the window runs.
-    counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.select("level", "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("pct"))
-    total = counts.agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
-    return shares.union(total.select(F.lit(TOTAL), "n", F.lit(100.0)))
+    # A handful of labels is left for the roll-up and the window.
+    counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("_n"))
+    rolled = counts.rollup("level").agg(_named(F.col("level")).alias("_name"), F.sum("_n").alias("n"))
+    total = F.max("n").over(Window.partitionBy())
+    return rolled.select(F.col("_name").alias("level"), "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 
 def target_vs_filled(filled: DataFrame, quota: DataFrame) -> DataFrame:
@@ -25,14 +30,19 @@ def target_vs_filled(filled: DataFrame, quota: DataFrame) -> DataFrame:
     ``quota`` has a few rows of ``split, level, target``.
     """
     level = F.coalesce(F.col("level"), F.lit(S.LEVEL_OTHER))
-    held = filled.groupBy("split", level.alias("level")).agg(F.count(F.lit(1)).alias("filled"))
-    matched = quota.join(held, ["split", "level"], "left")
-    lines = matched.select("split", "level", "target", F.coalesce("filled", F.lit(0)).alias("filled"))
-    targets = quota.groupBy("split").agg(F.sum("target").alias("target"))
-    sums = targets.join(held.groupBy("split").agg(F.sum("filled").alias("filled")), "split", "left")
-    totals = sums.select("split", F.lit(TOTAL).alias("level"), "target", F.coalesce("filled", F.lit(0)).alias("filled"))
+    held = filled.groupBy("split", level.alias("level")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def with_totals(df: DataFrame, value: Column) -> DataFrame:
+        rolled = df.rollup("split", "level").agg(_named(F.col("level")).alias("_name"), value)
+        return rolled.filter(F.col("split").isNotNull()).drop("level").withColumnRenamed("_name", "level")
+
+    goals = with_totals(quota, F.sum("target").alias("target"))
+    sums = with_totals(held, F.sum("_n").alias("_filled"))
+    lines = goals.join(sums, ["split", "level"], "left").select(
+        "split", "level", "target", F.coalesce("_filled", F.lit(0)).alias("filled")
+    )
     pct = F.when(F.col("target") > 0, F.col("filled") * 100.0 / F.col("target")).otherwise(0.0)
-    return lines.union(totals).withColumn("pct_filled", pct)
+    return lines.withColumn("pct_filled", pct)
 
 
 def database_coverage(df: DataFrame, expected: DataFrame) -> DataFrame:

@@ -72,5 +72,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(mapping) if mapping else df
+def first_character(spark: SparkSession, path: str, within: int = 4096) -> str:
+    """The first character of a file, or of the first file of a folder, that is no white space."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(status.getPath().toString() for status in files.listStatus(target) if status.isFile())
+    shown = [name for name in names if name.rsplit("/", 1)[-1][0] not in "._"]
+    if not shown:
+        return ""
+    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(shown[0]))
+    try:
+        for _ in range(within):
+            code = stream.read()
+            if code < 0:
+                break
+            # Bytes of a byte order mark are beyond ASCII.
+            if 32 < code < 128:
+                return chr(code)
+        return ""
+    finally:
+        stream.close()

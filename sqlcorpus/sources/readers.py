@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.text import parse_prediction
-from sqlcorpus.session import path_exists
+from sqlcorpus.session import first_character, path_exists
 
 CORRUPT = "_corrupt_record"
 # Names some columns carry in files.
@@ -89,8 +89,7 @@ def read_questions(
             raw = with_file_position(raw, fmt)
         return _as_text(raw, S.QUESTIONS)
     if fmt == "json":
-        first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        if first and not first[0][0].lstrip("\ufeff \t").startswith("["):
+        if first_character(spark, path) not in ("[", ""):
             raise ValueError(f"{path} is not a JSON array of records")
     # A record that cannot be read ends the job.
     reader = spark.read.schema(_file_schema(S.QUESTIONS)).option("mode", "FAILFAST")

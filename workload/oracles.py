@@ -338,7 +338,7 @@ def distribution(source: str) -> str:
 
 
 QUOTA = " UNION ALL ".join(
-    f"SELECT '{split}' AS split, level, {size} AS target FROM levels UNION ALL SELECT '{split}', {lit(S.LEVEL_OTHER)}, 0"
+    f"SELECT '{split}' AS split, level, CAST({size} AS BIGINT) AS target FROM levels UNION ALL SELECT '{split}', {lit(S.LEVEL_OTHER)}, 0"
     for split, size in (("train", 500), ("val_in_domain", 25))
 )
 
@@ -461,7 +461,7 @@ ORACLES: dict[str, str] = {
     "target_vs_filled": build(
         """SELECT *, CASE WHEN target > 0 THEN CAST(filled AS DOUBLE) * 100 / target ELSE 0.0 END AS pct_filled FROM (
          SELECT split, level, target, (SELECT count(*) FROM existing e WHERE e.split = q.split AND e.level = q.level) AS filled FROM quota q
-         UNION ALL SELECT split, 'Total', sum(target), (SELECT count(*) FROM existing e WHERE e.split = q.split) FROM quota q GROUP BY split)""",
+         UNION ALL SELECT split, 'Total', CAST(sum(target) AS BIGINT), (SELECT count(*) FROM existing e WHERE e.split = q.split) FROM quota q GROUP BY split)""",
         ["questions", "labelled", "existing", "levels"], quota=QUOTA,
     ),
     "verify_fill_dual": build(f"SELECT {PICKED} FROM ({dual('offered', 'held', 1500, 200, '2')})", POOLS, held=held("existing"), **offered("passed")),

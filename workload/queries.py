@@ -76,8 +76,9 @@ def of_split(df: DataFrame, split: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored catalog, as a reader would find it."""
-    return Workspace(spark).table(X.of(spark, sf, X.CATALOG), "catalog")
+    """A catalog, stored as its reader leaves it: the last entry of each database."""
+    entries = X.of(spark, sf, X.CATALOG).withColumn("position", F.lit(0))
+    return Workspace(spark).table(C.latest_catalog(entries), "catalog")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
