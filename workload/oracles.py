@@ -76,6 +76,9 @@ def build(final: str, names: list[str], **more: str) -> str:
     return f"WITH {', '.join(parts)} {final}"
 
 
+PICKED = "question_id, db_id, level, split, stage"
+
+
 def shuffled(pool: str, by: str = "") -> str:
     """Rows of a pool with their place in the shuffled order."""
     return (
@@ -109,6 +112,14 @@ def dual(pool: str, held_name: str, train: int, val: int, stage: str) -> str:
         ON p.level = s.level AND p.place = s.slot"""
 
 
+def dual_capped(pool: str, held_name: str, train: int, val: int, stage: str, rows: str) -> str:
+    """The same while both splits have room in all, label by label."""
+    return f"""
+        SELECT {PICKED} FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY level_no, slot) AS total
+         FROM ({dual(pool, held_name, train, val, stage)})) f
+        WHERE total <= (CASE split WHEN 'train' THEN {4 * train} ELSE {4 * val} END) - (SELECT count(*) FROM {rows} r WHERE r.split = f.split)"""
+
+
 def single(pool: str, rows: str, target: int, stage: str) -> str:
     """Fill one split label by label, while there is room in all."""
     of_split = f"{rows} r WHERE r.split = 'val_out_of_domain'"
@@ -134,8 +145,6 @@ def cover(pool: str, rows: str, density: str, budget: str, split: str) -> str:
         FROM ({shuffled(f'({thin})')}) WHERE place <= {budget}"""
 
 
-PICKED = "question_id, db_id, level, split, stage"
-
 
 def in_domain_chain(train: int, val: int) -> dict[str, str]:
     """The stages of both in-domain splits; sizes are by label."""
@@ -342,7 +351,6 @@ QUOTA = " UNION ALL ".join(
     for split, size in (("train", 500), ("val_in_domain", 25))
 )
 
-HELD_IN = "SELECT * FROM existing WHERE split <> 'val_out_of_domain'"
 OTHERS = f"SELECT * FROM existing WHERE level = {lit(S.LEVEL_OTHER)}"
 
 
@@ -441,11 +449,9 @@ ORACLES: dict[str, str] = {
         f"SELECT {PICKED} FROM ({single('(SELECT * FROM success WHERE question_id NOT IN (SELECT question_id FROM held_out))', 'held_out', 400, '1')})",
         POOLS, held_out="SELECT * FROM existing WHERE split = 'val_out_of_domain'",
     ),
-    "fill_dual": build(f"SELECT {PICKED} FROM ({dual('offered', 'held', 1500, 200, '1')})", POOLS, held=held("existing"), **offered("success")),
+    "fill_dual": build(dual_capped("offered", "held", 1500, 200, "1", "existing"), POOLS, held=held("existing"), **offered("success")),
     "fill_dual_capped": build(
-        f"""SELECT {PICKED} FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY level_no, slot) AS place
-         FROM ({dual('offered', 'held', 100, 25, '1')})) f
-        WHERE place <= (CASE split WHEN 'train' THEN 400 ELSE 100 END) - (SELECT count(*) FROM others o WHERE o.split = f.split)""",
+        dual_capped("offered", "held", 100, 25, "1", "others"),
         POOLS, others=OTHERS, held=held("others"), offered=f"SELECT * FROM {unused('success', 'others')}",
     ),
     "pending": build(
@@ -464,7 +470,7 @@ ORACLES: dict[str, str] = {
          UNION ALL SELECT split, 'Total', CAST(sum(target) AS BIGINT), (SELECT count(*) FROM existing e WHERE e.split = q.split) FROM quota q GROUP BY split)""",
         ["questions", "labelled", "existing", "levels"], quota=QUOTA,
     ),
-    "verify_fill_dual": build(f"SELECT {PICKED} FROM ({dual('offered', 'held', 1500, 200, '2')})", POOLS, held=held("existing"), **offered("passed")),
+    "verify_fill_dual": build(dual_capped("offered", "held", 1500, 200, "2", "existing"), POOLS, held=held("existing"), **offered("passed")),
     "verify_fill_single": build(f"SELECT {PICKED} FROM ({single('offered', 'existing', 400, '2')})", POOLS, **offered("passed")),
     "backfill_dual": build(backfill("offered", "120", "700", "3"), POOLS, **offered("success")),
     "backfill_single": build(
