@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlcorpus import schemas as S
-from sqlcorpus.functions import labels, prompts as P, tables, text
+from sqlcorpus.functions import labels, tables, text
 from sqlcorpus.operators import catalog as C, compare, evaluate as E, fill, prompts, quota, reports, triage, validate
 from sqlcorpus.operators.generate import extract_responses, generate, verify_candidates
 from sqlcorpus.plans.bake import prompt_contexts
@@ -17,7 +17,7 @@ from sqlcorpus.plans.pools import Domain, prepare_domains
 from sqlcorpus.session import Workspace
 from sqlcorpus.sources.readers import parse_predictions, with_file_position
 from sqlcorpus.sources.writers import format_predictions, new_rows
-from sqlcorpus.streaming.ingest import extract_generations, read_ingested, stream_ingest, stream_level_counts
+from sqlcorpus.streaming.ingest import read_ingested, stream_ingest, stream_level_counts
 from workload import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
