@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from sqlcorpus.llm.chat import format_chats, loss_text, read_back
 from sqlcorpus.llm.common import table
+from sqlcorpus.llm.pack import pack_documents
 from sqlcorpus.llm.quality import COUNTS, judge_quality
 from sqlcorpus.llm.shard import interleave_shards
 from sqlcorpus.llm.tokens import count_tokens, encode_digests
+from sqlcorpus.llm.toxicity import score_toxicity, train_toxicity
+from sqlcorpus.session import Workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,6 +57,11 @@ FROM s GROUP BY conv_id
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, Workspace(spark), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), counts=True).select(
         "doc_id", *COUNTS, "base_failed", "kept")
@@ -86,6 +94,18 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+#: Rows that take part in learning, by the checksum of their id.
+LEARNED = "crc32(cast(coalesce(cast({id} AS string), '') AS binary)) % 5 <> 0"
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), keep=LEARNED)
+    return score_toxicity(docs, model).select(
+        "doc_id", (~F.expr(LEARNED.format(id="doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -120,5 +140,5 @@ FROM p
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op5_quality_rules, op7_bpe_round_trip, op9_token_counts, op10_shards)}
+    op2_chat_format, op4_best_fit_packing, op5_quality_rules, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
 LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op10_shards": OP10_SQL}
