@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlcorpus.llm.chat import format_chats, loss_text, read_back
 from sqlcorpus.llm.common import table
+from sqlcorpus.llm.embed import near_vectors
 from sqlcorpus.llm.pack import pack_documents
 from sqlcorpus.llm.quality import COUNTS, judge_quality
 from sqlcorpus.llm.shard import interleave_shards
@@ -90,6 +91,26 @@ FROM b
 """
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark), 0.93)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])) AS norm
+  FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+r AS (WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+  SELECT a, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN r ON r.a = vec_id
+"""
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -140,5 +161,5 @@ FROM p
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op4_best_fit_packing, op5_quality_rules, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
-LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op10_shards": OP10_SQL}
+    op2_chat_format, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
+LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_shards": OP10_SQL}
