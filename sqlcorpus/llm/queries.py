@@ -11,6 +11,7 @@ from sqlcorpus.llm.embed import near_vectors
 from sqlcorpus.llm.pack import pack_documents
 from sqlcorpus.llm.quality import COUNTS, judge_quality
 from sqlcorpus.llm.shard import interleave_shards
+from sqlcorpus.llm.suffix import remove_repeats
 from sqlcorpus.llm.tokens import count_tokens, encode_digests
 from sqlcorpus.llm.toxicity import score_toxicity, train_toxicity
 from sqlcorpus.session import Workspace
@@ -58,6 +59,12 @@ FROM s GROUP BY conv_id
 """
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pack_documents(docs, Workspace(spark), tokenizer_path("byte_bpe_50k.json"))
@@ -161,5 +168,5 @@ FROM p
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
+    op2_chat_format, op3_suffix_array_dedup, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
 LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_shards": OP10_SQL}
