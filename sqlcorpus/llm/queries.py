@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sqlcorpus.llm.chat import format_chats, loss_text, read_back
 from sqlcorpus.llm.common import table
 from sqlcorpus.llm.embed import near_vectors
+from sqlcorpus.llm.minhash import near_duplicates
 from sqlcorpus.llm.pack import pack_documents
 from sqlcorpus.llm.quality import COUNTS, judge_quality
 from sqlcorpus.llm.shard import interleave_shards
@@ -23,6 +24,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -168,5 +173,5 @@ FROM p
 """
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op3_suffix_array_dedup, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
+    op1_minhash_near_dedup, op2_chat_format, op3_suffix_array_dedup, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
 LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_shards": OP10_SQL}
