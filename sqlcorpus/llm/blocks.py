@@ -22,11 +22,12 @@ def count_blocks(docs: DataFrame, text_col: str) -> int:
     return max(1, round(total / max(LEAST_BLOCK, (PER_MESSAGE * total) ** 0.5)))
 
 
-def in_blocks(docs: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _text as bytes, _block)."""
+def in_blocks(docs: DataFrame, n_blocks: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, _text as bytes, _block), and the columns ``carry`` as _rest."""
     return docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"),
-        F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(n_blocks)).cast("int").alias("_block"))
+        F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(n_blocks)).cast("int").alias("_block"),
+        *([F.struct(*carry).alias("_rest")] if carry else []))
 
 
 def shard_of(digest: np.ndarray, n_shards: int) -> np.ndarray:

@@ -32,3 +32,18 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
                      ((out[f.name], f) for f in arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """The rows, with all their columns, for which the function that ``make()`` gives is true of ``columns``."""
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                asked = pa.RecordBatch.from_arrays([part.column(i) for i in places], names=columns)
+                yield part.filter(pa.array(work(asked), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sqlcorpus.llm.common import per_batch
+from sqlcorpus.llm.common import keep_rows, per_batch
 
 WINDOW = 8
 #: Fixed values.
@@ -162,3 +162,14 @@ def judge_quality(
     more = "".join(f", {c} long" for c in COUNTS) + ", base_failed boolean" if counts else ""
     return per_batch(docs.select(id_col, text_col), make,
                      f"`{id_col}` {kind}, kept boolean, rejected_by string, n_rules int{more}")
+
+
+def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, whose text passes all rules, by the same cascade. A null text has no words."""
+    order = cascade_order(sample_texts(docs, text_col), rules)
+
+    def passes(text: str | None) -> bool:
+        measures = Measures(text or "")
+        return not any(r.rejects(measures) for r in order)
+
+    return keep_rows(docs, [text_col], lambda: lambda batch: list(map(passes, batch.column(0).to_pylist())))

@@ -63,7 +63,7 @@ class Block:
 
     def __init__(self, part: pa.Table, n_shards: int, width: int) -> None:
         part = part.sort_by([("_id", "ascending"), ("_text", "ascending")])
-        self.ids, self.texts = part.column("_id"), [t or b"" for t in part.column("_text").to_pylist()]
+        self.part, self.ids, self.texts = part, part.column("_id"), [t or b"" for t in part.column("_text").to_pylist()]
         self.rank = self.ids.cast(pa.int64()).combine_chunks().fill_null(LAST).to_numpy()
         self.raw = b"".join(self.texts)
         self.ends = np.cumsum([len(t) for t in self.texts]) if self.texts else np.zeros(1, dtype=np.int64)
@@ -162,8 +162,15 @@ def judge(part: pa.Table, width: int) -> pa.Table:
         [np.concatenate([found[k] for k in own]).tobytes() for own in sent], pa.binary())})
 
 
+def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Marks only the characters all of whose bytes are marked."""
+    starts = np.flatnonzero((text & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.append(starts, len(text)))) if len(text) else gone
+
+
 def remove_repeats(
-    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", characters: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) of every document, as UTF-8 bytes.
 
@@ -179,12 +186,13 @@ def remove_repeats(
 
     Equal windows have equal anchors, so they meet in one shard. However many documents share a passage, a shard gets
     it once a block. Null texts are empty; a null id counts as larger than all others; rows with the same id do not
-    touch each other's bytes.
+    touch each other's bytes. With ``characters`` a character stays if one of its bytes does, so that ``kept`` is
+    valid UTF-8. The columns ``carry`` come along as the struct ``rest``.
     """
     if not ANCHOR < width <= 1000:
         raise ValueError(f"width must be over {ANCHOR} and at most 1000")
     n = count_blocks(docs, text_col)
-    texts = in_blocks(docs, n, id_col, text_col)
+    texts = in_blocks(docs, n, id_col, text_col, carry)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def ask(part: pa.Table) -> pa.Table:
@@ -226,16 +234,17 @@ def remove_repeats(
         starts = np.append(0, block.ends[:-1])
         out: dict[str, list] = {"n_removed": [], "spans": [], "kept": []}
         for text, s, e in zip(block.texts, starts, block.ends):
-            mask = gone[s:e]
+            mask = whole_characters(block.text[s:e], gone[s:e]) if characters else gone[s:e]
             turns = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
             out["n_removed"].append(int(mask.sum()))
             out["spans"].append([{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])])
             out["kept"].append(np.frombuffer(text, dtype=np.uint8)[~mask].tobytes() if len(turns) else text)
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        rest = {"rest": block.part.column("_rest")} if carry else {}
         return pa.table({
             id_col: block.ids, "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()),
             "n_removed": pa.array(out["n_removed"], pa.int64()), "spans": pa.array(out["spans"], spans),
-            "kept": pa.array(out["kept"], pa.binary())})
+            "kept": pa.array(out["kept"], pa.binary()), **rest})
 
     asked = texts.groupBy("_block").applyInArrow(ask, "_shard int, _block int, _tags binary")
     answered = asked.groupBy("_shard").applyInArrow(answer, "_block int, _shard int, _bits binary")
@@ -246,4 +255,5 @@ def remove_repeats(
     back = answered.withColumn("_firsts", F.lit(None).cast("binary")).unionByName(
         judged.withColumn("_bits", F.lit(None).cast("binary")))
     return texts.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(
-        drop, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+        drop, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+        + (f", rest {texts.schema['_rest'].dataType.simpleString()}" if carry else ""))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm.common import per_batch
+from sqlcorpus.llm.common import keep_rows, per_batch
 
 #: ASCII letters in lower case, bytes of other characters as they are, all else a space.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -259,16 +259,34 @@ def score_toxicity(
     held = docs.sparkSession.sparkContext.broadcast(model)  # parameters: fixed size
 
     def make():
-        net = held.value
-        coder = WordCoder(net.settings.buckets)
+        judge = scorer(held.value)
 
         def work(batch: pa.RecordBatch) -> dict:
-            codes = [coder(t or "") for t in batch.column(1).to_pylist()]
-            score = net.score(codes)
-            limit = [net.thresholds.get(x, 0.5) for x in batch.column(2).to_pylist()]
-            return {id_col: batch.column(0), "score": score, "flagged": score >= np.array(limit, dtype=float)}
+            score, flagged = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            return {id_col: batch.column(0), "score": score, "flagged": flagged}
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
     return per_batch(docs.select(id_col, text_col, F.col(lang_col).cast("string")), make,
                      f"`{id_col}` {kind}, score double, flagged boolean")
+
+
+def scorer(net: ToxicityModel):
+    """From texts and languages to scores and whether they reach the language's threshold."""
+    coder = WordCoder(net.settings.buckets)
+
+    def judge(texts: list[str | None], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        score = net.score([coder(t or "") for t in texts])
+        return score, score >= np.array([net.thresholds.get(x, 0.5) for x in langs], dtype=float)
+    return judge
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, unchanged, that stay under the threshold of their language. A null text is empty."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        judge = scorer(held.value)
+        return lambda batch: ~judge(batch.column(0).to_pylist(), batch.column(1).to_pylist())[1]
+
+    return keep_rows(docs, [text_col, lang_col], make)
