@@ -7,8 +7,8 @@ import numpy as np
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last, the sentinel, counts as smaller."""
-    step = np.sign(np.diff(t.astype(np.int64)))
-    at = np.where(step != 0, np.arange(len(step)), len(step))
+    step = np.diff(t)
+    at = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     return np.append(np.append(step, 1)[nearest] > 0, True)
 
@@ -55,7 +55,7 @@ def sweep(slots: np.ndarray, t: np.ndarray, wanted: np.ndarray, pointer: np.ndar
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     """Suffix array that follows from leftmost-smaller suffixes in the given order."""
     n = len(t)
-    slots = np.full(n, -1, dtype=np.int64)
+    slots = np.full(n, -1, dtype=np.int32)
     large = ~small
     # Empty slots that no larger suffix will fill are passed over: the sweep sees only filled or awaited slots.
     n_large = np.bincount(t[large], minlength=len(heads))
@@ -81,27 +81,27 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
-    """Suffixes of ``t`` in order; its last element is 0 and no other is. Values are below ``size``.
+    """Suffixes of ``t`` in order; its last element is 0 and no other is. Values are below ``size``, places 2 ** 31.
 
     Suffixes are classified, leftmost-smaller substrings are sorted by inducing them from unsorted starts, equal ones
     get equal names, and the string of names is sorted recursively unless all names differ.
     """
     n = len(t)
     if n == 1:
-        return np.zeros(1, dtype=np.int64)
-    t = t.astype(np.int64)
+        return np.zeros(1, dtype=np.int32)
+    t = t.astype(np.int32)
     small = classify(t)
     counts = np.bincount(t, minlength=size)
     tails = np.cumsum(counts) - 1
     heads = tails + 1 - counts
     is_lms = np.zeros(n, dtype=bool)
     is_lms[1:] = small[1:] & ~small[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     first = induce(t, small, lms, heads, tails)
     order = first[is_lms[first]]
     names = name(t, lms, order)
     if names.max() + 1 < len(lms):
-        of = np.empty(n, dtype=np.int64)
+        of = np.empty(n, dtype=np.int32)
         of[order] = names
         order = lms[suffix_array(of[lms], int(names.max()) + 1)]
     return induce(t, small, order, heads, tails)
@@ -109,7 +109,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
 
 def name(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Rank of each leftmost-smaller substring in sorted order, the same for equal ones."""
-    length = np.zeros(len(t), dtype=np.int64)
+    length = np.zeros(len(t), dtype=np.int32)
     length[lms] = np.append(np.diff(lms), 0) + 1
     a, b = order[:-1], order[1:]
     same = length[a] == length[b]
@@ -130,18 +130,19 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
     are compared.
     """
     n = len(t)
-    prior = np.empty(n, dtype=np.int64)
+    t, places = t.astype(np.int32), np.arange(n, dtype=np.int32)
+    prior = np.empty(n, dtype=np.int32)
     prior[sa[1:]] = sa[:-1]
     prior[sa[0]] = n - 1
     reducible = np.zeros(n, dtype=bool)
     reducible[1:] = (t[:-1] == t[prior[1:] - 1]) & (prior[1:] > 0) & (t[:-1] > stop)
     starts = np.flatnonzero(~reducible)
-    value = np.zeros(n, dtype=np.int64)
+    value = np.zeros(n, dtype=np.int32)
     active, offset = starts[starts != sa[0]], 0
     while len(active):
         x, y = t[active + offset], t[prior[active] + offset]
         active = active[(x == y) & (x > stop)]
         offset += 1
         value[active] = offset
-    base = np.maximum.accumulate(np.where(reducible, -1, np.arange(n)))
-    return value[base] - (np.arange(n) - base)
+    base = np.maximum.accumulate(np.where(reducible, np.int32(-1), places))
+    return value[base] - (places - base)

@@ -6,12 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sqlcorpus.llm.blocks import count_blocks, in_blocks, mix, shard_of, split_at
 from sqlcorpus.llm.sais import permuted_prefixes, suffix_array
 
-#: Bytes whose digest anchors a window; bytes of text that are digested at once.
-ANCHOR, STRIDE = 20, 1 << 22
+#: Bytes whose digest anchors a window; bytes of text that are digested, and sorted, at once.
+ANCHOR, STRIDE, SORTED = 20, 1 << 19, 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -55,7 +56,8 @@ def anchors(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
             out.append((digest[at[first]], place[first], place[np.append(first[1:], len(place)) - 1]))
     if not out:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    digest, first, last = (np.concatenate(x) for x in zip(*out))
+    return mix(digest + np.uint64(1)), first, last  # the smallest of many digests are far from even
 
 
 class Block:
@@ -98,7 +100,7 @@ class Block:
         return found[self.inverse]
 
     def passages(self, shared: np.ndarray, width: int):
-        """Distinct texts of the shared runs by shard, in a fixed order: {shard: {text: (number, runs)}}."""
+        """Distinct texts of the shared runs by shard, in a fixed order, with their runs: {shard: {text: runs}}."""
         out: dict[int, dict[bytes, list[int]]] = {}
         shard = (self.key >> np.uint64(32)).astype(np.int64)
         for k in np.flatnonzero(shared).tolist():
@@ -140,24 +142,38 @@ def first_owners(texts: list[bytes], owners: np.ndarray, width: int) -> list[np.
 
 
 def judge(part: pa.Table, width: int) -> pa.Table:
-    """The smallest owner of every window that the blocks sent to a shard, in the order in which they sent them."""
+    """The smallest owner of every window that the blocks sent to a shard, in the order in which they sent them.
+
+    Texts with the same bits of their anchor's digest are sorted together, so a large shard is sorted in portions.
+    """
     part = part.sort_by("_block")
     number: dict[bytes, int] = {}
     owners: list[int] = []
+    bits: list[int] = []
     sent = []
-    for blob, lengths, mins in zip(*(part.column(c).to_pylist() for c in ("_texts", "_lengths", "_owners"))):
+    for blob, lengths, mins, marks in zip(*(
+            part.column(c).to_pylist() for c in ("_texts", "_lengths", "_owners", "_marks"))):
         at, own = 0, []
-        for n, m in zip(np.frombuffer(lengths, dtype=np.uint16).tolist(), np.frombuffer(mins, dtype=np.int64).tolist()):
+        for n, m, mark in zip(np.frombuffer(lengths, dtype=np.uint16).tolist(),
+                              np.frombuffer(mins, dtype=np.int64).tolist(), marks):
             text = blob[at:at + n]
             at += n
             k = number.setdefault(text, len(number))
             if k == len(owners):
                 owners.append(m)
+                bits.append(mark)
             elif m < owners[k]:
                 owners[k] = m
             own.append(k)
         sent.append(own)
-    found = first_owners(list(number), np.array(owners, dtype=np.int64), width)
+    texts, lowest, mark = list(number), np.array(owners, dtype=np.int64), np.array(bits)
+    found: list[np.ndarray] = [lowest] * len(texts)
+    portions = min(256, -(-sum(map(len, texts)) // SORTED))
+    for i in range(portions):
+        chosen = np.flatnonzero(mark % portions == i).tolist()
+        if chosen:
+            for k, firsts in zip(chosen, first_owners([texts[k] for k in chosen], lowest[chosen], width)):
+                found[k] = firsts
     return pa.table({"_block": part.column("_block"), "_shard": part.column("_shard"), "_firsts": pa.array(
         [np.concatenate([found[k] for k in own]).tobytes() for own in sent], pa.binary())})
 
@@ -193,13 +209,13 @@ def remove_repeats(
         raise ValueError(f"width must be over {ANCHOR} and at most 1000")
     n = count_blocks(docs, text_col)
     texts = in_blocks(docs, n, id_col, text_col, carry)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def ask(part: pa.Table) -> pa.Table:
         return Block(part, n, width).questions(part.column("_block")[0].as_py())
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"_shard": [], "_block": [], "_texts": [], "_lengths": [], "_owners": []}
+        rows: dict[str, list] = {"_shard": [], "_block": [], "_texts": [], "_lengths": [], "_owners": [],
+                                "_marks": []}
         if left.num_rows and right.num_rows:
             block = Block(left, n, width)
             for shard, found in block.passages(block.shared(right), width).items():
@@ -208,9 +224,11 @@ def remove_repeats(
                 rows["_texts"].append(b"".join(found))
                 rows["_lengths"].append(np.array([len(t) for t in found], dtype=np.uint16).tobytes())
                 rows["_owners"].append(np.array([block.owner[k].min() for k in found.values()]).tobytes())
+                runs = np.array([k[0] for k in found.values()])
+                rows["_marks"].append(((block.key[runs] >> np.uint64(1)) & np.uint64(255)).astype(np.uint8).tobytes())
         return pa.table(rows, schema=pa.schema([
             ("_shard", pa.int32()), ("_block", pa.int32()), ("_texts", pa.binary()), ("_lengths", pa.binary()),
-            ("_owners", pa.binary())]))
+            ("_owners", pa.binary()), ("_marks", pa.binary())]))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = {s: b for s, b in zip(right.column("_shard").to_pylist(), right.column("_bits").to_pylist())
@@ -249,11 +267,14 @@ def remove_repeats(
     asked = texts.groupBy("_block").applyInArrow(ask, "_shard int, _block int, _tags binary")
     answered = asked.groupBy("_shard").applyInArrow(answer, "_block int, _shard int, _bits binary")
     sent = texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
-        send, "_shard int, _block int, _texts binary, _lengths binary, _owners binary")
+        send, "_shard int, _block int, _texts binary, _lengths binary, _owners binary, _marks binary")
     judged = sent.groupBy("_shard").applyInArrow(
         lambda part: judge(part, width), "_block int, _shard int, _firsts binary")
     back = answered.withColumn("_firsts", F.lit(None).cast("binary")).unionByName(
         judged.withColumn("_bits", F.lit(None).cast("binary")))
-    return texts.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(
-        drop, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-        + (f", rest {texts.schema['_rest'].dataType.simpleString()}" if carry else ""))
+    schema = StructType().add(id_col, docs.schema[id_col].dataType)
+    for column in ("n_bytes long", "n_removed long", "spans array<struct<start:long,end:long>>", "kept binary"):
+        schema.add(StructType.fromDDL(column).fields[0])
+    if carry:
+        schema.add("rest", texts.schema["_rest"].dataType)
+    return texts.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(drop, schema)
