@@ -14,10 +14,21 @@ def canonical_cell(cell: Column, kind: T.DataType) -> Column:
         value, tag = cell.cast("int").cast("string"), "n"
     elif isinstance(kind, _WHOLE):
         value, tag = cell.cast("string"), "n"
+    elif isinstance(kind, T.DecimalType):
+        # Digits as they are; trailing zeros after the point are no difference.
+        plain = F.regexp_replace(cell.cast("string"), r"(\.\d*?)0+$", "$1")
+        plain = F.regexp_replace(plain, r"\.$", "")
+        small = (F.abs(cell) < F.lit(1e-3)) & (cell != 0)
+        zero = F.when(cell == 0, "0").otherwise(plain)
+        value, tag = F.when(small, cell.cast("double").cast("string")).otherwise(zero), "n"
     elif isinstance(kind, _REAL):
         real = cell.cast("double")
         whole = (real == F.floor(real).cast("double")) & (F.abs(real) < F.lit(1e18))
-        value, tag = F.when(whole, real.cast("bigint").cast("string")).otherwise(real.cast("string")), "n"
+        large = (F.abs(real) >= F.lit(1e7)) & (F.abs(real) < F.lit(1e37))
+        digits = F.regexp_replace(real.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+        wide = F.when(F.abs(real) >= F.lit(1e17), real.try_cast("decimal(38,0)").cast("string")).otherwise(digits)
+        value, tag = F.when(whole, real.cast("bigint").cast("string")).when(
+            large & wide.isNotNull(), wide).otherwise(real.cast("string")), "n"
     elif isinstance(kind, T.BinaryType):
         value, tag = F.hex(cell), "b"
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):

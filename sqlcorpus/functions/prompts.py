@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from string import Formatter
 
 from pyspark.sql import Column, functions as F
@@ -32,6 +33,11 @@ def template_chars(template: str) -> int:
     return sum(len(literal) for literal, *_ in Formatter().parse(template))
 
 
+def slot_uses(template: str) -> dict[str, int]:
+    """How often the template uses each slot."""
+    return dict(Counter(slot for _, slot, _, _ in Formatter().parse(template) if slot is not None))
+
+
 def prompt_slots(context: Column, question: Column, hint: Column, instructions: str = "") -> dict[str, Column]:
     return {
         CONTEXT_SLOT: context,

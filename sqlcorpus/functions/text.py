@@ -78,7 +78,7 @@ def extract_sql(raw: Column) -> Column:
 
     def pick(answer: Column) -> Column:
         block = strip(F.regexp_extract(answer, r"(?is)```sql\n(.*?)\n```", 1))
-        tail = F.regexp_extract(answer, r"(?dims)^[^\S\n]*((?:select|with) [^\n]*?\S.*)", 1)
+        tail = F.regexp_extract(answer, r"(?Udims)^[^\S\n]*((?:select|with) [^\n]*?\S.*)", 1)
         whole = F.when(F.contains(F.upper(answer), F.lit("SELECT")), answer)
         return F.coalesce(filled(block), filled(tail), whole, F.lit(""))
 

@@ -28,14 +28,15 @@ def compare_results(rows: DataFrame, executions: DataFrame) -> DataFrame:
     names; order of columns does. Nulls equal each other. A pair without rows on either side
     matches if both statements ran. If a statement failed, nothing matches and all counts are zero.
 
-    Rows are first merged by (pair, row), which spreads even one huge pair over the cluster, and
+    Rows are first merged by (pair, 128-bit digest of the row), which spreads even one huge pair over the cluster, and
     then summed by pair with partial sums on the map side.
     """
     gold, pred = F.col("side") == GOLD, F.col("side") == PRED
-    merged = rows.groupBy("pair_id", "row").agg(
-        F.count_if(gold).alias("_gold"), F.count_if(pred).alias("_pred")
-    )
-    width = F.size("row")
+    digest = F.unhex(F.md5(F.to_json("row")))
+    merged = rows.select("pair_id", "side", digest.alias("_row"), F.size("row").alias("_width")).groupBy(
+        "pair_id", "_row", "_width"
+    ).agg(F.count_if(gold).alias("_gold"), F.count_if(pred).alias("_pred"))
+    width = F.col("_width")
     by_pair = merged.groupBy("pair_id").agg(
         F.bool_and((F.col("_gold") > 0) & (F.col("_pred") > 0)).alias("_equal"),
         F.sum("_gold").alias("_gold_rows"),

@@ -12,6 +12,11 @@ def _percent(hit: Column) -> Column:
     return F.when(total > 0, hits * 100.0 / total).otherwise(0.0)
 
 
+def _bare(sql: Column) -> Column:
+    """A statement without white space around it and without closing semicolons."""
+    return F.regexp_replace(sql, r"(?U)^\s+|[\s;]+$", "")
+
+
 def join_references(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Predictions beside the statements they should equal, by question."""
     return predictions.join(references, "question_id")
@@ -32,8 +37,8 @@ def evaluate(
     failed gold statement counts as a failed prediction too. Texts are compared as extracted
     statements, or with ``raw`` as they stand.
     """
-    text = F.col(predicted) if raw else F.rtrim(extract_sql(F.col(predicted)), F.lit(";"))
-    wanted = F.col(gold) if raw else F.rtrim(F.col(gold), F.lit(";"))
+    text = F.col(predicted) if raw else _bare(extract_sql(F.col(predicted)))
+    wanted = F.col(gold) if raw else _bare(F.col(gold))
     scored = predictions.select(
         "question_id", *by, F.coalesce(exact_match(text, wanted), F.lit(False)).alias("_exact")
     )

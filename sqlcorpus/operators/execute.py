@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
-from threading import Timer
+from threading import Event, Timer
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +17,15 @@ from sqlcorpus.functions.text import clean_sql
 from sqlcorpus.operators.compare import GOLD, PRED, result_rows
 from sqlcorpus.session import Workspace
 
+# Functions that run code of the machine rather than query it.
+CALLS_OUT = re.compile(r"\b(?:try_)?reflect[`\s]*\(|\bjava_method[`\s]*\(", re.IGNORECASE)
+
+# Names in double quotes are names, as the library's own DDL writes them, and tables are only those registered.
+SESSION = {
+    "spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true",
+    "spark.sql.runSQLOnFiles": "false",
+}
+
 STATUS = "statement_id string, ok boolean, cols array<string>, error_msg string"
 
 
@@ -42,9 +51,17 @@ def _run(session: SparkSession, statement, path: str, timeout: float) -> tuple:
     group = uuid.uuid4().hex
     context = session.sparkContext
     context.setJobGroup(group, "statement", interruptOnCancel=True)
-    timer = Timer(timeout, context.cancelJobGroup, [group])
+    late = Event()
+
+    def cancel() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = Timer(timeout, cancel)
     timer.start()
     try:
+        if CALLS_OUT.search(statement["sql"]):
+            raise PermissionError("statements may not call methods by reflection")
         # As a subquery, nothing but a query is accepted.
         df = session.sql(f"SELECT * FROM (\n{statement['sql']}\n)")
         names = df.columns
@@ -54,7 +71,9 @@ def _run(session: SparkSession, statement, path: str, timeout: float) -> tuple:
         rows.write.mode("overwrite").parquet(f"{path}/statement_id={statement['statement_id']}")
         return statement["statement_id"], True, names, None
     except Exception as error:
-        text = re.split(r"\n|JVM stacktrace", str(error), maxsplit=1)[0][:1000]
+        text = re.split(r"\n*JVM stacktrace", str(error), maxsplit=1)[0]
+        if late.is_set():
+            text = f"timed out after {timeout:g} seconds"
         return statement["statement_id"], False, None, text or type(error).__name__
     finally:
         timer.cancel()
@@ -83,6 +102,8 @@ def execute_pairs(
     def session_of(db_id: str) -> SparkSession:
         if db_id not in sessions:
             sessions[db_id] = spark.newSession()
+            for name, value in SESSION.items():
+                sessions[db_id].conf.set(name, value)
             register(sessions[db_id], db_id)
         return sessions[db_id]
 

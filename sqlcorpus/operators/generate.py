@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sqlcorpus import schemas as S
-from sqlcorpus.functions.text import extract_with_reasoning
+from sqlcorpus.functions.text import FENCE, extract_with_reasoning
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.triage import merge_result
 
@@ -46,28 +46,55 @@ def with_retry(
     return call
 
 
-def generate(df: DataFrame, make: Callable[[], Generator], batch_size: int = 16) -> DataFrame:
+def generate(
+    df: DataFrame,
+    make: Callable[[], Generator],
+    batch_size: int = 16,
+    attempts: int = S.RETRY_ATTEMPTS,
+    delay: float = S.RETRY_BASE_DELAY_SEC,
+    tasks: int | None = None,
+    needs_sql: bool = False,
+) -> DataFrame:
     """Send prompts to a model in batches and return its raw output by question.
 
-    ``df`` has ``question_id, prompt``. ``make`` builds the model's function, once a partition. A
-    batch that fails yields error rows; the others go on. Prompts that are null exceed the budget
-    and are not sent.
+    ``df`` has ``question_id, prompt``. ``make`` builds the model's function, once a partition; with
+    ``tasks`` the prompts are dealt out to that many. A batch that fails is sent again, up to
+    ``attempts`` times in all, and then yields error rows; the others go on. With ``needs_sql`` a prompt
+    whose answer holds no closed block is asked again likewise. A prompt refused for its length is
+    not; prompts that are null exceed the budget and are not sent.
+
+    The model may be slow or paid for: store the result before two operators read it.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = make()
+        fn = with_retry(make(), attempts, delay)
         for frame in frames:
             ids, prompts = frame["question_id"].tolist(), frame["prompt"].tolist()
+            found: list[tuple] = []
             for start in range(0, len(ids), batch_size):
                 batch = slice(start, start + batch_size)
-                yield _one_batch(fn, ids[batch], prompts[batch])
+                rows = _one_batch(fn, ids[batch], prompts[batch])
+                for _ in range(attempts - 1 if needs_sql else 0):
+                    again = [i for i, row in enumerate(rows) if row[2] == S.SUCCESS and not _has_block(row[1])]
+                    if not again:
+                        break
+                    asked = prompts[batch]
+                    for i, row in zip(again, _one_batch(fn, [rows[i][0] for i in again], [asked[i] for i in again])):
+                        rows[i] = row
+                found += rows
+            yield pd.DataFrame(
+                found, columns=["question_id", "raw_content", "generation_status", "error_message"], dtype=object)
 
-    return df.select(F.col("question_id").cast("string").alias("question_id"), "prompt").mapInPandas(
-        run, GENERATED
-    )
+    sent = df.select(F.col("question_id").cast("string").alias("question_id"), "prompt")
+    return (sent if tasks is None else sent.repartition(tasks)).mapInPandas(run, GENERATED)
+
+
+def _has_block(answer: str | None) -> bool:
+    """Whether ``extract_with_reasoning`` finds a statement."""
+    return (answer or "").count(FENCE) >= 2
 
 
-def _one_batch(fn: Generator, ids: list[str], prompts: list[str | None]) -> pd.DataFrame:
+def _one_batch(fn: Generator, ids: list[str], prompts: list[str | None]) -> list[tuple]:
     answers: list[str | None] = [None] * len(ids)
     errors: list[str | None] = [S.CONTEXT_EXCEEDED] * len(ids)
     sent = [i for i, prompt in enumerate(prompts) if prompt is not None]
@@ -84,8 +111,7 @@ def _one_batch(fn: Generator, ids: list[str], prompts: list[str | None]) -> pd.D
             for i in sent:
                 errors[i] = str(error)
     status = [S.SUCCESS if error is None else S.ERROR for error in errors]
-    columns = zip(ids, answers, status, errors)
-    return pd.DataFrame(list(columns), columns=["question_id", "raw_content", "generation_status", "error_message"], dtype=object)
+    return list(zip(ids, answers, status, errors))
 
 
 def extract_responses(generated: DataFrame) -> DataFrame:
@@ -131,5 +157,4 @@ def verify_candidates(
         F.when(generated_ok, F.coalesce("_ran", F.lit(False))).alias("predicted_exec_status"),
         F.when(generated_ok, F.col("error_occurred")).alias("error_occurred"),
     )
-    asked = candidates.join(scored.select("question_id"), "question_id", "left_semi")
-    return merge_result(asked, scored)
+    return merge_result(candidates, scored, "inner")

@@ -9,15 +9,16 @@ from sqlcorpus.functions import prompts as P
 
 
 def choose_variant(
-    df: DataFrame, variants: dict[int, str], max_chars: int = S.MAX_PROMPT_CHARS, extra: Column | int = 0
+    df: DataFrame, variants: dict[int, str], max_chars: int = S.MAX_PROMPT_CHARS, extra: Column | int = 0,
+    times: int = 1,
 ) -> DataFrame:
     """Add ``num_rows, prompt, prompt_status``: the first variant that fits, or ``ContextLimit``.
 
     ``variants`` maps a number of sample rows to the column with that text, richest first;
-    ``extra`` counts the characters that will be put around it.
+    ``extra`` counts the characters that will be put around it, ``times`` how often it will be used.
     """
     extra = F.lit(extra) if isinstance(extra, int) else extra
-    fits = {n: F.length(F.col(name)) + extra <= max_chars for n, name in variants.items()}
+    fits = {n: F.length(F.col(name)) * times + extra <= max_chars for n, name in variants.items()}
     chosen = F.coalesce(*[F.when(fits[n], F.lit(n)) for n in variants])
     text = F.coalesce(*[F.when(F.col("num_rows") == n, F.col(name)) for n, name in variants.items()])
     rest = [name for name in df.columns if name not in variants.values()]
@@ -45,11 +46,14 @@ def render_prompts(
         int(name.removeprefix("context_")): name for name in contexts.columns if name.startswith("context_")
     }
     richest_first = dict(sorted(variants.items(), reverse=True))
-    asked = F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("evidence"), F.lit(0))
-    extra = asked + P.template_chars(template) + len(instructions)
+    uses = P.slot_uses(template)
+    asked = sum(
+        (F.coalesce(F.length(name), F.lit(0)) * uses.get(slot, 0)
+         for name, slot in (("question", P.QUESTION_SLOT), ("evidence", P.HINT_SLOT))), F.lit(0))
+    extra = asked + P.template_chars(template) + len(instructions) * uses.get(P.FORMAT_SLOT, 0)
     joined = questions.join(contexts, "db_id", "left")
     filled = joined.withColumns({name: F.coalesce(name, F.lit("")) for name in richest_first.values()})
-    chosen = choose_variant(filled, richest_first, max_chars, extra)
+    chosen = choose_variant(filled, richest_first, max_chars, extra, uses.get(P.CONTEXT_SLOT, 0))
     slots = P.prompt_slots(F.col("prompt"), F.col("question"), F.col("evidence"), instructions)
     prompt = F.when(F.col("prompt").isNotNull(), P.render_template(template, slots))
     return chosen.withColumn("prompt", prompt)

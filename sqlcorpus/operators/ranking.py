@@ -57,8 +57,8 @@ def rank_by_key(
     if limit is not None:
         limit = F.lit(limit) if isinstance(limit, int) else limit
         offsets = offsets.filter(F.col("_before") < limit)
-    # At most 16**digits rows a group.
-    kept = bucketed.join(F.broadcast(offsets), [*group_by, "_bucket"])
+    # At most 16**digits rows a group; that groups are few is the caller's word, so their size decides.
+    kept = bucketed.join(offsets, [*group_by, "_bucket"])
     distinct = kept.groupBy(*columns, "_bucket", "_before", "_total").agg(
         F.count(F.lit(1)).alias("_copies")
     )
@@ -87,29 +87,38 @@ def rank_few(
 
 
 def rank_by_order(
-    df: DataFrame, order_by: str, rank: str = "rank", buckets: int = 200, error: float = 0.001
+    df: DataFrame, order_by: str, rank: str = "rank", buckets: int | None = None, rows: int = 200_000
 ) -> DataFrame:
-    """Add the 1-based rank of each row by a unique number, date or timestamp column.
+    """Add the 1-based rank of each row by a number, date or timestamp column; nulls come last.
 
-    Quantiles of the column split the rows into even ranges; the split points become constants of
-    the plan, so repeated or recovered tasks place every row alike.
+    Quantiles of the column split the rows into even ranges of about ``rows`` rows; the split points
+    become constants of the plan, so repeated or recovered tasks place every row alike. Rows without
+    a value, and ties, are ordered by a digest of the row, which also spreads the former.
     """
+    if buckets is None:
+        buckets = df.count() // rows + 1
     kind = df.schema[order_by].dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
         raise TypeError(f"{order_by} must be a number, date or timestamp")
     value = F.col(order_by).cast("timestamp") if isinstance(kind, T.DateType) else F.col(order_by)
-    placed = df.withColumn("_order", value.cast("double"))
+    placed = df.withColumn("_order", value.cast("double")).withColumn(
+        "_digest", F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]))]))
     probabilities = [position / buckets for position in range(1, buckets)]
-    found = placed.select("_order").stat.approxQuantile("_order", probabilities, error)
+    error = 1 / (5 * buckets)
+    found = placed.select("_order").stat.approxQuantile("_order", probabilities, error) if probabilities else []
     splits = [-math.inf, *sorted(set(found) or {0.0}), math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
-    placed = bucketizer.transform(placed)
+    # Rows without a value share the buckets behind the last one, dealt out by their digests.
+    spread = F.lit(len(splits) + 1) + F.pmod("_digest", F.lit(buckets))
+    valued = F.col(order_by).isNotNull()
+    placed = bucketizer.transform(placed).withColumn(
+        "_bucket", F.when(valued, F.col("_bucket").cast("bigint")).otherwise(spread.cast("bigint")))
     counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(order_by)
-    # At most ``buckets`` rows.
-    ranked = placed.join(F.broadcast(offsets), "_bucket")
+    inside = Window.partitionBy("_bucket").orderBy(order_by, "_digest")
+    # Two rows a bucket at most, and a bucket is ``rows`` rows.
+    ranked = placed.join(offsets, "_bucket")
     return ranked.withColumn(rank, F.col("_before") + F.row_number().over(inside)).drop(
-        "_bucket", "_before", "_order"
+        "_bucket", "_before", "_order", "_digest"
     )

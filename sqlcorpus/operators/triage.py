@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.keys import shuffle_key
@@ -16,14 +16,29 @@ def is_success(status: str = "generation_status", match: str = "execution_match"
 
 
 def first_results(results: DataFrame, order_by: str | None = None) -> DataFrame:
-    """One result a question: the first by ``order_by``, else any one of its equals."""
-    if order_by is None:
-        return results.dropDuplicates(["question_id"])
+    """One result a question: the first by ``order_by``, ties and the rest in a fixed order.
+
+    That order puts successes first, then the smallest database, label and other fields, so tasks and
+    partitions decide nothing.
+    """
     others = [name for name in results.columns if name != "question_id"]
-    first = results.groupBy("question_id").agg(F.min_by(F.struct(*others), F.col(order_by)).alias("_first"))
+    order = ([F.col(order_by)] if order_by else []) + fixed_order(results)
+    first = results.groupBy("question_id").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_first"))
     return first.select("question_id", *[F.col(f"_first.{name}").alias(name) for name in others])
 
 
+def fixed_order(results: DataFrame) -> list[Column]:
+    """What orders several results of a question: success, then the fields of a decision, then all others."""
+    have = results.columns
+    success = [(~is_success()).alias("_failed")] if {"generation_status", "execution_match"} <= set(have) else []
+    lead = [name for name in ("db_id", "level") if name in have]
+    rest = [name for name in have if name not in ("question_id", *lead)]
+    # Maps have no order; their text has.
+    kinds = {field.name: field.dataType for field in results.schema.fields}
+    plain = [F.col(n).cast("string").alias(n) if isinstance(kinds[n], T.MapType) else F.col(n) for n in [*lead, *rest]]
+    return [*success, *plain]
+
+
 def usable_results(results: DataFrame) -> DataFrame:
     """Results that could be read; corrupt entries count as absent."""
     if "_corrupt_record" in results.columns:
@@ -48,10 +63,11 @@ def triage(questions: DataFrame, results: DataFrame) -> DataFrame:
     """
     found = usable_results(results)
     kept = [name for name in ("db_id", "level") if name in found.columns]
-    stored = (
-        found.select("question_id", *kept, is_success().alias("_success"))
-        .groupBy("question_id")
-        .agg(F.first("_success").alias("_success"), *[F.first(name).alias(f"_{name}") for name in kept])
+    # The least of these is the record that ``first_results`` keeps.
+    first = F.min(F.struct((~is_success()).alias("_failed"), *kept)).alias("_first")
+    stored = found.groupBy("question_id").agg(first).select(
+        "question_id", (~F.col("_first._failed")).alias("_success"),
+        *[F.col(f"_first.{name}").alias(f"_{name}") for name in kept],
     )
     joined = questions.select("question_id", "db_id", "level").join(stored, "question_id", "left")
 
@@ -63,13 +79,16 @@ def triage(questions: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def merge_result(questions: DataFrame, results: DataFrame) -> DataFrame:
-    """Questions with their results, in the stored fields only; a result's value wins."""
-    found = usable_results(results).dropDuplicates(["question_id"])
+def merge_result(questions: DataFrame, results: DataFrame, how: str = "left") -> DataFrame:
+    """Questions with their results, in the stored fields only; a result's value wins.
+
+    Of several results ``first_results`` keeps one. With ``how="inner"`` only questions with a result stay.
+    """
+    found = first_results(usable_results(results))
     renamed = found.select("question_id", *[
         F.col(name).alias(f"_{name}") for name in found.columns if name != "question_id"
     ])
-    joined = questions.join(renamed, "question_id", "left")
+    joined = questions.join(renamed, "question_id", how)
 
     def merged(name: str) -> Column:
         sides = [F.col(side) for side in (f"_{name}", name) if side in joined.columns]

@@ -15,7 +15,7 @@ from sqlcorpus import schemas as S
 from sqlcorpus.functions.labels import classify_sql
 from sqlcorpus.operators import fill
 from sqlcorpus.operators.quota import split_targets
-from sqlcorpus.operators.triage import merge_result
+from sqlcorpus.operators.triage import is_success, merge_result, usable_results
 from sqlcorpus.operators.validate import validate_questions
 from sqlcorpus.plans.pools import Pool, prepare_domains
 from sqlcorpus.session import Workspace
@@ -223,16 +223,29 @@ def curate(
     return in_domain.union(out_of_domain)
 
 
-def fetch_curated(picked: DataFrame, questions: DataFrame, results: DataFrame) -> DataFrame:
+#: Stages that draw from stored results; the others draw from responses to candidates.
+CACHE_STAGES = ("1", "3")
+
+
+def fetch_curated(
+    picked: DataFrame, questions: DataFrame, results: DataFrame, responses: DataFrame | None = None
+) -> DataFrame:
     """The full records of chosen questions, with ``split`` and ``stage``.
 
-    Chosen ids are few beside the corpus, so both sides are cut down to them before they meet.
+    A question is stored with a successful record of the side it was picked from, in the fixed order
+    of ``first_results``. Chosen ids are few beside the corpus, so sides are cut down to them first.
     """
-    ids = picked.select("question_id")
-    merged = merge_result(
-        questions.join(ids, "question_id", "left_semi"), results.join(ids, "question_id", "left_semi")
-    )
-    return merged.join(picked.select("question_id", "split", "stage"), "question_id")
+    from_cache = F.col("stage").isin(*CACHE_STAGES)
+    sides = [(results, picked.filter(from_cache))]
+    if responses is not None:
+        sides.append((responses, picked.filter(~from_cache)))
+    found = [
+        usable_results(side).filter(is_success()).join(chosen.select("question_id"), "question_id", "left_semi")
+        for side, chosen in sides
+    ]
+    records = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+    asked = questions.join(picked.select("question_id"), "question_id", "left_semi")
+    return merge_result(asked, records).join(picked.select("question_id", "split", "stage"), "question_id")
 
 
 def run_curation(
@@ -251,6 +264,5 @@ def run_curation(
     earlier = read_curated(workspace.spark, path).select("question_id", "db_id", "level", "split")
     existing = workspace.table(earlier, EXISTING)
     picked = curate(workspace, questions, results, responses, settings, existing)
-    answers = results if responses is None else results.unionByName(responses, allowMissingColumns=True)
     new = picked.filter(F.col("stage") != EXISTING)
-    write_curated(fetch_curated(new, questions, answers), path, mode="append")
+    write_curated(fetch_curated(new, questions, results, responses), path, mode="append")

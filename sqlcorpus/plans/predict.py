@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from sqlcorpus import schemas as S
 from sqlcorpus.functions.text import extract_sql
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.evaluate import evaluate
@@ -24,6 +25,9 @@ def predict(
     raw_path: str,
     instructions: str = "",
     batch_size: int = 16,
+    attempts: int = S.RETRY_ATTEMPTS,
+    delay: float = S.RETRY_BASE_DELAY_SEC,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Answer the questions that have no stored output yet, and return all predictions.
 
@@ -32,13 +36,13 @@ def predict(
     spark = questions.sparkSession
     todo = remaining(questions, read_generations(spark, raw_path))
     prompts = render_prompts(todo, contexts, template, instructions=instructions)
-    answers = generate(prompts, make, batch_size)
+    answers = generate(prompts, make, batch_size, attempts, delay, tasks)
     append_raw(answers.filter(F.col("raw_content").isNotNull()), raw_path)
     return to_predictions(questions, read_generations(spark, raw_path))
 
 
 def to_predictions(questions: DataFrame, generations: DataFrame) -> DataFrame:
-    """``question_id, sql, db_id`` of answered questions."""
+    """``question_id, sql, db_id`` of answered questions; of several answers the smallest text counts."""
     first = generations.groupBy("question_id").agg(F.min("raw_content").alias("raw_content"))
     answered = questions.select("question_id", "db_id").join(first, "question_id")
     return answered.select("question_id", extract_sql(F.col("raw_content")).alias("sql"), "db_id")

@@ -77,23 +77,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def first_character(spark: SparkSession, path: str, within: int = 4096) -> str:
-    """The first character of a file, or of the first file of a folder, that is no white space."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as file listings write it, with its scheme and without a closing slash."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+
+
+def first_characters(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, first character that is no white space) of a file, or of every file of a folder; "" if blank.
+
+    A file is read up to that character, however far it is.
+    """
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(status.getPath().toString() for status in files.listStatus(target) if status.isFile())
-    shown = [name for name in names if name.rsplit("/", 1)[-1][0] not in "._"]
-    if not shown:
-        return ""
-    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(shown[0]))
-    try:
-        for _ in range(within):
+    found = []
+    for name in names:
+        if name.rsplit("/", 1)[-1][0] in "._":
+            continue
+        stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(name))
+        try:
+            # Bytes of a byte order mark are beyond ASCII; a line may be as long as the file, so no line is read.
             code = stream.read()
-            if code < 0:
-                break
-            # Bytes of a byte order mark are beyond ASCII.
-            if 32 < code < 128:
-                return chr(code)
-        return ""
-    finally:
-        stream.close()
+            while code >= 128 or 0 <= code <= 32:
+                code = stream.read()
+            found.append((name, "" if code < 0 else chr(code)))
+        finally:
+            stream.close()
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.text import parse_prediction
-from sqlcorpus.session import first_character, path_exists
+from sqlcorpus.session import first_characters, path_exists, qualified
 
 CORRUPT = "_corrupt_record"
 # Names some columns carry in files.
@@ -25,23 +25,27 @@ def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 def with_file_position(df: DataFrame, fmt: str, position: str = "position") -> DataFrame:
     """Add the 0-based place of each row over all files, taken in order of their names.
 
-    Parquet knows a row's place in its file, so only rows a file are counted: nothing is sorted or
-    shuffled. A JSON array is read by one task anyway, which numbers its rows.
+    Parquet knows a row's place in its file. Of other files each task numbers the rows of the splits it
+    reads, in order, so a split's rows run on from its first number. Only rows a split are counted:
+    nothing is sorted, and the rows themselves are not shuffled for it.
     """
     located = df.withColumn("_file", F.col("_metadata.file_path"))
     if fmt == "parquet":
-        located = located.withColumn("_row", F.col("_metadata.row_index"))
+        located = located.withColumns({"_split": F.lit(0).cast("bigint"), "_row": F.col("_metadata.row_index")})
+        first = F.lit(0).cast("bigint")
     else:
-        by_file = Window.partitionBy("_file").orderBy("_order")
-        numbered = located.withColumn("_order", F.monotonically_increasing_id())
-        located = numbered.withColumn("_row", F.row_number().over(by_file).cast("bigint") - 1).drop("_order")
-    # One row a file, as the driver lists them.
-    sizes = located.groupBy("_file").agg((F.max("_row") + 1).alias("_size"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    few = len(df.inputFiles()) <= 100_000
-    placed = located.join(F.broadcast(starts) if few else starts, "_file")
-    return placed.withColumn(position, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+        located = located.withColumns({
+            "_split": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+        first = F.min("_row")
+    # One row a split, as the driver lists them.
+    sizes = located.groupBy("_file", "_split").agg(first.alias("_first"), (F.max("_row") + 1).alias("_end"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "_file", "_split", "_first",
+        F.coalesce(F.sum(F.col("_end") - F.col("_first")).over(before), F.lit(0)).alias("_start"))
+    placed = located.join(starts, ["_file", "_split"])
+    return placed.withColumn(position, F.col("_start") + F.col("_row") - F.col("_first")).drop(
+        "_file", "_split", "_row", "_first", "_start")
 
 
 def _named(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -89,8 +93,9 @@ def read_questions(
             raw = with_file_position(raw, fmt)
         return _as_text(raw, S.QUESTIONS)
     if fmt == "json":
-        if first_character(spark, path) not in ("[", ""):
-            raise ValueError(f"{path} is not a JSON array of records")
+        wrong = [name for name, first in first_characters(spark, path) if first not in ("[", "")]
+        if wrong:
+            raise ValueError(f"{wrong[0]} is not a JSON array of records")
     # A record that cannot be read ends the job.
     reader = spark.read.schema(_file_schema(S.QUESTIONS)).option("mode", "FAILFAST")
     raw = _named(reader.option("multiLine", fmt == "json").json(path), S.QUESTIONS)
@@ -119,7 +124,8 @@ def discover_databases(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet").load(root).select("path")
     )
-    parts = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+    # The root is cut from the front, as its name may come again below it.
+    parts = F.split(F.substring("path", len(qualified(spark, root)) + 2, 1 << 20), "/")
     table = F.regexp_replace(F.get(parts, F.lit(1)), r"\.parquet$", "")
     base = F.concat(F.lit(root.rstrip("/")), F.lit("/"), F.get(parts, F.lit(0)), F.lit("/"), F.get(parts, F.lit(1)))
     found = files.filter(F.size(parts) >= 2).select(

@@ -36,7 +36,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, target: str) -> None:
 def stream_ingest(
     spark: SparkSession, source: DataFrame | str, target: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Ingest a stream of ``question_id, raw_content``, keeping the first text of each question.
+    """Ingest a stream of ``question_id, raw_content``, keeping one text of each question: that of its first batch,
+    the smallest one in it.
 
     ``source`` is a streaming table or a folder of JSON lines. Questions may return at any time, so
     what counts is the target table, and the stream itself keeps no state.

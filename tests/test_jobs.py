@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.execute import execute_pairs
-from sqlcorpus.operators.generate import ContextLengthExceeded, generate, with_retry
+from sqlcorpus.operators.generate import ContextLengthExceeded, generate, verify_candidates, with_retry
 from sqlcorpus.operators.validate import assign_question_id
 from sqlcorpus.plans.bake import run_bake
+from sqlcorpus.plans.curate import fetch_curated
 from sqlcorpus.plans.label import label_corpus
 from sqlcorpus.plans.predict import predict, score
 from sqlcorpus.sources import readers, writers
@@ -88,6 +89,11 @@ def test_discover_databases(spark, tmp_path):
     (root / "empty").mkdir()
     got = {(r["db_id"], r["table_name"]): r["path"] for r in readers.discover_databases(spark, f"file:{root}").collect()}
     assert set(got) == {("shop", "orders"), ("bank", "acct")}
+    again = root / "deep" / str(root).lstrip("/")
+    spark.range(2).write.parquet(str(again))
+    found = {r["db_id"]: (r["table_name"], r["path"]) for r in readers.discover_databases(spark, str(root)).collect()}
+    assert found["deep"] == (str(root).split("/")[1], f"{root}/deep/{str(root).split('/')[1]}")
+    assert found["bank"] == ("acct", f"{root}/bank/acct.parquet")
     assert spark.read.parquet(got["bank", "acct"]).count() == 3
     with pytest.raises(FileNotFoundError):
         readers.discover_databases(spark, f"file:{root / 'empty'}")
@@ -167,13 +173,98 @@ def test_a_failing_batch_leaves_the_others(spark):
         return answer
 
     df = spark.createDataFrame([("1", "a"), ("2", "bad"), ("3", "c"), ("4", None)], "question_id string, prompt string").coalesce(1)
-    got = {r["question_id"]: tuple(r)[1:] for r in generate(df, make, 1).collect()}
+    got = {r["question_id"]: tuple(r)[1:] for r in generate(df, make, 1, delay=0).collect()}
     assert got == {
         "1": ("A", "Success", None), "2": (None, "Error", "no"), "3": ("C", "Success", None),
         "4": (None, "Error", S.CONTEXT_EXCEEDED),
     }
 
 
+def test_answers_without_a_statement_are_asked_again(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def make():
+        seen = {}
+
+        def answer(prompts):
+            with open(calls, "a") as log:
+                log.writelines(f"{p}\n" for p in prompts)
+            out = []
+            for p in prompts:
+                seen[p] = seen.get(p, 0) + 1
+                out.append("```sql\nSELECT 1\n```" if p == "good" or seen[p] > 2 and p != "never" else "none")
+            if "fails once" in prompts and seen["fails once"] == 1:
+                raise ValueError("down")
+            return out
+
+        return answer
+
+    names = ["good", "third", "never", "fails once"]
+    df = spark.createDataFrame([(n, n) for n in names], "question_id string, prompt string").coalesce(1)
+    got = {r["question_id"]: r["raw_content"] for r in generate(df, make, 2, attempts=4, delay=0, needs_sql=True).collect()}
+    assert got["never"] == "none" and all(got[n].startswith("```") for n in names if n != "never")
+    log = open(calls).read().split("\n")
+    assert (log.count("good"), log.count("third")) == (1, 3)
+    assert generate(df, make, 2, tasks=3).rdd.getNumPartitions() == 3
+
+
+def test_each_prompt_is_sent_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def make():
+        def answer(prompts):
+            with open(calls, "a") as log:
+                log.writelines(f"{p}\n" for p in prompts)
+            return ["```sql\nSELECT 1\n```" for _ in prompts]
+
+        return answer
+
+    asked = spark.createDataFrame([(str(i), "d", S.LEVEL_1, f"p{i}") for i in range(30)], "question_id string, db_id string, level string, prompt string")
+    runs = asked.select(F.col("question_id").alias("pair_id"), F.lit(True).alias("gold_ok"), F.lit(True).alias("pred_ok"))
+    rows = spark.createDataFrame([], "pair_id string, side string, row array<string>")
+    checked = verify_candidates(asked.drop("prompt"), generate(asked, make), rows, runs).collect()
+    assert len(checked) == 30 and all(r["execution_match"] for r in checked)
+    assert sorted(open(calls).read().split()) == sorted(f"p{i}" for i in range(30))
+
+
+def test_records_are_the_verified_ones(spark):
+    fields = "question_id string, db_id string, level string, predicted_sql string, generation_status string, execution_match boolean"
+    good = [(str(i), "d", S.LEVEL_1, f"good {i}", "Success", True) for i in range(20)]
+    bad = [(str(i), "d", S.LEVEL_1, f"bad {i}", "Success", False) for i in range(40)]
+    also = [(str(i), "d", S.LEVEL_1, f"answer {i}", "Success", True) for i in range(20, 40)]
+    picked = spark.createDataFrame(
+        [(str(i), "d", S.LEVEL_1, "train", "1" if i < 20 else "2") for i in range(40)],
+        "question_id string, db_id string, level string, split string, stage string")
+    questions = picked.select("question_id", "db_id", "level")
+    for results, responses in ((bad[:20] + good, bad + also), (good + bad, also + bad)):
+        got = fetch_curated(picked, questions, spark.createDataFrame(results, fields), spark.createDataFrame(responses, fields)).collect()
+        assert len(got) == 40 and all(r["execution_match"] for r in got)
+        assert {r["question_id"]: r["predicted_sql"] for r in got} == {r[0]: r[3] for r in good + also}
+
+
+def test_statements_are_kept_inside(spark, workspace, tmp_path):
+    (tmp_path / "secret").write_text("x")
+
+    def register(session, db_id):
+        session.range(3).withColumnRenamed("id", "my name").createOrReplaceTempView("numbers")
+
+    gold = 'SELECT "my name" FROM numbers'
+    wrong = {
+        "text": "SELECT 'my name' FROM numbers", "reflect": "SELECT reflect('java.lang.Math', 'abs', 1)",
+        "method": "SELECT Java_Method('java.lang.Math', 'abs', 1)", "file": f"SELECT * FROM text.`{tmp_path}/secret`",
+        "long": "SELECT " + " + ".join(f"missing_column_{i}" for i in range(300)) + " FROM numbers",
+    }
+    pairs = spark.createDataFrame(
+        [("right", "a", gold, "SELECT `my name` FROM numbers"), *[(k, "a", gold, v) for k, v in wrong.items()]],
+        "pair_id string, db_id string, gold_sql string, predicted_sql string")
+    rows, runs = execute_pairs(pairs, register, workspace, threads=2)
+    got = {r["pair_id"]: r for r in compare_results(rows, runs).collect()}
+    assert {k for k, r in got.items() if r["match_status"]} == {"right"}
+    assert {k for k, r in got.items() if r["predict_exec_status"]} == {"right", "text"}
+    assert "reflection" in got["reflect"]["error_msg"] and "reflection" in got["method"]["error_msg"]
+    assert len(got["long"]["error_msg"]) > 1000
+
+
 def test_execute_pairs(spark, workspace):
     def register(session, db_id):
         session.range(3).withColumnRenamed("id", "n").createOrReplaceTempView("numbers")
@@ -205,6 +296,7 @@ def test_execution_times_out(spark, workspace):
     rows, runs = execute_pairs(pairs, lambda session, db_id: None, workspace, timeout=2)
     row = compare_results(rows, runs).first()
     assert row["gold_exec_status"] and not row["predict_exec_status"]
+    assert row["error_msg"] == "timed out after 2 seconds"
 
 
 def test_predict_resumes_and_scores(spark, workspace, tmp_path):
@@ -225,7 +317,7 @@ def test_predict_resumes_and_scores(spark, workspace, tmp_path):
         return make
 
     raw, template = str(tmp_path / "raw"), "{db_schema_context_hmr}|{nl_question}|{hint}"
-    first = predict(questions, contexts, template, maker(True), raw, batch_size=1)
+    first = predict(questions, contexts, template, maker(True), raw, batch_size=1, delay=0)
     assert first.count() == 5
     second = predict(questions, contexts, template, maker(False), raw, batch_size=1)
     assert {r["question_id"]: r["sql"] for r in second.collect()} == {str(i): f"SELECT 'n{i}';" for i in range(6)}

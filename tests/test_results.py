@@ -138,14 +138,14 @@ def test_reports(spark, workspace):
     lines = {row["level"]: row for row in reports.level_distribution(filled).collect()}
     assert lines[S.LEVEL_OTHER]["n"] == 1 and lines[reports.TOTAL]["n"] == 3 and lines[reports.TOTAL]["pct"] == 100
     text = reports.format_distribution(reports.level_distribution(filled), "Train")
-    assert text.splitlines()[-1].startswith("Total") and "66.67%" in text
+    assert text.splitlines()[-1].startswith("| Total") and "66.7 %" in text
     assert "empty" in reports.format_distribution(reports.level_distribution(filled.limit(0)), "Train")
     assert reports.level_distribution(filled.limit(0)).count() == 0
     goal = spark.createDataFrame([(S.TRAIN, S.LEVEL_1, 4), (S.TRAIN, S.LEVEL_2, 0)], "split string, level string, target bigint")
     got = {row["level"]: tuple(row)[2:] for row in reports.target_vs_filled(filled, goal).collect()}
     assert got == {S.LEVEL_1: (4, 2, 50.0), S.LEVEL_2: (0, 0, 0.0), reports.TOTAL: (4, 3, 75.0)}
     lines = reports.format_target_vs_filled(reports.target_vs_filled(filled, goal), S.TRAIN).splitlines()
-    assert lines[-1].split("|")[1:3] == ["       4 ", "       3 "]
+    assert [cell.strip() for cell in lines[-1].split("|")[2:4]] == ["4", "3"]
     expected = spark.createDataFrame([("a",), ("b",), ("c",)], "db_id string")
     coverage = reports.database_coverage(filled, expected)
     assert {row["db_id"]: row["missing"] for row in coverage.collect()} == {"a": False, "b": False, "c": True}

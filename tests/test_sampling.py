@@ -51,6 +51,19 @@ def test_rank_by_order(spark):
     assert ranks == {n: i + 1 for i, n in enumerate(sorted(numbers))}
 
 
+def test_rank_by_order_keeps_rows_without_a_value(spark):
+    rows = [(n if n % 3 else None, n) for n in range(200)] + [(7, 999), (7, 998)]
+    df = spark.createDataFrame(rows, "n bigint, other int")
+    for buckets in (None, 5):
+        ranked = sorted(rank_by_order(df, "n", buckets=buckets).collect(), key=lambda r: r["rank"])
+        assert [r["rank"] for r in ranked] == list(range(1, len(rows) + 1))
+        valued = [r["n"] for r in ranked if r["n"] is not None]
+        assert valued == sorted(n for n, _ in rows if n is not None)
+        assert all(r["n"] is None for r in ranked[len(valued):])
+    assert rank_by_order(df.filter("n < 0"), "n").count() == 0
+    assert [r["rank"] for r in rank_by_order(df.filter("n IS NULL").limit(3), "n").orderBy("rank").collect()] == [1, 2, 3]
+
+
 def python_targets(size, shares, strict):
     targets = {name: round(share * size) for name, share in shares.items()}
     names = [name for name in targets if strict or shares[name] > 0]

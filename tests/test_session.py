@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from sqlcorpus.session import Workspace, first_character, path_exists, shared_folder
+from sqlcorpus.session import Workspace, first_characters, path_exists, shared_folder
 
 
 def session(master, folder=None):
@@ -35,6 +35,7 @@ def test_tables_are_kept_apart_and_deleted(spark):
 def test_first_character(spark, tmp_path):
     (tmp_path / "a.json").write_text("\ufeff \n [1]", encoding="utf-8")
     (tmp_path / "b.json").write_text("")
-    assert first_character(spark, str(tmp_path / "a.json")) == "["
-    assert first_character(spark, str(tmp_path / "b.json")) == ""
-    assert first_character(spark, str(tmp_path)) == "["
+    (tmp_path / "c.json").write_text(" " * 6000 + "{}")
+    assert [c for _, c in first_characters(spark, str(tmp_path / "a.json"))] == ["["]
+    assert [c for _, c in first_characters(spark, str(tmp_path / "b.json"))] == [""]
+    assert [c for _, c in first_characters(spark, str(tmp_path))] == ["[", "", "{"]

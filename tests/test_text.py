@@ -1,5 +1,7 @@
 """Golden texts of the column functions."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,10 +127,14 @@ def test_predictions(spark):
     ("kind", "values", "expected"),
     [
         ("int", [1, None], ["n:1", None]),
-        ("double", [1.0, 0.5, -0.0, 1e20, None], ["n:1", "n:0.5", "n:0", "n:1.0E20", None]),
+        ("double", [1.0, 0.5, -0.0, 1e20, None], ["n:1", "n:0.5", "n:0", "n:100000000000000000000", None]),
         ("boolean", [True, False], ["n:1", "n:0"]),
         ("string", ["1", ""], ["t:1", "t:"]),
-        ("decimal(10,2)", [], []),
+        ("decimal(20,2)", [Decimal("12345678901234567.89"), Decimal("12345678901234567.90"), Decimal("-5.00"), Decimal("0.00")],
+         ["n:12345678901234567.89", "n:12345678901234567.9", "n:-5", "n:0"]),
+        ("bigint", [10 ** 18], ["n:1000000000000000000"]),
+        ("double", [1e18, 12345678.5, 0.0001], ["n:1000000000000000000", "n:12345678.5", "n:1.0E-4"]),
+        ("decimal(10,4)", [Decimal("0.0001"), Decimal("12345.5000")], ["n:1.0E-4", "n:12345.5"]),
     ],
 )
 def test_canonical_cells(spark, kind, values, expected):
