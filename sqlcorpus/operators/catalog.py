@@ -7,11 +7,16 @@ nothing; only sample rows are brought in by a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sqlcorpus.functions.cells import readable_cell
 from sqlcorpus.functions.tables import render_table
 from sqlcorpus.functions.text import let, quote_ident, strip, truncate_cell
+from sqlcorpus.session import Workspace
 
 UNKNOWN_TYPE = "UNKNOWN"
 BLOB = "BLOB"
@@ -244,6 +249,44 @@ def sample_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     return df.select(*plain).orderBy(*order_by).limit(n)
 
 
+def sample_databases(spark: SparkSession, tables: DataFrame, n: int = 3, at_once: int = 64) -> DataFrame:
+    """``db_id, table_name, row_no, header, cells``: the first ``n`` rows of stored tables, in file order.
+
+    ``tables`` has ``db_id, table_name, path``, as ``discover_databases`` finds them. Binary columns are
+    left out and long cells cut; a table that cannot be read is left out. Each table has columns of its
+    own, so the driver plans one read a table, ``at_once`` of them in a job; rows stay on the executors.
+    """
+    parts: list[DataFrame] = []
+    for row in tables.orderBy("db_id", "table_name").toLocalIterator():
+        try:
+            stored = spark.read.parquet(row["path"])
+        except (PySparkException, Py4JJavaError):
+            continue
+        plain = [field.name for field in stored.schema if field.dataType.typeName() != "binary"]
+        named = stored.select(*[F.col(f"`{name}`").alias(f"_{i}") for i, name in enumerate(plain)],
+                              F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        first = named.filter(F.col("_row") < n).orderBy("_file", "_row").limit(n)
+        numbered = first.withColumn("row_no", F.row_number().over(Window.orderBy("_file", "_row")))
+        parts.append(numbered.select(
+            F.lit(row["db_id"]).alias("db_id"), F.lit(row["table_name"]).alias("table_name"), "row_no",
+            F.array(*map(F.lit, plain)).cast("array<string>").alias("header"),
+            sample_cells(named, [f"_{i}" for i in range(len(plain))]).cast("array<string>").alias("cells")))
+    if not parts:
+        return spark.createDataFrame([], "db_id string, table_name string, row_no int, header array<string>, cells array<string>")
+    workspace, stored_parts = Workspace(spark), []
+    for start in range(0, len(parts), at_once):
+        stored_parts.append(workspace.table(reduce(DataFrame.union, parts[start:start + at_once]), "samples"))
+    return reduce(DataFrame.union, stored_parts)
+
+
+def number_samples(samples: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``db_id, table_idx, row_no, cells`` of ``sample_databases``, as ``render_schema_with_rows`` takes them."""
+    listed = catalog.select("db_id", F.posexplode("table_names_original").alias("table_idx", "_name"))
+    keyed = samples.withColumn("_key", F.lower("table_name"))
+    return keyed.join(listed.withColumn("_key", F.lower("_name")), ["db_id", "_key"]).select(
+        "db_id", "table_idx", "row_no", "cells")
+
+
 def sample_tables(rows: DataFrame, n: int, order_by: list[str], tables: list[str] = ("db_id", "table_idx")) -> DataFrame:
     """The first ``n`` rows of each of many tables kept in one, numbered from 1.
 

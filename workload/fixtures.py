@@ -133,19 +133,36 @@ FROM {documents}
 RESULT_ROWS = """
 SELECT l_orderkey AS pair_id, 'gold' AS side, l_partkey AS c1,
  CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS c2
-FROM {lineitem} WHERE l_orderkey % 23 <> 0
+FROM {lineitem}
 UNION ALL
 SELECT l_orderkey, 'pred', l_partkey,
  CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN l_quantity + 1 ELSE l_quantity END
-FROM {lineitem} WHERE l_orderkey % 23 <> 0 AND NOT (l_orderkey % 5 = 0 AND l_linenumber > 3)
+FROM {lineitem} WHERE NOT (l_orderkey % 5 = 0 AND l_linenumber > 3)
 UNION ALL
 SELECT l_orderkey, 'pred', l_partkey,
  CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN l_quantity + 1 ELSE l_quantity END
-FROM {lineitem} WHERE l_orderkey % 23 <> 0 AND l_orderkey % 7 = 0 AND NOT (l_orderkey % 5 = 0 AND l_linenumber > 3)
+FROM {lineitem} WHERE l_orderkey % 7 = 0 AND NOT (l_orderkey % 5 = 0 AND l_linenumber > 3)
 """
 
+# Every order is a pair; some have no line items, so no rows.
 EXECUTIONS = """
-SELECT DISTINCT l_orderkey AS pair_id, l_orderkey % 17 <> 0 AS gold_ok, l_orderkey % 19 <> 0 AS pred_ok FROM {lineitem}
+SELECT o_orderkey AS pair_id, o_orderkey % 17 <> 0 AS gold_ok, o_orderkey % 19 <> 0 AS pred_ok,
+ split('part,quantity', ',') AS gold_cols, split(concat('part,n', CAST(o_orderkey % 3 AS STRING)), ',') AS pred_cols,
+ CASE WHEN o_orderkey % 19 = 0 THEN concat('no such column in ', CAST(o_orderkey AS STRING)) END AS error_msg
+FROM {orders}
+"""
+
+# Answers to candidates: each with a second, failed one and a third, good one.
+SEVERAL_RESPONSES = """
+SELECT CAST(o_orderkey AS STRING) AS question_id, CASE WHEN o_orderkey % 35 = 0 THEN 'Error' ELSE 'Success' END AS generation_status,
+ o_orderkey % 5 <> 0 AS execution_match, concat('SELECT ', CAST(o_orderkey AS STRING)) AS predicted_sql, 'first' AS final_reasoning
+FROM {orders}
+UNION ALL
+SELECT CAST(o_orderkey AS STRING), 'Success', FALSE, 'SELECT 0', 'failed' FROM {orders}
+UNION ALL
+SELECT CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 35 = 0 THEN 'Error' ELSE 'Success' END,
+ o_orderkey % 5 <> 0, concat('SELECT ', CAST(o_orderkey AS STRING), ' again'), 'second'
+FROM {orders}
 """
 
 # One catalog row a customer: one to three tables of three to five columns. Spark only, as it is nested.

@@ -59,6 +59,9 @@ CTES = {
     "existing": """
         SELECT question_id, db_id, level, CASE CAST(question_id AS BIGINT) % 97 WHEN 1 THEN 'train' WHEN 2 THEN 'val_in_domain' ELSE 'val_out_of_domain' END AS split
         FROM labelled WHERE CAST(question_id AS BIGINT) % 97 IN (1, 2, 3)""",
+    "placed": """
+        SELECT question_id, db_id, level, CASE CAST(question_id AS BIGINT) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val_in_domain' ELSE 'val_out_of_domain' END AS split
+        FROM labelled""",
     "success": "SELECT question_id, db_id, level FROM triaged WHERE cache_state = 'success'",
     "passed": """
         SELECT question_id, db_id, level FROM triaged WHERE cache_state = 'candidate' AND question_id IN
@@ -322,7 +325,10 @@ COMPARED = {
         CASE WHEN gold_ok AND pred_ok THEN coalesce(g, 0) ELSE 0 END AS num_gold_rows,
         CASE WHEN gold_ok AND pred_ok THEN coalesce(p, 0) ELSE 0 END AS num_predicted_rows,
         CAST(CASE WHEN gold_ok AND pred_ok AND g > 0 THEN 2 ELSE 0 END AS INTEGER) AS num_gold_cols,
-        CAST(CASE WHEN gold_ok AND pred_ok AND p > 0 THEN 2 ELSE 0 END AS INTEGER) AS num_predicted_cols
+        CAST(CASE WHEN gold_ok AND pred_ok AND p > 0 THEN 2 ELSE 0 END AS INTEGER) AS num_predicted_cols,
+        CASE WHEN gold_ok AND pred_ok THEN 'part,quantity' ELSE '' END AS gold_cols,
+        CASE WHEN gold_ok AND pred_ok THEN 'part,n' || (r.pair_id % 3) ELSE '' END AS predicted_cols,
+        CASE WHEN gold_ok THEN error_msg END AS error_msg
         FROM runs r LEFT JOIN unmatched u ON r.pair_id = u.pair_id LEFT JOIN tallies t ON r.pair_id = t.pair_id""",
 }
 
@@ -427,10 +433,10 @@ ORACLES: dict[str, str] = {
         "SELECT question_id, generation_status FROM responses WHERE question_id NOT IN (SELECT question_id FROM results)",
         ["results", "responses"],
     ),
-    "locked_ids": build("SELECT DISTINCT question_id FROM existing", ["questions", "labelled", "existing"]),
+    "locked_ids": build("SELECT DISTINCT question_id FROM placed", ["questions", "labelled", "placed"]),
     "missing_databases": build(
-        f"SELECT DISTINCT db_id FROM questions EXCEPT SELECT db_id FROM existing WHERE level = {lit(S.LEVEL_2)} AND split = 'train'",
-        ["questions", "labelled", "existing"],
+        f"(SELECT DISTINCT db_id FROM questions UNION SELECT 'db_' || n_name FROM nation) EXCEPT SELECT db_id FROM placed WHERE level = {lit(S.LEVEL_2)} AND split = 'train'",
+        ["questions", "labelled", "placed"],
     ),
     "target_counts": build(
         f"""SELECT o_custkey, size, level, r + CASE WHEN level_no < abs(rest) THEN sign(rest) ELSE 0 END AS target FROM
@@ -456,19 +462,19 @@ ORACLES: dict[str, str] = {
     ),
     "pending": build(
         """SELECT split, level, target, coalesce(n, 0) AS filled, greatest(target - coalesce(n, 0), 0) AS need FROM quota
-        LEFT JOIN (SELECT split, level, count(*) AS n FROM existing GROUP BY ALL) USING (split, level)""",
-        ["questions", "labelled", "existing", "levels"], quota=QUOTA,
+        LEFT JOIN (SELECT split, level, count(*) AS n FROM placed GROUP BY ALL) USING (split, level)""",
+        ["questions", "labelled", "placed", "levels"], quota=QUOTA,
     ),
     "unfilled_levels": build(
-        """SELECT level FROM levels l WHERE (SELECT count(*) FROM existing e WHERE e.level = l.level AND split = 'train') < 25
-        OR (SELECT count(*) FROM existing e WHERE e.level = l.level AND split = 'val_in_domain') < 3""",
-        ["questions", "labelled", "existing", "levels"],
+        """SELECT level FROM levels l WHERE (SELECT count(*) FROM placed e WHERE e.level = l.level AND split = 'train') < 1000
+        OR (SELECT count(*) FROM placed e WHERE e.level = l.level AND split = 'val_in_domain') < 3""",
+        ["questions", "labelled", "placed", "levels"],
     ),
     "target_vs_filled": build(
         """SELECT *, CASE WHEN target > 0 THEN CAST(filled AS DOUBLE) * 100 / target ELSE 0.0 END AS pct_filled FROM (
-         SELECT split, level, target, (SELECT count(*) FROM existing e WHERE e.split = q.split AND e.level = q.level) AS filled FROM quota q
-         UNION ALL SELECT split, 'Total', CAST(sum(target) AS BIGINT), (SELECT count(*) FROM existing e WHERE e.split = q.split) FROM quota q GROUP BY split)""",
-        ["questions", "labelled", "existing", "levels"], quota=QUOTA,
+         SELECT split, level, target, (SELECT count(*) FROM placed e WHERE e.split = q.split AND e.level = q.level) AS filled FROM quota q
+         UNION ALL SELECT split, 'Total', CAST(sum(target) AS BIGINT), (SELECT count(*) FROM placed e WHERE e.split = q.split) FROM quota q GROUP BY split)""",
+        ["questions", "labelled", "placed", "levels"], quota=QUOTA,
     ),
     "verify_fill_dual": build(dual_capped("offered", "held", 1500, 200, "2", "existing"), POOLS, held=held("existing"), **offered("passed")),
     "verify_fill_single": build(f"SELECT {PICKED} FROM ({single('offered', 'existing', 400, '2')})", POOLS, **offered("passed")),
@@ -494,15 +500,27 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM in_domain_rows UNION ALL SELECT * FROM out_of_domain_rows", POOLS,
         **in_domain_chain(10, 2), **out_of_domain_chain(10),
     ),
+    "curate_records": build(
+        """SELECT q.question_id, q.db_id, q.question, q.gold_sql, coalesce(r.level, q.level) AS level, q.evidence,
+        CASE WHEN stage IN ('1', '3') THEN r.predicted_sql ELSE 'SELECT ' || q.question_id END AS predicted_sql,
+        CASE WHEN stage IN ('1', '3') THEN r.final_reasoning ELSE 'first' END AS final_reasoning,
+        'Success' AS generation_status, true AS execution_match, NULL::BOOLEAN AS predicted_exec_status,
+        NULL::VARCHAR AS error_occurred, NULL::VARCHAR AS raw_output, NULL::VARCHAR AS prompt_template_string,
+        NULL::VARCHAR AS error_message, split, stage
+        FROM (SELECT * FROM in_domain_rows UNION ALL SELECT * FROM out_of_domain_rows) p
+        JOIN labelled q ON p.question_id = q.question_id
+        LEFT JOIN (SELECT * FROM results WHERE _corrupt_record IS NULL) r ON r.question_id = p.question_id AND stage IN ('1', '3')""",
+        POOLS, **in_domain_chain(10, 2), **out_of_domain_chain(10),
+    ),
     "database_coverage": build(
         """SELECT db_id, count(question_id) AS n, count(question_id) = 0 AS missing FROM domains
-        LEFT JOIN (SELECT db_id, question_id FROM existing WHERE split = 'train') USING (db_id) WHERE domain = 'in_domain' GROUP BY db_id""",
-        ["questions", "labelled", "existing", "domains"],
+        LEFT JOIN (SELECT db_id, question_id FROM placed WHERE split = 'train') USING (db_id) WHERE domain = 'in_domain' GROUP BY db_id""",
+        ["questions", "labelled", "placed", "domains"],
     ),
     "coverage_summary": build(
         f"""SELECT covered, total, CAST(covered AS DOUBLE) * 100 / total AS pct FROM (SELECT
-        (SELECT count(DISTINCT db_id) FROM existing WHERE level = {lit(S.LEVEL_2)}) AS covered, (SELECT count(DISTINCT db_id) FROM questions) AS total)""",
-        ["questions", "labelled", "existing"],
+        (SELECT count(DISTINCT db_id) FROM placed WHERE level = {lit(S.LEVEL_2)}) AS covered, (SELECT count(DISTINCT db_id) FROM questions) AS total)""",
+        ["questions", "labelled", "placed"],
     ),
     "clean_sql": rf"""SELECT o_orderkey, CASE WHEN t = '' OR regexp_matches(t, '(?i)^(select|with)\b') THEN t ELSE 'SELECT ' || t END AS cleaned FROM (
         SELECT o_orderkey, {strip("rtrim(" + strip("regexp_replace(s, '(''[^'']*''|" + '"[^"]*"' + "|[`][^`]*[`])|--[^" + chr(92) + "n]*|/[*](?:[^*]|[*]+[^*/])*[*]+/', '" + chr(92) + "1', 'g')") + ", ';')")} AS t FROM (
@@ -578,9 +596,41 @@ ORACLES: dict[str, str] = {
         FROM (SELECT lang, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM documents) GROUP BY lang""",
     "truncate_left": "SELECT doc_id, right(text, 400) AS tail FROM documents",
     "compare_results": build("SELECT * FROM compared", [], **COMPARED),
-    "set_equal": """SELECT true AS equal, 'same' AS "case" UNION ALL SELECT count(*) = 0, 'other' FROM (
-        (SELECT l_partkey AS x FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_suppkey FROM lineitem)
-        UNION ALL (SELECT l_suppkey FROM lineitem EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))""",
+    "set_equal": """SELECT true AS equal, 'orders' AS "case" UNION ALL SELECT count(*) = 0, 'parts' FROM (
+        (SELECT l_partkey AS x FROM lineitem EXCEPT SELECT l_suppkey FROM lineitem)
+        UNION ALL (SELECT l_suppkey FROM lineitem EXCEPT SELECT l_partkey FROM lineitem))
+        UNION ALL SELECT count(*) = 0, 'all parts' FROM (
+        (SELECT l_partkey AS x FROM lineitem EXCEPT SELECT p_partkey FROM part)
+        UNION ALL (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem))""",
+    "read_questions_json": build(
+        "SELECT question_id, db_id, question, evidence, gold_sql, row_number() OVER (ORDER BY CAST(question_id AS BIGINT)) - 1 AS position FROM questions", ["questions"]),
+    "read_catalog_json": """SELECT 'db_' || CASE WHEN c_custkey < 10 THEN '0' ELSE '' END || c_custkey AS db_id,
+        1 + CAST(list_sum([3 + (c_custkey + t) % 3 for t in range(0, c_custkey % 3 + 1)]) AS BIGINT) AS n_columns,
+        array_to_string(['Client', 'orders', 'Line"Item'][1:c_custkey % 3 + 1], ',') AS tables FROM customer""",
+    "append_results": build(
+        """SELECT question_id, predicted_sql, execution_match, final_reasoning FROM results WHERE _corrupt_record IS NULL AND generation_status = 'Success'
+        UNION ALL SELECT question_id, CASE WHEN good THEN 'SELECT ' || question_id ELSE 'SELECT 0' END, good,
+         CASE WHEN good THEN 'first' ELSE 'failed' END FROM
+        (SELECT CAST(o_orderkey AS VARCHAR) AS question_id, o_orderkey % 5 <> 0 AS good FROM orders)
+        WHERE question_id NOT IN (SELECT question_id FROM results WHERE _corrupt_record IS NULL)""", ["results"]),
+    "write_curated": build(
+        """SELECT l.question_id, coalesce(r.level, l.level) AS level, predicted_sql, execution_match, split
+        FROM labelled l JOIN placed p ON p.question_id = l.question_id
+        JOIN (SELECT * FROM results WHERE _corrupt_record IS NULL) r ON l.question_id = r.question_id""",
+        ["questions", "labelled", "results", "placed"]),
+    "read_splits": build("SELECT * FROM placed", ["questions", "labelled", "placed"]),
+    "write_baked": build(BAKED, ["questions", "results"], **CONTEXTS),
+    "append_raw": GENERATIONS,
+    "materialize_if_absent": build("SELECT question_id, level FROM labelled", ["questions", "labelled"]),
+    "sorted_report": build(
+        """SELECT CAST(row_number() OVER (ORDER BY level = 'Total', level) - 1 AS INTEGER) AS line, level, n FROM (
+        SELECT level, count(*) AS n FROM labelled GROUP BY level UNION ALL SELECT 'Total', count(*) FROM labelled)""", ["questions", "labelled"]),
+    "sample_databases": " UNION ALL ".join(
+        f"""SELECT '{db}' AS db_id, '{name}' AS table_name, CAST(row_number() OVER (ORDER BY {key}) AS INTEGER) AS row_no,
+        (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() WHERE table_name = '{name}') AS header,
+        CAST({key} AS VARCHAR) AS key FROM (SELECT {key} FROM {name} ORDER BY {key} LIMIT 3)"""
+        for db, name, key in (("geo", "nation", "n_nationkey"), ("shop", "part", "p_partkey"),
+                              ("shop", "orders", "o_orderkey"), ("crm", "customer", "c_custkey"))),
     "evaluate": build(f"SELECT {METRICS}", ["questions", "labelled"], **SCORED),
     "evaluate_by_level": build(f"SELECT level, {METRICS} GROUP BY level", ["questions", "labelled"], **SCORED),
     "generate_stub": """SELECT CAST(o_orderkey AS VARCHAR) AS question_id, 'SELECT ''question ' || o_orderkey || '''' AS predicted_sql,

@@ -12,9 +12,10 @@ from sqlcorpus.functions import labels, tables, text
 from sqlcorpus.operators import catalog as C, compare, evaluate as E, fill, prompts, quota, reports, triage, validate
 from sqlcorpus.operators.generate import extract_responses, generate, verify_candidates
 from sqlcorpus.plans.bake import prompt_contexts
-from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, curate_single
+from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, curate_single, fetch_curated
 from sqlcorpus.plans.pools import Domain, prepare_domains
 from sqlcorpus.session import Workspace
+from sqlcorpus.sources import readers, writers
 from sqlcorpus.sources.readers import parse_predictions, with_file_position
 from sqlcorpus.sources.writers import format_predictions, new_rows
 from sqlcorpus.streaming.ingest import read_ingested, stream_ingest, stream_level_counts
@@ -71,6 +72,13 @@ def existing(spark: SparkSession, sf: str) -> DataFrame:
     return labelled(spark, sf).select("question_id", "db_id", "level", split.alias("split")).filter("split is not null")
 
 
+def placed(spark: SparkSession, sf: str) -> DataFrame:
+    """All questions, each in a split."""
+    number = F.col("question_id").cast("bigint") % 3
+    split = F.when(number == 0, S.TRAIN).when(number == 1, S.VAL_IN).otherwise(S.VAL_OUT)
+    return labelled(spark, sf).select("question_id", "db_id", "level", split.alias("split"))
+
+
 def of_split(df: DataFrame, split: str) -> DataFrame:
     return df.filter(F.col("split") == split)
 
@@ -233,15 +241,17 @@ def new_results(spark, sf):
 
 @query
 def locked_ids(spark, sf):
-    splits = existing(spark, sf)
+    splits = placed(spark, sf)
     parts = [of_split(splits, split).select("question_id") for split in S.SPLITS]
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
 @query
 def missing_databases(spark, sf):
-    few = existing(spark, sf).filter((F.col("level") == S.LEVEL_2) & (F.col("split") == S.TRAIN))
-    return reports.missing_databases(few, questions(spark, sf))
+    few = placed(spark, sf).filter((F.col("level") == S.LEVEL_2) & (F.col("split") == S.TRAIN))
+    expected = questions(spark, sf).select("db_id").union(
+        X.table(spark, sf, "nation").select(F.concat(F.lit("db_"), "n_name")))
+    return reports.missing_databases(few, expected)
 
 
 # Quotas and fills.
@@ -286,19 +296,19 @@ def fill_dual_capped(spark, sf):
 
 @query
 def pending(spark, sf):
-    return quota.pending(quota.quota_frame(spark, {S.TRAIN: even(2000), S.VAL_IN: even(100)}), existing(spark, sf))
+    return quota.pending(quota.quota_frame(spark, {S.TRAIN: even(2000), S.VAL_IN: even(100)}), placed(spark, sf))
 
 
 @query
 def unfilled_levels(spark, sf):
-    goals = quota.quota_frame(spark, {S.TRAIN: even(100), S.VAL_IN: even(12)})
-    return quota.unfilled_levels(quota.pending(goals, existing(spark, sf)))
+    goals = quota.quota_frame(spark, {S.TRAIN: even(4000), S.VAL_IN: even(12)})
+    return quota.unfilled_levels(quota.pending(goals, placed(spark, sf)))
 
 
 @query
 def target_vs_filled(spark, sf):
     return reports.target_vs_filled(
-        existing(spark, sf), quota.quota_frame(spark, {S.TRAIN: even(2000), S.VAL_IN: even(100)})
+        placed(spark, sf), quota.quota_frame(spark, {S.TRAIN: even(2000), S.VAL_IN: even(100)})
     )
 
 
@@ -384,14 +394,125 @@ def curate_small(spark, sf):
     return _curated(spark, sf, SMALL)
 
 
+@query
+def curate_records(spark, sf):
+    """The stored records of ``curate_small``, where answers to candidates also hold failed and repeated ones."""
+    found = fetch_curated(
+        _curated(spark, sf, SMALL), labelled(spark, sf), results(spark, sf), X.of(spark, sf, X.SEVERAL_RESPONSES))
+    return found.select(*S.RESULT_FIELDS, "split", "stage")
+
+
+# Sources and sinks: written to the shared folder and read again.
+
+
+@query
+def read_questions_json(spark, sf):
+    """JSON lines of several files, numbered over all of them."""
+    path = Workspace(spark).path("questions")
+    asked = questions(spark, sf).withColumnRenamed("gold_sql", "SQL")
+    asked.repartitionByRange(3, F.col("question_id").cast("bigint")).sortWithinPartitions(
+        F.col("question_id").cast("bigint")).write.json(path)
+    read = readers.read_questions(spark, path, "jsonl", with_position=True)
+    return read.select("question_id", "db_id", "question", "evidence", "gold_sql", F.col("position").cast("bigint").alias("position"))
+
+
+@query
+def read_catalog_json(spark, sf):
+    """JSON arrays of a hundred databases a file; an older entry precedes each."""
+    path = Workspace(spark).path("catalog")
+    entries = X.of(spark, sf, X.CATALOG)
+    both = entries.withColumn("table_names", F.array(F.lit("a"))).unionByName(entries)
+    chunk = F.floor(F.substring("db_id", 4, 20).cast("bigint") / 100).alias("chunk")
+    lines = both.select(chunk, F.to_json(F.struct(*entries.columns)).alias("line")).groupBy("chunk").agg(
+        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("line")), ","), F.lit("]")).alias("value"))
+    lines.write.partitionBy("chunk").text(path)
+    read = readers.read_catalog(spark, path)
+    return read.select("db_id", F.size("column_names_original").cast("bigint").alias("n_columns"), F.array_join("table_names_original", ",").alias("tables"))
+
+
+@query
+def append_results(spark, sf):
+    """Results stored, then answers appended: the first record of a question stays."""
+    path = Workspace(spark).path("results")
+    stored = triage.usable_results(results(spark, sf))
+    writers.append_results(stored, path)
+    writers.append_results(X.of(spark, sf, X.SEVERAL_RESPONSES), path)
+    return readers.read_results(spark, path).select("question_id", "predicted_sql", "execution_match", "final_reasoning")
+
+
+@query
+def write_curated(spark, sf):
+    path = Workspace(spark).path("curated")
+    merged = triage.merge_result(labelled(spark, sf), results(spark, sf))
+    rows = merged.join(placed(spark, sf).select("question_id", "split"), "question_id")
+    writers.write_curated(rows, path)
+    return readers.read_curated(spark, path).select("question_id", "level", "predicted_sql", "execution_match", "split")
+
+
+@query
+def read_splits(spark, sf):
+    folder = Workspace(spark).path("splits")
+    for split in S.SPLITS:
+        of_split(placed(spark, sf), split).drop("split").write.parquet(f"{folder}/{split}.parquet")
+    read = readers.read_splits(spark, folder, {split: split for split in S.SPLITS}, fmt="parquet")
+    return read.select("question_id", "db_id", "level", "split")
+
+
+@query
+def write_baked(spark, sf):
+    path = Workspace(spark).path("baked")
+    writers.write_baked(_baked(spark, sf), path)
+    return spark.read.parquet(path).select("prompt", "completion", "db_id", "teacher_sql", F.col("split").cast("string").alias("split"))
+
+
+@query
+def append_raw(spark, sf):
+    path = Workspace(spark).path("raw")
+    made = X.of(spark, sf, X.GENERATIONS)
+    late = F.col("question_id").cast("bigint") % 2 == 1
+    for part in (made.filter(~late), made.filter(late)):
+        writers.append_raw(part, path)
+    return readers.read_generations(spark, path).select("question_id", "raw_content")
+
+
+@query
+def materialize_if_absent(spark, sf):
+    """Built once: the second builder is not asked."""
+    path = Workspace(spark).path("levels")
+    built = lambda: labelled(spark, sf).select("question_id", "level")
+    writers.materialize_if_absent(spark, built, path)
+    return writers.materialize_if_absent(spark, lambda: built().withColumn("level", F.lit("wrong")), path)
+
+
+@query
+def sorted_report(spark, sf):
+    """A report in reading order, with its line numbers."""
+    lines = reports.sorted_report(reports.level_distribution(labelled(spark, sf)))
+    rows = lines.agg(F.collect_list(F.struct("level", "n")).alias("_rows"))
+    return rows.select(F.posexplode("_rows").alias("line", "row")).select("line", "row.level", "row.n")
+
+
+@query
+def sample_databases(spark, sf):
+    """First rows of stored tables, found below a root; one table is unreadable and left out."""
+    root = Workspace(spark).path("databases")
+    for db, name, key in (("geo", "nation", "n_nationkey"), ("shop", "part", "p_partkey"),
+                          ("shop", "orders", "o_orderkey"), ("crm", "customer", "c_custkey")):
+        stored = X.table(spark, sf, name).withColumn("photo", F.lit("x").cast("binary"))
+        stored.repartitionByRange(1, key).sortWithinPartitions(key).write.parquet(f"{root}/{db}/{name}")
+    spark.createDataFrame([("no table",)], "value string").write.text(f"{root}/crm/broken.parquet")
+    found = C.sample_databases(spark, readers.discover_databases(spark, root), 3)
+    return found.select("db_id", "table_name", "row_no", F.array_join("header", ",").alias("header"), F.get("cells", F.lit(0)).alias("key"))
+
+
 @query
 def database_coverage(spark, sf):
-    return reports.database_coverage(of_split(existing(spark, sf), S.TRAIN), domains(spark, sf).filter(F.col("domain") == S.IN_DOMAIN))
+    return reports.database_coverage(of_split(placed(spark, sf), S.TRAIN), domains(spark, sf).filter(F.col("domain") == S.IN_DOMAIN))
 
 
 @query
 def coverage_summary(spark, sf):
-    few = existing(spark, sf).filter(F.col("level") == S.LEVEL_2)
+    few = placed(spark, sf).filter(F.col("level") == S.LEVEL_2)
     return reports.coverage_summary(reports.database_coverage(few, questions(spark, sf)))
 
 
@@ -625,19 +746,22 @@ def truncate_left(spark, sf):
 
 @query
 def compare_results(spark, sf):
-    return compared(spark, sf).drop("gold_cols", "predicted_cols", "error_msg")
+    named = {name: F.array_join(name, ",") for name in ("gold_cols", "predicted_cols")}
+    return compared(spark, sf).withColumns(named)
 
 
 @query
 def set_equal(spark, sf):
-    """Parts of returned line items against parts of all line items, and against themselves."""
-    items = X.table(spark, sf, "lineitem")
-    some = items.filter("l_returnflag = 'R'").select("l_partkey")
+    """The orders and customers of all line items, found from either table; and parts against suppliers."""
+    items, orders = X.table(spark, sf, "lineitem"), X.table(spark, sf, "orders")
+    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).select("l_orderkey", "o_custkey")
+    met = orders.join(items, orders.o_orderkey == items.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
     rows = [
-        compare.set_equal(some, items.select("l_partkey").filter("l_partkey < 0").union(some)).withColumn("case", F.lit("same")),
-        compare.set_equal(some, items.select("l_suppkey")).withColumn("case", F.lit("other")),
+        compare.set_equal(joined, met).withColumn("case", F.lit("orders")),
+        compare.set_equal(items.select("l_partkey"), items.select("l_suppkey")).withColumn("case", F.lit("parts")),
+        compare.set_equal(items.select("l_partkey"), X.table(spark, sf, "part").select("p_partkey")).withColumn("case", F.lit("all parts")),
     ]
-    return rows[0].union(rows[1])
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def _scored(spark: SparkSession, sf: str, by: list[str]) -> DataFrame:
