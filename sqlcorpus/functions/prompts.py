@@ -47,6 +47,11 @@ def prompt_slots(context: Column, question: Column, hint: Column, instructions:
     }
 
 
+def no_metadata(db_id: Column) -> Column:
+    """What stands for the schema of a database without a catalog entry. Fixed value."""
+    return F.concat(F.lit("/* No schema metadata available for "), F.coalesce(db_id, F.lit("")), F.lit(". */"))
+
+
 def close_prompt(prompt: Column) -> Column:
     """A prompt that ends in exactly one newline and no other white space."""
     return F.concat(strip_right(prompt), F.lit("\n"))

@@ -52,7 +52,8 @@ def render_prompts(
          for name, slot in (("question", P.QUESTION_SLOT), ("evidence", P.HINT_SLOT))), F.lit(0))
     extra = asked + P.template_chars(template) + len(instructions) * uses.get(P.FORMAT_SLOT, 0)
     joined = questions.join(contexts, "db_id", "left")
-    filled = joined.withColumns({name: F.coalesce(name, F.lit("")) for name in richest_first.values()})
+    filled = joined.withColumns({
+        name: F.coalesce(F.col(name), P.no_metadata(F.col("db_id"))) for name in richest_first.values()})
     chosen = choose_variant(filled, richest_first, max_chars, extra, uses.get(P.CONTEXT_SLOT, 0))
     slots = P.prompt_slots(F.col("prompt"), F.col("question"), F.col("evidence"), instructions)
     prompt = F.when(F.col("prompt").isNotNull(), P.render_template(template, slots))
@@ -65,7 +66,8 @@ def bake(curated: DataFrame, contexts: DataFrame, template: str) -> DataFrame:
     The schema text comes from a join: it is built once a database, in the column ``context_3``.
     """
     plans = [F.col(name) for name in ("query_plan", "final_reasoning") if name in curated.columns]
-    slots = P.prompt_slots(F.col("context_3"), F.col("question"), F.col("evidence"))
+    context = F.coalesce(F.col("context_3"), P.no_metadata(F.col("db_id")))
+    slots = P.prompt_slots(context, F.col("question"), F.col("evidence"))
     return curated.join(contexts.select("db_id", "context_3"), "db_id", "left").select(
         P.close_prompt(P.render_template(template, slots)).alias("prompt"),
         P.completion(F.coalesce(*plans), F.col("predicted_sql")).alias("completion"),

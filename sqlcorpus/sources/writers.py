@@ -69,6 +69,21 @@ def write_predictions(df: DataFrame, path: str) -> None:
     format_predictions(df).select(F.to_json(F.create_map("question_id", "value")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_submission(df: DataFrame, path: str) -> None:
+    """Predictions as one JSON object of all questions, in one file of one entry a line.
+
+    A JSON object is one file, so one task writes it, line by line; it holds no more than a sort buffer.
+    """
+    json = F.to_json(F.create_map("question_id", "value"))
+    inner = F.substr(json, F.lit(2), F.length(json) - 2)
+    entries = format_predictions(df).select(F.col("question_id").alias("_id"), F.concat(F.lit("  "), inner).alias("_line"))
+    last = entries.agg(F.max("_id").alias("_last"))
+    lines = entries.crossJoin(F.broadcast(last)).select(
+        F.lit(1).alias("_part"), "_id", F.concat("_line", F.when(F.col("_id") < F.col("_last"), ",").otherwise("")).alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "_part int, _id string, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("_part", "_id").select("value").write.mode("overwrite").text(path)
+
+
 def append_raw(df: DataFrame, path: str) -> None:
     """Raw model output as JSON lines."""
     df.select(F.col("question_id").cast("string"), "raw_content").write.mode("append").json(path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlcorpus import schemas as S
+from sqlcorpus.operators import catalog as C
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.execute import execute_pairs
 from sqlcorpus.operators.generate import ContextLengthExceeded, generate, verify_candidates, with_retry
@@ -357,3 +358,28 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     ingest_batch(again, 1, target)
     ingest_batch(again, 9, target)
     assert sorted((r["question_id"], r["sql"]) for r in read_ingested(spark, target).collect()) == sorted(expected.items())
+
+
+def test_submission_is_one_object(spark, tmp_path):
+    rows = [(str(i), f'SELECT "{{}}" FROM t{i} -- }}\n', f"db{i}") for i in range(40)] + [('q"uote', "SELECT '}'", "d")]
+    frame = spark.createDataFrame(rows, "question_id string, sql string, db_id string").repartition(5)
+    path = str(tmp_path / "submission")
+    writers.write_submission(frame, path)
+    parts = [p for p in (tmp_path / "submission").iterdir() if p.name.startswith("part-")]
+    assert len(parts) == 1
+    assert json.loads(parts[0].read_text()) == {q: f"{sql}{S.PREDICTION_SEPARATOR}{db}" for q, sql, db in rows}
+    assert readers.read_predictions(spark, path, whole=True).count() == 41
+    writers.write_submission(frame.limit(0), path)
+    assert json.loads(next(p for p in (tmp_path / "submission").iterdir() if p.name.startswith("part-")).read_text()) == {}
+
+
+def test_samples_by_table_name(spark, workspace, tmp_path):
+    root = tmp_path / "root"
+    spark.range(5).withColumn("photo", F.lit("x").cast("binary")).coalesce(1).write.parquet(str(root / "shop" / "Orders"))
+    (root / "shop" / "bad.parquet").write_text("no table")
+    found = C.sample_databases(spark, readers.discover_databases(spark, str(root)), 2)
+    assert [(r["table_name"], r["row_no"], r["header"], r["cells"]) for r in found.orderBy("row_no").collect()] == [
+        ("Orders", 1, ["id"], ["0"]), ("Orders", 2, ["id"], ["1"])]
+    entry = ("shop", ["customers", "orders"])
+    catalog = spark.createDataFrame([entry], "db_id string, table_names_original array<string>")
+    assert {tuple(r) for r in C.number_samples(found, catalog).select("db_id", "table_idx", "row_no").collect()} == {("shop", 1, 1), ("shop", 1, 2)}

@@ -296,7 +296,7 @@ CONTEXTS = {**CATALOG, **SAMPLES, **context(3), **context(1), **context(0)}
 
 def prompt(context_text: str, instructions: str = "''") -> str:
     slots = {
-        P.CONTEXT_SLOT: f"coalesce({context_text}, '')", P.QUESTION_SLOT: "question",
+        P.CONTEXT_SLOT: f"coalesce({context_text}, '/* No schema metadata available for ' || q.db_id || '. */')", P.QUESTION_SLOT: "question",
         P.HINT_SLOT: "coalesce(evidence, '')", P.FORMAT_SLOT: instructions,
     }
     parts = []
