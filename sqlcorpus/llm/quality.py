@@ -94,8 +94,9 @@ class Rule:
 RULES = (
     Rule("few_words", lambda m: m["n_words"] < 20, base=True),
     Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"], base=True),
-    Rule("symbols", lambda m: 2 * m["n_symbols"] > m["n_words"]),
-    Rule("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    # A short text may well say one of its few lines twice.
+    Rule("repeated_lines", lambda m: m["n_dup_lines"] > 2 and 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
     Rule("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     Rule("long_words", lambda m: m["word_chars"] > 20 * m["n_words"]),
 )

@@ -97,7 +97,7 @@ m AS (
   FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words
+  NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars < 2 * n_words
        OR word_chars > 20 * n_words) AS kept
 FROM b
 """
