@@ -332,7 +332,10 @@ def render_schema_with_rows(
 
     The samples of a table list its columns in catalog order, binary ones left out.
     """
-    held = catalog.join(collect_samples(samples, max(num_rows)), "db_id", "left")
+    # Text is long work on short rows: the join's shuffle keeps all cores busy instead of being coalesced by size.
+    spark = catalog.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = catalog.repartition(tasks, "db_id").join(collect_samples(samples, max(num_rows)), "db_id", "left")
 
     def with_rows(table: Column) -> Column:
         plain = F.filter(table["columns"], lambda column: F.upper(column["col_type"]) != BLOB)

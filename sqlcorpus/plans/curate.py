@@ -7,6 +7,7 @@ columns are fetched at the end, for the chosen rows only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame, functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.labels import classify_sql
 from sqlcorpus.operators import fill
-from sqlcorpus.operators.quota import split_targets
+from sqlcorpus.operators.quota import quota_frame, split_targets
+from sqlcorpus.operators.reports import database_coverage, format_coverage, format_target_vs_filled, target_vs_filled
 from sqlcorpus.operators.triage import is_success, merge_result, usable_results
 from sqlcorpus.operators.validate import validate_questions
 from sqlcorpus.plans.pools import Pool, prepare_domains
+from sqlcorpus.plans.waves import AskedPool
 from sqlcorpus.session import Workspace
 from sqlcorpus.sources.readers import read_curated
-from sqlcorpus.sources.writers import write_curated
+from sqlcorpus.sources.writers import append_results, write_curated
 
 PICKED_SCHEMA = "question_id string, db_id string, level string, split string, stage string"
 EXISTING = "existing"
@@ -91,21 +94,30 @@ class Splits:
         """An upper bound of the rows of a pool that are taken."""
         return self._locked + sum(self.counts.values())
 
-    def by_label(self, pool: Pool) -> tuple[DataFrame, bool]:
+    def by_label(self, pool: Pool | AskedPool) -> tuple[DataFrame, bool]:
         """The head of a pool that can fill every label up to its targets."""
         levels = {level for targets in self.targets.values() for level in targets}
         wanted = {level: sum(targets.get(level, 0) for targets in self.targets.values()) for level in levels}
+        if isinstance(pool, AskedPool):
+            short = {
+                level: sum(max(0, targets.get(level, 0) - self.held[split].get(level, 0))
+                           for split, targets in self.targets.items())
+                for level in levels
+            }
+            return pool.ask_labels(short), False
         return pool.head({level: n for level, n in wanted.items() if n}, self.in_use())
 
-    def of_any_label(self, pool: Pool) -> tuple[DataFrame, bool]:
+    def of_any_label(self, pool: Pool | AskedPool) -> tuple[DataFrame, bool]:
         """The head of a pool that can fill all open places."""
+        if isinstance(pool, AskedPool):
+            return pool.ask_any(sum(self.open(split) for split in self.targets)), False
         return pool.head_of_all(sum(self.open(split) for split in self.targets), self.in_use())
 
 
 def curate_in_domain(
     workspace: Workspace,
     success: Pool,
-    passed: Pool | None,
+    passed: Pool | AskedPool | None,
     train_targets: dict[str, int],
     val_targets: dict[str, int],
     databases: int,
@@ -120,7 +132,7 @@ def curate_in_domain(
     """
     state = Splits(workspace, {S.TRAIN: train_targets, S.VAL_IN: val_targets}, existing, locked)
 
-    def by_label(pool: Pool, stage: str) -> None:
+    def by_label(pool: Pool | AskedPool, stage: str) -> None:
         if not state.is_full():
             head, few = state.by_label(pool)
             state.add(fill.fill_dual(
@@ -128,7 +140,7 @@ def curate_in_domain(
                 (state.held[S.TRAIN], state.held[S.VAL_IN]),
             ))
 
-    def any_label(pool: Pool, stage: str) -> None:
+    def any_label(pool: Pool | AskedPool, stage: str) -> None:
         if not state.is_full():
             head, few = state.of_any_label(pool)
             state.add(fill.backfill_dual(
@@ -141,7 +153,10 @@ def curate_in_domain(
     any_label(success, "3")
     if passed is None:
         return state.rows()
-    if fill.coverage_budget(state.total(S.TRAIN), state.counts[S.TRAIN]) > 0:
+    budget = fill.coverage_budget(state.total(S.TRAIN), state.counts[S.TRAIN])
+    if budget > 0:
+        if isinstance(passed, AskedPool):
+            passed.ask_databases(state.rows(), S.COVERAGE_DENSITY if budget >= databases else 1)
         state.add(fill.cover_dual(
             passed.rows, None, state.rows(), state.total(S.TRAIN), state.counts[S.TRAIN], databases, locked, seed
         ))
@@ -152,7 +167,7 @@ def curate_in_domain(
 def curate_single(
     workspace: Workspace,
     success: Pool,
-    passed: Pool | None,
+    passed: Pool | AskedPool | None,
     targets: dict[str, int],
     databases: int,
     split: str = S.VAL_OUT,
@@ -163,12 +178,12 @@ def curate_single(
     """One split through the same stages."""
     state = Splits(workspace, {split: targets}, existing, locked)
 
-    def by_label(pool: Pool, stage: str) -> None:
+    def by_label(pool: Pool | AskedPool, stage: str) -> None:
         if not state.is_full():
             head, few = state.by_label(pool)
             state.add(fill.fill_single(head, targets, split, state.of(split), locked, seed, stage, few, state.held[split]))
 
-    def any_label(pool: Pool, stage: str) -> None:
+    def any_label(pool: Pool | AskedPool, stage: str) -> None:
         if not state.is_full():
             head, few = state.of_any_label(pool)
             state.add(fill.backfill_single(
@@ -182,6 +197,8 @@ def curate_single(
     if passed is None:
         return state.rows()
     if fill.coverage_budget(state.total(split), state.counts[split]) > 0:
+        if isinstance(passed, AskedPool):
+            passed.ask_databases(state.rows(), 1)
         state.add(fill.cover_single(
             passed.rows, None, state.rows(), state.total(split), state.counts[split], locked, split, seed, databases=databases
         ))
@@ -196,12 +213,20 @@ def curate(
     responses: DataFrame | None,
     settings: Settings = Settings(),
     existing: DataFrame | None = None,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+    answers: list[AskedPool] | None = None,
 ) -> DataFrame:
     """Fill all splits: ``question_id, db_id, level, split, stage``.
 
     ``existing`` holds rows of earlier runs with their split; they stay, and fill their quotas.
-    Questions without a label are labelled.
+    Questions without a label are labelled. Instead of ``responses`` to all candidates there may be a
+    function ``verify`` from ``question_id, db_id, level`` to result records: stages then ask for the
+    candidates they need, and fill the same rows. ``answers`` collects what was asked.
     """
+    if verify is not None:
+        # Any candidate may turn out to pass.
+        responses = questions.select(
+            "question_id", F.lit(S.SUCCESS).alias("generation_status"), F.lit(True).alias("execution_match"))
     labelled = questions
     if "level" not in questions.columns:
         labelled = questions.withColumn("level", classify_sql(F.col("gold_sql")))
@@ -212,12 +237,19 @@ def curate(
     targets = split_targets(workspace.spark, settings.sizes(), settings.shares, settings.strict_compat)
     inside, outside = domains[S.IN_DOMAIN], domains[S.OUT_OF_DOMAIN]
     asked = responses is not None
+    passed = {name: domain.passed if asked else None for name, domain in domains.items()}
+    if verify is not None:
+        passed = {
+            name: AskedPool(workspace, pool.rows, verify, existing, settings.seed) for name, pool in passed.items()
+        }
+        if answers is not None:
+            answers += passed.values()
     in_domain = curate_in_domain(
-        workspace, inside.success, inside.passed if asked else None, targets[S.TRAIN], targets[S.VAL_IN],
+        workspace, inside.success, passed[S.IN_DOMAIN], targets[S.TRAIN], targets[S.VAL_IN],
         inside.databases.count(), existing, existing, settings.seed,
     )
     out_of_domain = curate_single(
-        workspace, outside.success, outside.passed if asked else None, targets[S.VAL_OUT],
+        workspace, outside.success, passed[S.OUT_OF_DOMAIN], targets[S.VAL_OUT],
         outside.databases.count(), S.VAL_OUT, existing, existing, settings.seed,
     )
     return in_domain.union(out_of_domain)
@@ -255,14 +287,43 @@ def run_curation(
     responses: DataFrame | None,
     path: str,
     settings: Settings = Settings(),
-) -> None:
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+    results_path: str | None = None,
+) -> str:
     """Curate and store the splits below ``path``, a folder each.
 
     Rows stored there by earlier runs stay as they are; only new ones are added. ``responses`` holds
-    result records of candidates.
+    result records of candidates. With ``verify`` instead a model is asked while stages fill, and its
+    successful answers are appended to the results at ``results_path``. Returns a report of targets,
+    filled rows and covered databases.
     """
     earlier = read_curated(workspace.spark, path).select("question_id", "db_id", "level", "split")
     existing = workspace.table(earlier, EXISTING)
-    picked = curate(workspace, questions, results, responses, settings, existing)
+    pools: list[AskedPool] = []
+    picked = workspace.table(
+        curate(workspace, questions, results, responses, settings, existing, verify, pools), "picked")
+    for pool in pools:
+        given = pool.responses()
+        responses = given if responses is None else responses.unionByName(given, allowMissingColumns=True)
+    if pools and results_path:
+        append_results(responses, results_path)
     new = picked.filter(F.col("stage") != EXISTING)
     write_curated(fetch_curated(new, questions, results, responses), path, mode="append")
+    return curation_report(workspace, picked, questions, settings)
+
+
+def curation_report(workspace: Workspace, picked: DataFrame, questions: DataFrame, settings: Settings) -> str:
+    """Targets beside filled rows, after each stage and at the end, and the coverage of databases, as text."""
+    goals = quota_frame(
+        workspace.spark, split_targets(workspace.spark, settings.sizes(), settings.shares, settings.strict_compat))
+    stages = sorted(row["stage"] for row in picked.select("stage").distinct().collect())
+    held = picked.filter(F.col("stage") == EXISTING)
+    parts = []
+    for stage in [s for s in stages if s != EXISTING]:
+        held = held.union(picked.filter(F.col("stage") == stage))
+        report = target_vs_filled(held, goals)
+        parts += [f"## After stage {stage}", *[format_target_vs_filled(report, split) for split in settings.sizes()]]
+    for split in settings.sizes():
+        coverage = database_coverage(picked.filter(F.col("split") == split), questions)
+        parts.append(format_coverage(coverage, split, workspace.path("coverage")))
+    return "\n\n".join(parts)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.keys import shuffle_key
 from sqlcorpus.operators import fill
 from sqlcorpus.operators.ranking import rank_by_key
+from sqlcorpus.operators.triage import is_success
 from sqlcorpus.session import Workspace
 
 
@@ -65,3 +66,63 @@ def verify_in_waves(
     for answers in waves[1:]:
         out = out.unionByName(answers)
     return out
+
+
+class AskedPool:
+    """Verified candidates of a domain, asked for only as far as a stage needs them.
+
+    Each request asks in shuffled order until enough new candidates have passed, or none is left. All
+    candidates before the last one asked are then known, so a stage takes the rows it would take if
+    every candidate had been asked. Databases that a request names are held by the driver.
+    """
+
+    def __init__(
+        self, workspace: Workspace, candidates: DataFrame, verify: Callable[[DataFrame], DataFrame],
+        locked: DataFrame | None = None, seed: int = 42,
+    ):
+        self.workspace, self.verify, self.seed = workspace, verify, seed
+        self.left = workspace.table(fill.without(candidates.select(*fill.TIES), locked), "candidates")
+        self.answers: list[DataFrame] = []
+        self.rows = workspace.table(self.left.limit(0), "passed")
+
+    def _ask(self, group: Column, need: dict[str, int]) -> None:
+        need = {name: n for name, n in need.items() if n > 0}
+        if not need:
+            return
+        grouped = self.workspace.table(self.left.select("question_id", "db_id", group.alias("level")), "grouped")
+        labels = self.left.select("question_id", F.col("level").alias("_level"))
+
+        def verify(rows: DataFrame) -> DataFrame:
+            labelled = rows.join(labels, "question_id").select("question_id", "db_id", F.col("_level").alias("level"))
+            return self.verify(labelled)
+
+        found = self.workspace.table(
+            verify_in_waves(self.workspace, grouped, verify, need, self.seed), "answers")
+        self.answers.append(found)
+        passed = found.filter(is_success()).select("question_id")
+        self.rows = self.workspace.table(
+            self.rows.unionByName(self.left.join(passed, "question_id", "left_semi")), "passed")
+        self.left = self.workspace.table(self.left.join(found.select("question_id"), "question_id", "left_anti"), "left")
+
+    def ask_labels(self, need: dict[str, int]) -> DataFrame:
+        self._ask(F.col("level"), need)
+        return self.rows
+
+    def ask_any(self, need: int) -> DataFrame:
+        self._ask(F.lit("any"), {"any": need})
+        return self.rows
+
+    def ask_databases(self, filled: DataFrame, density: int) -> DataFrame:
+        """Until every database with fewer than ``density`` filled rows could get there."""
+        held = filled.groupBy("db_id").agg(F.count(F.lit(1)).alias("_held"))
+        thin = self.left.select("db_id").distinct().join(held, "db_id", "left").select(
+            "db_id", (F.lit(density) - F.coalesce("_held", F.lit(0))).alias("need")).filter("need > 0")
+        self._ask(F.col("db_id"), {row["db_id"]: row["need"] for row in thin.collect()})
+        return self.rows
+
+    def responses(self) -> DataFrame:
+        """All answers so far."""
+        out = self.workspace.spark.createDataFrame([], S.RESULTS)
+        for part in self.answers:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out

@@ -12,7 +12,7 @@ from sqlcorpus.operators.execute import execute_pairs
 from sqlcorpus.operators.generate import ContextLengthExceeded, generate, verify_candidates, with_retry
 from sqlcorpus.operators.validate import assign_question_id
 from sqlcorpus.plans.bake import run_bake
-from sqlcorpus.plans.curate import fetch_curated
+from sqlcorpus.plans.curate import Settings, curate, fetch_curated, run_curation
 from sqlcorpus.plans.label import label_corpus
 from sqlcorpus.plans.predict import predict, score
 from sqlcorpus.sources import readers, writers
@@ -383,3 +383,25 @@ def test_samples_by_table_name(spark, workspace, tmp_path):
     entry = ("shop", ["customers", "orders"])
     catalog = spark.createDataFrame([entry], "db_id string, table_names_original array<string>")
     assert {tuple(r) for r in C.number_samples(found, catalog).select("db_id", "table_idx", "row_no").collect()} == {("shop", 1, 1), ("shop", 1, 2)}
+
+
+def test_curation_asks_a_model(spark, workspace, tmp_path):
+    questions, known = Q.labelled(spark, SF_SMALL), workspace.table(Q.responses(spark, SF_SMALL), "responses")
+    calls = []
+
+    def verify(rows):
+        calls.append(workspace.table(rows, "asked"))
+        return calls[-1].join(known, "question_id").withColumn("predicted_sql", F.concat(F.lit("SELECT "), "question_id"))
+
+    settings = Settings(train_size=300, val_in_size=8, val_out_size=8)
+    path, stored = str(tmp_path / "curated"), str(tmp_path / "results")
+    text = run_curation(workspace, questions, Q.results(spark, SF_SMALL), None, path, settings, verify, stored)
+    want = curate(workspace, questions, Q.results(spark, SF_SMALL), known, settings)
+    rows = readers.read_curated(spark, path)
+    assert {(r["question_id"], r["split"]) for r in rows.collect()} == {(r["question_id"], r["split"]) for r in want.collect()}
+    assert rows.filter("NOT execution_match OR predicted_sql IS NULL").count() == 0
+    asked = [r["question_id"] for call in calls for r in call.collect()]
+    candidates = Q.triaged(spark, SF_SMALL).filter("cache_state = 'candidate'").count()
+    assert len(asked) == len(set(asked)) and 0 < len(asked) < candidates
+    assert "## After stage 2" in text and "databases covered" in text
+    assert {r["question_id"] for r in readers.read_results(spark, stored).collect()} <= set(asked)

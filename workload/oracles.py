@@ -500,6 +500,10 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM in_domain_rows UNION ALL SELECT * FROM out_of_domain_rows", POOLS,
         **in_domain_chain(10, 2), **out_of_domain_chain(10),
     ),
+    "curate_small_asked": build(
+        "SELECT * FROM in_domain_rows UNION ALL SELECT * FROM out_of_domain_rows", POOLS,
+        **in_domain_chain(10, 2), **out_of_domain_chain(10),
+    ),
     "curate_records": build(
         """SELECT q.question_id, q.db_id, q.question, q.gold_sql, coalesce(r.level, q.level) AS level, q.evidence,
         CASE WHEN stage IN ('1', '3') THEN r.predicted_sql ELSE 'SELECT ' || q.question_id END AS predicted_sql,

@@ -394,6 +394,18 @@ def curate_small(spark, sf):
     return _curated(spark, sf, SMALL)
 
 
+@query
+def curate_small_asked(spark, sf):
+    """``curate_small`` with a model that is asked while stages fill, instead of responses to all candidates."""
+    workspace = Workspace(spark)
+    known = workspace.table(responses(spark, sf), "responses")
+
+    def verify(rows: DataFrame) -> DataFrame:
+        return rows.join(known, "question_id")
+
+    return curate(workspace, labelled(spark, sf), results(spark, sf), None, SMALL, verify=verify)
+
+
 @query
 def curate_records(spark, sf):
     """The stored records of ``curate_small``, where answers to candidates also hold failed and repeated ones."""
