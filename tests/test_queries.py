@@ -7,11 +7,11 @@ import pytest
 
 import __spark_entry__ as entry_point
 from workload.fixtures import TABLES
+from workload.oracles import ORACLES
+from workload.queries import REGISTERED as QUERIES
 
 from .conftest import SF_SMALL
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -34,6 +34,7 @@ def table(columns, rows):
 
 def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
