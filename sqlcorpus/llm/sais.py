@@ -15,13 +15,21 @@ def classify(t: np.ndarray) -> np.ndarray:
 
 def deal(slots: np.ndarray, chars: np.ndarray, pointer: np.ndarray, sign: int, values: np.ndarray) -> None:
     """Appends values to the buckets of their characters, in order; ``pointer`` moves by ``sign``."""
-    order = np.argsort(chars, kind="stable")
-    sorted_chars = chars[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_chars[1:] != sorted_chars[:-1]]))
-    counts = np.diff(np.append(first, len(chars)))
-    rank = np.arange(len(chars)) - np.repeat(first, counts)
-    slots[pointer[sorted_chars] + sign * rank] = values[order]
-    pointer[sorted_chars[first]] += sign * counts
+    n = len(chars)
+    order = chars.argsort(kind="stable")
+    chars = chars[order]
+    cuts = (chars[1:] != chars[:-1]).nonzero()[0]
+    starts = np.zeros(len(cuts) + 1, dtype=np.int64)
+    starts[1:] = cuts + 1
+    counts = np.empty_like(starts)
+    counts[:-1] = starts[1:] - starts[:-1]
+    counts[-1] = n - starts[-1]
+    keys = chars[starts]
+    first = pointer[keys]
+    places = np.arange(n) if sign > 0 else np.arange(0, -n, -1)
+    places += (first - sign * starts).repeat(counts)
+    slots[places] = values[order]
+    pointer[keys] = first + sign * counts
 
 
 def sweep(slots: np.ndarray, t: np.ndarray, wanted: np.ndarray, pointer: np.ndarray, sign: int) -> None:
@@ -89,8 +97,9 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, dtype=np.int32)
-    t = t.astype(np.int32)
-    small = classify(t)
+    # Narrow characters are dealt out by counting.
+    small = classify(t.astype(np.int32))
+    t = t.astype(np.uint16 if size <= 1 << 16 else np.int32)
     counts = np.bincount(t, minlength=size)
     tails = np.cumsum(counts) - 1
     heads = tails + 1 - counts

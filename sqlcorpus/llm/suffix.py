@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sqlcorpus.llm.blocks import count_blocks, in_blocks, mix, shard_of, split_at
-from sqlcorpus.llm.sais import permuted_prefixes, suffix_array
+from sqlcorpus.llm.sais import permuted_prefixes, ranges, suffix_array
 
 #: Bytes whose digest anchors a window; bytes of text that are digested, and sorted, at once.
-ANCHOR, STRIDE, SORTED = 20, 1 << 19, 1 << 19
+ANCHOR, STRIDE, SORTED = 20, 1 << 16, 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -22,6 +22,9 @@ def anchors(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     ``ends`` are the ends of the documents that make up ``text``; windows lie inside one. Equal windows have the same
     smallest digest at the same place, so they belong to runs of the same digest.
     """
+    inside = np.ones(len(text), dtype=bool)
+    across = (ends[:, None] - np.arange(1, width)).ravel()
+    inside[across[across >= 0]] = False
     out = []
     for start in range(0, max(len(text) - width + 1, 0), STRIDE):
         part = text[start:start + STRIDE + width - 1]
@@ -47,13 +50,13 @@ def anchors(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
         if step < span:
             low = np.minimum(low[:len(low) - (span - step)], low[span - step:])
         at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        place = np.arange(len(at)) + start
-        inside = place + width <= ends[np.minimum(np.searchsorted(ends, place, side="right"), len(ends) - 1)]
-        place, at = place[inside], at[inside]
-        if len(place):
-            new = np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)])
-            first = np.flatnonzero(new)
-            out.append((digest[at[first]], place[first], place[np.append(first[1:], len(place)) - 1]))
+        valid = inside[start:start + len(at)]
+        new = valid.copy()
+        new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
+        last = valid.copy()
+        last[:-1] &= new[1:] | ~valid[1:]
+        first = np.flatnonzero(new)
+        out.append((digest[at[first]], first + start, np.flatnonzero(last) + start))
     if not out:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     digest, first, last = (np.concatenate(x) for x in zip(*out))
@@ -236,19 +239,22 @@ def remove_repeats(
         firsts = {s: f for s, f in zip(right.column("_shard").to_pylist(), right.column("_firsts").to_pylist())
                   if f is not None}
         block = Block(left, n, width)
-        edge = np.zeros(len(block.text) + 1, dtype=np.int32)
+        repeated = np.zeros(len(block.text), dtype=bool)
         if bits:
             answers = pa.table({"_shard": list(bits), "_bits": pa.array(list(bits.values()), pa.binary())})
             for shard, found in block.passages(block.shared(answers), width).items():
-                first, at = np.frombuffer(firsts[shard], dtype=np.int64), 0
-                for text, runs in found.items():
-                    m = len(text) - width + 1
-                    low, at = first[at:at + m], at + m
-                    for k in runs:
-                        hit = block.first[k] + np.flatnonzero(low < block.owner[k])
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + width, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+                windows = np.array([len(text) - width + 1 for text in found])
+                starts = np.cumsum(windows) - windows
+                many = np.array([len(runs) for runs in found.values()])
+                runs = np.array([k for own in found.values() for k in own])
+                windows, starts = windows.repeat(many), starts.repeat(many)
+                low = np.frombuffer(firsts[shard], dtype=np.int64)[ranges(starts, windows)]
+                hit = low < block.owner[runs].repeat(windows)
+                repeated[ranges(block.first[runs], windows)[hit]] = True
+        # A window covers the bytes up to its width, and windows lie inside documents.
+        so_far = np.cumsum(repeated, dtype=np.int32)
+        gone = so_far > 0
+        gone[width:] = so_far[width:] > so_far[:-width]
         starts = np.append(0, block.ends[:-1])
         out: dict[str, list] = {"n_removed": [], "spans": [], "kept": []}
         for text, s, e in zip(block.texts, starts, block.ends):
