@@ -41,11 +41,14 @@ def without(df: DataFrame, *used: DataFrame | None) -> DataFrame:
     return df if ids is None else df.join(ids, "question_id", "left_anti")
 
 
-def level_counts(filled: DataFrame | None) -> dict[str, int]:
-    """Rows a split holds by label."""
+def level_counts(filled: DataFrame | None, levels: list[str] | None = None) -> dict[str, int]:
+    """Rows a split holds by label; labels other than ``levels``, where given, count together as one."""
     if filled is None:
         return {}
-    rows = filled.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    level = F.col("level")
+    if levels is not None:
+        level = F.when(level.isin(levels), level).otherwise(F.lit(""))
+    rows = filled.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
     return {row["level"]: row["n"] for row in rows.collect()}
 
 
@@ -102,7 +105,7 @@ def fill_single(
 
     ``held`` gives the rows of ``existing`` by label, where they are known.
     """
-    held = level_counts(existing) if held is None else held
+    held = level_counts(existing, list(targets)) if held is None else held
     need = needs(targets, held)
     room = sum(targets.values()) - sum(held.values())
     if not need or room <= 0:
@@ -115,6 +118,10 @@ def fill_single(
     return _picked(ranked, stage, F.lit(split))
 
 
+# Places that one task numbers.
+PLACES = 100_000
+
+
 def slots(spark, levels: list[tuple[str, int, int, int, int]]) -> DataFrame:
     """Numbered places of two splits in the order they fill up evenly.
 
@@ -122,11 +129,16 @@ def slots(spark, levels: list[tuple[str, int, int, int, int]]) -> DataFrame:
     to the split with the lower fill ratio, to train on ties. So place ``j`` of train comes after
     the places ``i`` of validation with ``i/V < j/T``, which whole-number division counts.
     """
+    large = sum(tt + vt for _, _, tt, _, vt in levels) > PLACES
     quota = small_frame(spark, levels, "level string, tc bigint, tt bigint, vc bigint, vt bigint")
 
     def open_places(held: str, target: str) -> DataFrame:
-        room = quota.filter(F.col(held) < F.col(target))
-        return room.withColumn("place", F.explode(F.sequence(F.col(held), F.col(target) - 1)))
+        # Runs of places first, so that a large quota is numbered by many tasks.
+        room = quota.filter(F.col(held) < F.col(target)).withColumn("_run", F.explode(F.expr(
+            f"sequence({held} div {PLACES}, ({target} - 1) div {PLACES})")))
+        room = room.repartition("level", "_run") if large else room
+        return room.withColumn("place", F.explode(F.expr(
+            f"sequence(greatest({held}, _run * {PLACES}), least({target}, (_run + 1) * {PLACES}) - 1)"))).drop("_run")
 
     train = open_places("tc", "tt").select(
         "level",
@@ -161,7 +173,8 @@ def fill_dual(
 
     ``held`` gives the rows of both existing tables by label, where they are known.
     """
-    train_held, val_held = held or (level_counts(existing_train), level_counts(existing_val))
+    train_held, val_held = held or (
+        level_counts(existing_train, list(train_targets)), level_counts(existing_val, list(val_targets)))
     train_need, val_need = needs(train_targets, train_held), needs(val_targets, val_held)
     rooms = {
         S.TRAIN: max(0, sum(train_targets.values()) - sum(train_held.values())),

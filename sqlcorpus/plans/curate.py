@@ -63,7 +63,10 @@ class Splits:
 
     def add(self, rows: DataFrame) -> None:
         table = self.workspace.table(rows, "_".join(self.targets))
-        for row in table.groupBy("split", "level").agg(F.count(F.lit(1)).alias("n")).collect():
+        # Labels without a target only count for the split.
+        known = list({level for targets in self.targets.values() for level in targets})
+        level = F.when(F.col("level").isin(known), F.col("level")).otherwise(F.lit("")).alias("level")
+        for row in table.groupBy("split", level).agg(F.count(F.lit(1)).alias("n")).collect():
             self.counts[row["split"]] += row["n"]
             levels = self.held[row["split"]]
             levels[row["level"]] = levels.get(row["level"], 0) + row["n"]
