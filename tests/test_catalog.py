@@ -124,7 +124,12 @@ def test_prompts(spark):
     assert (got["1"]["num_rows"], got["1"]["prompt"]) == (3, "xxx|why {hint}?||")
     assert (got["2"]["num_rows"], got["2"]["prompt"]) == (1, "xxxxx|what?|h|")
     assert (got["3"]["num_rows"], got["3"]["prompt"], got["3"]["prompt_status"]) == (None, None, "ContextLimit")
-    assert got["4"]["prompt"] == "|?||"
+    wide = {r["question_id"]: r for r in prompts.render_prompts(questions, contexts, template, 200).collect()}
+    assert wide["4"]["prompt"] == "/* No schema metadata available for d. */|?||"
+    twice = "{db_schema_context_hmr}" * 2 + "{nl_question}"
+    for limit, rows in ((60 + 5, 3), (60 + 4, 1)):
+        got = {r["question_id"]: r for r in prompts.render_prompts(questions, contexts, twice, limit).collect()}
+        assert got["2"]["num_rows"] == rows and len(got["2"]["prompt"]) <= limit
 
 
 def test_bake_takes_either_name_of_the_plan(spark):
