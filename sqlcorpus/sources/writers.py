@@ -77,9 +77,9 @@ def write_submission(df: DataFrame, path: str) -> None:
     json = F.to_json(F.create_map("question_id", "value"))
     inner = F.substr(json, F.lit(2), F.length(json) - 2)
     entries = format_predictions(df).select(F.col("question_id").alias("_id"), F.concat(F.lit("  "), inner).alias("_line"))
-    last = entries.agg(F.max("_id").alias("_last"))
-    lines = entries.crossJoin(F.broadcast(last)).select(
-        F.lit(1).alias("_part"), "_id", F.concat("_line", F.when(F.col("_id") < F.col("_last"), ",").otherwise("")).alias("value"))
+    last = entries.agg(F.max("_id")).first()[0]
+    lines = entries.select(F.lit(1).alias("_part"), "_id", F.concat(
+        "_line", F.when(F.col("_id") < F.lit(last), ",").otherwise("")).alias("value"))
     ends = df.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "_part int, _id string, value string")
     lines.unionByName(ends).repartition(1).sortWithinPartitions("_part", "_id").select("value").write.mode("overwrite").text(path)
 
