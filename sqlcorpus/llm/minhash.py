@@ -18,7 +18,7 @@ WORDS, BANDS, ROWS = 5, 14, 3
 #: How much the rarest shingle outweighs one that every document holds, less 1: similarity stays near the plain one.
 IDF_RANGE = 0.25
 #: Members of a bucket that are compared with each other in one piece, and columns that are multiplied at once.
-PIECE, COLUMNS = 512, 2048
+PIECE, COLUMNS = 256, 2048
 SLACK = 1e-9
 
 
@@ -157,6 +157,25 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def pack_features(elements: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
+    """48 bits of each element, enough to tell those of one bucket apart, and its weight by number in a short list."""
+    values, codes = np.unique(weights, return_inverse=True)
+    kind = np.uint8 if len(values) <= 256 else np.uint32
+    six = np.ascontiguousarray(elements).view(np.uint8).reshape(-1, 8)[:, :6]
+    return six.tobytes(), values.tobytes() + codes.astype(kind).tobytes()
+
+
+def unpack_features(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(elements) // 6
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(elements, dtype=np.uint8).reshape(-1, 6)
+    # With one byte an element the list has at most 256 values of eight bytes; else it has more.
+    kind = np.uint8 if len(weights) - n <= 256 * 8 and (len(weights) - n) % 8 == 0 else np.uint32
+    size = len(weights) - n * np.dtype(kind).itemsize
+    values, codes = np.frombuffer(weights[:size], dtype=np.float64), np.frombuffer(weights[size:], dtype=kind)
+    return wide.reshape(-1).view(np.uint64), values[codes]
+
+
 def describe(left: pa.Table, answers: pa.Table, n_docs: int, n_shards: int, threshold: float, id_col: str, schema):
     """A row a document; with class, bands and features if it can be similar to any other.
 
@@ -190,16 +209,15 @@ def describe(left: pa.Table, answers: pa.Table, n_docs: int, n_shards: int, thre
             level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
             elements = np.repeat(block.hash[a:b], tf) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             rows["_bands"][k] = own
-            rows["_elements"][k] = elements.tobytes()
-            rows["_weights"][k] = np.repeat(idf[a:b], tf).tobytes()
+            rows["_elements"][k], rows["_weights"][k] = pack_features(elements, np.repeat(idf[a:b], tf))
     return pa.table({"_id": block.ids, **rows}, schema=schema)
 
 
 def compare(part: pa.Table, threshold: float) -> pa.Table:
     """A spanning set of the links among the members of a bucket's two pieces, by weighted Jaccard similarity."""
     ids = part.column("_rep").to_numpy()
-    elements = [np.frombuffer(x, dtype=np.uint64) for x in part.column("_elements").to_pylist()]
-    weights = [np.frombuffer(x, dtype=np.float64) for x in part.column("_weights").to_pylist()]
+    elements, weights = zip(*map(
+        unpack_features, part.column("_elements").to_pylist(), part.column("_weights").to_pylist()))
     total = np.array([w.sum() for w in weights])
     values, first, inverse, counts = np.unique(
         np.concatenate(elements), return_index=True, return_inverse=True, return_counts=True)
