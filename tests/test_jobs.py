@@ -294,10 +294,10 @@ def test_execute_pairs(spark, workspace):
 def test_execution_times_out(spark, workspace):
     slow = "SELECT count(*) FROM range(0, 1000000000000, 1, 4) WHERE cast(id AS string) LIKE '%x'"
     pairs = spark.createDataFrame([("p", "a", "SELECT 1", slow)], "pair_id string, db_id string, gold_sql string, predicted_sql string")
-    rows, runs = execute_pairs(pairs, lambda session, db_id: None, workspace, timeout=2)
+    rows, runs = execute_pairs(pairs, lambda session, db_id: None, workspace, timeout=6)
     row = compare_results(rows, runs).first()
     assert row["gold_exec_status"] and not row["predict_exec_status"]
-    assert row["error_msg"] == "timed out after 2 seconds"
+    assert row["error_msg"] == "timed out after 6 seconds"
 
 
 def test_predict_resumes_and_scores(spark, workspace, tmp_path):
