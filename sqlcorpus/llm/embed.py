@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from sqlcorpus.llm.components import connected_components
 
@@ -101,8 +102,11 @@ def near_vectors(
     link with nothing, nor do rows without a label; rows with the same id count as one node with all their links.
     """
     spark = vectors.sparkSession
+    # Floats travel as they are and are widened where they are compared.
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType)
+    kind = "array<float>" if single else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label"),
-                          F.col(vector_col).cast("array<double>").alias("_v"))
+                          F.col(vector_col).cast(kind).alias("_v"))
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("_label").isNotNull() & F.col("_id").isNotNull() & F.col("_v").isNotNull() & finite & F.exists(
         "_v", lambda x: x != 0)
@@ -131,12 +135,12 @@ def near_vectors(
             if len(part):
                 x = unit(np.array(part["_v"].tolist(), dtype=np.float64))
                 cells = own.order(x, own.visits)
-                part = part.assign(_u=list(x), _home=cells[:, 0], _cells=list(cells))
-                yield part[["_rep", "_label", "_n", "_u", "_home", "_cells"]]
+                yield part.assign(_home=cells[:, 0], _cells=list(cells))
 
     placed = workspace.table(classes.select("_rep", "_label", "_n", "_v").mapInPandas(
-        place, f"_rep long, _label {label}, _n long, _u array<double>, _home long, _cells array<long>"), "placed")
-    visits = placed.withColumn("_cell", F.explode("_cells"))
+        place, f"_rep long, _label {label}, _n long, _v {kind}, _home long, _cells array<long>"), "placed")
+    # Only a home's own walk is looked up, so queries travel without theirs.
+    visits = placed.withColumn("_cell", F.explode("_cells")).withColumn("_cells", F.lit(None).cast("array<long>"))
     homes = placed.groupBy("_label", F.col("_home").alias("_cell")).agg(F.count(F.lit(1)).alias("_homes"))
     counts = workspace.table(visits.groupBy("_label", "_cell").agg(F.count(F.lit(1)).alias("_queries")).join(
         homes, ["_label", "_cell"]).select(
@@ -147,7 +151,7 @@ def near_vectors(
         mine = F.pmod(F.xxhash64("_rep"), F.col(own)).cast("int")
         there = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         both = side.join(counts, ["_label", "_cell"]).withColumn(own, mine).withColumn(other, there)
-        return both.select("_label", "_cell", "_hs", "_qs", F.lit(query).alias("_query"), "_rep", "_n", "_u", "_home",
+        return both.select("_label", "_cell", "_hs", "_qs", F.lit(query).alias("_query"), "_rep", "_n", "_v", "_home",
                            "_cells")
 
     met = blocks(visits, "_qs", "_hs", True).unionByName(
@@ -157,7 +161,7 @@ def near_vectors(
         q, h = part[part["_query"]], part[~part["_query"]]
         if not len(q) or not len(h):
             return pd.DataFrame({"_rep": [], "_links": [], "_root": []}).astype("int64")
-        cosine = np.array(q["_u"].tolist()) @ np.array(h["_u"].tolist()).T
+        cosine = unit(np.array(q["_v"].tolist(), dtype=np.float64)) @ unit(np.array(h["_v"].tolist(), dtype=np.float64)).T
         a, b = np.nonzero((cosine >= threshold) & (q["_rep"].to_numpy()[:, None] != h["_rep"].to_numpy()[None]))
         # The other way round, the pair meets in the query's home if the home's own walk gets there.
         reach, at = np.array(h["_cells"].tolist()), q["_home"].to_numpy()
