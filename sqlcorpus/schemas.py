@@ -32,7 +32,6 @@ ERROR = "Error"
 FAILURE = "Failure"
 CONTEXT_LIMIT = "ContextLimit"
 NO_SQL_BLOCK = "ERROR: NO SQL BLOCK FOUND"
-PROMPT_TOO_LONG = "ERROR: PROMPT TOO LONG"
 CONTEXT_EXCEEDED = "Context length exceeded"
 
 # The separator of a submission line, and the split names.
@@ -87,21 +86,3 @@ CATALOG = T.StructType(
 GENERATIONS = T.StructType(_strings("question_id", "raw_content"))
 PREDICTIONS = T.StructType(_strings("question_id", "sql", "db_id"))
 CURATED = T.StructType(RESULTS.fields + _strings("split"))
-
-RESULT_ROWS = T.StructType(
-    [
-        T.StructField("pair_id", T.StringType()),
-        T.StructField("side", T.StringType()),
-        T.StructField("row", T.ArrayType(T.StringType())),
-    ]
-)
-EXECUTIONS = T.StructType(
-    [
-        T.StructField("pair_id", T.StringType()),
-        T.StructField("gold_ok", T.BooleanType()),
-        T.StructField("pred_ok", T.BooleanType()),
-        T.StructField("gold_cols", T.ArrayType(T.StringType())),
-        T.StructField("pred_cols", T.ArrayType(T.StringType())),
-        T.StructField("error_msg", T.StringType()),
-    ]
-)
