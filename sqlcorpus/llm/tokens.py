@@ -58,12 +58,12 @@ PLAIN_LIMIT, NOT_PLAIN = "ƀ", frozenset("İŉ")
 class TokenCounter(dict):
     """Tokens of a run of bytes without ASCII white space, remembered by run.
 
-    Once, all vocabulary strings are encoded: those that come out as their own single token are whole tokens. A
-    pre-token that is one counts 1 at once; only the rest is merged by the library. White space ends every pre-token,
-    so a text has as many tokens as its runs together.
+    ``whole`` lists the whole tokens that ``prove_whole`` has shown. A pre-token that is one counts 1 at once; only
+    the rest is merged by the library. White space ends every pre-token, so a text has as many tokens as its runs
+    together.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: list[str] | None = None) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -73,7 +73,7 @@ class TokenCounter(dict):
         t.no_padding()
         self.pattern = regex.compile(PRE_TOKENS)
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
-        self.words = dict.fromkeys(prove_whole(t, self.pattern), 1)
+        self.words = dict.fromkeys(prove_whole(path) if whole is None else whole, 1)
         self.whole = len(self.words)
 
     def merged(self, text: str) -> int:
@@ -108,8 +108,14 @@ def is_plain(text: str) -> bool:
         and not re.search(r"\s", text))
 
 
-def prove_whole(tokenizer, pattern) -> list[str]:
+def prove_whole(path: str) -> list[str]:
     """Vocabulary strings that are a whole pre-token and encode alone as one token, each shown by encoding it."""
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer, pattern = Tokenizer.from_file(path), regex.compile(PRE_TOKENS)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     from sqlcorpus.llm.bpe import byte_of_symbol
 
@@ -129,9 +135,14 @@ def prove_whole(tokenizer, pattern) -> list[str]:
 def count_tokens(
     docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every whole text, as the library counts. A null text is empty."""
+    """(id, n_bytes, n_tokens, over_limit) of every whole text, as the library counts. A null text is empty.
+
+    Whole tokens are proved once, by the driver, and broadcast: they are part of the vocabulary, so their size is fixed.
+    """
+    whole = docs.sparkSession.sparkContext.broadcast(prove_whole(path))
+
     def make():
-        counter = TokenCounter(path)
+        counter = TokenCounter(path, whole.value)
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
