@@ -86,6 +86,8 @@ class ToxicityModel:
             y = x[:n] @ w[0]
             for i in range(1, width):
                 y += x[i:n + i] @ w[i]
+            # Windows from a text's last gap rows on reach into the next text and belong to neither.
+            y[(starts[1:-1, None] - np.arange(1, width)).ravel()] = -np.inf
             best = np.maximum.reduceat(y, starts[:-1], axis=0)
             out.append(best + b)
             if trace:

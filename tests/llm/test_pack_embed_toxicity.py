@@ -11,7 +11,7 @@ from sqlcorpus.llm import embed, pack
 from sqlcorpus.llm.embed import fit_index, near_vectors, unit
 from sqlcorpus.llm.pack import cut_pieces, pack_documents, pack_lengths, sum_of_squares
 from sqlcorpus.llm.queries import LEARNED, op4_best_fit_packing, op6_embedding_near_dedup, op8_toxicity, tokenizer_path
-from sqlcorpus.llm.toxicity import ToxicitySettings, keep_clean, score_toxicity, train_toxicity
+from sqlcorpus.llm.toxicity import ToxicityModel, ToxicitySettings, WordCoder, keep_clean, score_toxicity, train_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,6 +169,32 @@ def test_toxicity(spark):
     assert {r.doc_id + 5: r.score for r in got if r.doc_id} == {r.doc_id: r.score for r in score_toxicity(other, model).collect() if r.doc_id and r.doc_id != 5}
 
 
+def test_toxicity_of_a_text_ignores_its_neighbours():
+    rng = np.random.default_rng(0)
+    model = random_model(rng)
+    coder = WordCoder(model.settings.buckets)
+    clean, toxic, empty = coder("fine words only"), coder("vilest text of all"), coder("")
+    model.embedding[toxic[0]] = 3 * rng.normal(size=(3, model.settings.size))
+    for text in (clean, empty):
+        alone = model.pooled([text])[0]
+        for texts, k in (([toxic, text], 1), ([text, toxic], 0), ([clean, text, toxic, empty, toxic], 1)):
+            assert np.allclose(model.pooled(texts)[k], alone, atol=1e-5)
+    h, codes, places = model.pooled([clean, toxic, empty, toxic, clean], trace=True)
+    starts = np.cumsum([0] + [len(t) + 3 for t in (clean, toxic, empty, toxic)])
+    for width, place in zip(model.settings.widths, places):
+        assert (place >= starts[:, None]).all() and (place[:-1] + width <= starts[1:, None]).all()
+
+
+def random_model(rng):
+    s = ToxicitySettings()
+    k = len(s.widths) * s.filters
+    embedding = rng.normal(size=(s.buckets, s.size)).astype(np.float32)
+    embedding[0] = 0
+    filters = [rng.normal(size=(w, s.size, s.filters)).astype(np.float32) for w in s.widths]
+    return ToxicityModel(s, embedding, filters, [np.zeros(s.filters, dtype=np.float32) for _ in s.widths],
+                         rng.normal(size=k).astype(np.float32), 0.0)
+
+
 def test_toxicity_held_out(spark):
     """Over the largest sample of the small tables."""
     folder = "/root/testdata/sf0.1"
