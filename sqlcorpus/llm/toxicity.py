@@ -15,6 +15,9 @@ from sqlcorpus.llm.common import keep_rows, per_batch
 #: ASCII letters in lower case, bytes of other characters as they are, all else a space.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
+#: Bins of log odds in which labelled rows are counted to find cuts.
+BINS = 1 << 14
+
 
 @dataclass(frozen=True)
 class ToxicitySettings:
@@ -62,7 +65,7 @@ class WordCoder(dict):
 
 @dataclass
 class ToxicityModel:
-    """Parameters, an offset that puts the best cut of the fitted rows at 0.5, and a threshold for each language."""
+    """Parameters, an offset that puts the best cut of all labelled rows at 0.5, and a threshold for each language."""
 
     settings: ToxicitySettings
     embedding: np.ndarray
@@ -117,12 +120,16 @@ class ToxicityModel:
             start = end
         return (np.tanh(h) @ self.weights + self.intercept).astype(np.float64)
 
+    def step(self) -> float:
+        """Width of a bin of log odds: all that the weights allow makes ``BINS`` bins."""
+        return 2 * float(np.abs(self.weights).sum() + abs(self.intercept)) / BINS
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         z = self.scale * (self.raw(texts) - self.offset)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s: ToxicitySettings) -> ToxicityModel:
+def fit(texts: list[np.ndarray], labels: np.ndarray, s: ToxicitySettings) -> ToxicityModel:
     """Adam on the log loss with toxic and other rows of equal weight; gradients pass through the largest responses.
 
     Buckets that fewer than ``least_rows`` fitted rows touch stay zero: what a few rows hold by chance is not learned.
@@ -182,33 +189,49 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s:
                 v[r] = 0.999 * v[r] + 0.001 * gr * gr
                 q[r] -= rate * m[r] / (np.sqrt(v[r]) + 1e-8)
     model.intercept = float(params[-1][0])
-    return calibrate(model, texts, labels, langs)
+    return model
 
 
-def best_cut(z: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the least balanced error."""
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], labels[order]
-    missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
-    false = np.concatenate([[(1 - y).sum()], (1 - y).sum() - np.cumsum(1 - y)]) / max(1, (1 - y).sum())
+def best_cut(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the widest gap among the cuts with the least balanced error.
+
+    ``toxic`` and ``clean`` count the rows at each of the ascending, distinct values ``z``.
+    """
+    missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
+    false = np.concatenate([[clean.sum()], clean.sum() - np.cumsum(clean)]) / max(1, clean.sum())
     error = missed + false
     edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
     gaps = edges[1:] - edges[:-1]
-    good = np.flatnonzero((error <= error.min() + 1e-12) & (gaps > 0))
-    k = good[gaps[good].argmax()] if len(good) else 0
+    good = np.flatnonzero(error <= error.min() + 1e-12)
+    k = good[gaps[good].argmax()]
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def calibrate(model: ToxicityModel, texts: list, labels: np.ndarray, langs: list) -> ToxicityModel:
-    """Puts the cut of all fitted rows at 0.5, then takes a threshold on the score for each language with both labels."""
-    z = model.raw(texts)
-    model.offset = best_cut(z, labels)
-    model.scale = float(np.clip(4 / max(1e-6, np.abs(z - model.offset).mean()), 0.2, 5))
-    score = model.score(texts)
-    for lang in set(langs):
-        own = np.array([x == lang for x in langs])
-        y = labels[own]
-        model.thresholds[lang] = best_cut(score[own], y) if 5 <= y.sum() < len(y) else 0.5
+def calibrate(model: ToxicityModel, counts: list[tuple[str | None, int, int, int]]) -> ToxicityModel:
+    """Puts the cut of all rows at 0.5, and takes a threshold for each language with both labels.
+
+    ``counts`` are the rows of each (language, label, bin of the log odds).
+    """
+    bins = np.array([b for _, _, b, _ in counts], dtype=np.int64)
+    label = np.array([y for _, y, _, _ in counts], dtype=np.int64)
+    many = np.array([n for _, _, _, n in counts], dtype=np.int64)
+    places: dict[str | None, list[int]] = {}
+    for k, (lang, _, _, _) in enumerate(counts):
+        places.setdefault(lang, []).append(k)
+
+    def cut(rows) -> tuple[float, int, int]:
+        found, inverse = np.unique(bins[rows], return_inverse=True)
+        held = np.zeros((2, len(found)), dtype=np.int64)
+        np.add.at(held, (label[rows], inverse), many[rows])
+        return best_cut((found + 0.5) * model.step(), held[1], held[0]), int(held[1].sum()), int(held[0].sum())
+
+    model.offset = cut(slice(None))[0]
+    spread = (np.abs((bins + 0.5) * model.step() - model.offset) * many).sum() / many.sum()
+    model.scale = float(np.clip(4 / max(1e-6, spread), 0.2, 5))
+    for lang, rows in places.items():
+        at, toxic, clean = cut(rows)
+        z = np.clip(model.scale * (at - model.offset), -700, 700)
+        model.thresholds[lang] = float(1 / (1 + np.exp(-z))) if toxic >= 5 and clean else 0.5
     return model
 
 
@@ -219,19 +242,23 @@ def train_toxicity(
     """Fits on at most ``max_train`` labelled rows, chosen by a digest of the id among those that ``keep`` allows.
 
     The ids are chosen first, so at most that many are broadcast; texts become word codes on the executors. Repeated
-    ids count once, null ids or labels not at all.
+    ids count once, null ids or labels not at all. The offset and the thresholds then come from all labelled rows that
+    ``keep`` allows, long texts too: texts are scored in place, and only ids and bins meet the labels.
     """
     s = settings or ToxicitySettings()
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(
-        F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+        F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     if keep:
         rows = rows.where(keep.format(id="_id"))
     mixed = F.xxhash64(F.lit(s.seed), "_id")
     half = s.max_train // 2
     chosen = rows.where("_label = 1").orderBy(mixed, "_id").limit(half).unionByName(
         rows.where("_label = 0").orderBy(mixed, "_id").limit(s.max_train - half))
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(
-        F.broadcast(chosen), "_id").select("_id", "_text", "_lang", "_label")
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                        F.col(lang_col).cast("string").alias("_lang")).where("_id IS NOT NULL")
+    if keep:
+        known = known.where(keep.format(id="_id"))
+    picked = known.join(F.broadcast(chosen), "_id").select("_id", "_text", "_lang", "_label")
 
     def make():
         coder = WordCoder(s.buckets)
@@ -239,16 +266,39 @@ def train_toxicity(
         def work(batch: pa.RecordBatch) -> dict:
             codes = [coder(t or "") for t in batch.column(1).to_pylist()]
             return {"_id": batch.column(0), "_codes": [c.astype("<u2").tobytes() for c in codes],
-                    "_lang": batch.column(2), "_label": batch.column(3).cast(pa.int32()), "_n": list(map(len, codes))}
+                    "_label": batch.column(3).cast(pa.int32()), "_n": list(map(len, codes))}
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = per_batch(picked, make, f"_id {kind}, _codes binary, _lang string, _label int, _n int").where(
+    found = per_batch(picked, make, f"_id {kind}, _codes binary, _label int, _n int").where(
         F.col("_n") <= s.max_words).limit(s.max_train).toPandas()
     found = found.drop_duplicates("_id").sort_values("_id")
     texts = [np.frombuffer(c, dtype="<u2").astype(np.int32).reshape(-1, 3) for c in found["_codes"]]
-    langs = [x if isinstance(x, str) else None for x in found["_lang"]]
-    return fit(texts, found["_label"].to_numpy(dtype=np.float32), langs, s)
+    model = fit(texts, found["_label"].to_numpy(dtype=np.float32), s)
+    return calibrate(model, count_bins(known, rows, model, kind)) if model.weights.any() else model
+
+
+def count_bins(docs: DataFrame, rows: DataFrame, model: ToxicityModel, kind: str) -> list[tuple]:
+    """(language, label, bin, rows) over all of ``docs`` (_id, _text, _lang) that ``rows`` (_id, _label) label.
+
+    No text is shuffled. A repeated id counts once, with its smallest language and bin.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        net = held.value
+        coder = WordCoder(net.settings.buckets)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            z = net.raw([coder(t or "") for t in batch.column(1).to_pylist()])
+            return {"_id": batch.column(0), "_lang": batch.column(2),
+                    "_bin": np.floor(z / net.step()).astype(np.int32)}
+        return work
+
+    binned = per_batch(docs, make, f"_id {kind}, _lang string, _bin int").groupBy("_id").agg(
+        F.min(F.struct("_lang", "_bin")).alias("_at"))
+    counts = binned.join(rows, "_id").groupBy("_at._lang", "_label", "_at._bin").agg(F.count(F.lit(1)).alias("_n"))
+    return [tuple(r) for r in counts.select("_lang", "_label", "_bin", "_n").collect()]
 
 
 def score_toxicity(

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sqlcorpus.llm import embed, pack
+from sqlcorpus.llm import embed, pack, toxicity
 from sqlcorpus.llm.embed import fit_index, near_vectors, unit
 from sqlcorpus.llm.pack import cut_pieces, pack_documents, pack_lengths, sum_of_squares
 from sqlcorpus.llm.queries import LEARNED, op4_best_fit_packing, op6_embedding_near_dedup, op8_toxicity, tokenizer_path
@@ -195,6 +195,38 @@ def random_model(rng):
                          rng.normal(size=k).astype(np.float32), 0.0)
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40))) + " vilest" * (i % 3 == 0), "x") for i in range(600)]
+    # A rare language of long texts only, none of which may be fitted.
+    rows += [(1000 + i, "good " * 400 + "vilest " * (i % 2), "rare") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int("vilest" in t)) for i, t, _ in rows], "doc_id long, toxic int")
+    counted = []
+    plain = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, counts: counted.extend(counts) or plain(model, counts))
+    model = train_toxicity(frame, marks, ToxicitySettings(max_train=60, max_words=300))
+    assert sum(n for *_, n in counted) == len(rows)
+    assert {(lang, y): sum(n for l, k, _, n in counted if (l, k) == (lang, y)) for lang in ("x", "rare") for y in (0, 1)} == {
+        ("x", 0): 400, ("x", 1): 200, ("rare", 0): 10, ("rare", 1): 10}
+    assert set(model.thresholds) == {"x", "rare"} and model.thresholds["rare"] != 0.5
+    flagged = {r.doc_id: r.flagged for r in score_toxicity(frame, model).collect()}
+    assert all(flagged[1000 + i] == (i % 2 == 1) for i in range(20))
+
+
+def test_cuts_from_counts():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        z = np.unique(rng.integers(0, 30, 12)).astype(float)
+        toxic, clean = rng.integers(0, 4, len(z)), rng.integers(0, 4, len(z))
+        at = toxicity.best_cut(z, toxic, clean)
+
+        def error(c):
+            return toxic[z < c].sum() / max(1, toxic.sum()) + clean[z >= c].sum() / max(1, clean.sum())
+        assert error(at) <= min(error(c) for c in np.arange(-1.5, 31)) + 1e-9
+
+
 def test_toxicity_held_out(spark):
     """Over the largest sample of the small tables."""
     folder = "/root/testdata/sf0.1"
