@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +14,10 @@ from sqlcorpus.llm.sais import permuted_prefixes, ranges, suffix_array
 
 #: Bytes whose digest anchors a window; bytes of text that are digested, and sorted, at once.
 ANCHOR, STRIDE, SORTED = 20, 1 << 16, 1 << 20
+#: A digest is hot that occurs more often in one block, or in more blocks.
+HOT_RUNS, HOT_BLOCKS = 32, 64
+#: The mark of a window that was sent by itself, beyond those of anchors.
+ALONE = 256
 LAST = np.iinfo(np.int64).max
 
 
@@ -63,6 +68,42 @@ def anchors(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     return mix(digest + np.uint64(1)), first, last  # the smallest of many digests are far from even
 
 
+def window_digests(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Digests of the windows of ``width`` bytes that begin at ``at``."""
+    factors = np.random.default_rng(5).integers(0, 1 << 64, width, dtype=np.uint64)
+    out = np.zeros(len(at), dtype=np.uint64)
+    for i, factor in enumerate(factors):
+        out += (text[at + i].astype(np.uint64) + np.uint64(1)) * factor
+    return mix(out)
+
+
+def tags_by_shard(keys: np.ndarray, flags: np.ndarray, block: int) -> pa.Table:
+    """One row a shard of its ascending keys, with two flags in the trailing bits."""
+    value = (keys & np.uint64(0xFFFFFFFC)).astype(np.uint32) | flags.astype(np.uint32)
+    shard, start, end = split_at((keys >> np.uint64(32)).astype(np.int64))
+    return pa.table({
+        "_shard": pa.array(shard, pa.int32()), "_block": pa.array(np.full(len(shard), block), pa.int32()),
+        "_tags": pa.array([value[s:e].tobytes() for s, e in zip(start, end)], pa.binary())})
+
+
+def read_bits(keys: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is shared, and whether it is hot."""
+    by_shard = dict(zip(answers.column("_shard").to_pylist(), answers.column("_bits").to_pylist()))
+    shared, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    for shard, start, end in zip(*split_at((keys >> np.uint64(32)).astype(np.int64))):
+        bits = np.unpackbits(np.frombuffer(by_shard[int(shard)], dtype=np.uint8), count=2 * (end - start)).astype(bool)
+        shared[start:end], hot[start:end] = np.split(bits, 2)
+    return shared, hot
+
+
+def in_two(inverse: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of ``n`` keys has two owners."""
+    low, high = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, inverse, owner)
+    np.maximum.at(high, inverse, owner)
+    return low < high
+
+
 class Block:
     """The documents of one block in a fixed order, their anchored runs, and the digests it asks about."""
 
@@ -77,52 +118,60 @@ class Block:
         self.owner = self.rank[np.searchsorted(self.ends, self.first, side="right")]
         shard = shard_of(digest, n_shards)
         # Leading bits pick the shard, trailing ones tell digests apart in it; a clash only asks about more text.
-        self.key = (shard.astype(np.uint64) << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFE))
-        self.keys, inverse = np.unique(self.key, return_inverse=True)
-        low = np.full(len(self.keys), LAST)
-        high = np.full(len(self.keys), np.iinfo(np.int64).min)
-        np.minimum.at(low, inverse, self.owner)
-        np.maximum.at(high, inverse, self.owner)
-        self.inverse, self.several = inverse, low < high
-        self.shards = (self.keys >> np.uint64(32)).astype(np.int64)
+        self.key = (shard.astype(np.uint64) << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFC))
+        self.keys, self.inverse, counts = np.unique(self.key, return_inverse=True, return_counts=True)
+        self.flags = in_two(self.inverse, self.owner, len(self.keys)) | (counts > HOT_RUNS) * 2
+        self.n_shards, self.width = n_shards, width
 
     def questions(self, block: int) -> pa.Table:
-        value = (self.keys & np.uint64(0xFFFFFFFE)).astype(np.uint32) | self.several.astype(np.uint32)
-        shard, start, end = split_at(self.shards)
-        return pa.table({
-            "_shard": pa.array(shard, pa.int32()), "_block": pa.array(np.full(len(shard), block), pa.int32()),
-            "_tags": pa.array([value[s:e].tobytes() for s, e in zip(start, end)], pa.binary())})
-
-    def shared(self, answers: pa.Table) -> np.ndarray:
-        """Whether each run's digest occurs in another document too."""
-        by_shard = dict(zip(answers.column("_shard").to_pylist(), answers.column("_bits").to_pylist()))
-        found = np.zeros(len(self.keys), dtype=bool)
-        for shard, start, end in zip(*split_at(self.shards)):
-            bits = np.frombuffer(by_shard[int(shard)], dtype=np.uint8)
-            found[start:end] = np.unpackbits(bits, count=end - start).astype(bool)
-        return found[self.inverse]
-
-    def passages(self, shared: np.ndarray, width: int):
-        """Distinct texts of the shared runs by shard, in a fixed order, with their runs: {shard: {text: runs}}."""
+        return tags_by_shard(self.keys, self.flags, block)
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, run) of the windows of ``runs``, the distinct keys of their digests, and which key each has."""
+        many = self.last[runs] - self.first[runs] + 1
+        at, run = ranges(self.first[runs], many), runs.repeat(many)
+        digest = window_digests(self.text, at, self.width)
+        key = (shard_of(digest, self.n_shards).astype(np.uint64) << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFC))
+        return at, run, *np.unique(key, return_inverse=True)
+
+    def window_questions(self, answers: pa.Table, block: int) -> pa.Table:
+        """What the block asks about each distinct window whose anchor is hot."""
+        shared, hot = read_bits(self.keys, answers)
+        _, run, keys, inverse = self.windows(np.flatnonzero((shared & hot)[self.inverse]))
+        return tags_by_shard(keys, in_two(inverse, self.owner[run], len(keys)), block)
+
+    def stretches(self, answers: pa.Table, of_windows: pa.Table) -> tuple[np.ndarray, ...]:
+        """(first, last, run, shard, mark): shared runs, and of hot ones each window that is shared itself."""
+        shared, hot = read_bits(self.keys, answers)
+        cold = np.flatnonzero((shared & ~hot)[self.inverse])
+        at, run, keys, inverse = self.windows(np.flatnonzero((shared & hot)[self.inverse]))
+        good = read_bits(keys, of_windows)[0][inverse]
+        key = np.concatenate([self.key[cold], keys[inverse[good]]])
+        mark = ((key >> np.uint64(2)) & np.uint64(255)).astype(np.uint16)
+        mark[len(cold):] = ALONE
+        return (np.concatenate([self.first[cold], at[good]]), np.concatenate([self.last[cold], at[good]]),
+                np.concatenate([cold, run[good]]), (key >> np.uint64(32)).astype(np.int64), mark)
+
+    def passages(self, first: np.ndarray, last: np.ndarray, shard: np.ndarray):
+        """Distinct texts of the stretches by shard, in a fixed order, with their stretches: {shard: {text: places}}."""
         out: dict[int, dict[bytes, list[int]]] = {}
-        shard = (self.key >> np.uint64(32)).astype(np.int64)
-        for k in np.flatnonzero(shared).tolist():
-            text = self.raw[self.first[k]:self.last[k] + width]
-            out.setdefault(int(shard[k]), {}).setdefault(text, []).append(k)
+        for k, (s, e) in enumerate(zip(first.tolist(), last.tolist())):
+            out.setdefault(int(shard[k]), {}).setdefault(self.raw[s:e + self.width], []).append(k)
         return out
 
 
 def answer(part: pa.Table) -> pa.Table:
-    """Which tags of each block occur in two blocks, or in two documents of one."""
+    """Which tags of each block occur in two blocks, or in two documents of one, and which of them are hot."""
     tags = [np.frombuffer(x, dtype=np.uint32) for x in part.column("_tags").to_pylist()]
     every = np.concatenate(tags)
-    _, inverse, counts = np.unique(every >> np.uint32(1), return_inverse=True, return_counts=True)
-    several = np.zeros(len(counts), dtype=bool)
+    _, inverse, counts = np.unique(every >> np.uint32(2), return_inverse=True, return_counts=True)
+    several, hot = counts > 1, counts > HOT_BLOCKS
     several[inverse[(every & np.uint32(1)).astype(bool)]] = True
-    shared = ((counts > 1) | several)[inverse]
+    hot[inverse[(every & np.uint32(2)).astype(bool)]] = True
     cuts = np.cumsum([len(x) for x in tags])[:-1]
+    bits = zip(np.split(several[inverse], cuts), np.split((several & hot)[inverse], cuts))
     return pa.table({"_block": part.column("_block"), "_shard": part.column("_shard"),
-                     "_bits": pa.array([np.packbits(x).tobytes() for x in np.split(shared, cuts)], pa.binary())})
+                     "_bits": pa.array([np.packbits(np.concatenate(x)).tobytes() for x in bits], pa.binary())})
 
 
 def first_owners(texts: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
@@ -148,6 +197,7 @@ def judge(part: pa.Table, width: int) -> pa.Table:
     """The smallest owner of every window that the blocks sent to a shard, in the order in which they sent them.
 
     Texts with the same bits of their anchor's digest are sorted together, so a large shard is sorted in portions.
+    Windows that came alone only meet their equals.
     """
     part = part.sort_by("_block")
     number: dict[bytes, int] = {}
@@ -158,7 +208,8 @@ def judge(part: pa.Table, width: int) -> pa.Table:
             part.column(c).to_pylist() for c in ("_texts", "_lengths", "_owners", "_marks"))):
         at, own = 0, []
         for n, m, mark in zip(np.frombuffer(lengths, dtype=np.uint16).tolist(),
-                              np.frombuffer(mins, dtype=np.int64).tolist(), marks):
+                              np.frombuffer(mins, dtype=np.int64).tolist(),
+                              np.frombuffer(marks, dtype=np.uint16).tolist()):
             text = blob[at:at + n]
             at += n
             k = number.setdefault(text, len(number))
@@ -170,10 +221,10 @@ def judge(part: pa.Table, width: int) -> pa.Table:
             own.append(k)
         sent.append(own)
     texts, lowest, mark = list(number), np.array(owners, dtype=np.int64), np.array(bits)
-    found: list[np.ndarray] = [lowest] * len(texts)
-    portions = min(256, -(-sum(map(len, texts)) // SORTED))
+    found: list[np.ndarray] = [lowest[k:k + 1] for k in range(len(texts))]
+    portions = min(256, -(-sum(len(t) for t, m in zip(texts, bits) if m != ALONE) // SORTED))
     for i in range(portions):
-        chosen = np.flatnonzero(mark % portions == i).tolist()
+        chosen = np.flatnonzero((mark % portions == i) & (mark != ALONE)).tolist()
         if chosen:
             for k, firsts in zip(chosen, first_owners([texts[k] for k in chosen], lowest[chosen], width)):
                 found[k] = firsts
@@ -198,13 +249,17 @@ def remove_repeats(
 
     1. Blocks of documents send shards the digests that anchor their windows; shards answer which occur in two
        documents. All other text has no match and goes no further.
-    2. Blocks send each distinct stretch of the rest, once, to the shard of its anchor, with its smallest id. The
+    2. Of a hot digest, which many contexts may surround, blocks ask in the same way about each distinct window, so
+       that windows of one document only, at the ends of a passage, go no further; the others go one by one, each to
+       the shard of its own digest.
+    3. Blocks send each distinct stretch of the rest, once, to the shard of its anchor, with its smallest id. The
        shard sorts all suffixes of its stretches by induced sorting; permuted common prefixes of ``width`` or more
        join windows, whose smallest id goes back.
-    3. Blocks drop what a smaller id holds.
+    4. Blocks drop what a smaller id holds.
 
-    Equal windows have equal anchors, so they meet in one shard. However many documents share a passage, a shard gets
-    it once a block. Null texts are empty; a null id counts as larger than all others; rows with the same id do not
+    Equal windows have equal anchors, so they meet in one shard, and are hot together. However many documents share a
+    passage, and whatever surrounds it, a shard gets a window once a block, and the windows of a hot digest are spread
+    over all shards. Null texts are empty; a null id counts as larger than all others; rows with the same id do not
     touch each other's bytes. With ``characters`` a character stays if one of its bytes does, so that ``kept`` is
     valid UTF-8. The columns ``carry`` come along as the struct ``rest``.
     """
@@ -216,41 +271,50 @@ def remove_repeats(
     def ask(part: pa.Table) -> pa.Table:
         return Block(part, n, width).questions(part.column("_block")[0].as_py())
 
+    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left, n, width)
+        return block.window_questions(right, left.column("_block")[0].as_py() if left.num_rows else 0)
+
+    def stretches(block: Block, right: pa.Table):
+        rounds = right.column("_round")
+        return block.stretches(right.filter(pc.equal(rounds, 1)), right.filter(pc.equal(rounds, 2)))
+
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"_shard": [], "_block": [], "_texts": [], "_lengths": [], "_owners": [],
                                 "_marks": []}
         if left.num_rows and right.num_rows:
             block = Block(left, n, width)
-            for shard, found in block.passages(block.shared(right), width).items():
+            first, last, run, shards, marks = stretches(block, right)
+            owner = block.owner[run]
+            for shard, found in block.passages(first, last, shards).items():
                 rows["_shard"].append(shard)
                 rows["_block"].append(left.column("_block")[0].as_py())
                 rows["_texts"].append(b"".join(found))
                 rows["_lengths"].append(np.array([len(t) for t in found], dtype=np.uint16).tobytes())
-                rows["_owners"].append(np.array([block.owner[k].min() for k in found.values()]).tobytes())
-                runs = np.array([k[0] for k in found.values()])
-                rows["_marks"].append(((block.key[runs] >> np.uint64(1)) & np.uint64(255)).astype(np.uint8).tobytes())
+                rows["_owners"].append(np.array([owner[k].min() for k in found.values()]).tobytes())
+                one = np.array([k[0] for k in found.values()])
+                rows["_marks"].append(marks[one].tobytes())
         return pa.table(rows, schema=pa.schema([
             ("_shard", pa.int32()), ("_block", pa.int32()), ("_texts", pa.binary()), ("_lengths", pa.binary()),
             ("_owners", pa.binary()), ("_marks", pa.binary())]))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
-        bits = {s: b for s, b in zip(right.column("_shard").to_pylist(), right.column("_bits").to_pylist())
-                if b is not None}
+        asked_about = right.filter(pc.is_valid(right.column("_bits")))
         firsts = {s: f for s, f in zip(right.column("_shard").to_pylist(), right.column("_firsts").to_pylist())
                   if f is not None}
         block = Block(left, n, width)
         repeated = np.zeros(len(block.text), dtype=bool)
-        if bits:
-            answers = pa.table({"_shard": list(bits), "_bits": pa.array(list(bits.values()), pa.binary())})
-            for shard, found in block.passages(block.shared(answers), width).items():
+        if asked_about.num_rows:
+            first, last, run, shards, _ = stretches(block, asked_about)
+            for shard, found in block.passages(first, last, shards).items():
                 windows = np.array([len(text) - width + 1 for text in found])
                 starts = np.cumsum(windows) - windows
-                many = np.array([len(runs) for runs in found.values()])
-                runs = np.array([k for own in found.values() for k in own])
+                many = np.array([len(places) for places in found.values()])
+                places = np.array([k for own in found.values() for k in own])
                 windows, starts = windows.repeat(many), starts.repeat(many)
                 low = np.frombuffer(firsts[shard], dtype=np.int64)[ranges(starts, windows)]
-                hit = low < block.owner[runs].repeat(windows)
-                repeated[ranges(block.first[runs], windows)[hit]] = True
+                hit = low < block.owner[run[places]].repeat(windows)
+                repeated[ranges(first[places], windows)[hit]] = True
         # A window covers the bytes up to its width, and windows lie inside documents.
         so_far = np.cumsum(repeated, dtype=np.int32)
         gone = so_far > 0
@@ -272,12 +336,16 @@ def remove_repeats(
 
     asked = texts.groupBy("_block").applyInArrow(ask, "_shard int, _block int, _tags binary")
     answered = asked.groupBy("_shard").applyInArrow(answer, "_block int, _shard int, _bits binary")
-    sent = texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
+    asked_again = texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
+        ask_windows, "_shard int, _block int, _tags binary")
+    answered_again = asked_again.groupBy("_shard").applyInArrow(answer, "_block int, _shard int, _bits binary")
+    answers = answered.withColumn("_round", F.lit(1)).unionByName(answered_again.withColumn("_round", F.lit(2)))
+    sent = texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         send, "_shard int, _block int, _texts binary, _lengths binary, _owners binary, _marks binary")
     judged = sent.groupBy("_shard").applyInArrow(
         lambda part: judge(part, width), "_block int, _shard int, _firsts binary")
-    back = answered.withColumn("_firsts", F.lit(None).cast("binary")).unionByName(
-        judged.withColumn("_bits", F.lit(None).cast("binary")))
+    back = answers.withColumn("_firsts", F.lit(None).cast("binary")).unionByName(
+        judged.withColumn("_bits", F.lit(None).cast("binary")).withColumn("_round", F.lit(3)))
     schema = StructType().add(id_col, docs.schema[id_col].dataType)
     for column in ("n_bytes long", "n_removed long", "spans array<struct<start:long,end:long>>", "kept binary"):
         schema.add(StructType.fromDDL(column).fields[0])

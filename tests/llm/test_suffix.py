@@ -1,14 +1,17 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from sqlcorpus.llm import blocks
 from sqlcorpus.llm.queries import op3_suffix_array_dedup
 from sqlcorpus.llm.sais import permuted_prefixes, suffix_array
-from sqlcorpus.llm.suffix import remove_repeats
+from sqlcorpus.llm.suffix import ALONE, Block, answer, remove_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +93,46 @@ def test_odd_rows(spark):
     n = len(same)
     assert got == [(0, n, n, 1), (1, 0, 0, 1), (2, 0, 0, 1), (3, n + 2, 0, 1), (5, n, n, 1), (5, n, n, 1)]
     assert remove_repeats(frame.limit(0)).count() == 0
+
+
+def contexts(n):
+    """Documents that hold one passage in different contexts, some of them in two documents."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(160))
+    around = ["".join(rng.choice("klmnopqrst ") for _ in range(60)) for _ in range(n)]
+    return [(i, a + passage + a[::-1]) for i, a in enumerate([*around, *around[:n // 100]])]
+
+
+def by_shard(tables):
+    every = pa.concat_tables(tables)
+    return [every.filter(pc.equal(every.column("_shard"), s)) for s in every.column("_shard").unique().to_pylist()]
+
+
+def test_contexts_of_a_hot_passage_stay_in_their_blocks():
+    docs, n, width, n_shards = contexts(3000), 4, 50, 16
+    parts = [pa.table({"_id": [i for i, _ in docs[b::n]], "_text": [t.encode() for _, t in docs[b::n]],
+                       "_block": [b] * len(docs[b::n])}) for b in range(n)]
+    held = [Block(p, n_shards, width) for p in parts]
+
+    def exchange(questions):
+        answers = pa.concat_tables([answer(t) for t in by_shard(questions)])
+        return [answers.filter(pc.equal(answers.column("_block"), b)) for b in range(n)]
+    first = exchange([h.questions(b) for b, h in enumerate(held)])
+    second = exchange([h.window_questions(first[b], b) for b, h in enumerate(held)])
+    holders, size = Counter(w for _, t in docs for w in {t.encode()[p:p + width] for p in range(len(t) - width + 1)}), Counter()
+    for b, h in enumerate(held):
+        places, last, _, shard, mark = h.stretches(first[b], second[b])
+        for s, found in h.passages(places, last, shard).items():
+            size[s] += sum(map(len, found))
+        alone = places[mark == ALONE].tolist()
+        assert len(alone) > 1000 and all(holders[h.raw[p:p + width]] > 1 for p in alone)
+    assert max(size.values()) < 2 * sum(size.values()) / n_shards
+
+
+def test_hot_passage_equals_plain_removal(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 60_000)
+    monkeypatch.setattr(blocks, "PER_MESSAGE", 1)
+    docs = contexts(1500)
+    want = plain_removal([(i, t.encode()) for i, t in docs])
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs) and all(bytes(r.kept) == kept(*want[r.doc_id]) for r in got)
