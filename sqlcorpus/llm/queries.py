@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlcorpus.llm.centroids import cluster_vectors, with_inertia
 from sqlcorpus.llm.chat import format_chats, loss_text, read_back
 from sqlcorpus.llm.common import table
 from sqlcorpus.llm.embed import near_vectors
 from sqlcorpus.llm.minhash import near_duplicates
 from sqlcorpus.llm.pack import pack_documents
 from sqlcorpus.llm.quality import COUNTS, judge_quality
+from sqlcorpus.llm.repair import FACTS, damage, repair_conversations
 from sqlcorpus.llm.shard import interleave_shards
 from sqlcorpus.llm.suffix import remove_repeats
 from sqlcorpus.llm.tokens import count_tokens, encode_digests
@@ -172,6 +174,129 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 24 // n)::INTEGER AS sh
 FROM p
 """
 
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair_conversations(damage(turns)).withColumnRenamed("_conv", "_found")
+    every = turns.select("conv_id").distinct()
+    # A conversation of which no row is left has no faults, no edits and no text.
+    empty = {c: F.lit("" if kind == "string" else 0).cast(kind) for c, kind in FACTS.items()}
+    return every.join(found, every["conv_id"].eqNullSafe(found["_found"]), "left").select(
+        "conv_id", *[F.coalesce(c, none).alias(c) for c, none in empty.items()],
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _edit_branches(cost: str) -> str:
+    """For each state reached, the least (cost, audit, body, state) of all ways into it."""
+    turn, role = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}
+    into: dict[int, list[str]] = {s: [] for s in range(4)}
+
+    def way(source: int, to: int, inserted: int, added: list[str], edit: str, price: str, body: str, may: str) -> None:
+        front = "".join(f" || chr(10) || '{r}:'" for r in added)
+        into[to].append(
+            f"CASE WHEN {may} AND s[{source + 1}].c IS NOT NULL THEN struct_pack(c := s[{source + 1}].c + {2 * inserted}"
+            f" + {price}, w := s[{source + 1}].w || '{'I' * inserted}{edit}', b := s[{source + 1}].b{front}{body}) END")
+
+    for source in range(4):
+        state, added = source, []
+        for inserted in range(3):
+            way(source, state, inserted, added, "D", "3", "", "true")
+            after = turn[state]
+            way(source, after, inserted, added, "R", f"2 + {cost}",
+                f" || chr(10) || '{role[after]}:' || r.text", "NOT r.gone")
+            kept = [("s", 1)] * (state == 0) + [("u", 2)] * (state != 2) + [("a", 3)] * (state == 2)
+            for initial, to in kept:
+                way(source, to, inserted, added, "K", cost, " || chr(10) || r.role || ':' || r.text",
+                    f"NOT r.gone AND r.role[1:1] = '{initial}'")
+            added = added + [role[after]]
+            state = after
+    return "[" + ",\n".join(f"list_min([{', '.join(into[s])}])" for s in range(4)) + "]"
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(CASE WHEN true THEN c END ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(
+      coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate
+  FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN ''
+    WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM f, range(2) AS copies(k) WHERE fate <> 0 AND (k = 0 OR fate = 3)),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM d),
+r AS (
+  SELECT *, ending = '' AS blank, ending <> '' AND nth > 1 AS duplicate, ending = '' OR nth > 1 AS gone,
+    ending <> '' AND nth = 1 AND ending NOT IN ('.', '!', '?') AS truncated,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS pair FROM n),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+    count(*) FILTER (WHERE truncated) AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM r GROUP BY conv_id),
+p(conv_id, i, s) AS (
+  SELECT conv_id, 0::BIGINT, [{'c': 0::BIGINT, 'w': '', 'b': ''}, NULL, NULL, NULL] FROM g
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, @ways@
+  FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1),
+e AS (
+  SELECT p.conv_id, list_min([s[1],
+    CASE WHEN s[2].c IS NOT NULL THEN struct_pack(c := s[2].c + 4, w := s[2].w || 'II', b := s[2].b || chr(10) || 'user:' || chr(10) || 'assistant:') END,
+    CASE WHEN s[3].c IS NOT NULL THEN struct_pack(c := s[3].c + 2, w := s[3].w || 'I', b := s[3].b || chr(10) || 'assistant:') END,
+    s[4]]) AS best
+  FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = g.n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.w, '') AS audit, sha256(coalesce(best.b[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+""".replace("@ways@", _edit_branches("r.truncated::INTEGER"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark)))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT vec_id, row, v, c, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(v, m)])::BIGINT AS d FROM i, c{r})
+  GROUP BY vec_id, row, v)"""
+    mean = """
+s{r} AS (
+  SELECT c, p, sum(v[p])::HUGEINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(p) GROUP BY c, p),
+c{next} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS m FROM s{r} GROUP BY c) n ON n.c = c{r}.c)"""
+    parts = [nearest.format(r=r) + "," + mean.format(r=r, next=r + 1) for r in range(rounds)]
+    return """
+WITH i AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if isfinite(x)]) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (
+    SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM i ORDER BY h, v LIMIT 8)),""" + ",".join(parts) + "," + (
+        nearest.format(r=rounds)) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia,
+  (SELECT sha256(array_to_string(m, ',')) FROM c{rounds} f WHERE f.c = a{rounds}.c) AS centroid_sha256
+FROM a{rounds}
+"""
+
+
+OP13_SQL = _op13_sql()
+
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_chat_format, op3_suffix_array_dedup, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards)}
-LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_shards": OP10_SQL}
+    op1_minhash_near_dedup, op2_chat_format, op3_suffix_array_dedup, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards,
+    op11_conversation_repair, op13_centroid_clusters)}
+LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_shards": OP10_SQL,
+               "op11_conversation_repair": OP11_SQL, "op13_centroid_clusters": OP13_SQL}
