@@ -228,10 +228,10 @@ d AS (
   SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN ''
     WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM f, range(2) AS copies(k) WHERE fate <> 0 AND (k = 0 OR fate = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
-    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM d),
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM o),
 r AS (
   SELECT *, ending = '' AS blank, ending <> '' AND nth > 1 AS duplicate, ending = '' OR nth > 1 AS gone,
     ending <> '' AND nth = 1 AND ending NOT IN ('.', '!', '?') AS truncated,
