@@ -11,6 +11,7 @@ from sqlcorpus.llm.common import table
 from sqlcorpus.llm.embed import near_vectors
 from sqlcorpus.llm.minhash import near_duplicates
 from sqlcorpus.llm.pack import pack_documents
+from sqlcorpus.llm.pii import KINDS, find_identifiers, spans_text
 from sqlcorpus.llm.quality import COUNTS, judge_quality
 from sqlcorpus.llm.repair import FACTS, damage, repair_conversations
 from sqlcorpus.llm.shard import interleave_shards
@@ -261,6 +262,15 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS
 """.replace("@ways@", _edit_branches("r.truncated::INTEGER"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_identifiers(table(spark, sf_dir, "documents"), Workspace(spark))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        spans_text(F.concat("base", "added")).alias("spans"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark)))
 
@@ -297,6 +307,6 @@ OP13_SQL = _op13_sql()
 
 LLM_QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_chat_format, op3_suffix_array_dedup, op4_best_fit_packing, op5_quality_rules, op6_embedding_near_dedup, op7_bpe_round_trip, op8_toxicity, op9_token_counts, op10_shards,
-    op11_conversation_repair, op13_centroid_clusters)}
+    op11_conversation_repair, op12_personal_data, op13_centroid_clusters)}
 LLM_ORACLES = {"op2_chat_format": OP2_SQL, "op5_quality_rules": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_shards": OP10_SQL,
                "op11_conversation_repair": OP11_SQL, "op13_centroid_clusters": OP13_SQL}
