@@ -25,6 +25,7 @@ def _offsets(df: DataFrame, groups: list[str]) -> DataFrame:
     return counts.select(
         *groups,
         "_bucket",
+        "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(group).alias("_total"),
     )
@@ -39,11 +40,14 @@ def rank_by_key(
     total: str | None = None,
     rank: str = "rank",
     digits: int = BUCKET_DIGITS,
+    between: DataFrame | None = None,
 ) -> DataFrame:
     """The 1-based rank of each row in its group by a hex key, for ranks up to ``limit``.
 
-    The result has the columns ``groups``, ``ties``, ``key`` and ``rank``. ``groups`` must take
-    few values (labels, domains). ``limit`` may be a column of the groups. ``total`` names a column
+    The result has the columns ``groups``, ``ties``, ``key`` and ``rank``. ``limit`` may be a column of the groups, if
+    they are few (labels, domains). For any number of groups ``between`` is a table with their columns, ``first`` and
+    ``last``: only ranks between these are returned, and only of the groups it names. What it leaves out of a group is
+    dropped by bucket, before rows are shuffled. ``total`` names a column
     for the size of the group. Equal to ``row_number() over (partition by groups order by key,
     ties)``. Distinct keys must spread evenly, as digests do; copies of a row are counted before
     they are shuffled, so a row may be repeated any number of times.
@@ -54,21 +58,26 @@ def rank_by_key(
         df = df.withColumn("_all", F.lit(0))
     bucketed = df.select(*columns, F.substring(key, 1, digits).alias("_bucket"))
     offsets = _offsets(bucketed, group_by)
-    if limit is not None:
+    least = F.lit(1)
+    if between is not None:
+        names = between.select(*groups, F.col("first").alias("_least"), F.col("last").alias("_most"))
+        offsets = offsets.join(names, list(groups)).filter("_before < _most AND _before + _n >= _least")
+        least, limit = F.col("_least"), F.col("_most")
+    elif limit is not None:
         limit = F.lit(limit) if isinstance(limit, int) else limit
         offsets = offsets.filter(F.col("_before") < limit)
     # At most 16**digits rows a group; that groups are few is the caller's word, so their size decides.
     kept = bucketed.join(offsets, [*group_by, "_bucket"])
-    distinct = kept.groupBy(*columns, "_bucket", "_before", "_total").agg(
+    bounds = ["_least", "_most"] if between is not None else []
+    distinct = kept.groupBy(*columns, "_bucket", "_before", "_total", *bounds).agg(
         F.count(F.lit(1)).alias("_copies")
     )
     inside = Window.partitionBy(*group_by, "_bucket").orderBy(key, *ties)
     last = F.col("_before") + F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     ranked = distinct.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_copies") + 1)
     if limit is not None:
-        ranked = ranked.filter(F.col("_first") <= limit).withColumn(
-            "_last", F.least("_last", limit.cast("bigint"))
-        )
+        ranked = ranked.filter((F.col("_first") <= limit) & (F.col("_last") >= least)).withColumns({
+            "_first": F.greatest("_first", least.cast("bigint")), "_last": F.least("_last", limit.cast("bigint"))})
     if total:
         columns.append(F.col("_total").alias(total))
     out = ranked.select(*columns, F.explode(F.sequence("_first", "_last")).alias(rank))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.keys import shuffle_key
 from sqlcorpus.operators import fill
+from sqlcorpus.operators.quota import small_frame
 from sqlcorpus.operators.ranking import rank_by_key
 from sqlcorpus.operators.triage import is_success
 from sqlcorpus.session import Workspace
@@ -19,49 +19,55 @@ def verify_in_waves(
     workspace: Workspace,
     candidates: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    need: dict[str, int],
+    need: dict[str, int] | DataFrame,
     seed: int = 42,
     oversample: float = 1.5,
     max_waves: int = 20,
+    group: Column | None = None,
 ) -> DataFrame:
-    """Responses to candidates, in shuffled order label by label, until every need is met.
-
-    ``verify`` takes ``question_id, db_id, level`` and returns stored-result rows. Each wave takes the
-    next ranks of the labels still short, and grows where a wave brought too little; the last takes
-    all that is left. A fill from the result takes the same rows as one from responses to all
-    candidates, for any wave size. ``candidates`` should be a stored table, as every wave reads it.
+    """Responses to candidates, in shuffled order group by group, until every need is met.
+
+    ``verify`` takes ``question_id, db_id, level`` and returns stored-result rows. Groups are labels, or the values of
+    the column ``group``; ``need`` gives the passed candidates wanted of each, as a mapping or, for any number of
+    groups, as a table ``group_name, need``. Each wave takes the next ranks of the groups still short, and grows where
+    a wave brought too little; the last takes all that is left. A fill from the result takes the same rows as one
+    from responses to all candidates, for any wave size. What is asked and passed stays a stored table with a row a
+    group; the driver only hears whether a group is still short. ``candidates`` should be a stored table, as every
+    wave reads it.
     """
-    pool = candidates.filter(F.col("level").isin(list(need)))
-    keyed = pool.select("question_id", "db_id", "level", shuffle_key(F.col("question_id"), seed).alias(fill.KEY))
-    sizes = fill.level_counts(pool)
-    done = dict.fromkeys(need, 0)
-    asked = dict.fromkeys(need, 0)
+    spark = workspace.spark
+    if not isinstance(need, DataFrame):
+        if not need:
+            return spark.createDataFrame([], S.RESULTS)
+        need = small_frame(spark, list(need.items()), "group_name string, need bigint")
+    keyed = candidates.select(
+        (F.col("level") if group is None else group).cast("string").alias("group_name"), *fill.TIES,
+        shuffle_key(F.col("question_id"), seed).alias(fill.KEY))
+    sizes = keyed.groupBy("group_name").agg(F.count(F.lit(1)).alias("size"))
+    state = workspace.table(need.join(sizes, "group_name").select(
+        "group_name", F.col("need").cast("bigint"), "size", F.lit(0).cast("bigint").alias("asked"),
+        F.lit(0).cast("bigint").alias("done")), "needs")
     waves: list[DataFrame] = []
     for wave in range(max_waves):
-        short = {
-            level: n - done[level] for level, n in need.items()
-            if done[level] < n and asked[level] < sizes.get(level, 0)
-        }
-        if not short:
+        more = F.ceil((F.col("need") - F.col("done")) * oversample * 2**wave)
+        upto = F.col("size") if wave == max_waves - 1 else F.least("size", F.col("asked") + more)
+        short = state.filter("done < need AND asked < size").withColumn("upto", upto)
+        if not short.take(1):
             break
-        last = wave == max_waves - 1
-        upto = {
-            level: sizes[level] if last
-            else min(sizes[level], asked[level] + math.ceil(n * oversample * 2**wave))
-            for level, n in short.items()
-        }
-        wanted = keyed.filter(F.col("level").isin(list(upto)))
-        ranked = rank_by_key(
-            wanted, fill.KEY, ["level"], fill.TIES, fill.number_of(F.col("level"), upto)
-        ).filter(F.col("rank") > fill.number_of(F.col("level"), asked))
-        answers = workspace.table(verify(ranked.select(*fill.TIES)), f"wave_{wave}")
+        ranked = rank_by_key(keyed, fill.KEY, ["group_name"], fill.TIES, between=short.select(
+            "group_name", (F.col("asked") + 1).alias("first"), F.col("upto").alias("last")))
+        chosen = workspace.table(ranked.select("group_name", *fill.TIES), f"wave_{wave}")
+        answers = workspace.table(verify(chosen.select(*fill.TIES)), f"answers_{wave}")
         waves.append(answers)
         success = answers.filter((F.col("generation_status") == S.SUCCESS) & F.col("execution_match"))
-        for level, n in fill.level_counts(success).items():
-            done[level] = done.get(level, 0) + n
-        asked.update(upto)
+        passed = chosen.join(success.select("question_id"), "question_id", "left_semi").groupBy("group_name").agg(
+            F.count(F.lit(1)).alias("_passed"))
+        state = workspace.table(
+            state.join(short.select("group_name", "upto"), "group_name", "left").join(passed, "group_name", "left").select(
+                "group_name", "need", "size", F.coalesce("upto", "asked").alias("asked"),
+                (F.col("done") + F.coalesce("_passed", F.lit(0))).alias("done")), "needs")
     if not waves:
-        return workspace.spark.createDataFrame([], S.RESULTS)
+        return spark.createDataFrame([], S.RESULTS)
     out = waves[0]
     for answers in waves[1:]:
         out = out.unionByName(answers)
@@ -73,7 +79,7 @@ class AskedPool:
 
     Each request asks in shuffled order until enough new candidates have passed, or none is left. All
     candidates before the last one asked are then known, so a stage takes the rows it would take if
-    every candidate had been asked. Databases that a request names are held by the driver.
+    every candidate had been asked. Any number of databases may be asked for at once.
     """
 
     def __init__(
@@ -85,19 +91,13 @@ class AskedPool:
         self.answers: list[DataFrame] = []
         self.rows = workspace.table(self.left.limit(0), "passed")
 
-    def _ask(self, group: Column, need: dict[str, int]) -> None:
-        need = {name: n for name, n in need.items() if n > 0}
-        if not need:
-            return
-        grouped = self.workspace.table(self.left.select("question_id", "db_id", group.alias("level")), "grouped")
-        labels = self.left.select("question_id", F.col("level").alias("_level"))
-
-        def verify(rows: DataFrame) -> DataFrame:
-            labelled = rows.join(labels, "question_id").select("question_id", "db_id", F.col("_level").alias("level"))
-            return self.verify(labelled)
-
+    def _ask(self, group: Column, need: dict[str, int] | DataFrame) -> None:
+        if isinstance(need, dict):
+            need = {name: n for name, n in need.items() if n > 0}
+            if not need:
+                return
         found = self.workspace.table(
-            verify_in_waves(self.workspace, grouped, verify, need, self.seed), "answers")
+            verify_in_waves(self.workspace, self.left, self.verify, need, self.seed, group=group), "answers")
         self.answers.append(found)
         passed = found.filter(is_success()).select("question_id")
         self.rows = self.workspace.table(
@@ -115,9 +115,9 @@ class AskedPool:
     def ask_databases(self, filled: DataFrame, density: int) -> DataFrame:
         """Until every database with fewer than ``density`` filled rows could get there."""
         held = filled.groupBy("db_id").agg(F.count(F.lit(1)).alias("_held"))
-        thin = self.left.select("db_id").distinct().join(held, "db_id", "left").select(
-            "db_id", (F.lit(density) - F.coalesce("_held", F.lit(0))).alias("need")).filter("need > 0")
-        self._ask(F.col("db_id"), {row["db_id"]: row["need"] for row in thin.collect()})
+        need = self.left.select("db_id").distinct().join(held, "db_id", "left").select(
+            F.col("db_id").alias("group_name"), (F.lit(density) - F.coalesce("_held", F.lit(0))).alias("need"))
+        self._ask(F.col("db_id"), self.workspace.table(need.filter("need > 0"), "thin"))
         return self.rows
 
     def responses(self) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlcorpus import schemas as S
+from sqlcorpus.operators.ranking import rank_by_key
 from sqlcorpus.operators import catalog as C, fill
 from sqlcorpus.operators.triage import triage
 from sqlcorpus.sources.readers import with_file_position
@@ -100,3 +101,14 @@ def test_a_hot_question_is_ranked_exactly(spark):
     assert re.search(r"HashAggregate\(keys=\[.*question_id.*partial_count", text)
     hot = fill.fill_single(pool, {S.LEVEL_1: 2050}).filter(F.col("question_id") == "hot")
     assert hot.count() == 2000
+
+
+def test_ranks_of_any_number_of_groups_share_one_plan(spark):
+    """The plan for 100,000 groups is that for one: bounds are a table, joined to bucket counts before rows move."""
+    rows = spark.range(400_000).select(
+        (F.col("id") % 100_000).cast("string").alias("g"), F.md5(F.col("id").cast("string")).alias("_key"))
+    between = rows.select("g").distinct().select("g", F.lit(2).alias("first"), F.lit(3).alias("last"))
+    ranked = rank_by_key(rows, "_key", ["g"], between=between)
+    text = plan(ranked)
+    assert "CASE WHEN" not in text and len(text) < 20_000
+    assert ranked.groupBy("rank").count().orderBy("rank").collect() == [(2, 100_000), (3, 100_000)]

@@ -11,7 +11,7 @@ from sqlcorpus.operators import fill, quota
 from sqlcorpus.operators.ranking import rank_by_key, rank_by_order
 from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, run_curation
 from sqlcorpus.plans.pools import SUCCESS_POOL, store_pools
-from sqlcorpus.plans.waves import verify_in_waves
+from sqlcorpus.plans.waves import AskedPool, verify_in_waves
 from sqlcorpus.sources.readers import read_curated
 from sqlcorpus.session import Workspace
 from workload import queries as Q
@@ -237,6 +237,57 @@ def test_waves_lead_to_the_same_fill(spark, workspace):
     assert sum(asked) < candidates.count() and len(asked) > 1
 
 
+def test_thousands_of_databases_are_asked_in_one_table(spark, workspace, monkeypatch):
+    """Needs of 5,000 databases, one of which holds a third of all candidates, never reach the driver."""
+    rows = spark.range(20_000).select(
+        F.col("id").cast("string").alias("question_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 5000)).alias("db_id"),
+        F.lit(S.LEVEL_1).alias("level"))
+    rows = workspace.table(rows, "rows")
+    asked = []
+
+    def verify(df):
+        asked.append(df.count())
+        good = F.pmod(F.xxhash64("question_id"), F.lit(2)) == 0
+        return df.select("question_id", "level", F.lit(S.SUCCESS).alias("generation_status"), good.alias("execution_match"))
+
+    filled = spark.createDataFrame([("x", "d1"), ("y", "d1"), ("z", "d2")], "question_id string, db_id string")
+    lengths, collect = [], type(rows).collect
+
+    def watched(df):
+        out = collect(df)
+        lengths.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(rows), "collect", watched)
+    pool = AskedPool(workspace, rows, verify)
+    found = pool.ask_databases(filled, 2)
+    assert max(lengths) <= 8
+    monkeypatch.undo()
+    got = {r["db_id"]: r["n"] for r in found.groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    good = rows.where(F.pmod(F.xxhash64("question_id"), F.lit(2)) == 0)
+    held = {"d1": 2, "d2": 1}
+    want = {r["db_id"]: min(r["n"], 2 - held.get(r["db_id"], 0)) for r in good.groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(got.get(d, 0) >= n for d, n in want.items()) and "d1" not in got
+    assert sum(asked) < 0.9 * rows.count() and got["hot"] < 20
+    by_all = fill.cover_dual(rows, verify(rows), filled, 20_000, 0, 5001)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(fill.cover_dual(found, None, filled, 20_000, 0, 5001)) == key(by_all)
+
+
+def test_labels_count_as_passed_for_any(spark, workspace):
+    """A request regardless of label ends as soon as enough have passed."""
+    rows = workspace.table(spark.range(2000).select(
+        F.col("id").cast("string").alias("question_id"), F.lit("d").alias("db_id"), F.lit(S.LEVEL_1).alias("level")), "rows")
+    asked = []
+
+    def verify(df):
+        asked.append(df.count())
+        return df.select("question_id", "level", F.lit(S.SUCCESS).alias("generation_status"), F.lit(True).alias("execution_match"))
+
+    assert AskedPool(workspace, rows, verify).ask_any(100).count() == sum(asked) == 150
+
+
 def test_run_curation_stores_full_records(spark, workspace):
     path = workspace.path("curated")
     responses = Q.responses(spark, SF_SMALL).withColumn("predicted_sql", F.lit("SELECT 9"))

@@ -55,6 +55,9 @@ SELECT CAST(o_orderkey AS STRING) AS question_id,
 FROM {orders}
 """
 
+# A database for each customer.
+OWNERS = "SELECT CAST(o_orderkey AS STRING) AS question_id, concat('c_', CAST(o_custkey AS STRING)) AS db_id FROM {orders}"
+
 # Stored results: absent for a third of the questions, some unreadable, some with an older label.
 RESULTS = """
 SELECT CAST(o_orderkey AS STRING) AS question_id,

@@ -504,6 +504,12 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM in_domain_rows UNION ALL SELECT * FROM out_of_domain_rows", POOLS,
         **in_domain_chain(10, 2), **out_of_domain_chain(10),
     ),
+    "cover_customers_asked": build(
+        cover(unused("asked", "held"), "held", "2", "(SELECT 2 * count(DISTINCT db_id) FROM owners)", "train"), POOLS,
+        owners=X.duck(X.OWNERS),
+        asked="SELECT p.question_id, o.db_id, p.level FROM passed p JOIN owners o USING (question_id)",
+        held="SELECT e.question_id, o.db_id, e.level FROM existing e JOIN owners o USING (question_id)",
+    ),
     "curate_records": build(
         """SELECT q.question_id, q.db_id, q.question, q.gold_sql, coalesce(r.level, q.level) AS level, q.evidence,
         CASE WHEN stage IN ('1', '3') THEN r.predicted_sql ELSE 'SELECT ' || q.question_id END AS predicted_sql,

@@ -14,6 +14,7 @@ from sqlcorpus.operators.generate import extract_responses, generate, verify_can
 from sqlcorpus.plans.bake import prompt_contexts
 from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, curate_single, fetch_curated
 from sqlcorpus.plans.pools import Domain, prepare_domains
+from sqlcorpus.plans.waves import AskedPool
 from sqlcorpus.session import Workspace
 from sqlcorpus.sources import readers, writers
 from sqlcorpus.sources.readers import parse_predictions, with_file_position
@@ -406,6 +407,21 @@ def curate_small_asked(spark, sf):
     return curate(workspace, labelled(spark, sf), results(spark, sf), None, SMALL, verify=verify)
 
 
+@query
+def cover_customers_asked(spark, sf):
+    """Coverage of databases, here a customer each, by a model that is asked for the candidates of thin ones only."""
+    workspace = Workspace(spark)
+    known = workspace.table(responses(spark, sf), "responses")
+    owner = X.of(spark, sf, X.OWNERS)
+    candidates = workspace.table(
+        pool(spark, sf, S.CACHE_CANDIDATE).drop("db_id").join(owner, "question_id"), "candidates")
+    held = workspace.table(existing(spark, sf).drop("db_id").join(owner, "question_id"), "held")
+    databases = owner.select("db_id").distinct().count()
+    asked = AskedPool(workspace, candidates, lambda rows: rows.join(known, "question_id"), held)
+    asked.ask_databases(held, S.COVERAGE_DENSITY)
+    return fill.cover_dual(asked.rows, None, held, 10 * databases, 0, databases, held)
+
+
 @query
 def curate_records(spark, sf):
     """The stored records of ``curate_small``, where answers to candidates also hold failed and repeated ones."""
