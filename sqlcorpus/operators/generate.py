@@ -63,7 +63,8 @@ def generate(
     whose answer holds no closed block is asked again likewise. A prompt refused for its length is
     not; prompts that are null exceed the budget and are not sent.
 
-    The model may be slow or paid for: store the result before two operators read it.
+    The model may be slow or paid for: store the result before two operators read it, or ask through
+    ``answers.AnswerLog``, which keeps each answer as it comes.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,15 +74,7 @@ def generate(
             found: list[tuple] = []
             for start in range(0, len(ids), batch_size):
                 batch = slice(start, start + batch_size)
-                rows = _one_batch(fn, ids[batch], prompts[batch])
-                for _ in range(attempts - 1 if needs_sql else 0):
-                    again = [i for i, row in enumerate(rows) if row[2] == S.SUCCESS and not _has_block(row[1])]
-                    if not again:
-                        break
-                    asked = prompts[batch]
-                    for i, row in zip(again, _one_batch(fn, [rows[i][0] for i in again], [asked[i] for i in again])):
-                        rows[i] = row
-                found += rows
+                found += ask_batch(fn, ids[batch], prompts[batch], attempts, needs_sql)
             yield pd.DataFrame(
                 found, columns=["question_id", "raw_content", "generation_status", "error_message"], dtype=object)
 
@@ -89,6 +82,20 @@ def generate(
     return (sent if tasks is None else sent.repartition(tasks)).mapInPandas(run, GENERATED)
 
 
+def ask_batch(
+    fn: Generator, ids: list[str], prompts: list[str | None], attempts: int, needs_sql: bool
+) -> list[tuple]:
+    """(id, answer, status, error) of one batch; with ``needs_sql`` answers without a closed block are asked again."""
+    rows = _one_batch(fn, ids, prompts)
+    for _ in range(attempts - 1 if needs_sql else 0):
+        again = [i for i, row in enumerate(rows) if row[2] == S.SUCCESS and not _has_block(row[1])]
+        if not again:
+            break
+        for i, row in zip(again, _one_batch(fn, [ids[i] for i in again], [prompts[i] for i in again])):
+            rows[i] = row
+    return rows
+
+
 def _has_block(answer: str | None) -> bool:
     """Whether ``extract_with_reasoning`` finds a statement."""
     return (answer or "").count(FENCE) >= 2

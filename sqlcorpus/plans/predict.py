@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.text import extract_sql
+from sqlcorpus.operators.answers import AnswerLog
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.evaluate import evaluate
 from sqlcorpus.operators.generate import Generator, generate
@@ -28,15 +29,18 @@ def predict(
     attempts: int = S.RETRY_ATTEMPTS,
     delay: float = S.RETRY_BASE_DELAY_SEC,
     tasks: int | None = None,
+    log: AnswerLog | None = None,
 ) -> DataFrame:
     """Answer the questions that have no stored output yet, and return all predictions.
 
-    Output is stored as it comes; a question whose batch failed is asked again by the next run.
+    Output is stored when all tasks are done, with ``log`` also batch by batch while they run, so that a job or task
+    that is lost asks nothing twice. A question whose batch failed is asked again by the next run.
     """
     spark = questions.sparkSession
     todo = remaining(questions, read_generations(spark, raw_path))
     prompts = render_prompts(todo, contexts, template, instructions=instructions)
-    answers = generate(prompts, make, batch_size, attempts, delay, tasks)
+    ask = generate if log is None else log.generate
+    answers = ask(prompts, make, batch_size, attempts, delay, tasks)
     append_raw(answers.filter(F.col("raw_content").isNotNull()), raw_path)
     return to_predictions(questions, read_generations(spark, raw_path))
 

@@ -1,12 +1,15 @@
 """Readers, writers, generation, execution and streams end to end."""
 
 import json
+import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sqlcorpus import schemas as S
 from sqlcorpus.operators import catalog as C
+from sqlcorpus.operators.answers import AnswerLog, Pieces, ask_logged
 from sqlcorpus.operators.compare import compare_results
 from sqlcorpus.operators.execute import execute_pairs
 from sqlcorpus.operators.generate import ContextLengthExceeded, generate, verify_candidates, with_retry
@@ -209,6 +212,81 @@ def test_answers_without_a_statement_are_asked_again(spark, tmp_path):
     assert generate(df, make, 2, tasks=3).rdd.getNumPartitions() == 3
 
 
+def logging_model(calls, dies_at=None):
+    """A model that notes each prompt it is asked; the worker process ends before its call number ``dies_at``."""
+
+    def make():
+        count = []
+
+        def answer(prompts):
+            if dies_at is not None and len(count) == dies_at:
+                os._exit(7)
+            count.append(1)
+            with open(calls, "a") as log:
+                log.writelines(f"{p}\n" for p in prompts)
+            return [f"answer to {p}" for p in prompts]
+
+        return answer
+
+    return make
+
+
+def test_a_lost_task_asks_nothing_twice(spark, tmp_path):
+    """A worker dies half way; what was told before is in the log, for later runs too."""
+    calls, log = str(tmp_path / "calls"), AnswerLog(spark, str(tmp_path / "log"))
+    df = spark.createDataFrame([(str(i), f"p{i % 40}") for i in range(60)] + [("none", None)], "question_id string, prompt string")
+    with pytest.raises(Exception):
+        log.generate(df, logging_model(calls, dies_at=4), batch_size=2, tasks=1)
+    before = open(calls).read().split("\n")[:-1]
+    assert 0 < len(before) < 40 and log.known().count() == len(before)
+    got = {r["question_id"]: tuple(r)[1:] for r in log.generate(df, logging_model(calls), batch_size=2, tasks=2).collect()}
+    assert sorted(open(calls).read().split("\n")[:-1]) == sorted(f"p{i}" for i in range(40))  # one call a prompt
+    assert got == {**{str(i): (f"answer to p{i % 40}", S.SUCCESS, None) for i in range(60)}, "none": (None, S.ERROR, S.CONTEXT_EXCEEDED)}
+    assert log.generate(df, logging_model(calls, dies_at=0), tasks=5).count() == 61  # nothing is left to ask
+    more = df.union(spark.createDataFrame([("x", "new")], df.schema))
+    assert log.generate(more, logging_model(calls), tasks=3).filter("question_id = 'x'").first()["raw_content"] == "answer to new"
+
+
+def test_a_restarted_task_reads_its_own_pieces(tmp_path):
+    """What Spark does when it runs a task again: the same rows, the same number, another process."""
+    calls, asked = [], [pd.DataFrame({"digest": [f"d{i}" for i in range(9)], "prompt": [f"p{i}" for i in range(9)]})]
+
+    def make(fails_at):
+        def answer(prompts):
+            if len(calls) == fails_at:
+                raise KeyboardInterrupt
+            calls.append(prompts)
+            return [p.upper() for p in prompts]
+        return lambda: answer
+
+    run = lambda fails_at, task=3: pd.concat(list(ask_logged(
+        iter(asked), make(fails_at), Pieces(f"file:{tmp_path}/x", task), 2, 1, 0, False)))
+    with pytest.raises(KeyboardInterrupt):
+        run(3)
+    got = run(None)
+    assert sorted(p for c in calls for p in c) == sorted(f"p{i}" for i in range(9)) and len(calls) == 5
+    assert sorted(got["raw_content"]) == sorted(f"P{i}" for i in range(9)) and set(got["generation_status"]) == {S.SUCCESS}
+    # A piece that was not finished has another name.
+    (tmp_path / "x" / "task=000003" / "000009-cut.part").write_text('{"digest": "d')
+    assert len(run(0)) == 9
+
+
+def test_errors_are_not_kept(spark, tmp_path):
+    log = AnswerLog(spark, str(tmp_path / "log"))
+
+    def failing():
+        def answer(prompts):
+            if "bad" in prompts:
+                raise ValueError("down")
+            return ["good"] * len(prompts)
+        return answer
+
+    df = spark.createDataFrame([("1", "bad"), ("2", "fine")], "question_id string, prompt string")
+    ask = lambda make: {r["question_id"]: tuple(r)[1:] for r in log.generate(df, make, 1, attempts=2, delay=0, tasks=1).collect()}
+    assert ask(failing) == {"1": (None, S.ERROR, "down"), "2": ("good", S.SUCCESS, None)}
+    assert ask(lambda: lambda prompts: ["late"] * len(prompts)) == {"1": ("late", S.SUCCESS, None), "2": ("good", S.SUCCESS, None)}
+
+
 def test_each_prompt_is_sent_once(spark, tmp_path):
     calls = str(tmp_path / "calls")
 

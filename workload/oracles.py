@@ -645,6 +645,14 @@ ORACLES: dict[str, str] = {
     "evaluate_by_level": build(f"SELECT level, {METRICS} GROUP BY level", ["questions", "labelled"], **SCORED),
     "generate_stub": """SELECT CAST(o_orderkey AS VARCHAR) AS question_id, 'SELECT ''question ' || o_orderkey || '''' AS predicted_sql,
         'plan' AS final_reasoning, 'Success' AS generation_status FROM orders""",
+    "generate_failing": """SELECT CAST(o_orderkey AS VARCHAR) AS question_id,
+        CASE WHEN o_orderkey % 7 <> 0 THEN 'SELECT ''question ' || o_orderkey || '''' END AS predicted_sql,
+        CASE WHEN o_orderkey % 7 <> 0 THEN 'Success' ELSE 'Error' END AS generation_status,
+        CASE WHEN o_orderkey % 7 = 0 THEN 'down' END AS error_message FROM orders""",
+    "generate_logged": """SELECT CAST(o_orderkey AS VARCHAR) AS question_id,
+        CASE WHEN o_custkey % 7 = 0 THEN 'late customer ' || o_custkey ELSE 'plan' || chr(10) || '```sql' || chr(10) ||
+          'SELECT ''customer ' || o_custkey || '''' || chr(10) || '```' END AS raw_content,
+        'Success' AS generation_status, NULL::VARCHAR AS error_message FROM orders""",
     "verify_candidates_joined": build(
         f"""SELECT t.question_id, t.level, CASE WHEN status = 'Success' THEN sql END AS predicted_sql,
         CASE WHEN status = 'Success' THEN 'Success' ELSE 'Error' END AS generation_status,

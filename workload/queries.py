@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.functions import labels, tables, text
 from sqlcorpus.operators import catalog as C, compare, evaluate as E, fill, prompts, quota, reports, triage, validate
+from sqlcorpus.operators.answers import AnswerLog
 from sqlcorpus.operators.generate import extract_responses, generate, verify_candidates
 from sqlcorpus.plans.bake import prompt_contexts
 from sqlcorpus.plans.curate import Settings, curate, curate_in_domain, curate_single, fetch_curated
@@ -828,6 +829,38 @@ def generate_stub(spark, sf):
     return extract_responses(generate(asked, _echo, 64)).select("question_id", "predicted_sql", "final_reasoning", "generation_status")
 
 
+def _unsteady():
+    """A stand-in model whose first call for each batch fails, and every call with a number divisible by seven."""
+    calls = []
+
+    def answer(prompts_):
+        calls.append(prompts_)
+        if prompts_ != calls[-2:][0] or len(calls) == 1 or any(int(p.split()[-1]) % 7 == 0 for p in prompts_):
+            raise ValueError("down")
+        return [f"plan\n```sql\nSELECT '{prompt}'\n```" for prompt in prompts_]
+
+    return answer
+
+
+@query
+def generate_failing(spark, sf):
+    """A model that fails: each batch is sent again, and one that never succeeds becomes an error row."""
+    asked = questions(spark, sf).select("question_id", F.col("question").alias("prompt"))
+    made = extract_responses(generate(asked, _unsteady, 1, attempts=3, delay=0))
+    return made.select("question_id", "predicted_sql", "generation_status", "error_message")
+
+
+@query
+def generate_logged(spark, sf):
+    """Questions that share prompts, through a log: a second model is asked only what the first one left open."""
+    log = AnswerLog(spark, Workspace(spark).path("answers"))
+    asked = X.of(spark, sf, X.OWNERS).select(
+        "question_id", F.concat(F.lit("customer "), F.substring("db_id", 3, 20)).alias("prompt"))
+    log.generate(asked, _unsteady, 1, attempts=2, delay=0)
+    late = lambda: lambda prompts_: [f"late {prompt}" for prompt in prompts_]
+    return log.generate(asked, late, 64)
+
+
 @query
 def verify_candidates_joined(spark, sf):
     made = X.of(spark, sf, X.GENERATIONS).select(
