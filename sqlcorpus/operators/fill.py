@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.keys import shuffle_key
 from sqlcorpus.functions.labels import level_rank
-from sqlcorpus.operators.quota import small_frame
 from sqlcorpus.operators.ranking import rank_by_key, rank_few
 from sqlcorpus.session import BROADCAST_ROWS
 
@@ -118,43 +117,36 @@ def fill_single(
     return _picked(ranked, stage, F.lit(split))
 
 
-# Places that one task numbers.
-PLACES = 100_000
+def places(levels: dict[str, tuple[int, int, int, int]]) -> tuple[Column, Column]:
+    """(split, position) of the column ``slot``, the number of a place in the order in which two splits fill up.
 
-
-def slots(spark, levels: list[tuple[str, int, int, int, int]]) -> DataFrame:
-    """Numbered places of two splits in the order they fill up evenly.
-
-    Input rows are ``(level, train_held, train_target, val_held, val_target)``. The next place goes
-    to the split with the lower fill ratio, to train on ties. So place ``j`` of train comes after
-    the places ``i`` of validation with ``i/V < j/T``, which whole-number division counts.
+    ``levels`` maps a label to what train holds and should hold, and the same of validation. The next place goes to
+    the split with the lower fill ratio, to train on ties. Filled from nothing, the first ``p`` places hold
+    ``(p - 1) * T div (T + V) + 1`` of train. A split that lags behind is filled alone at first, up to the ratio of the
+    other; from there on, places follow that order, of which train and validation together have filled ``slot`` plus
+    what they held.
     """
-    large = sum(tt + vt for _, _, tt, _, vt in levels) > PLACES
-    quota = small_frame(spark, levels, "level string, tc bigint, tt bigint, vc bigint, vt bigint")
-
-    def open_places(held: str, target: str) -> DataFrame:
-        # Runs of places first, so that a large quota is numbered by many tasks.
-        room = quota.filter(F.col(held) < F.col(target)).withColumn("_run", F.explode(F.expr(
-            f"sequence({held} div {PLACES}, ({target} - 1) div {PLACES})")))
-        room = room.repartition("level", "_run") if large else room
-        return room.withColumn("place", F.explode(F.expr(
-            f"sequence(greatest({held}, _run * {PLACES}), least({target}, (_run + 1) * {PLACES}) - 1)"))).drop("_run")
-
-    train = open_places("tc", "tt").select(
-        "level",
-        F.lit(S.TRAIN).alias("split"),
-        (F.col("place") - F.col("tc") + 1).alias("position"),
-        F.expr("greatest(least((place * vt + tt - 1) div tt - vc, vt - vc), 0)").alias("_others"),
-    )
-    val = open_places("vc", "vt").select(
-        "level",
-        F.lit(S.VAL_IN).alias("split"),
-        (F.col("place") - F.col("vc") + 1).alias("position"),
-        F.expr("greatest(least((place * tt) div vt + 1 - tc, tt - tc), 0)").alias("_others"),
-    )
-    return train.union(val).select(
-        "level", "split", "position", (F.col("position") + F.col("_others")).alias("slot")
-    )
+    numbers: dict[str, dict[str, int]] = {name: {} for name in ("tc", "tt", "vc", "vt", "train_first", "val_first")}
+    for level, (tc, tt, vc, vt) in levels.items():
+        tc, vc = min(tc, tt), min(vc, vt)
+        # Places of one split at a ratio not beyond (train) or below (validation) that of the other.
+        until_train = tt if vc == vt else min(tt, vc * tt // vt + 1)
+        until_val = vt if tc == tt else min(vt, -(-tc * vt // tt))
+        for name, number in zip(numbers, (tc, tt, vc, vt, max(0, until_train - tc), max(0, until_val - vc))):
+            numbers[name][level] = number
+    tc, tt, vc, vt, train_first, val_first = (number_of(F.col("level"), of) for of in numbers.values())
+    slot = F.col("slot")
+    place = slot + tc + vc
+
+    def of_train(p: Column) -> Column:
+        """Train places among the first ``p``; the product of two quotas must fit 64 bits."""
+        more = F.call_function("div", (p - 1) * tt, F.greatest(tt + vt, F.lit(1)))
+        return F.when(p > 0, F.least(tt, more + 1)).otherwise(F.lit(0))
+
+    is_train = F.when(slot <= train_first, True).when(slot <= val_first, False).otherwise(of_train(place) > of_train(place - 1))
+    position = F.when((slot <= train_first) | (slot <= val_first), slot).when(
+        is_train, of_train(place) - tc).otherwise(place - of_train(place) - vc)
+    return F.when(is_train, S.TRAIN).otherwise(S.VAL_IN), position.cast("bigint")
 
 
 def fill_dual(
@@ -191,17 +183,11 @@ def fill_dual(
         _keyed(pool.filter(F.col("level").isin(list(both))), seed), locked, existing_train, existing_val
     )
     ranked = _ranker(few)(rows, KEY, ["level"], TIES, limit, rank="slot")
-    places = slots(
-        pool.sparkSession,
-        [
-            (level, train_held.get(level, 0), train_targets.get(level, 0),
-             val_held.get(level, 0), val_targets.get(level, 0))
-            for level in both
-        ],
-    )
-    if sum(both.values()) <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    filled = ranked.join(places, ["level", "slot"])
+    split, position = places({
+        level: (train_held.get(level, 0), train_targets.get(level, 0), val_held.get(level, 0), val_targets.get(level, 0))
+        for level in both
+    })
+    filled = ranked.withColumns({"split": split, "position": position})
     needed = {S.TRAIN: sum(train_need.values()), S.VAL_IN: sum(val_need.values())}
     if any(needed[split] > rooms[split] for split in rooms):
         filled = _capped(filled, rooms)
