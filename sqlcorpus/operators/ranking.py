@@ -9,6 +9,8 @@ lie wholly beyond it are dropped before anything is shuffled.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -102,7 +104,9 @@ def rank_by_order(
 
     Quantiles of the column split the rows into even ranges of about ``rows`` rows; the split points
     become constants of the plan, so repeated or recovered tasks place every row alike. Rows without
-    a value, and ties, are ordered by a digest of the row, which also spreads the former.
+    a value, and ties, are ordered by a digest of the row. A value that fills several ranges stands in as many
+    split points: its rows are divided by digest into that many buckets of their own, as are rows without a value, so
+    that no value is a bucket however often it occurs.
     """
     if buckets is None:
         buckets = df.count() // rows + 1
@@ -115,19 +119,31 @@ def rank_by_order(
     probabilities = [position / buckets for position in range(1, buckets)]
     error = 1 / (5 * buckets)
     found = placed.select("_order").stat.approxQuantile("_order", probabilities, error) if probabilities else []
-    splits = [-math.inf, *sorted(set(found) or {0.0}), math.inf]
-    bucketizer = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
-    # Rows without a value share the buckets behind the last one, dealt out by their digests.
-    spread = F.lit(len(splits) + 1) + F.pmod("_digest", F.lit(buckets))
+    times = Counter(found)
+    values = sorted(times) or [0.0]
+    splits = [-math.inf, *values, math.inf]
+    bucketizer = Bucketizer(splits=splits, inputCol="_order", outputCol="_range", handleInvalid="keep")
+    # Of range i its first value, a split point, comes before the others, in ``parts[i]`` buckets by digest.
+    parts = [1, *(times[v] + 1 if times[v] > 1 else 1 for v in values)]
+    starts = [0, *accumulate(n + 1 for n in parts)]
+    at = F.col("_range").cast("int") + 1
+    points, sizes, bases = (F.array(*map(F.lit, x)) for x in ([-math.inf, *values], parts, starts))
+    # The digest as a fraction of its range, in order; 2**32 steps of it are enough.
+    step = F.shiftright("_digest", 32) + F.lit(1 << 31)
+    own = F.element_at(bases, at)
+    many = F.element_at(sizes, at).cast("bigint")
+    part = F.when(F.col("_order") == F.element_at(points, at), F.shiftright(step * many, 32)).otherwise(many)
+    spread = F.lit(starts[-1]) + F.shiftright(step * F.lit(buckets).cast("bigint"), 32)
     valued = F.col(order_by).isNotNull()
     placed = bucketizer.transform(placed).withColumn(
-        "_bucket", F.when(valued, F.col("_bucket").cast("bigint")).otherwise(spread.cast("bigint")))
+        "_bucket", F.when(valued & (at <= len(parts)), own + part).otherwise(spread).cast("bigint"))
     counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(order_by, "_digest")
-    # Two rows a bucket at most, and a bucket is ``rows`` rows.
+    # Values of ranges may lie between doubles, so rows are ordered by the column itself.
+    inside = Window.partitionBy("_bucket").orderBy(F.col(order_by).asc_nulls_last(), "_digest")
+    # One row a bucket, and a bucket is ``rows`` rows.
     ranked = placed.join(offsets, "_bucket")
     return ranked.withColumn(rank, F.col("_before") + F.row_number().over(inside)).drop(
-        "_bucket", "_before", "_order", "_digest"
+        "_bucket", "_before", "_order", "_digest", "_range"
     )
