@@ -1,14 +1,15 @@
 """Stored pools: questions to draw from, laid out so that a stage reads only their head.
 
-A stage takes the first rows of a pool in shuffled order. Pools are therefore stored in the order of
-the sampling key, with a count for each key bucket kept by the driver: at most labels times
-``16 ** BUCKET_DIGITS`` numbers. From them follows a key below which the wanted rows must lie, and
-Parquet skips the files and row groups beyond it.
+A stage takes the first rows of a pool in shuffled order. A file of a pool therefore holds one range of
+the sampling key, in order, and the driver keeps a count for each label and key bucket, and the file of the
+bucket: at most labels times ``16 ** BUCKET_DIGITS`` entries. From them follows a key below which the wanted
+rows must lie; files beyond it are not opened, and Parquet skips the row groups beyond it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +33,15 @@ class Pool:
 
     rows: DataFrame
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
+    #: The first key bucket of each file.
+    files: dict[str, str] = field(default_factory=dict)
+
+    def _below(self, cut: str | None) -> DataFrame:
+        """The files that hold keys below ``cut``."""
+        if cut is None or not self.files:
+            return self.rows
+        wanted = [path for path, bucket in self.files.items() if bucket < cut]
+        return self.rows.sparkSession.read.schema(self.rows.schema).parquet(*wanted) if wanted else self.rows.limit(0)
 
     def _cut(self, buckets: dict[str, int], wanted: int) -> tuple[str | None, int]:
         """The key below which the first ``wanted`` rows lie, none if all are needed, and the rows below it."""
@@ -46,13 +56,15 @@ class Pool:
     def head(self, wanted: dict[str, int], slack: int) -> tuple[DataFrame, bool]:
         """At least the first rows wanted of each label, ``slack`` of which may be in use already; and
         whether that is little enough to rank in one task a label."""
-        kept, most = F.lit(False), 0
+        kept, most, cuts = F.lit(False), 0, []
         for level, n in wanted.items():
             cut, size = self._cut(self.counts.get(level, {}), n + slack)
+            cuts.append(cut)
             mine = F.col("level") == level
             kept = kept | (mine if cut is None else mine & (F.col(KEY) < cut))
             most = max(most, size)
-        return self.rows.filter(kept), most <= FEW_ROWS
+        last = None if None in cuts else max(cuts, default="")
+        return self._below(last).filter(kept), most <= FEW_ROWS
 
     def head_of_all(self, wanted: int, slack: int) -> tuple[DataFrame, bool]:
         """At least the first ``wanted`` rows regardless of label, and whether one task can rank them."""
@@ -61,7 +73,7 @@ class Pool:
             for bucket, n in buckets.items():
                 every[bucket] = every.get(bucket, 0) + n
         cut, size = self._cut(every, wanted + slack)
-        return self.rows if cut is None else self.rows.filter(F.col(KEY) < cut), size <= FEW_ROWS
+        return self.rows if cut is None else self._below(cut).filter(F.col(KEY) < cut), size <= FEW_ROWS
 
 
 def store_pools(workspace: Workspace, rows: DataFrame, levels: list[str], seed: int) -> dict[tuple[str, str], Pool]:
@@ -70,21 +82,26 @@ def store_pools(workspace: Workspace, rows: DataFrame, levels: list[str], seed:
     keyed = rows.select(
         "question_id", "db_id", "level", shuffle_key(F.col("question_id"), seed).alias(KEY), "domain", "state"
     )
-    # Keys are even, so their prefixes make even files, and sorted ones, without sampling the rows.
-    laid_out = keyed.repartition(F.substring(KEY, 1, BUCKET_DIGITS)).sortWithinPartitions("domain", "state", KEY)
+    # Keys are even, so even ranges of their prefixes make even files, without sampling the rows.
+    bucket = F.substring(KEY, 1, BUCKET_DIGITS)
+    parts = int(workspace.spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.call_function("div", F.conv(bucket, 16, 10).cast("bigint") * parts, F.lit(16**BUCKET_DIGITS)).cast("int")
+    laid_out = keyed.repartitionById(parts, part).sortWithinPartitions("domain", "state", KEY)
     laid_out.write.partitionBy("domain", "state").parquet(path)
     stored = workspace.spark.read.schema(POOL_SCHEMA).parquet(path)
     level = F.when(F.col("level").isin(levels), F.col("level")).otherwise(OTHER_LABELS)
-    bucket = F.substring(KEY, 1, BUCKET_DIGITS)
-    counted = stored.groupBy("domain", "state", level.alias("level"), bucket.alias("bucket")).count()
+    counted = stored.groupBy(
+        "domain", "state", level.alias("level"), bucket.alias("bucket"), F.col("_metadata.file_path").alias("file")).count()
     pools = {}
     for domain in (S.IN_DOMAIN, S.OUT_OF_DOMAIN):
         for state in (SUCCESS_POOL, PASSED_POOL):
             own = stored.filter((F.col("domain") == domain) & (F.col("state") == state))
             pools[domain, state] = Pool(own.drop("domain", "state"))
     for row in counted.collect():
-        counts = pools[row["domain"], row["state"]].counts
-        counts.setdefault(row["level"], {})[row["bucket"]] = row["count"]
+        pool = pools[row["domain"], row["state"]]
+        buckets, file = pool.counts.setdefault(row["level"], {}), unquote(row["file"])
+        buckets[row["bucket"]] = buckets.get(row["bucket"], 0) + row["count"]
+        pool.files[file] = min(row["bucket"], pool.files.get(file, row["bucket"]))
     return pools
 
 

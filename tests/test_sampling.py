@@ -64,6 +64,36 @@ def test_rank_by_order_keeps_rows_without_a_value(spark):
     assert [r["rank"] for r in rank_by_order(df.filter("n IS NULL").limit(3), "n").orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_a_hot_value_is_ranked_in_many_tasks(spark):
+    """A third of all rows share one value, a sixth have none: no window partition holds more than its even share."""
+    rows = [(i % 1000 if i % 3 else 7, i) for i in range(30_000)] + [(None, i) for i in range(6000)]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "n bigint, other int").repartition(4)
+    ranked = rank_by_order(df, "n", buckets=18)
+    got = sorted((r["rank"], r["n"]) for r in ranked.collect())
+    assert [r for r, _ in got] == list(range(1, len(rows) + 1))
+    assert [n for _, n in got] == sorted((n for n, _ in rows), key=lambda n: (n is None, n or 0))
+    again = {r["other"]: r["rank"] for r in rank_by_order(df.repartition(7), "n", buckets=18).filter("n = 7").collect()}
+    assert again == {r["other"]: r["rank"] for r in ranked.filter("n = 7").collect()}
+    # Without the last window, the same plan tells which bucket each row falls into.
+    text = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright(_digest" in text
+    sizes = bucket_sizes(ranked)
+    assert max(sizes) < 2.5 * len(rows) / 18 and len(sizes) > 18
+
+
+def bucket_sizes(ranked):
+    """Rows of each partition of the window that gives the ranks, from the sort below it."""
+    from pyspark.sql import DataFrame
+
+    plan = ranked._jdf.queryExecution().analyzed()
+    while "Window" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    below = DataFrame(ranked.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(
+        ranked.sparkSession._jsparkSession, plan.children().apply(0)), ranked.sparkSession)
+    return [r["count"] for r in below.groupBy("_bucket").count().collect()]
+
+
 def python_targets(size, shares, strict):
     targets = {name: round(share * size) for name, share in shares.items()}
     names = [name for name in targets if strict or shares[name] > 0]
@@ -95,8 +125,16 @@ def test_slots_equal_the_greedy_walk(spark):
         tt, vt = rng.randint(0, 40), rng.randint(0, 25)
         cases.append((f"case {i}", rng.randint(0, tt + 2), tt, rng.randint(0, vt + 2), vt))
     got = {name: [] for name, *_ in cases}
-    for row in fill.slots(spark, cases).orderBy("level", "slot").collect():
+    levels = {name: numbers for name, *numbers in cases}
+    open_places = {name: max(0, tt - tc) + max(0, vt - vc) for name, tc, tt, vc, vt in cases}
+    slots = [(name, i + 1) for name, n in open_places.items() for i in range(n)]
+    split, position = fill.places(levels)
+    frame = spark.createDataFrame(slots, "level string, slot bigint").select("level", "slot", split.alias("split"), position.alias("position"))
+    positions = {}
+    for row in frame.orderBy("level", "slot").collect():
         got[row["level"]].append((row["slot"], row["split"]))
+        positions.setdefault((row["level"], row["split"]), []).append(row["position"])
+    assert all(found == list(range(1, len(found) + 1)) for found in positions.values())
     for name, tc, tt, vc, vt in cases:
         walk = []
         while tc < tt or vc < vt:
@@ -330,5 +368,11 @@ def test_heads_hold_the_first_rows(spark, workspace):
     head = {r["question_id"] for r in pool.head_of_all(100, 0)[0].collect()}
     assert {q for _, q in every[:100]} <= head and len(head) < 110
     assert pool.head_of_all(5000, 0)[0].count() == 3000
+    # A file holds one range of keys, so a smaller head opens fewer files.
+    opened = [len(pool.head_of_all(n, 0)[0].inputFiles()) for n in (10, 1000, 2000, 3000)]
+    assert opened == sorted(opened) and opened[0] == 1 and opened[-1] == len(pool.files) == 4
+    ranges = sorted((r["low"], r["high"]) for r in pool.rows.groupBy(F.col("_metadata.file_path")).agg(
+        F.min("_key").alias("low"), F.max("_key").alias("high")).collect())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
     assert "PushedFilters" in (text := pool.head_of_all(10, 0)[0]._jdf.queryExecution().executedPlan().toString())
     assert "LessThan(_key" in text
