@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sqlcorpus import schemas as S
 from sqlcorpus.operators.generate import Generator, ask_batch, with_retry
 from sqlcorpus.session import path_exists, qualified
+from sqlcorpus.sources.heads import open_files
 
 #: Rows of a finished run. Only answered ones count later; the others may be asked again.
 ANSWERED = "digest string, raw_content string, generation_status string, error_message string"
@@ -39,9 +40,7 @@ class Pieces:
     """
 
     def __init__(self, root: str, task: int) -> None:
-        place = root.removeprefix("file:")
-        self.files, base = (pa_fs.LocalFileSystem(), "/" + place.lstrip("/")) if place.startswith("/") else (
-            pa_fs.FileSystem.from_uri(root))
+        self.files, base = open_files(root)
         self.folder = f"{base}/task={task:06d}"
         self.answers: dict[str, str] = {}
         self._read: set[str] = set()

@@ -7,16 +7,12 @@ nothing; only sample rows are brought in by a join.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sqlcorpus.functions.cells import readable_cell
 from sqlcorpus.functions.tables import render_table
 from sqlcorpus.functions.text import let, quote_ident, strip, truncate_cell
-from sqlcorpus.session import Workspace
+from sqlcorpus.sources.heads import HEADS, SHAPES, columns_of, read_heads
 
 UNKNOWN_TYPE = "UNKNOWN"
 BLOB = "BLOB"
@@ -249,34 +245,41 @@ def sample_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     return df.select(*plain).orderBy(*order_by).limit(n)
 
 
-def sample_databases(spark: SparkSession, tables: DataFrame, n: int = 3, at_once: int = 64) -> DataFrame:
+def sample_databases(spark: SparkSession, tables: DataFrame, n: int = 3, tasks: int | None = None) -> DataFrame:
     """``db_id, table_name, row_no, header, cells``: the first ``n`` rows of stored tables, in file order.
 
-    ``tables`` has ``db_id, table_name, path``, as ``discover_databases`` finds them. Binary columns are
-    left out and long cells cut; a table that cannot be read is left out. Each table has columns of its
-    own, so the driver plans one read a table, ``at_once`` of them in a job; rows stay on the executors.
+    ``tables`` has ``db_id, table_name, path``, as ``discover_databases`` finds them. Names are dealt out to ``tasks``
+    tasks, each of which opens its tables one by one, reads what holds their first rows, and closes them: any number
+    of tables, each with columns of its own, is one job, and the driver sees none of them. Binary columns are left out
+    and long cells cut; a table that cannot be read, or holds no rows, is left out. Paths are on a file system that
+    pyarrow opens by its address.
+    """
+    named = tables.select(*[F.col(c).cast("string") for c in ("db_id", "table_name", "path")])
+    dealt = named.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
+    heads = dealt.mapInArrow(lambda batches: read_heads(batches, n), HEADS)
+
+    def shown(cell: Column) -> Column:
+        text = F.when(cell["real"].isNotNull(), readable_cell(cell["real"], T.DoubleType())).when(
+            cell["micros"].isNotNull(), F.timestamp_micros(cell["micros"]).cast("string")).otherwise(cell["text"])
+        return truncate_cell(text)
+
+    return heads.withColumn("cells", F.transform("cells", shown))
+
+
+def live_ddl(spark: SparkSession, tables: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``db_id, ddl``: a CREATE TABLE statement for each stored table as it is now, in the order of their names.
+
+    ``tables`` are as ``sample_databases`` takes them; one footer of each is read, by the task that holds its name.
+    A table that cannot be read is left out. Stored tables have no keys, so the statements have none.
     """
-    parts: list[DataFrame] = []
-    for row in tables.orderBy("db_id", "table_name").toLocalIterator():
-        try:
-            stored = spark.read.parquet(row["path"])
-        except (PySparkException, Py4JJavaError):
-            continue
-        plain = [field.name for field in stored.schema if field.dataType.typeName() != "binary"]
-        named = stored.select(*[F.col(f"`{name}`").alias(f"_{i}") for i, name in enumerate(plain)],
-                              F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        first = named.filter(F.col("_row") < n).orderBy("_file", "_row").limit(n)
-        numbered = first.withColumn("row_no", F.row_number().over(Window.orderBy("_file", "_row")))
-        parts.append(numbered.select(
-            F.lit(row["db_id"]).alias("db_id"), F.lit(row["table_name"]).alias("table_name"), "row_no",
-            F.array(*map(F.lit, plain)).cast("array<string>").alias("header"),
-            sample_cells(named, [f"_{i}" for i in range(len(plain))]).cast("array<string>").alias("cells")))
-    if not parts:
-        return spark.createDataFrame([], "db_id string, table_name string, row_no int, header array<string>, cells array<string>")
-    workspace, stored_parts = Workspace(spark), []
-    for start in range(0, len(parts), at_once):
-        stored_parts.append(workspace.table(reduce(DataFrame.union, parts[start:start + at_once]), "samples"))
-    return reduce(DataFrame.union, stored_parts)
+    named = tables.select(*[F.col(c).cast("string") for c in ("db_id", "table_name", "path")])
+    dealt = named.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
+    shapes = dealt.mapInArrow(columns_of, SHAPES)
+    lines = F.zip_with("names", "kinds", lambda name, kind: F.concat(F.lit("    "), quote_ident(name), F.lit(" "), kind))
+    statement = F.concat(F.lit("CREATE TABLE "), quote_ident(F.col("table_name")), F.lit(" (\n"), F.array_join(lines, ",\n"), F.lit("\n)"))
+    one = shapes.select("db_id", F.struct("table_name", statement.alias("ddl")).alias("_table"))
+    ordered = one.groupBy("db_id").agg(F.array_sort(F.collect_list("_table")).alias("_tables"))  # of one database
+    return ordered.select("db_id", F.array_join("_tables.ddl", "\n").alias("ddl"))
 
 
 def number_samples(samples: DataFrame, catalog: DataFrame) -> DataFrame:

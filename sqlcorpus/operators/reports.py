@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sqlcorpus import schemas as S
 
 TOTAL = "Total"
+UNKNOWN = "(unknown labels)"
 
 
 def _named(level: Column) -> Column:
@@ -71,8 +72,9 @@ def sorted_report(report: DataFrame, by: str = "level") -> DataFrame:
 
 
 def format_distribution(report: DataFrame, title: str) -> str:
-    """The distribution as a text table; the report has one row a label."""
-    rows = sorted_report(report).collect()
+    """The distribution as a text table. Labels that the library does not know are one line, however many there are."""
+    known = F.when(F.col("level").isin([*S.LEVELS, TOTAL]), F.col("level")).otherwise(UNKNOWN)
+    rows = sorted_report(report.groupBy(known.alias("level")).agg(F.sum("n").alias("n"), F.sum("pct").alias("pct"))).collect()
     if not rows:
         return f"{title}: empty"
     return as_table(title, ["label", "rows", "share"], [(r["level"], r["n"], f"{r['pct']:.1f} %") for r in rows])
@@ -97,9 +99,11 @@ def format_target_vs_filled(report: DataFrame, split: str) -> str:
 
 
 def format_coverage(coverage: DataFrame, title: str, folder: str) -> str:
-    """A one-line summary of the coverage; the lines of all databases are stored as text in ``folder``."""
-    flag = F.when(F.col("missing"), " MISSING").otherwise("")
-    line = F.concat(F.rpad("db_id", 40, " "), F.lit(" | "), F.lpad(F.col("n").cast("string"), 8, " "), flag)
-    sorted_report(coverage, "db_id").select(line.alias("value")).write.mode("overwrite").text(folder)
-    total = coverage_summary(coverage).first()
-    return f"{title}: {total['covered']}/{total['total']} databases covered ({total['pct']:.1f}%)"
+    """Databases with and without rows, as a text table; ``folder`` gets a CSV file of all of them by name."""
+    sorted_report(coverage, "db_id").select("db_id", F.col("n").alias("rows"), "missing").write.mode("overwrite").csv(
+        folder, header=True)
+    held = coverage_summary(coverage).first()
+    covered, total = held["covered"], held["total"]
+    return as_table(f"{title}: databases", ["", "databases", "share"], [
+        ("with rows", covered, f"{held['pct']:.1f} %"),
+        ("without rows", total - covered, f"{100 - held['pct'] if total else 0:.1f} %")])

@@ -77,6 +77,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def folder_names(spark: SparkSession, path: str) -> set[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {status.getPath().getName() for status in files.listStatus(target)} if files.exists(target) else set()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as file listings write it, with its scheme and without a closing slash."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

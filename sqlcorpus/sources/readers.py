@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from sqlcorpus import schemas as S
 from sqlcorpus.functions.text import parse_prediction
 from sqlcorpus.session import first_characters, path_exists, qualified
+from sqlcorpus.sources.manifest import Manifest
 
 CORRUPT = "_corrupt_record"
 # Names some columns carry in files.
@@ -145,9 +146,8 @@ def _loose_boolean(name: str) -> Column:
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Stored results; JSON entries that cannot be read keep their text in ``_corrupt_record``."""
     if fmt == "parquet":
-        if not path_exists(spark, path):
-            return _empty(spark, S.RESULTS)
-        return spark.read.schema(S.RESULTS).parquet(path)
+        manifest = Manifest(spark, path)
+        return manifest.read(S.RESULTS, manifest.latest()[1])
     _require(spark, path)
     words = T.StructType([T.StructField(field.name, T.StringType()) for field in S.RESULTS.fields])
     raw = _read_json(spark, path, words, fmt == "json")
@@ -221,3 +221,12 @@ def read_predictions(spark: SparkSession, path: str, whole: bool = False) -> Dat
     if not path_exists(spark, path):
         return _empty(spark, S.PREDICTIONS)
     return parse_predictions(spark.read.text(path, wholetext=whole))
+
+
+def read_submission(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions as ``write_submission`` stores them, line by line, so that any number of tasks read one object."""
+    if not path_exists(spark, path):
+        return _empty(spark, S.PREDICTIONS)
+    line = F.rtrim(F.col("value"))
+    entry = F.concat(F.lit("{"), F.regexp_replace(line, ",$", ""), F.lit("}"))
+    return parse_predictions(spark.read.text(path).filter(~line.isin("{", "}")).select(entry.alias("value")))

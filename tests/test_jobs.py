@@ -4,6 +4,8 @@ import json
 import os
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from sqlcorpus.plans.curate import Settings, curate, fetch_curated, run_curation
 from sqlcorpus.plans.label import label_corpus
 from sqlcorpus.plans.predict import predict, score
 from sqlcorpus.sources import readers, writers
-from sqlcorpus.streaming.ingest import ingest_batch, read_ingested, stream_ingest
+from sqlcorpus.sources.manifest import Manifest
+from sqlcorpus.streaming.ingest import ingest_batch, question_bucket, read_ingested, stored_in, stream_ingest
 from workload import queries as Q
 
 from .conftest import SF_SMALL
@@ -137,6 +140,31 @@ def test_append_results_is_first_wins(spark, tmp_path):
     assert rows.columns == S.RESULT_FIELDS
 
 
+def test_appends_that_overlap_store_a_question_once(spark, tmp_path, monkeypatch):
+    """While a job is about to commit, two others append; it leaves out what they have stored, and nothing else."""
+    path, kind = str(tmp_path / "results"), "question_id string, predicted_sql string, generation_status string"
+    rows = lambda name, ids: spark.createDataFrame([(str(i), name, "Success") for i in ids], kind)
+    rows("old", range(3)).select("question_id", "predicted_sql", "generation_status").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in S.RESULTS.fields if f"{f.name} " not in kind}).select(S.RESULTS.names).write.parquet(path)
+    commit, waiting = Manifest.commit, [("b", range(4, 8)), ("c", range(6, 10))]
+
+    def late(manifest, version, folders):
+        while waiting:
+            writers.append_results(rows(*waiting.pop()), path)
+        return commit(manifest, version, folders)
+
+    monkeypatch.setattr(Manifest, "commit", late)
+    writers.append_results(rows("a", range(0, 7)), path)
+    got = sorted((int(r["question_id"]), r["predicted_sql"]) for r in readers.read_results(spark, path).collect())
+    assert [i for i, _ in got] == list(range(10))
+    assert {n for _, n in got} == {"old", "a", "b", "c"} and got[:3] == [(i, "old") for i in range(3)]
+    assert not commit(Manifest(spark, path), 1, [])  # taken
+    assert Manifest(spark, path).latest()[0] == 3
+    # A folder that no version names, as a job leaves it that ends before its commit, does not count.
+    readers.read_results(spark, path).write.parquet(f"{path}/rows-lost")
+    assert readers.read_results(spark, path).count() == 10
+
+
 def test_predictions_round_trip(spark, tmp_path):
     path = str(tmp_path / "predictions")
     rows = [("1", "SELECT 'ä\n\t\"';", "shop"), ("2", "", "bank")]
@@ -432,6 +460,14 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
         stream_ingest(spark, str(source), target, str(tmp_path / "progress")).awaitTermination()
     expected = {q: f"SELECT {q};" for q in texts}
     assert {r["question_id"]: r["sql"] for r in read_ingested(spark, target).collect()} == expected
+    # A batch lists and reads the buckets of its own questions only.
+    few = list(texts)[:3]
+    touched = sorted({r["b"] for r in spark.createDataFrame([(q,) for q in few], "question_id string").select(question_bucket().alias("b")).collect()})
+    stored = stored_in(spark, target, touched)
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in stored.inputFiles()} == set(touched) and len(touched) <= 3
+    assert set(few) <= {r["question_id"] for r in stored.collect()} and stored.count() < 10
+    unused = next(b for b in range(256) if f"bucket={b}" not in {p.name for p in (tmp_path / "out").iterdir()})
+    assert stored_in(spark, target, [unused]) is None
     again = spark.createDataFrame([(q, texts[q]) for q in list(texts)[10:20]], S.GENERATIONS)
     ingest_batch(again, 1, target)
     ingest_batch(again, 9, target)
@@ -442,13 +478,50 @@ def test_submission_is_one_object(spark, tmp_path):
     rows = [(str(i), f'SELECT "{{}}" FROM t{i} -- }}\n', f"db{i}") for i in range(40)] + [('q"uote', "SELECT '}'", "d")]
     frame = spark.createDataFrame(rows, "question_id string, sql string, db_id string").repartition(5)
     path = str(tmp_path / "submission")
-    writers.write_submission(frame, path)
+    writers.write_submission(frame, path, parts=1)
     parts = [p for p in (tmp_path / "submission").iterdir() if p.name.startswith("part-")]
     assert len(parts) == 1
     assert json.loads(parts[0].read_text()) == {q: f"{sql}{S.PREDICTION_SEPARATOR}{db}" for q, sql, db in rows}
-    assert readers.read_predictions(spark, path, whole=True).count() == 41
+    assert readers.read_predictions(spark, path, whole=True).count() == readers.read_submission(spark, path).count() == 41
     writers.write_submission(frame.limit(0), path)
     assert json.loads(next(p for p in (tmp_path / "submission").iterdir() if p.name.startswith("part-")).read_text()) == {}
+    assert readers.read_submission(spark, path).count() == 0
+    # Many files behind each other, in the order of their names, are the same object.
+    writers.write_submission(frame, path, parts=6)
+    parts = sorted(p for p in (tmp_path / "submission").iterdir() if p.name.startswith("part-"))
+    assert len(parts) == 6
+    assert json.loads("".join(p.read_text() for p in parts)) == {q: f"{sql}{S.PREDICTION_SEPARATOR}{db}" for q, sql, db in rows}
+    assert sorted(tuple(r) for r in readers.read_submission(spark, path).collect()) == sorted(rows)
+    writers.write_submission(frame.filter("question_id = '7'"), path)
+    assert readers.read_submission(spark, path).first()["db_id"] == "db7"
+
+
+def test_thousands_of_tables_are_one_job(spark, tmp_path):
+    """2,000 tables, each with a column of its own; the driver plans no read for any of them."""
+    root = tmp_path / "many"
+    for i in range(2000):
+        place = root / f"db{i % 50}"
+        place.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table({f"c{i}": [i, i + 1, i + 2, i + 3], "b": [b"x"] * 4}), place / f"t{i}.parquet")
+    tables = readers.discover_databases(spark, str(root))
+    found = C.sample_databases(spark, tables, 2, tasks=8)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "parquet" not in text.lower().replace("*.parquet", "").split("mapinarrow")[0]
+    rows = found.collect()
+    assert len(rows) == 4000
+    assert all(r["header"] == [f"c{r['table_name'][1:]}"] and r["cells"] == [str(int(r["table_name"][1:]) + r["row_no"] - 1)] for r in rows)
+
+
+def test_sampled_cells_read_like_cells_of_a_query(spark, tmp_path):
+    """Whatever its type, a cell is written as Spark writes it."""
+    row = ("'text'", "cast(1.5 as double) r", "cast(1e20 as double) big", "cast(0.1 as float) f", "cast(3.10 as decimal(9,2)) dec", "true flag",
+           "cast(7 as tinyint) tiny", "date'2020-02-29' day", "timestamp'2021-03-04 05:06:07.120' at", "timestamp_ntz'2021-03-04 05:06:07' ntz",
+           "array(1, null, 3) list", "named_struct('a', 1, 'b', 'x') pair", "map('k', 2) held", "cast(null as string) none", "repeat('y', 80) long")
+    df = spark.range(3).selectExpr("id", *row)
+    df.repartitionByRange(2, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "r" / "db" / "t"))
+    got = C.sample_databases(spark, readers.discover_databases(spark, str(tmp_path / "r")), 5).orderBy("row_no").collect()
+    want = df.select(C.sample_cells(df, df.columns).alias("cells")).orderBy("id").collect()
+    assert [r["cells"] for r in got] == [r["cells"] for r in want] and got[0]["header"] == df.columns
 
 
 def test_samples_by_table_name(spark, workspace, tmp_path):
@@ -481,5 +554,5 @@ def test_curation_asks_a_model(spark, workspace, tmp_path):
     asked = [r["question_id"] for call in calls for r in call.collect()]
     candidates = Q.triaged(spark, SF_SMALL).filter("cache_state = 'candidate'").count()
     assert len(asked) == len(set(asked)) and 0 < len(asked) < candidates
-    assert "## After stage 2" in text and "databases covered" in text
+    assert "## After stage 2" in text and "with rows" in text
     assert {r["question_id"] for r in readers.read_results(spark, stored).collect()} <= set(asked)

@@ -150,8 +150,11 @@ def test_reports(spark, workspace):
     coverage = reports.database_coverage(filled, expected)
     assert {row["db_id"]: row["missing"] for row in coverage.collect()} == {"a": False, "b": False, "c": True}
     folder = workspace.path("coverage")
-    assert reports.format_coverage(coverage, "Train", folder) == "Train: 2/3 databases covered (66.7%)"
-    assert [row[0].split() for row in spark.read.text(folder).collect()][-1] == ["c", "|", "0", "MISSING"]
+    lines = reports.format_coverage(coverage, "Train", folder).splitlines()
+    assert [[cell.strip() for cell in line.split("|")[1:4]] for line in lines[-2:]] == [["with rows", "2", "66.7 %"], ["without rows", "1", "33.3 %"]]
+    assert [tuple(r) for r in spark.read.csv(folder, header=True).orderBy("db_id").collect()][-1] == ("c", "0", "true")
+    dirty = spark.range(3000).select(F.lit(S.TRAIN).alias("split"), F.concat(F.lit("x"), "id").alias("level"))
+    assert len(reports.format_distribution(reports.level_distribution(dirty), "Train").splitlines()) == 6
     summary = reports.coverage_summary(coverage).first()
     assert (summary["covered"], summary["total"], round(summary["pct"], 2)) == (2, 3, 66.67)
     assert [row[0] for row in reports.missing_databases(filled, expected).collect()] == ["c"]

@@ -545,6 +545,7 @@ ORACLES: dict[str, str] = {
     "truncate_cell": "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS cell FROM documents",
     "format_prediction": f"SELECT question_id, sql || chr(9) || '----- bird -----' || chr(9) || db_id AS value FROM ({PREDICTIONS})",
     "parse_prediction": f"SELECT question_id, sql, db_id FROM ({PREDICTIONS})",
+    "submission_round_trip": f"SELECT question_id, sql, db_id FROM ({PREDICTIONS})",
     "exact_match": f"SELECT doc_id, doc_id % 3 <> 0 OR {strip('text')} = {strip('lower(text)')} AS same FROM documents",
     "catalog_tables": build("SELECT db_id, table_idx, table_name, table_friendly FROM tabs", [], **CATALOG),
     "catalog_columns": build(
@@ -600,6 +601,14 @@ ORACLES: dict[str, str] = {
         prompts=f"""SELECT question_id, {prompt('a.text', "'Answer in SQL.'")} AS p3, {prompt('b.text', "'Answer in SQL.'")} AS p1, {prompt('c.text', "'Answer in SQL.'")} AS p0
             FROM questions q LEFT JOIN context_3 a ON a.db_id = q.db_id LEFT JOIN context_1 b ON b.db_id = q.db_id LEFT JOIN context_0 c ON c.db_id = q.db_id""",
     ),
+    "render_prompt_from_file": build(
+        """SELECT question_id, n AS num_rows, CASE n WHEN 3 THEN p3 WHEN 1 THEN p1 WHEN 0 THEN p0 END AS prompt,
+        CASE WHEN n IS NULL THEN 'ContextLimit' ELSE 'Success' END AS prompt_status
+        FROM (SELECT *, CASE WHEN length(p3) <= 1600 THEN 3 WHEN length(p1) <= 1600 THEN 1 WHEN length(p0) <= 1600 THEN 0 END AS n FROM prompts)""",
+        ["questions"], **CONTEXTS,
+        prompts=f"""SELECT question_id, {prompt('a.text', "'Answer in SQL.'")} AS p3, {prompt('b.text', "'Answer in SQL.'")} AS p1, {prompt('c.text', "'Answer in SQL.'")} AS p0
+            FROM questions q LEFT JOIN context_3 a ON a.db_id = q.db_id LEFT JOIN context_1 b ON b.db_id = q.db_id LEFT JOIN context_0 c ON c.db_id = q.db_id""",
+    ),
     "bake": build(BAKED, ["questions", "results"], **CONTEXTS),
     "combined_val": build(f"SELECT * FROM ({BAKED}) WHERE split <> 'train'", ["questions", "results"], **CONTEXTS),
     "length_audit": """SELECT lang, count(*) AS n, count(*) FILTER (t > 1000) AS over_limit, max(t) AS max_tokens, CAST(sum(t) AS BIGINT) AS total_tokens
@@ -629,6 +638,12 @@ ORACLES: dict[str, str] = {
         JOIN (SELECT * FROM results WHERE _corrupt_record IS NULL) r ON l.question_id = r.question_id""",
         ["questions", "labelled", "results", "placed"]),
     "read_splits": build("SELECT * FROM placed", ["questions", "labelled", "placed"]),
+    "read_splits_resolved": build("SELECT * FROM placed", ["questions", "labelled", "placed"]),
+    "live_ddl": " UNION ALL ".join(
+        f"""SELECT '{db}' AS db_id, string_agg('CREATE TABLE "' || table_name || '" (' || chr(10) || cols || chr(10) || ')', chr(10) ORDER BY table_name) AS ddl
+        FROM (SELECT table_name, string_agg('    "' || column_name || '" ' || CASE data_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'INT'
+          ELSE data_type END, ',' || chr(10) ORDER BY column_index) AS cols FROM duckdb_columns() WHERE table_name IN ({names}) GROUP BY table_name)"""
+        for db, names in (("geo", "'nation', 'region'"), ("shop", "'part', 'orders'"), ("crm", "'customer'"))),
     "write_baked": build(BAKED, ["questions", "results"], **CONTEXTS),
     "append_raw": GENERATIONS,
     "materialize_if_absent": build("SELECT question_id, level FROM labelled", ["questions", "labelled"]),

@@ -487,6 +487,19 @@ def read_splits(spark, sf):
     return read.select("question_id", "db_id", "level", "split")
 
 
+@query
+def read_splits_resolved(spark, sf):
+    """Splits from wherever they are: an own folder that is complete, else the place of a published copy."""
+    workspace = Workspace(spark)
+    own, published = workspace.path("own"), workspace.path("published")
+    rows = placed(spark, sf)
+    for name, split in S.PUBLISHED_SPLITS.items():
+        of_split(rows, split).drop("split").write.json(f"{published}/{name}.json")
+    of_split(rows, S.TRAIN).drop("split").write.json(f"{own}/{S.TRAIN}.json")
+    folder, names = readers.resolve_source(spark, None, own, published)
+    return readers.read_splits(spark, folder, names, fmt="jsonl").select("question_id", "db_id", "level", "split")
+
+
 @query
 def write_baked(spark, sf):
     path = Workspace(spark).path("baked")
@@ -528,7 +541,7 @@ def sample_databases(spark, sf):
     for db, name, key in (("geo", "nation", "n_nationkey"), ("shop", "part", "p_partkey"),
                           ("shop", "orders", "o_orderkey"), ("crm", "customer", "c_custkey")):
         stored = X.table(spark, sf, name).withColumn("photo", F.lit("x").cast("binary"))
-        stored.repartitionByRange(1, key).sortWithinPartitions(key).write.parquet(f"{root}/{db}/{name}")
+        stored.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{root}/{db}/{name}")
     spark.createDataFrame([("no table",)], "value string").write.text(f"{root}/crm/broken.parquet")
     found = C.sample_databases(spark, readers.discover_databases(spark, root), 3)
     return found.select("db_id", "table_name", "row_no", F.array_join("header", ",").alias("header"), F.get("cells", F.lit(0)).alias("key"))
@@ -612,6 +625,14 @@ def parse_prediction(spark, sf):
     return parse_predictions(lines)
 
 
+@query
+def submission_round_trip(spark, sf):
+    """Predictions written as one object by many tasks, and read again line by line."""
+    path = Workspace(spark).path("submission")
+    writers.write_submission(_predictions(spark, sf), path, parts=8)
+    return readers.read_submission(spark, path)
+
+
 @query
 def exact_match(spark, sf):
     padded = F.concat(F.lit(" "), F.col("text"), F.lit("\n"))
@@ -742,6 +763,25 @@ def render_prompt(spark, sf):
     return made.select("question_id", "num_rows", "prompt", "prompt_status")
 
 
+@query
+def live_ddl(spark, sf):
+    """DDL of stored tables, from their footers."""
+    root = Workspace(spark).path("databases")
+    for db, name in (("geo", "nation"), ("geo", "region"), ("shop", "part"), ("shop", "orders"), ("crm", "customer")):
+        X.table(spark, sf, name).write.parquet(f"{root}/{db}/{name}")
+    return C.live_ddl(spark, readers.discover_databases(spark, root))
+
+
+@query
+def render_prompt_from_file(spark, sf):
+    """Prompts whose template is read from a file."""
+    path = f"{Workspace(spark).path('template')}/text"
+    spark.createDataFrame([(TEMPLATE.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+    template = readers.load_template(spark, path)
+    made = prompts.render_prompts(questions(spark, sf), stored_contexts(spark, sf), template, 1600, "Answer in SQL.")
+    return made.select("question_id", "num_rows", "prompt", "prompt_status")
+
+
 def _baked(spark: SparkSession, sf: str) -> DataFrame:
     merged = triage.merge_result(labelled(spark, sf), results(spark, sf)).filter(triage.is_success())
     third = F.pmod(F.col("question_id").cast("bigint"), F.lit(5))
