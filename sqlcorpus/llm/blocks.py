@@ -1,6 +1,6 @@
 """Blocks of whole documents and shards of digests, between which operators send packed arrays.
 
-Documents are dealt into blocks by a hash of their id, digests into shards by their leading bits. A block sends each
+Documents are dealt into blocks by a hash of their id and text, so that ids that are null or repeat are spread, digests into shards by their leading bits. A block sends each
 shard one row that packs all it has for it, so however often a digest occurs, a shard sees it once a block. Block
 size grows with the square root of the corpus, so that messages stay longer than their overhead.
 """
@@ -16,18 +16,23 @@ LEAST_BLOCK = 2 << 20
 PER_MESSAGE = 512
 
 
+def measure_blocks(docs: DataFrame, text_col: str) -> tuple[int, float]:
+    """(blocks, bytes of one) for the bytes of all texts: about 2 MB each, more in a corpus of over 8 GB."""
+    total = docs.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("binary")).cast("long"))).first()[0] or 0
+    size = max(LEAST_BLOCK, (PER_MESSAGE * total) ** 0.5)
+    return max(1, round(total / size)), size
+
+
 def count_blocks(docs: DataFrame, text_col: str) -> int:
-    """Blocks for the bytes of all texts: about 2 MB each, more in a corpus of over 8 GB."""
-    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("binary")).cast("long"))).first()[0] or 0
-    return max(1, round(total / max(LEAST_BLOCK, (PER_MESSAGE * total) ** 0.5)))
+    return measure_blocks(docs, text_col)[0]
 
 
 def in_blocks(docs: DataFrame, n_blocks: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(_id, _text as bytes, _block), and the columns ``carry`` as _rest."""
     return docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"),
-        F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(n_blocks)).cast("int").alias("_block"),
-        *([F.struct(*carry).alias("_rest")] if carry else []))
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"),
+        F.pmod(F.xxhash64(F.lit(7), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(n_blocks)).cast("int").alias("_block"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_rest")] if carry else []))
 
 
 def shard_of(digest: np.ndarray, n_shards: int) -> np.ndarray:

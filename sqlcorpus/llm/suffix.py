@@ -9,18 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sqlcorpus.llm.blocks import count_blocks, in_blocks, mix, shard_of, split_at
+from sqlcorpus.llm.blocks import in_blocks, measure_blocks, mix, shard_of, split_at
 from sqlcorpus.llm.sais import permuted_prefixes, ranges, suffix_array
 
 #: Bytes whose digest anchors a window; bytes of text that are digested, and sorted, at once.
 ANCHOR, STRIDE, SORTED = 20, 1 << 16, 1 << 20
-#: A digest is hot that occurs more often in one block, or in more blocks.
-HOT_RUNS, HOT_BLOCKS = 32, 64
-#: The mark of a window that was sent by itself, beyond those of anchors.
-ALONE = 256
+#: A digest is hot when what surrounds it, at two widths a place, could fill more than this share of a block.
+HOT_SHARE = 1.0
+#: Places of a digest in one block from which on the block says how many there are.
+MANY = 8
+#: Values of the bits by which a shard's texts are divided into portions.
+MARKS = 1 << 14
 LAST = np.iinfo(np.int64).max
 
 
+def digests(text: np.ndarray) -> np.ndarray:
+    """Digests of all strings of ``ANCHOR`` bytes along the last axis."""
+    h, step = text.astype(np.uint64) + np.uint64(1), 1
+    levels = {1: h}
+    while step * 2 <= ANCHOR:
+        h = h[..., :-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + h[..., step:]
+        h ^= h >> np.uint64(31)
+        step *= 2
+        levels[step] = h
+    digest, have = levels[step], step
+    while have < ANCHOR:
+        step = max(s for s in levels if s <= ANCHOR - have)
+        n = text.shape[-1] - have - step + 1
+        digest = digest[..., :n] * np.uint64(0xC2B2AE3D27D4EB4F) + levels[step][..., have:have + n]
+        have += step
+    return mix(digest)
+
+
 def anchors(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(digest, first, last): runs of windows of ``width`` bytes, by place, whose smallest digest is the same one.
 
@@ -33,20 +53,7 @@ def anchors(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     out = []
     for start in range(0, max(len(text) - width + 1, 0), STRIDE):
         part = text[start:start + STRIDE + width - 1]
-        h, step = part.astype(np.uint64) + np.uint64(1), 1
-        levels = {1: h}
-        while step * 2 <= ANCHOR:
-            h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
-            h ^= h >> np.uint64(31)
-            step *= 2
-            levels[step] = h
-        digest, have = levels[step], step
-        while have < ANCHOR:
-            step = max(s for s in levels if s <= ANCHOR - have)
-            n = len(part) - have - step + 1
-            digest = digest[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + levels[step][have:have + n]
-            have += step
-        digest = mix(digest)
+        digest = digests(part)
         low = (digest & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(digest), dtype=np.uint64)
         span, step = width - ANCHOR + 1, 1
         while step * 2 <= span:
@@ -77,13 +84,21 @@ def window_digests(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def tags_by_shard(keys: np.ndarray, flags: np.ndarray, block: int) -> pa.Table:
-    """One row a shard of its ascending keys, with two flags in the trailing bits."""
+def shard_key(digest: np.ndarray, n_shards: int) -> np.ndarray:
+    """Leading bits pick the shard, trailing ones tell digests apart in it; a clash only asks about more text."""
+    return (shard_of(digest, n_shards).astype(np.uint64) << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFC))
+
+
+def tags_by_shard(keys: np.ndarray, flags: np.ndarray, counts: np.ndarray, block: int) -> pa.Table:
+    """One row a shard of its ascending keys, with two flags in the trailing bits, and the counts of those that have
+    the second flag."""
     value = (keys & np.uint64(0xFFFFFFFC)).astype(np.uint32) | flags.astype(np.uint32)
+    many = flags >= 2
     shard, start, end = split_at((keys >> np.uint64(32)).astype(np.int64))
     return pa.table({
         "_shard": pa.array(shard, pa.int32()), "_block": pa.array(np.full(len(shard), block), pa.int32()),
-        "_tags": pa.array([value[s:e].tobytes() for s, e in zip(start, end)], pa.binary())})
+        "_tags": pa.array([value[s:e].tobytes() for s, e in zip(start, end)], pa.binary()),
+        "_counts": pa.array([counts[s:e][many[s:e]].astype(np.uint32).tobytes() for s, e in zip(start, end)], pa.binary())})
 
 
 def read_bits(keys: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -116,71 +131,73 @@ class Block:
         self.text = np.frombuffer(self.raw, dtype=np.uint8)
         digest, self.first, self.last = anchors(self.text, self.ends, width)
         self.owner = self.rank[np.searchsorted(self.ends, self.first, side="right")]
-        shard = shard_of(digest, n_shards)
-        # Leading bits pick the shard, trailing ones tell digests apart in it; a clash only asks about more text.
-        self.key = (shard.astype(np.uint64) << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFC))
-        self.keys, self.inverse, counts = np.unique(self.key, return_inverse=True, return_counts=True)
-        self.flags = in_two(self.inverse, self.owner, len(self.keys)) | (counts > HOT_RUNS) * 2
+        self.key = shard_key(digest, n_shards)
+        self.keys, self.inverse, self.counts = np.unique(self.key, return_inverse=True, return_counts=True)
+        self.flags = in_two(self.inverse, self.owner, len(self.keys)) | (self.counts >= MANY) * 2
         self.n_shards, self.width = n_shards, width
 
     def questions(self, block: int) -> pa.Table:
-        return tags_by_shard(self.keys, self.flags, block)
+        return tags_by_shard(self.keys, self.flags, self.counts, block)
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place, run) of the windows of ``runs``, the distinct keys of their digests, and which key each has."""
         many = self.last[runs] - self.first[runs] + 1
         at, run = ranges(self.first[runs], many), runs.repeat(many)
-        digest = window_digests(self.text, at, self.width)
-        key = (shard_of(digest, self.n_shards).astype(np.uint64) << np.uint64(32)) | (digest & np.uint64(0xFFFFFFFC))
+        key = shard_key(window_digests(self.text, at, self.width), self.n_shards)
         return at, run, *np.unique(key, return_inverse=True)
 
     def window_questions(self, answers: pa.Table, block: int) -> pa.Table:
         """What the block asks about each distinct window whose anchor is hot."""
         shared, hot = read_bits(self.keys, answers)
         _, run, keys, inverse = self.windows(np.flatnonzero((shared & hot)[self.inverse]))
-        return tags_by_shard(keys, in_two(inverse, self.owner[run], len(keys)), block)
+        return tags_by_shard(keys, in_two(inverse, self.owner[run], len(keys)) * 1, np.zeros(len(keys)), block)
 
     def stretches(self, answers: pa.Table, of_windows: pa.Table) -> tuple[np.ndarray, ...]:
-        """(first, last, run, shard, mark): shared runs, and of hot ones each window that is shared itself."""
+        """(first, last, run, shard, mark) in the order of shards: shared runs, and of hot ones each shared window."""
         shared, hot = read_bits(self.keys, answers)
         cold = np.flatnonzero((shared & ~hot)[self.inverse])
         at, run, keys, inverse = self.windows(np.flatnonzero((shared & hot)[self.inverse]))
         good = read_bits(keys, of_windows)[0][inverse]
         key = np.concatenate([self.key[cold], keys[inverse[good]]])
-        mark = ((key >> np.uint64(2)) & np.uint64(255)).astype(np.uint16)
-        mark[len(cold):] = ALONE
-        return (np.concatenate([self.first[cold], at[good]]), np.concatenate([self.last[cold], at[good]]),
-                np.concatenate([cold, run[good]]), (key >> np.uint64(32)).astype(np.int64), mark)
-
-    def passages(self, first: np.ndarray, last: np.ndarray, shard: np.ndarray):
-        """Distinct texts of the stretches by shard, in a fixed order, with their stretches: {shard: {text: places}}."""
-        out: dict[int, dict[bytes, list[int]]] = {}
-        for k, (s, e) in enumerate(zip(first.tolist(), last.tolist())):
-            out.setdefault(int(shard[k]), {}).setdefault(self.raw[s:e + self.width], []).append(k)
-        return out
-
-
-def answer(part: pa.Table) -> pa.Table:
-    """Which tags of each block occur in two blocks, or in two documents of one, and which of them are hot."""
+        mark = ((key >> np.uint64(2)) & np.uint64(MARKS - 1)).astype(np.uint16)
+        shard = (key >> np.uint64(32)).astype(np.int64)
+        found = (np.concatenate([self.first[cold], at[good]]), np.concatenate([self.last[cold], at[good]]),
+                 np.concatenate([cold, run[good]]), shard, mark)
+        order = shard.argsort(kind="stable")
+        return tuple(x[order] for x in found)
+
+    def passages(self, first: np.ndarray, last: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The distinct texts of the stretches in the order of their first ones, and which of them each stretch has."""
+        number: dict[bytes, int] = {}
+        which = [number.setdefault(self.raw[s:e], len(number)) for s, e in zip(first.tolist(), (last + self.width).tolist())]
+        return list(number), np.array(which, dtype=np.int64)
+
+
+def answer(part: pa.Table, most: float) -> pa.Table:
+    """Which tags of each block occur in two blocks, or in two documents of one, and which of those are hot, as they
+    occur at over ``most`` places."""
     tags = [np.frombuffer(x, dtype=np.uint32) for x in part.column("_tags").to_pylist()]
     every = np.concatenate(tags)
     _, inverse, counts = np.unique(every >> np.uint32(2), return_inverse=True, return_counts=True)
-    several, hot = counts > 1, counts > HOT_BLOCKS
+    several = counts > 1
     several[inverse[(every & np.uint32(1)).astype(bool)]] = True
-    hot[inverse[(every & np.uint32(2)).astype(bool)]] = True
+    places = np.ones(len(every))
+    places[(every & np.uint32(2)).astype(bool)] = np.frombuffer(b"".join(part.column("_counts").to_pylist()), dtype=np.uint32)
+    hot = several & (np.bincount(inverse, places, len(counts)) > most)
     cuts = np.cumsum([len(x) for x in tags])[:-1]
-    bits = zip(np.split(several[inverse], cuts), np.split((several & hot)[inverse], cuts))
+    bits = list(zip(np.split(several[inverse], cuts), np.split(hot[inverse], cuts)))
     return pa.table({"_block": part.column("_block"), "_shard": part.column("_shard"),
-                     "_bits": pa.array([np.packbits(np.concatenate(x)).tobytes() for x in bits], pa.binary())})
+                     "_bits": pa.array([np.packbits(np.concatenate(x)).tobytes() for x in bits], pa.binary()),
+                     "_hot": pa.array([bool(h.any()) for _, h in bits], pa.bool_())})
 
 
-def first_owners(texts: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
+def first_owners(texts: list[bytes], owners: np.ndarray, width: int) -> np.ndarray:
     """For each window of each text the smallest owner of any text that holds it: groups of the suffix array."""
     lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths + 1)
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64) + 2
+    joined = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int32) + np.int32(2)
     joined[ends - 1] = 1
-    t = np.append(joined, 0)
+    t = np.append(joined, np.int32(0))
     sa = suffix_array(t, 258)
     common = permuted_prefixes(t, sa, 1)[sa] >= width
     # Both ends of a suffix array's run of long common prefixes hold the window, so the run is the window's group.
@@ -190,46 +207,37 @@ def first_owners(texts: list[bytes], owners: np.ndarray, width: int) -> list[np.
     lowest = np.minimum.reduceat(owner[sa], group)
     result = np.empty(len(t), dtype=np.int64)
     result[sa] = np.repeat(lowest, np.diff(np.append(group, len(sa))))
-    return [result[e - n - 1:e - width] for e, n in zip(ends, lengths)]
+    return result[ranges(ends - lengths - 1, lengths - width + 1)]
 
 
 def judge(part: pa.Table, width: int) -> pa.Table:
     """The smallest owner of every window that the blocks sent to a shard, in the order in which they sent them.
 
-    Texts with the same bits of their anchor's digest are sorted together, so a large shard is sorted in portions.
-    Windows that came alone only meet their equals.
+    Texts with the same bits of their digest are sorted together, so a large shard is sorted in portions.
     """
     part = part.sort_by("_block")
     number: dict[bytes, int] = {}
-    owners: list[int] = []
-    bits: list[int] = []
     sent = []
-    for blob, lengths, mins, marks in zip(*(
-            part.column(c).to_pylist() for c in ("_texts", "_lengths", "_owners", "_marks"))):
-        at, own = 0, []
-        for n, m, mark in zip(np.frombuffer(lengths, dtype=np.uint16).tolist(),
-                              np.frombuffer(mins, dtype=np.int64).tolist(),
-                              np.frombuffer(marks, dtype=np.uint16).tolist()):
-            text = blob[at:at + n]
-            at += n
-            k = number.setdefault(text, len(number))
-            if k == len(owners):
-                owners.append(m)
-                bits.append(mark)
-            elif m < owners[k]:
-                owners[k] = m
-            own.append(k)
-        sent.append(own)
-    texts, lowest, mark = list(number), np.array(owners, dtype=np.int64), np.array(bits)
-    found: list[np.ndarray] = [lowest[k:k + 1] for k in range(len(texts))]
-    portions = min(256, -(-sum(len(t) for t, m in zip(texts, bits) if m != ALONE) // SORTED))
+    for blob, lengths in zip(*(part.column(c).to_pylist() for c in ("_texts", "_lengths"))):
+        ends = np.cumsum(np.frombuffer(lengths, dtype=np.uint16), dtype=np.int64).tolist()
+        sent.append([number.setdefault(blob[s:e], len(number)) for s, e in zip([0, *ends[:-1]], ends)])
+    texts, every = list(number), np.concatenate([np.array(x, dtype=np.int64) for x in sent])
+    owners, marks = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=kind)
+                     for c, kind in (("_owners", np.int64), ("_marks", np.uint16)))
+    lowest, mark = np.full(len(texts), LAST), np.empty(len(texts), dtype=np.uint16)
+    np.minimum.at(lowest, every, owners)
+    mark[every] = marks
+    windows = np.array([len(t) - width + 1 for t in texts])
+    starts = np.cumsum(windows) - windows
+    found = np.empty(int(windows.sum()), dtype=np.int64)
+    portions = -(-sum(map(len, texts)) // SORTED)
     for i in range(portions):
-        chosen = np.flatnonzero((mark % portions == i) & (mark != ALONE)).tolist()
-        if chosen:
-            for k, firsts in zip(chosen, first_owners([texts[k] for k in chosen], lowest[chosen], width)):
-                found[k] = firsts
+        chosen = np.flatnonzero(mark % portions == i)
+        if len(chosen):
+            found[ranges(starts[chosen], windows[chosen])] = first_owners(
+                [texts[k] for k in chosen.tolist()], lowest[chosen], width)
     return pa.table({"_block": part.column("_block"), "_shard": part.column("_shard"), "_firsts": pa.array(
-        [np.concatenate([found[k] for k in own]).tobytes() for own in sent], pa.binary())})
+        [found[ranges(starts[own], windows[own])].tobytes() for own in map(np.array, sent)], pa.binary())})
 
 
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -249,9 +257,9 @@ def remove_repeats(
 
     1. Blocks of documents send shards the digests that anchor their windows; shards answer which occur in two
        documents. All other text has no match and goes no further.
-    2. Of a hot digest, which many contexts may surround, blocks ask in the same way about each distinct window, so
-       that windows of one document only, at the ends of a passage, go no further; the others go one by one, each to
-       the shard of its own digest.
+    2. A hot digest occurs so often that its contexts could outgrow a shard. Blocks ask in the same way about each
+       distinct window around it, so that windows of one document only, at the ends of a passage, go no further; the
+       others go one by one, each to the shard of its own digest.
     3. Blocks send each distinct stretch of the rest, once, to the shard of its anchor, with its smallest id. The
        shard sorts all suffixes of its stretches by induced sorting; permuted common prefixes of ``width`` or more
        join windows, whose smallest id goes back.
@@ -261,19 +269,23 @@ def remove_repeats(
     passage, and whatever surrounds it, a shard gets a window once a block, and the windows of a hot digest are spread
     over all shards. Null texts are empty; a null id counts as larger than all others; rows with the same id do not
     touch each other's bytes. With ``characters`` a character stays if one of its bytes does, so that ``kept`` is
-    valid UTF-8. The columns ``carry`` come along as the struct ``rest``.
+    valid UTF-8. The columns ``carry`` come along as the struct ``rest``, so their names clash with none. Of equal
+    passages the one with the smallest id stays; texts shorter than ``width`` stay whole, long ones are taken whole. An
+    empty table gives an empty result; other columns are not read.
     """
     if not ANCHOR < width <= 1000:
         raise ValueError(f"width must be over {ANCHOR} and at most 1000")
-    n = count_blocks(docs, text_col)
+    n, size = measure_blocks(docs, text_col)
+    most = HOT_SHARE * size / (2 * width)
     texts = in_blocks(docs, n, id_col, text_col, carry)
 
     def ask(part: pa.Table) -> pa.Table:
         return Block(part, n, width).questions(part.column("_block")[0].as_py())
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left, n, width)
-        return block.window_questions(right, left.column("_block")[0].as_py() if left.num_rows else 0)
+        if not left.num_rows or not any(right.column("_hot").to_pylist()):
+            return tags_by_shard(*(np.zeros(0, dtype=kind) for kind in (np.uint64, int, int)), 0)
+        return Block(left, n, width).window_questions(right, left.column("_block")[0].as_py())
 
     def stretches(block: Block, right: pa.Table):
         rounds = right.column("_round")
@@ -285,15 +297,19 @@ def remove_repeats(
         if left.num_rows and right.num_rows:
             block = Block(left, n, width)
             first, last, run, shards, marks = stretches(block, right)
-            owner = block.owner[run]
-            for shard, found in block.passages(first, last, shards).items():
-                rows["_shard"].append(shard)
+            texts, which = block.passages(first, last)
+            one = np.unique(which, return_index=True)[1]
+            lengths = np.array([len(t) for t in texts], dtype=np.uint16)
+            owners = np.full(len(texts), LAST)
+            np.minimum.at(owners, which, block.owner[run])
+            # Equal texts have equal digests, so they are in one shard, and texts are in the order of their shards.
+            for shard, start, end in zip(*split_at(shards[one])):
+                rows["_shard"].append(int(shard))
                 rows["_block"].append(left.column("_block")[0].as_py())
-                rows["_texts"].append(b"".join(found))
-                rows["_lengths"].append(np.array([len(t) for t in found], dtype=np.uint16).tobytes())
-                rows["_owners"].append(np.array([owner[k].min() for k in found.values()]).tobytes())
-                one = np.array([k[0] for k in found.values()])
-                rows["_marks"].append(marks[one].tobytes())
+                rows["_texts"].append(b"".join(texts[start:end]))
+                rows["_lengths"].append(lengths[start:end].tobytes())
+                rows["_owners"].append(owners[start:end].tobytes())
+                rows["_marks"].append(marks[one[start:end]].tobytes())
         return pa.table(rows, schema=pa.schema([
             ("_shard", pa.int32()), ("_block", pa.int32()), ("_texts", pa.binary()), ("_lengths", pa.binary()),
             ("_owners", pa.binary()), ("_marks", pa.binary())]))
@@ -306,15 +322,14 @@ def remove_repeats(
         repeated = np.zeros(len(block.text), dtype=bool)
         if asked_about.num_rows:
             first, last, run, shards, _ = stretches(block, asked_about)
-            for shard, found in block.passages(first, last, shards).items():
-                windows = np.array([len(text) - width + 1 for text in found])
-                starts = np.cumsum(windows) - windows
-                many = np.array([len(places) for places in found.values()])
-                places = np.array([k for own in found.values() for k in own])
-                windows, starts = windows.repeat(many), starts.repeat(many)
-                low = np.frombuffer(firsts[shard], dtype=np.int64)[ranges(starts, windows)]
-                hit = low < block.owner[run[places]].repeat(windows)
-                repeated[ranges(first[places], windows)[hit]] = True
+            texts, which = block.passages(first, last)
+            one = np.unique(which, return_index=True)[1]
+            windows = np.array([len(t) - width + 1 for t in texts], dtype=np.int64)
+            starts = np.cumsum(windows) - windows
+            low = np.concatenate([np.zeros(0, dtype=np.int64), *(
+                np.frombuffer(firsts[int(shard)], dtype=np.int64) for shard in split_at(shards[one])[0])])
+            hit = low[ranges(starts[which], windows[which])] < block.owner[run].repeat(windows[which])
+            repeated[ranges(first, windows[which])[hit]] = True
         # A window covers the bytes up to its width, and windows lie inside documents.
         so_far = np.cumsum(repeated, dtype=np.int32)
         gone = so_far > 0
@@ -334,18 +349,20 @@ def remove_repeats(
             "n_removed": pa.array(out["n_removed"], pa.int64()), "spans": pa.array(out["spans"], spans),
             "kept": pa.array(out["kept"], pa.binary()), **rest})
 
-    asked = texts.groupBy("_block").applyInArrow(ask, "_shard int, _block int, _tags binary")
-    answered = asked.groupBy("_shard").applyInArrow(answer, "_block int, _shard int, _bits binary")
+    asked = texts.groupBy("_block").applyInArrow(ask, "_shard int, _block int, _tags binary, _counts binary")
+    told = "_block int, _shard int, _bits binary, _hot boolean"
+    answered = asked.groupBy("_shard").applyInArrow(lambda part: answer(part, most), told)
     asked_again = texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
-        ask_windows, "_shard int, _block int, _tags binary")
-    answered_again = asked_again.groupBy("_shard").applyInArrow(answer, "_block int, _shard int, _bits binary")
+        ask_windows, "_shard int, _block int, _tags binary, _counts binary")
+    answered_again = asked_again.groupBy("_shard").applyInArrow(lambda part: answer(part, float("inf")), told)
     answers = answered.withColumn("_round", F.lit(1)).unionByName(answered_again.withColumn("_round", F.lit(2)))
     sent = texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         send, "_shard int, _block int, _texts binary, _lengths binary, _owners binary, _marks binary")
     judged = sent.groupBy("_shard").applyInArrow(
         lambda part: judge(part, width), "_block int, _shard int, _firsts binary")
     back = answers.withColumn("_firsts", F.lit(None).cast("binary")).unionByName(
-        judged.withColumn("_bits", F.lit(None).cast("binary")).withColumn("_round", F.lit(3)))
+        judged.withColumn("_bits", F.lit(None).cast("binary")).withColumn("_hot", F.lit(None).cast("boolean")).withColumn(
+            "_round", F.lit(3)))
     schema = StructType().add(id_col, docs.schema[id_col].dataType)
     for column in ("n_bytes long", "n_removed long", "spans array<struct<start:long,end:long>>", "kept binary"):
         schema.add(StructType.fromDDL(column).fields[0])

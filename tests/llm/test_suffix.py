@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sqlcorpus.llm import blocks
 from sqlcorpus.llm.queries import op3_suffix_array_dedup
 from sqlcorpus.llm.sais import permuted_prefixes, suffix_array
-from sqlcorpus.llm.suffix import ALONE, Block, answer, remove_repeats
+from sqlcorpus.llm.blocks import measure_blocks
+from sqlcorpus.llm.suffix import Block, answer, read_bits, remove_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,19 +115,28 @@ def test_contexts_of_a_hot_passage_stay_in_their_blocks():
                        "_block": [b] * len(docs[b::n])}) for b in range(n)]
     held = [Block(p, n_shards, width) for p in parts]
 
-    def exchange(questions):
-        answers = pa.concat_tables([answer(t) for t in by_shard(questions)])
+    def exchange(questions, most):
+        answers = pa.concat_tables([answer(t, most) for t in by_shard(questions)])
         return [answers.filter(pc.equal(answers.column("_block"), b)) for b in range(n)]
-    first = exchange([h.questions(b) for b, h in enumerate(held)])
-    second = exchange([h.window_questions(first[b], b) for b, h in enumerate(held)])
+    first = exchange([h.questions(b) for b, h in enumerate(held)], 50)
+    second = exchange([h.window_questions(first[b], b) for b, h in enumerate(held)], float("inf"))
+    assert any(any(t.column("_hot").to_pylist()) for t in first) and not any(any(t.column("_hot").to_pylist()) for t in second)
     holders, size = Counter(w for _, t in docs for w in {t.encode()[p:p + width] for p in range(len(t) - width + 1)}), Counter()
+    of_window = {}
     for b, h in enumerate(held):
-        places, last, _, shard, mark = h.stretches(first[b], second[b])
-        for s, found in h.passages(places, last, shard).items():
-            size[s] += sum(map(len, found))
-        alone = places[mark == ALONE].tolist()
+        places, last, run, shard, mark = h.stretches(first[b], second[b])
+        texts, which = h.passages(places, last)
+        for t, s in zip(texts, shard[np.unique(which, return_index=True)[1]]):
+            size[s] += len(t)
+        # Equal windows meet in one portion of one shard, and of hot digests only shared windows are sent.
+        for p, e, r, s, m in zip(places, last, run, shard, mark):
+            for k in range(p, e + 1):
+                assert of_window.setdefault(h.raw[k:k + width], (s, m)) == (s, m)
+        hot = read_bits(h.keys, first[b])[1][h.inverse][run]
+        alone = [k for p, e, is_hot in zip(places, last, hot) if is_hot for k in range(p, e + 1)]
         assert len(alone) > 1000 and all(holders[h.raw[p:p + width]] > 1 for p in alone)
     assert max(size.values()) < 2 * sum(size.values()) / n_shards
+    assert all(w in of_window for w, n_docs in holders.items() if n_docs > 1)
 
 
 def test_hot_passage_equals_plain_removal(spark, monkeypatch):
@@ -135,4 +145,18 @@ def test_hot_passage_equals_plain_removal(spark, monkeypatch):
     docs = contexts(1500)
     want = plain_removal([(i, t.encode()) for i, t in docs])
     got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert measure_blocks(spark.createDataFrame(docs, "doc_id long, text string"), "text")[1] / 100 < 1500  # so it is hot
     assert len(got) == len(docs) and all(bytes(r.kept) == kept(*want[r.doc_id]) for r in got)
+
+
+def test_null_and_repeated_ids_are_spread(spark, monkeypatch):
+    """Rows without an id, and rows that share one, are dealt over all blocks by their texts."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 5000)
+    monkeypatch.setattr(blocks, "PER_MESSAGE", 1)
+    rng = random.Random(8)
+    docs = [(None if i % 3 else 7, "".join(rng.choice("abcdefgh ") for _ in range(200))) for i in range(600)] + [(1, None)] * 50
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    n = blocks.count_blocks(frame, "text")
+    sizes = [r["count"] for r in blocks.in_blocks(frame.where("text is not null"), n, "doc_id", "text").groupBy("_block").count().collect()]
+    assert n > 15 and len(sizes) == n and max(sizes) < 3 * 600 / n
+    assert remove_repeats(frame).count() == len(docs)
