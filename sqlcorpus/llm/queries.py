@@ -162,13 +162,15 @@ r AS (
     xor(list_reduce(list_prepend(4294967295::BIGINT, CASE WHEN strlen(coalesce(text, '')) = 0 THEN []::BIGINT[] ELSE
       list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) END),
       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
-    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
-  FROM documents, crc),
+    CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum FROM documents, crc),
+k AS (
+  SELECT *, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32), 1, 15))::BIGINT AS k,
+    (('0x' || substr(md5('0:' || stratum), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM r),
 f AS (
-  SELECT *, (row_number() OVER (PARTITION BY none, source ORDER BY k, doc_id) - 0.5::DOUBLE)
-    / count(*) OVER (PARTITION BY none, source) AS fraction FROM r),
+  SELECT *, (row_number() OVER (PARTITION BY none, source ORDER BY k, doc_id) - 1 + u)
+    / count(*) OVER (PARTITION BY none, source) AS fraction FROM k),
 p AS (
-  SELECT *, row_number() OVER (ORDER BY fraction, CASE WHEN none THEN 'n' ELSE 's' || source END, k, doc_id) - 1 AS place,
+  SELECT *, row_number() OVER (ORDER BY fraction, stratum, k, doc_id) - 1 AS place,
     count(*) OVER () AS n FROM f)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 24 // n)::INTEGER AS shard,
   (place - ((place * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard

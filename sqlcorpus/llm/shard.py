@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one bucket of a ranking holds on average; the number of buckets follows from the row count.
@@ -35,20 +35,26 @@ def interleave_shards(
 ) -> DataFrame:
     """Deal all rows into ``n_shards`` shards whose row counts differ by one at most and whose mixtures agree.
 
-    Rows of a source are ranked by a seeded digest of their id; rank r of n gets the fraction (r + 1/2) / n; rows
-    in order of their fractions are cut into equal runs. Ranks come from bucket counts and a sort inside each
-    bucket, so neither a hot source nor the whole order meets in one task. A null source is a source of its own, a
-    null text is empty, a null id is ranked as empty text; repeated ids are told apart by size and checksum. Returns
-    (id, source, size, text_crc32, shard, slot): UTF-8 bytes plus 8, and the place in the shard.
+    Rows of a source are ranked by a seeded digest of their id, size and checksum; rank r of n, from 0, gets the
+    fraction (r + u) / n, where u is a seeded number between 0 and 1 for each source, so that sources of one row spread
+    over the whole order like the rows of large ones; rows in order of their fractions are cut into equal runs. Ranks
+    come from bucket counts and a sort inside each bucket, so neither a hot source, nor thousands of small ones, nor
+    an id that many rows share meet in one task. A null source is a source of its own, a null text is empty, however
+    long a text is only its size and checksum travel, a null id is ranked as empty text; rows that repeat are rows of
+    their own and rows equal in all of these are dealt in any order. An empty table gives an empty result; extra
+    columns are not read, whatever their names. Returns (id, source, size, text_crc32, shard, slot): UTF-8 bytes plus
+    8, and the place in the shard.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    def digest(digits: int, *parts) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, digits), 16, 10).cast("long")
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("_stratum"),
+        ident.alias("_ident"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n")).alias("_stratum"),
         (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text).alias("_crc"),
-        F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), ident)), 1, 15), 16, 10).cast("long").alias("_key"),
-    )
+    ).withColumn("_key", digest(15, "_ident", F.col("_size").cast("string"), F.col("_crc").cast("string"))).drop("_ident")
     n = docs.count()
     bits = bucket_bits(n)
 
@@ -58,7 +64,8 @@ def interleave_shards(
     before = bucket_offsets(counts, ["_stratum"], bits).join(totals, "_stratum")
     within = Window.partitionBy("_stratum", "_bucket").orderBy("_key", "_id", "_size", "_crc")
     ranked = keyed.withColumn("_r", F.row_number().over(within)).join(before, ["_stratum", "_bucket"])
-    fraction = (F.col("_before") + F.col("_r") - F.lit(0.5)) / F.col("_total")
+    offset = (digest(8, "_stratum") + F.lit(0.5)) / F.lit(float(1 << 32))
+    fraction = (F.col("_before") + F.col("_r") - 1 + offset) / F.col("_total")
     dealt = ranked.select(
         "_id", "_source", "_stratum", "_size", "_crc", "_key", fraction.alias("_fraction"),
         F.floor(fraction * (1 << bits)).cast("long").alias("_bucket"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlcorpus.llm import shard
@@ -99,5 +100,31 @@ def test_shards(spark, monkeypatch, rows_in_bucket):
         for s, n in Counter(r.source for r in part).items():
             assert abs(n - total[s] / 7) <= 2
     assert interleave_shards(frame.limit(0), 7).count() == 0
+    odd = frame.withColumn("a.b", F.lit(1)).withColumnRenamed("source", "from.source")
+    assert interleave_shards(odd, 7, source_col="from.source").count() == len(docs)
     few = interleave_shards(frame.limit(3), 7).collect()
     assert len(few) == 3 and len({r.shard for r in few}) == 3
+
+
+def test_small_sources_are_spread(spark):
+    """Thousands of sources of one row beside a large one: each shard holds its share of the large source."""
+    docs = [(i, f"text {i}", f"only {i}" if i % 8 == 0 else "large") for i in range(48_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = interleave_shards(frame, 12).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("source") == "large", 1)).alias("large")).collect()
+    assert len(rows) == 12 and all(r.n == 4000 and abs(r.large / r.n - 0.875) < 0.01 for r in rows)
+
+
+def test_ids_that_repeat_are_spread(spark):
+    """A third of all rows have no id; no bucket of either order holds more than some even shares."""
+    docs = [(None if i % 3 == 0 else i, f"text {i}", "one" if i % 5 else f"s{i}") for i in range(30_000)]
+    out = interleave_shards(spark.createDataFrame(docs, "doc_id long, text string, source string"), 6)
+    plan = out._jdf.queryExecution().analyzed()
+    sizes = []
+    while plan.children().size():
+        if "Window" in plan.nodeName():
+            below = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().apply(0)), spark)
+            by = [c for c in ("_stratum", "_bucket") if c in below.columns and "_r" not in below.columns or c == "_bucket"]
+            sizes.append(below.groupBy(*by).count().agg(F.max("count")).first()[0])
+        plan = plan.children().apply(0)
+    assert len(sizes) == 2 and max(sizes) < 3 * shard.BUCKET_ROWS
