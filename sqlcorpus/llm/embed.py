@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,43 +89,12 @@ def fit_index(sample: np.ndarray, n_rows: int, threshold: float, seed: int = 3)
         visits = min(k * k, visits * 2)
 
 
-def near_vectors(
-    vectors: DataFrame, workspace, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
-    label_col: str = "label",
-) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row: cosine >= ``threshold`` inside a label links two vectors.
-
-    Equal vectors of a label become one class first. A class lives in the cell of its nearest centroids and, as a
-    query, visits its nearest cells of the same label; each pair that meets is verified in double precision. A pair
-    is counted once for both of its ends, also if only one of them visits the other. Cells and their queries are cut
-    into blocks, so no cell meets in one task, and a task emits sums and a spanning set of links, never pairs.
-    Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components
-    link with nothing, nor do rows without a label; rows with the same id count as one node with all their links.
-    """
-    spark = vectors.sparkSession
-    # Floats travel as they are and are widened where they are compared.
-    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType)
-    kind = "array<float>" if single else "array<double>"
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label"),
-                          F.col(vector_col).cast(kind).alias("_v"))
-    finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.col("_label").isNotNull() & F.col("_id").isNotNull() & F.col("_v").isNotNull() & finite & F.exists(
-        "_v", lambda x: x != 0)
-    good = workspace.table(rows.where(usable).withColumn(
-        "_key", F.xxhash64(F.lit(1), "_v")).withColumn("_key2", F.xxhash64(F.lit(2), "_v")), "vectors")
-    classes = workspace.table(good.groupBy("_label", "_key", "_key2", "_v").agg(
-        F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")), "classes")
-    n_rows = classes.count()
-    lone = lambda df: df.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"),
-                                F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    if n_rows == 0:
-        return lone(rows)
-
-    size = classes.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    classes = classes.where(F.size("_v") == size)
+def _linked_by_index(classes: DataFrame, workspace, threshold: float, size: int) -> DataFrame:
+    """(_rep, _links, _root) of classes of one length that share cells of an index."""
+    spark, kind = classes.sparkSession, classes.schema["_v"].dataType.simpleString()
     picked = classes.orderBy(F.xxhash64("_key", "_rep")).limit(SAMPLE_ROWS).select("_v").toPandas()
     sample = np.array(picked["_v"].tolist(), dtype=np.float64).reshape(-1, size)
-    index = fit_index(unit(sample), n_rows, threshold)
+    index = fit_index(unit(sample), classes.count(), threshold)
     held = spark.sparkContext.broadcast(index)  # k * k is about n / 256, so 2 k centroids stay small
 
     label = classes.schema["_label"].dataType.simpleString()
@@ -181,8 +151,71 @@ def near_vectors(
         linked = (total > 0) | (root != np.arange(len(nodes)))
         return pd.DataFrame({"_rep": nodes[linked], "_links": total[linked], "_root": nodes[root[linked]]})
 
-    found = workspace.table(met.groupBy("_label", "_cell", "_hs", "_qs").applyInPandas(
-        link, "_rep long, _links long, _root long"), "links")
+    return met.groupBy("_label", "_cell", "_hs", "_qs").applyInPandas(link, "_rep long, _links long, _root long")
+
+
+def _links_within(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(_rep, _links, _root) of classes that are few: each is compared with each."""
+    x, reps, n = unit(np.array(part["_v"].tolist(), dtype=np.float64)), part["_rep"].to_numpy(), part["_n"].to_numpy()
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -1)
+    a, b = np.nonzero(cosine >= threshold)
+    nodes, inverse = np.unique(reps, return_inverse=True)
+    apart = inverse[a] != inverse[b]
+    a, b = a[apart], b[apart]
+    links = np.zeros(len(nodes), dtype=np.int64)
+    np.add.at(links, inverse[a], n[b])
+    root = spanning_roots(inverse[a], inverse[b], len(nodes))
+    linked = links > 0
+    return pd.DataFrame({"_rep": nodes[linked], "_links": links[linked], "_root": nodes[root[linked]]})
+
+
+def near_vectors(
+    vectors: DataFrame, workspace, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
+    label_col: str = "label",
+) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row: cosine >= ``threshold`` inside a label links two vectors.
+
+    Equal vectors of a label become one class first. A class lives in the cell of its nearest centroids and, as a
+    query, visits its nearest cells of the same label; each pair that meets is verified in double precision. A pair
+    is counted once for both of its ends, also if only one of them visits the other. Cells and their queries are cut
+    into blocks, so no cell meets in one task, and a task emits sums and a spanning set of links, never pairs.
+    Vectors of different lengths never link. The most frequent length, and any other of over ``BLOCK_HOMES`` classes,
+    has an index of its own; the classes of all others, which are one block a label and length, are compared with each
+    other directly.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without a
+    label or id, which stay rows of the result; rows with the same id count as one node with all their links, copies of
+    a vector link with each other, and a pair right at the threshold is a link. An empty table gives an empty result.
+    Extra columns are not read, whatever their names.
+    """
+    spark = vectors.sparkSession
+    # Floats travel as they are and are widened where they are compared.
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType)
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label"),
+                          F.col(vector_col).cast(kind).alias("_v"))
+    finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = F.col("_label").isNotNull() & F.col("_id").isNotNull() & F.col("_v").isNotNull() & finite & F.exists(
+        "_v", lambda x: x != 0)
+    good = workspace.table(rows.where(usable).withColumn(
+        "_key", F.xxhash64(F.lit(1), "_v")).withColumn("_key2", F.xxhash64(F.lit(2), "_v")), "vectors")
+    classes = workspace.table(good.groupBy("_label", "_key", "_key2", "_v").agg(
+        F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")), "classes")
+    n_rows = classes.count()
+    lone = lambda df: df.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"),
+                                F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    if n_rows == 0:
+        return lone(rows)
+
+    counts = classes.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d")
+    most = counts.first()["d"]
+    lengths = [r["d"] for r in counts.where((F.col("count") > BLOCK_HOMES) | (F.col("d") == most)).collect()]
+    parts = [_linked_by_index(classes.where(F.size("_v") == d), workspace, threshold, d) for d in lengths]
+    rest = classes.where(~F.size("_v").isin(lengths))
+    parts.append(rest.groupBy("_label", F.size("_v")).applyInPandas(
+        lambda part: _links_within(part, threshold), "_rep long, _links long, _root long"))
+    found = workspace.table(reduce(DataFrame.unionByName, parts), "links")
     comps = connected_components(found.select(F.col("_rep").alias("a"), F.col("_root").alias("b")), workspace)
     summed = found.groupBy("_rep").agg(F.sum("_links").alias("_links"))
     reps = classes.select("_label", "_key", "_key2", "_rep", "_n").join(summed, "_rep", "left").join(

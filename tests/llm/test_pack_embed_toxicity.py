@@ -117,6 +117,24 @@ def test_vectors(spark, workspace, monkeypatch, homes, queries):
     assert near_vectors(frame.limit(0), workspace).count() == 0
 
 
+def test_lengths_are_labels_of_their_own(spark, workspace, monkeypatch):
+    """Vectors of a rarer length link with each other, through an index if they are many, and with no other length."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for d, n in ((8, 300), (4, 120), (5, 40), (1, 6), (12, 2)):
+        base = rng.normal(size=(n // 2, d))
+        rows += [[v.tolist(), int(i % 3)] for i, v in enumerate(np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)]))]
+    rows += [[rows[300][0], rows[300][1]], [rows[300][0], 2], [[1.0] * 4 + [0.0] * 4, 1], [[1.0] * 4, 1], [[], 1]]
+    rows = [(i, v, l) for i, (v, l) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("a.b", F.lit(1))
+    want = plain_links(rows, 0.93)
+    assert sum(links for links, *_ in want.values()) > 300
+    for many in (1024, 50):
+        monkeypatch.setattr(embed, "BLOCK_HOMES", many)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(frame, workspace).collect()}
+        assert got == want
+
+
 def test_index_recall():
     rng = np.random.default_rng(2)
     base = unit(rng.normal(size=(6000, 32)))
