@@ -88,8 +88,10 @@ def pack_documents(
     A document is its text's ids and the id 0, so a null or empty text is one token. Full pieces are sequences of
     their own; the others, one a document at most, are dealt into groups by a hash and each group is packed by
     ``pack_lengths``. The number of groups follows from the number of documents, and a group wastes a sequence or
-    so. Rows with the same id are told apart by nothing and packed like others. Pieces are stored before they are
-    packed, so texts are encoded once.
+    so. Rows with the same id, or none, are packed like others and told apart by nothing but the place of their row.
+    Pieces are stored before they are packed, so texts are encoded once; long texts are taken whole, in pieces. Equal
+    lengths are packed in any order. An empty table gives an empty result; extra columns are not read, whatever their
+    names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     blob = ", _ids binary" if ids else ""
@@ -107,20 +109,22 @@ def pack_documents(
                     places.append(k)
             piece, start, length, crc, part = zip(*rows) if rows else ((),) * 5
             return {id_col: batch.column(0).take(pa.array(places, pa.int32())), "piece": piece, "start": start,
-                    "length": length, "ids_crc32": crc, "_ids": part}
+                    "length": length, "ids_crc32": crc, "_row": batch.column(2).take(pa.array(places, pa.int32())), "_ids": part}
         return work
 
-    columns = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long{blob}"
-    pieces = workspace.table(per_batch(docs.select(id_col, text_col), make, columns), "pieces")
+    columns = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _row long{blob}"
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.monotonically_increasing_id())
+    pieces = workspace.table(per_batch(rows, make, columns), "pieces")
     full = pieces.where(F.col("length") == size).withColumn(
         "sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
     loose = pieces.where(F.col("length") < size)
     groups = -(-max(loose.count(), 1) // GROUP_PIECES)
-    group = F.pmod(F.xxhash64(id_col, "length", "ids_crc32"), F.lit(groups)).cast("long")
+    # The number of the stored row spreads rows that share an id, or have none, and their text.
+    group = F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("long")
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([id_col, "length", "ids_crc32"], kind="stable").reset_index(drop=True)
+        part = part.sort_values([id_col, "length", "ids_crc32", "_row"], kind="stable").reset_index(drop=True)
         bins = pack_lengths(part["length"].to_numpy(), size)
         part["sequence_id"] = part["_group"] * (1 << 32) + bins
         lengths = part.groupby("sequence_id")["length"]
@@ -129,5 +133,5 @@ def pack_documents(
 
     packed = loose.withColumn("_group", group).groupBy("_group").applyInPandas(
         pack, columns + ", sequence_id long, offset long")
-    out = full.unionByName(packed)
+    out = full.unionByName(packed).drop("_row")
     return out.withColumnRenamed("_ids", "ids") if ids else out
