@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sqlcorpus.llm.common import keep_rows, per_batch
 
@@ -125,10 +126,19 @@ def cascade_order(sample: list[str], rules: tuple[Rule, ...] = RULES) -> list[Ru
     return order
 
 
-def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = 300) -> list[str]:
-    """At most ``rows`` texts, only to estimate the order of the rules; verdicts do not depend on it."""
-    found = docs.select(text_col).sample(0.2, seed=7).limit(rows).collect() or docs.select(text_col).limit(rows).collect()
-    return [r[0] or "" for r in found]
+def estimated_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, rows: int = 300) -> list[Rule]:
+    """The rules in the order that ``cascade_order`` finds on at most ``rows`` texts; verdicts do not depend on it.
+
+    One task estimates it, and the driver hears the places of the rules only, however long the texts are.
+    """
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for batch in batches for t in batch.column(0).to_pylist()]
+        order = cascade_order(texts, rules)
+        yield pa.RecordBatch.from_pydict({"place": pa.array([rules.index(r) for r in order], pa.int32())})
+
+    sample = docs.select(F.col(f"`{text_col}`").cast("string")).sample(0.2, seed=7).limit(rows)
+    places = [row["place"] for row in sample.coalesce(1).mapInArrow(estimate, "place int").collect()]
+    return [rules[i] for i in places] or list(rules)
 
 
 def judge_quality(
@@ -138,10 +148,12 @@ def judge_quality(
     """(id, kept, rejected_by, n_rules), and with ``counts`` the base measures and ``base_failed`` of every text.
 
     Rules run in the order of ``cascade_order`` until one rejects; ``rejected_by`` is that rule and ``n_rules`` how
-    many ran. ``kept`` is the same in any order. A null text has no words and is rejected as such; every row gives a
-    row.
+    many ran. ``kept`` is the same in any order; the order comes from measured costs, so ``rejected_by`` and ``n_rules``
+    may differ from run to run. A null or empty text has no words and is rejected as such; every row gives a row, rows
+    that repeat or lack an id too; long texts are taken whole. An empty table gives an empty result; extra columns are
+    not read, whatever their names.
     """
-    order = cascade_order(sample_texts(docs, text_col), rules)
+    order = estimated_order(docs, rules, text_col)
     base = [r for r in rules if r.base]
 
     def make():
@@ -166,8 +178,11 @@ def judge_quality(
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows, unchanged, whose text passes all rules, by the same cascade. A null text has no words."""
-    order = cascade_order(sample_texts(docs, text_col), rules)
+    """The rows, unchanged and with all their columns, whose text passes all rules, by the same cascade.
+
+    A null text has no words; rows that repeat are judged alike; an empty table stays empty.
+    """
+    order = estimated_order(docs, rules, text_col)
 
     def passes(text: str | None) -> bool:
         measures = Measures(text or "")
