@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import json
 import re
 
 import numpy as np
@@ -13,7 +14,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(f"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 INNER = re.compile(f"(?<=[^{WHITE}])[{WHITE}](?=[^{WHITE}])")
 PUNCTUATION = frozenset(",.!?;:")
-#: Pieces and chunks that a task remembers; beyond, it starts anew.
+#: Pieces that a task remembers before it starts anew, and chunks before it drops the oldest one.
 MAX_PIECES, MAX_CHUNKS = 400_000, 60_000
 
 
@@ -31,6 +32,11 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or spec["model"]["type"] != "BPE" or (
+                split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path} does not divide texts by the byte-level pattern, which pieces are cut for")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.quick = ranks_encoder(self.tokenizer)
 
@@ -112,7 +118,7 @@ class ChunkCodec:
         self.pieces = PieceEncoder(path)
         self.table = token_bytes(self.pieces.tokenizer)
         self.chunks: dict[str, tuple[str, bytes, str] | None] = {}
-        self.reused = 0
+        self.reused = self.seen = 0
 
     def chunk(self, text: str) -> tuple[str, bytes, str] | None:
         first = INNER.search(text)
@@ -131,13 +137,14 @@ class ChunkCodec:
         out, carry, start, known = [], "", 0, self.chunks
         for cut in [*content_cuts(text), len(text)]:
             part, start = text[start:cut], cut
+            self.seen += 1
             if part in known:
                 found = known[part]
                 self.reused += 1
             else:
                 found = self.chunk(part)
                 if len(known) >= MAX_CHUNKS:
-                    known.clear()
+                    del known[next(iter(known))]
                 if len(part) <= 4096:
                     known[part] = found
             if found is None:

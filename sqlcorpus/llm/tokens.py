@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 
@@ -17,7 +18,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, ids, decoded): ids as little-endian unsigned 32-bit bytes, equal to the library's, and their text again.
 
     Chunks that texts share are encoded once a task and joins repaired (``bpe.ChunkCodec``). A null text is empty;
-    every row gives a row, repeated ids too.
+    every row gives a row, repeated ids and null ones too; long texts are taken whole. An empty table gives an empty
+    result; extra columns are not read, whatever their names.
     """
     def make():
         codec = ChunkCodec(path)
@@ -32,7 +34,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode_texts`` with the digests taken where the ids are made: (id, n_tokens, ids_sha256, decoded_sha256)."""
+    """``encode_texts`` with the digests taken where the ids are made: (id, n_tokens, ids_sha256, decoded_sha256).
+
+    Odd rows and tables are treated as there.
+    """
     def make():
         codec = ChunkCodec(path)
 
@@ -55,6 +60,15 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_LIMIT, NOT_PLAIN = "ƀ", frozenset("İŉ")
 
 
+def check_pattern(tokenizer, path: str) -> None:
+    """Refuse a vocabulary that divides or changes texts in another way than the counter takes for granted."""
+    spec = json.loads(tokenizer.to_str())
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    changes = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    if steps[0].get("pattern") != {"Regex": PRE_TOKENS} or changes != ["NFC", "Replace", "Lowercase"]:
+        raise ValueError(f"{path} does not divide texts by the pattern of the lower-cased vocabulary")
+
+
 class TokenCounter(dict):
     """Tokens of a run of bytes without ASCII white space, remembered by run.
 
@@ -71,6 +85,7 @@ class TokenCounter(dict):
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        check_pattern(t, path)
         self.pattern = regex.compile(PRE_TOKENS)
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.words = dict.fromkeys(prove_whole(path) if whole is None else whole, 1)
@@ -114,6 +129,7 @@ def prove_whole(path: str) -> list[str]:
     from tokenizers import Tokenizer
 
     tokenizer, pattern = Tokenizer.from_file(path), regex.compile(PRE_TOKENS)
+    check_pattern(tokenizer, path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
@@ -135,7 +151,11 @@ def prove_whole(path: str) -> list[str]:
 def count_tokens(
     docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every whole text, as the library counts. A null text is empty.
+    """(id, n_bytes, n_tokens, over_limit) of every whole text, as the library counts.
+
+    A null text is empty, and has no tokens; every row gives a row, repeated ids and null ones too; a text of exactly
+    ``limit`` tokens is not over it. An empty table gives an empty result; extra columns are not read, whatever their
+    names.
 
     Whole tokens are proved once, by the driver, and broadcast: they are part of the vocabulary, so their size is fixed.
     """

@@ -1,10 +1,12 @@
 import hashlib
+import json
 import random
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sqlcorpus.llm import bpe
 from sqlcorpus.llm.bpe import ChunkCodec, content_cuts
 from sqlcorpus.llm.queries import op7_bpe_round_trip, op9_token_counts, tokenizer_path
 from sqlcorpus.llm.tokens import TokenCounter, count_tokens, encode_texts
@@ -92,3 +94,27 @@ def test_queries_against_the_library(spark):
     for r in op9_token_counts(spark, SF).collect():
         assert r.n_tokens == len(w.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 2048)
+
+
+def test_vocabularies_with_another_pattern_are_refused(tmp_path):
+    byte, word = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        ChunkCodec(word)
+    with pytest.raises(ValueError):
+        TokenCounter(byte, [])
+    changed = json.loads(open(byte).read())
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(changed))
+    with pytest.raises(ValueError):
+        ChunkCodec(str(tmp_path / "other.json"))
+
+
+def test_old_chunks_are_dropped_singly(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 50)
+    codec, whole = ChunkCodec(tokenizer_path("byte_bpe_50k.json")), ChunkCodec(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 999)) for _ in range(400)) for _ in range(20)]
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 50)
+    for t in texts + texts:
+        assert codec.encode(t) == whole.pieces.plain(t)
+    assert len(codec.chunks) == 50 and codec.seen > codec.reused >= 0
