@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in five stages over stored tables."""
+"""From raw documents to packed training sequences, in five stages over stored tables.
+
+All stages but the last return the columns of their documents, whatever these are called; columns that a stage does not
+read come along. Null texts are empty, a null id is an id that no other row has, rows that repeat or share an id are
+judged and kept alike, texts are taken whole however long they are, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -16,23 +21,32 @@ from sqlcorpus.session import Workspace
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that all quality rules accept."""
+    """Documents that all quality rules accept; null and empty texts have no words and are not."""
     return keep_quality(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold of their language; the classifier learns from the labels of ``docs``."""
+    """Documents under the toxicity threshold of their language; the classifier learns from the labels of ``docs``.
+
+    A language without labels, or none, has the threshold 0.5. Without labels of both kinds all documents stay.
+    """
     return keep_clean(docs, train_toxicity(docs, table(spark, sf_dir, "labels"), keep=LEARNED))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates.
+
+    Rows without an id stay; rows that share the id of a document that goes, go.
+    """
     gone = near_duplicates(docs, Workspace(spark)).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages that one with a smaller id holds; ``n_chars`` counts what is left."""
+    """All documents without the passages that one with a smaller id holds; ``n_chars`` counts what is left.
+
+    A character stays if one of its bytes does. A null text becomes an empty one; a null id is larger than all others.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     kept = remove_repeats(docs, characters=True, carry=others)
     text = F.decode("kept", "UTF-8")
@@ -43,7 +57,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of 2048 tokens."""
+    """The place of every piece of every document in sequences of 2048 tokens; an empty text is a piece of one token."""
     return pack_documents(docs, Workspace(spark), tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -47,7 +47,8 @@ def format_chats(
     ``segments`` are (text, loss) in order; joined they give ``formatted``. Turns are ordered by number, ties by role
     and text, a null number first; repeated rows stay. A null role or text is empty; a null conversation id is a
     conversation. An order of roles that the machine refuses gives the state ``refused`` and ``valid`` false, and is
-    formatted all the same. A conversation is one row, so it must fit into a task.
+    formatted all the same. A conversation is one row, so it must fit into a task, long texts too. An empty table gives
+    an empty result; extra columns are not read, whatever their names.
     """
     t = template or ChatTemplate()
     moves = F.create_map(*[F.lit(x) for (state, role), to in t.moves.items() for x in (f"{state}>{role}", to)])

@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """``make()`` runs once a task and gives the function from a small batch to the columns of ``schema``."""
+    """``make()`` runs once a task and gives the function from a small batch to the columns of ``schema``; the batch's
+    columns are known by their places."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -31,7 +32,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
                     [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in
                      ((out[f.name], f) for f in arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
@@ -46,4 +47,6 @@ def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa
                 asked = pa.RecordBatch.from_arrays([part.column(i) for i in places], names=columns)
                 yield part.filter(pa.array(work(asked), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    # A name may hold a dot, so columns are named by their places meanwhile.
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -254,7 +254,8 @@ def near_duplicates(
     one task, and tasks emit spanning links only.
 
     Texts without words, null ones too, are alone. A null id is alone, with a null class; an id that repeats is one
-    document with all its texts.
+    document with all its texts. Texts are taken whole, however long; a pair right at the threshold is linked; of equal
+    texts the smallest id stays. An empty table gives an empty result; extra columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_t"))

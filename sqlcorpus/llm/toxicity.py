@@ -306,7 +306,9 @@ def score_toxicity(
 ) -> DataFrame:
     """(id, score, flagged): the whole text's score, and whether it reaches its language's threshold.
 
-    The language picks a threshold and never enters the score. A null text is empty; every row gives a row.
+    The language picks a threshold, 0.5 for one without labels, and never enters the score. A null text is empty and
+    has a score, too; every row gives a row, repeated ids and null ones too; equal texts have equal scores; long texts
+    are taken whole. An empty table gives an empty result; extra columns are not read, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # parameters: fixed size
 

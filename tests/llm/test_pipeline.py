@@ -3,6 +3,8 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from sqlcorpus.llm.pack import cut_pieces
 from sqlcorpus.llm.quality import RULES, Measures
@@ -71,14 +73,16 @@ def test_odd_documents(spark, tmp_path):
     labels = spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for name, docs, want in (("some", rows, {0, 3, 5}), ("none", [], set())):
-        docs = spark.createDataFrame(docs, kind)
+        docs = spark.createDataFrame(docs, kind).withColumn("a.b", F.lit("dot")).withColumn("rest", F.lit(1)).withColumn("_text", F.lit(2))
+        columns = docs.columns
         for number, (_, stage) in enumerate(P.STAGES):
             docs = stage(spark, docs, str(tmp_path))
+            assert number == 4 or docs.columns == columns
             docs.write.parquet(f"{tmp_path}/{name}{number}")
             docs = spark.read.parquet(f"{tmp_path}/{name}{number}")
         assert {r.doc_id or 0 for r in docs.collect()} == want
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in LLM_QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in LLM_QUERIES} == set(range(1, 14))
     assert len(P.STAGES) == 5
