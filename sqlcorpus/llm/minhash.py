@@ -176,7 +176,7 @@ def unpack_features(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.nda
     return wide.reshape(-1).view(np.uint64), values[codes]
 
 
-def describe(left: pa.Table, answers: pa.Table, n_docs: int, n_shards: int, threshold: float, id_col: str, schema):
+def describe(left: pa.Table, answers: pa.Table, n_docs: int, n_shards: int, threshold: float, idf_range: float, schema):
     """A row a document; with class, bands and features if it can be similar to any other.
 
     A similarity of s needs a share of s of the own weight in shingles that other documents hold too, so documents
@@ -185,7 +185,7 @@ def describe(left: pa.Table, answers: pa.Table, n_docs: int, n_shards: int, thre
     block = Shingled(left, n_shards)
     n = len(block.words)
     df = block.frequencies(answers)
-    idf = 1 + IDF_RANGE * np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / np.log(1 + max(n_docs, 1))
+    idf = 1 + idf_range * np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / np.log(1 + max(n_docs, 1))
     weight = block.tf * idf
     total = np.bincount(block.doc, weights=weight, minlength=n)
     common = np.bincount(block.doc, weights=weight * (df > 1), minlength=n)
@@ -243,11 +243,12 @@ def compare(part: pa.Table, threshold: float) -> pa.Table:
 
 def near_duplicates(
     docs: DataFrame, workspace, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+    idf_range: float = IDF_RANGE,
 ) -> DataFrame:
     """(id, class_id, kept): ``class_id`` is the smallest id that links reach, and ``kept`` marks that document.
 
     Words are runs without white space, in lower case; shingles are five words, or all words of a shorter text. A
-    shingle weighs its count times 1 + ``IDF_RANGE`` ln((1 + N) / (1 + df)) / ln(1 + N), counted over all documents.
+    shingle weighs its count times 1 + ``idf_range`` ln((1 + N) / (1 + df)) / ln(1 + N), counted over all documents.
     Two documents are linked if their weighted Jaccard similarity is at least ``threshold``; candidates share a band
     of ``ROWS`` of ``BANDS`` (at a similarity of 0.8 all but 4 in 100,000 pairs do). Equal word sequences are one
     class before bands are compared. A bucket is cut into pieces that are compared two by two, so no bucket meets in
@@ -270,7 +271,7 @@ def near_duplicates(
     asked = texts.groupBy("_block").applyInArrow(ask, "_shard int, _block int, _tags binary, _counts binary")
     answered = asked.groupBy("_shard").applyInArrow(add_up, "_block int, _shard int, _df binary")
     described = workspace.table(texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
-        lambda left, right: describe(left, right, n_docs, n, threshold, id_col, schema),
+        lambda left, right: describe(left, right, n_docs, n, threshold, idf_range, schema),
         "_id long, _class binary, _bands array<long>, _elements binary, _weights binary"), "described")
 
     able = described.where(F.col("_class").isNotNull())
