@@ -29,10 +29,15 @@ LEGEND = [
 
 
 def latest_catalog(df: DataFrame, position: str = "position") -> DataFrame:
-    """One entry a database: entries without a name are skipped, a later entry replaces an earlier."""
+    """One entry a database: entries without a name are skipped, a later entry replaces an earlier.
+
+    An entry holds a whole database, and entries are sorted by name to be merged. They are spread by name and position
+    first, so a task that reads many of them does not sort them all, nor does one name gather in a task before it is merged.
+    """
     named = df.filter(F.coalesce(F.col("db_id"), F.lit("")) != "")
     others = [name for name in df.columns if name not in ("db_id", position)]
-    last = named.groupBy("db_id").agg(F.max_by(F.struct(*others), F.col(position)).alias("_last"))
+    spread = named.repartition("db_id", position)
+    last = spread.groupBy("db_id").agg(F.max_by(F.struct(*others), F.col(position)).alias("_last"))
     return last.select("db_id", *[F.col(f"_last.{name}").alias(name) for name in others])
 
 

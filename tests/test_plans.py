@@ -55,6 +55,17 @@ def test_coverage_limits_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") >= 2
 
 
+def test_catalog_entries_are_spread_before_they_are_sorted(spark):
+    """One task may read all entries; it sorts none of them, and no name gathers its entries before they are merged."""
+    entries = spark.createDataFrame([("a", 1, ["x"]), ("a", 2, ["y"]), ("b", 3, ["z"])], "db_id string, position int, names array<string>")
+    last = C.latest_catalog(entries.coalesce(1))
+    text = plan(last)
+    spread = [at for at, line in enumerate(text.splitlines()) if re.search(r"hashpartitioning\(db_id#\d+, position#\d+, \d+\)", line)]
+    sorts = [at for at, line in enumerate(text.splitlines()) if re.search(r"\bSort \[", line)]
+    assert spread and sorts and max(sorts) < spread[0]
+    assert sorted(map(tuple, last.collect())) == [("a", ["y"]), ("b", ["z"])]
+
+
 def test_samples_limit_before_the_shuffle(spark):
     assert plan(Q.samples(spark, SF_SMALL)).count("WindowGroupLimit") == 2
 
