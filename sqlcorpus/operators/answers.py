@@ -1,6 +1,6 @@
 """Answers of a model that are kept as they come, so that no prompt is paid for twice.
 
-A log is a folder that the driver and all executors can open. A task writes each batch of answers into a piece of its
+A log is a folder that the driver and all executors can open. A task writes each batch of answers into pieces of its
 own before it asks on; a task that is started again, and a later run, read the pieces first. When a run ends, its
 answers are one Parquet table of the log, written by Spark, and its pieces go.
 """
@@ -27,6 +27,8 @@ ANSWERED = "digest string, raw_content string, generation_status string, error_m
 PIECE = "digest string, raw_content string"
 #: Seconds between two looks at the pieces of another attempt of the same task.
 REFRESH = 5.0
+#: Answers that a task hands to Spark at once, at least, unless its rows end; they are in a piece before.
+HANDED = 1000
 
 
 def prompt_digest(prompt: str = "prompt"):
@@ -34,17 +36,21 @@ def prompt_digest(prompt: str = "prompt"):
 
 
 class Pieces:
-    """Batches of answers below a folder, one file a batch, as a task writes and finds them.
+    """Batches of answers below a folder, as a task writes and finds them.
 
-    Names sort in the order of writing; a file appears whole, as it is moved to its name when it is closed.
+    On a mount an attempt has one file and adds each batch to its end, so there are as many files as attempts, however
+    small the batches; a line that was cut when the attempt died does not count. An object store takes no additions: a
+    batch is a file there and appears whole, as it is moved to its name when it is closed.
     """
 
     def __init__(self, root: str, task: int) -> None:
         self.files, base = open_files(root)
         self.folder = f"{base}/task={task:06d}"
         self.answers: dict[str, str] = {}
-        self._read: set[str] = set()
+        self._read: dict[str, int | None] = {}  # bytes taken in, by file; None: written here
         self._looked = -REFRESH
+        self._grows = isinstance(self.files, pa_fs.LocalFileSystem)
+        self._own = None
 
     def refresh(self) -> None:
         """Take in the pieces that any attempt of this task has written, if some seconds have gone by since."""
@@ -52,33 +58,55 @@ class Pieces:
             return
         self._looked = time.monotonic()
         found = self.files.get_file_info(pa_fs.FileSelector(self.folder, allow_not_found=True))
-        for name in sorted(info.path for info in found if info.path.endswith(".json")):
-            if name not in self._read:
-                with self.files.open_input_stream(name) as stream:
-                    for line in stream.read().decode().splitlines():
-                        row = json.loads(line)
-                        self.answers.setdefault(row["digest"], row["raw_content"])
-                self._read.add(name)
+        for info in sorted((info for info in found if info.path.endswith(".json")), key=lambda info: info.path):
+            done = self._read.get(info.path, 0)
+            if done is None or info.size <= done:
+                continue
+            with self.files.open_input_file(info.path) as file:
+                file.seek(done)
+                whole = file.read()
+            whole = whole[:whole.rfind(b"\n") + 1]
+            for line in whole.decode().splitlines():
+                row = json.loads(line)
+                self.answers.setdefault(row["digest"], row["raw_content"])
+            self._read[info.path] = done + len(whole)
 
     def write(self, rows: list[tuple[str, str]]) -> None:
         if not rows:
             return
-        self.files.create_dir(self.folder, recursive=True)
+        lines = "".join(json.dumps({"digest": d, "raw_content": a}) + "\n" for d, a in rows).encode()
+        if self._own is None:
+            self.files.create_dir(self.folder, recursive=True)
         name = f"{self.folder}/{len(self._read):06d}-{uuid.uuid4().hex}"
-        with self.files.open_output_stream(f"{name}.part") as stream:
-            stream.write("".join(
-                json.dumps({"digest": d, "raw_content": a}) + "\n" for d, a in rows).encode())
-        self.files.move(f"{name}.part", f"{name}.json")
-        self._read.add(f"{name}.json")
+        if self._grows:
+            if self._own is None:
+                self._own = self.files.open_output_stream(f"{name}.json")
+                self._read[f"{name}.json"] = None
+            self._own.write(lines)
+            self._own.flush()
+        else:
+            with self.files.open_output_stream(f"{name}.part") as stream:
+                stream.write(lines)
+            self.files.move(f"{name}.part", f"{name}.json")
+            self._read[f"{name}.json"] = None
         self.answers.update(rows)
 
+    def close(self) -> None:
+        if self._own is not None:
+            self._own.close()
+            self._own = None
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["digest", "raw_content", "generation_status", "error_message"], dtype=object)
+
 
 def ask_logged(
     frames: Iterator[pd.DataFrame], make: Callable[[], Generator], pieces: Pieces, batch_size: int, attempts: int,
     delay: float, needs_sql: bool,
 ) -> Iterator[pd.DataFrame]:
     """Answer ``digest, prompt`` rows in batches; what a piece answers is not asked."""
-    fn = None
+    fn, found = None, []
     for frame in frames:
         digests, prompts = frame["digest"].tolist(), frame["prompt"].tolist()
         for start in range(0, len(digests), batch_size):
@@ -92,7 +120,13 @@ def ask_logged(
                 pieces.write([(d, answer) for d, answer, status, _ in rows if status == S.SUCCESS and answer is not None])
             open_ones = {digests[i] for i in asked}
             rows += [(digests[i], pieces.answers[digests[i]], S.SUCCESS, None) for i in batch if digests[i] not in open_ones]
-            yield pd.DataFrame(rows, columns=["digest", "raw_content", "generation_status", "error_message"], dtype=object)
+            found += rows
+            if len(found) >= HANDED:
+                yield _frame(found)
+                found = []
+    if found:
+        yield _frame(found)
+    pieces.close()
 
 
 class AnswerLog:
@@ -112,7 +146,7 @@ class AnswerLog:
             parts.append(runs.filter(F.col("generation_status") == S.SUCCESS).select("digest", "raw_content"))
         if path_exists(self.spark, f"{self.path}/pieces"):
             parts.append(self.spark.read.schema(PIECE).option("recursiveFileLookup", "true").option(
-                "pathGlobFilter", "*.json").json(f"{self.path}/pieces"))
+                "pathGlobFilter", "*.json").json(f"{self.path}/pieces").dropna())  # a cut line has no answer
         if not parts:
             return self.spark.createDataFrame([], PIECE)
         every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

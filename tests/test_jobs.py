@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyarrow import fs as pa_fs
 from pyspark.sql import functions as F
 
 from sqlcorpus import schemas as S
@@ -299,6 +300,47 @@ def test_a_restarted_task_reads_its_own_pieces(tmp_path):
     assert len(run(0)) == 9
 
 
+def test_pieces_on_a_mount_are_one_file_an_attempt(spark, tmp_path):
+    """However many batches there are; each is in the file before the next is asked, and a cut line does not count."""
+    asked = pd.DataFrame({"digest": [f"d{i}" for i in range(2500)], "prompt": [f"p{i}" for i in range(2500)]})
+    folder, seen = tmp_path / "pieces" / "run=1" / "task=000000", []
+
+    def make():
+        def answer(prompts):
+            seen.append(sum(file.read_text().count("\n") for file in folder.glob("*")) if len(seen) < 5 else None)
+            return [p.upper() for p in prompts]
+        return answer
+
+    pieces = Pieces(f"file:{tmp_path}/pieces/run=1", 0)
+    frames = list(ask_logged(iter([asked]), make, pieces, 1, 1, 0, False))
+    assert len(list(folder.glob("*"))) == 1 and seen[:5] == [0, 1, 2, 3, 4] and len(seen) == 2500
+    assert [len(frame) for frame in frames] == [1000, 1000, 500]
+    (folder / "000001-lost.json").write_text('{"digest": "e0", "raw_content": "E"}\n{"digest": "e1", "raw_con')
+    later = Pieces(f"file:{tmp_path}/pieces/run=1", 0)
+    later.refresh()
+    assert len(later.answers) == 2501 and later.answers["d7"] == "P7" and later.answers["e0"] == "E"
+    with open(folder / "000001-lost.json", "a") as file:  # an attempt that still runs
+        file.write('tent": "F"}\n')
+    later._looked = float("-inf")
+    later.refresh()
+    assert len(later.answers) == 2502 and later.answers["e1"] == "F"
+    (folder / "000002-lost.json").write_text('{"digest": "f0", "raw_content": "cut of')
+    known = {r["digest"]: r["raw_content"] for r in AnswerLog(spark, str(tmp_path)).known().collect()}
+    assert known == later.answers
+
+
+def test_pieces_of_a_store_without_additions_are_one_file_a_batch(tmp_path):
+    pieces = Pieces(f"file:{tmp_path}/x", 0)
+    pieces.files, pieces.folder, pieces._grows = pa_fs.SubTreeFileSystem(str(tmp_path), pa_fs.LocalFileSystem()), "x", False
+    for i in range(3):
+        pieces.write([(f"d{i}", f"a{i}")])
+    assert sorted(p.suffix for p in (tmp_path / "x").iterdir()) == [".json"] * 3
+    again = Pieces(f"file:{tmp_path}", 0)
+    again.folder = f"{tmp_path}/x"
+    again.refresh()
+    assert again.answers == {f"d{i}": f"a{i}" for i in range(3)}
+
+
 def test_errors_are_not_kept(spark, tmp_path):
     log = AnswerLog(spark, str(tmp_path / "log"))
 
