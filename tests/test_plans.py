@@ -66,6 +66,13 @@ def test_catalog_entries_are_spread_before_they_are_sorted(spark):
     assert sorted(map(tuple, last.collect())) == [("a", ["y"]), ("b", ["z"])]
 
 
+def test_set_equal_counts_its_tasks(spark, no_broadcast):
+    """Two joins and their comparison are one stage: one side is dealt out by number, so the stage is not coalesced by size."""
+    text = plan(Q.set_equal(spark, SF_SMALL))
+    dealt = re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L, \d+\), (\w+)", text)
+    assert text.count("SortMergeJoin") == 2 and dealt == ["REPARTITION_BY_NUM"] * 2
+
+
 def test_samples_limit_before_the_shuffle(spark):
     assert plan(Q.samples(spark, SF_SMALL)).count("WindowGroupLimit") == 2
 

@@ -827,8 +827,11 @@ def compare_results(spark, sf):
 def set_equal(spark, sf):
     """The orders and customers of all line items, found from either table; and parts against suppliers."""
     items, orders = X.table(spark, sf, "lineitem"), X.table(spark, sf, "orders")
-    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).select("l_orderkey", "o_custkey")
-    met = orders.join(items, orders.o_orderkey == items.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
+    # Both joins and their comparison are one stage, and keys are few bytes: tasks are counted, not coalesced by size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lines = items.repartition(tasks, "l_orderkey")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("l_orderkey", "o_custkey")
+    met = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
     rows = [
         compare.set_equal(joined, met).withColumn("case", F.lit("orders")),
         compare.set_equal(items.select("l_partkey"), items.select("l_suppkey")).withColumn("case", F.lit("parts")),
