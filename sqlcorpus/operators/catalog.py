@@ -16,6 +16,8 @@ from sqlcorpus.sources.heads import HEADS, SHAPES, columns_of, read_heads
 
 UNKNOWN_TYPE = "UNKNOWN"
 BLOB = "BLOB"
+# Tasks over which the entries of one database are spread before they are merged.
+SHARES = 64
 # Tables a storage engine keeps for itself.
 INTERNAL_TABLES = ["sqlite_sequence"]
 # The closing lines of every schema text.
@@ -31,13 +33,21 @@ LEGEND = [
 def latest_catalog(df: DataFrame, position: str = "position") -> DataFrame:
     """One entry a database: entries without a name are skipped, a later entry replaces an earlier.
 
-    An entry holds a whole database, and entries are sorted by name to be merged. They are spread by name and position
-    first, so a task that reads many of them does not sort them all, nor does one name gather in a task before it is merged.
+    An entry holds a whole database, and entries are sorted by name to be merged. They are spread by name and share of
+    positions and merged there, then by name, so at most ``SHARES`` entries of a name gather in a task. Both times the
+    session's number of shuffle partitions is kept: small when compressed, entries would be coalesced into few tasks.
     """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     named = df.filter(F.coalesce(F.col("db_id"), F.lit("")) != "")
     others = [name for name in df.columns if name not in ("db_id", position)]
-    spread = named.repartition("db_id", position)
-    last = spread.groupBy("db_id").agg(F.max_by(F.struct(*others), F.col(position)).alias("_last"))
+    # The position itself goes along as ``_at``; its column holds its share from here on. With the name in its digest the
+    # share is no constant, which Spark would drop from the keys, even if all positions are one.
+    share = F.pmod(F.xxhash64("db_id", position), F.lit(SHARES)).cast("int").alias(position)
+    last = named.select("db_id", share, F.col(position).alias("_at"), F.struct(*others).alias("_last"))
+    for keys in (["db_id", position], ["db_id"]):
+        last = last.repartition(tasks, *keys).groupBy(*keys).agg(
+            F.max("_at").alias("_at"), F.max_by("_last", "_at").alias("_last"))
     return last.select("db_id", *[F.col(f"_last.{name}").alias(name) for name in others])
 
 

@@ -73,6 +73,24 @@ def test_set_equal_counts_its_tasks(spark, no_broadcast):
     assert text.count("SortMergeJoin") == 2 and dealt == ["REPARTITION_BY_NUM"] * 2
 
 
+@pytest.mark.parametrize("position", ["at", "0"])
+def test_sorted_catalog_entries_stay_in_counted_tasks(spark, position):
+    """Tasks that sort entries are not coalesced by compressed size, also if all entries have one position."""
+    rows = [("a", 1, ["x"]), ("a", 1, ["x"]), ("b", 3, ["z"]), (None, 4, ["w"]), ("", 5, ["w"])]
+    entries = spark.createDataFrame(rows, "db_id string, at int, names array<string>").withColumn("position", F.expr(position))
+    last = C.latest_catalog(entries.drop("at"))
+    text = plan(last)
+    assert text.count("REPARTITION_BY_NUM") == text.count("Exchange") == 2
+    assert sorted(map(tuple, last.collect())) == [("a", ["x"]), ("b", ["z"])]
+
+
+def test_last_catalog_entry_of_many(spark):
+    """A name's entries meet over several shares; an entry without a position is passed over, and null if alone."""
+    rows = [("a", at, [str(at)]) for at in range(500)] + [("a", None, ["x"]), ("b", None, ["y"])]
+    entries = spark.createDataFrame(rows, "db_id string, position int, names array<string>")
+    assert sorted(map(tuple, C.latest_catalog(entries).collect())) == [("a", ["499"]), ("b", None)]
+
+
 def test_samples_limit_before_the_shuffle(spark):
     assert plan(Q.samples(spark, SF_SMALL)).count("WindowGroupLimit") == 2
 
