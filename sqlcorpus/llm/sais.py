@@ -1,135 +1,58 @@
-"""Suffix arrays by induced sorting and permuted common prefixes, in whole-array steps."""
+"""Suffix arrays by prefix doubling and permuted common prefixes, in whole-array steps."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def classify(t: np.ndarray) -> np.ndarray:
-    """True where the suffix is smaller than the next one; the last, the sentinel, counts as smaller."""
-    step = np.diff(t)
-    at = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(step, 1)[nearest] > 0, True)
-
-
-def deal(slots: np.ndarray, chars: np.ndarray, pointer: np.ndarray, sign: int, values: np.ndarray) -> None:
-    """Appends values to the buckets of their characters, in order; ``pointer`` moves by ``sign``."""
-    n = len(chars)
-    order = chars.argsort(kind="stable")
-    chars = chars[order]
-    cuts = (chars[1:] != chars[:-1]).nonzero()[0]
-    starts = np.zeros(len(cuts) + 1, dtype=np.int64)
-    starts[1:] = cuts + 1
-    counts = np.empty_like(starts)
-    counts[:-1] = starts[1:] - starts[:-1]
-    counts[-1] = n - starts[-1]
-    keys = chars[starts]
-    first = pointer[keys]
-    places = np.arange(n) if sign > 0 else np.arange(0, -n, -1)
-    places += (first - sign * starts).repeat(counts)
-    slots[places] = values[order]
-    pointer[keys] = first + sign * counts
-
-
-def sweep(slots: np.ndarray, t: np.ndarray, wanted: np.ndarray, pointer: np.ndarray, sign: int) -> None:
-    """Scans the slots in one direction; each filled slot induces the suffix before its own, if of the wanted kind.
-
-    All slots up to the next empty one are final, so they are scanned at once: what they induce lies beyond them.
-    """
-    n = len(slots)
-    view, at, width = slots[::sign], 0, 64
-    while at < n:
-        end = at
-        while end < n:
-            empty = view[end:end + width] < 0
-            k = int(empty.argmax())
-            if empty[k]:
-                end += k
-                break
-            end += len(empty)
-            width = min(width * 2, 1 << 20)
-        if end == at:
-            raise AssertionError("a slot stays empty")
-        width = max(64, min(2 * (end - at), 1 << 20))
-        before = view[at:end] - 1
-        before = before[before >= 0]
-        before = before[wanted[before]]
-        if len(before):
-            deal(slots, t[before], pointer, sign, before)
-        at = end
-
-
-def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    """Suffix array that follows from leftmost-smaller suffixes in the given order."""
-    n = len(t)
-    slots = np.full(n, -1, dtype=np.int32)
-    large = ~small
-    # Empty slots that no larger suffix will fill are passed over: the sweep sees only filled or awaited slots.
-    n_large = np.bincount(t[large], minlength=len(heads))
-    deal(slots, t[lms[::-1]], tails.copy(), -1, lms[::-1])
-    awaited = np.zeros(n, dtype=bool)
-    awaited[ranges(heads, n_large)] = True
-    live = np.flatnonzero(awaited | (slots >= 0))
-    packed = slots[live]
-    sweep(packed, t, large, np.searchsorted(live, heads), 1)
-    slots[:] = -1
-    slots[live[awaited[live]]] = packed[awaited[live]]
-    slots[0] = n - 1
-    small_but_last = small.copy()
-    small_but_last[-1] = False
-    sweep(slots, t, small_but_last, tails.copy(), -1)
-    return slots
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
+def packed(t: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The ``count`` values of ``bits`` bits that begin at each place, the first ones leading; zeros follow the end."""
+    out = t.astype(np.int64)
+    have = 1
+    while have < count:
+        step = min(have, count - have)
+        more = out[have:] >> (bits * (have - step))
+        out <<= bits * step
+        out[:len(more)] |= more
+        have += step
+    return out
+
+
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     """Suffixes of ``t`` in order; its last element is 0 and no other is. Values are below ``size``, places 2 ** 31.
 
-    Suffixes are classified, leftmost-smaller substrings are sorted by inducing them from unsorted starts, equal ones
-    get equal names, and the string of names is sorted recursively unless all names differ.
+    Suffixes are sorted by as many characters as a word holds. A group's rank is the place of its first suffix. Groups
+    of several are sorted by the rank of what follows the characters compared so far, which doubles them, till all are
+    alone.
     """
     n = len(t)
-    if n == 1:
-        return np.zeros(1, dtype=np.int32)
-    # Narrow characters are dealt out by counting.
-    small = classify(t.astype(np.int32))
-    t = t.astype(np.uint16 if size <= 1 << 16 else np.int32)
-    counts = np.bincount(t, minlength=size)
-    tails = np.cumsum(counts) - 1
-    heads = tails + 1 - counts
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[1:] = small[1:] & ~small[:-1]
-    lms = np.flatnonzero(is_lms).astype(np.int32)
-    first = induce(t, small, lms, heads, tails)
-    order = first[is_lms[first]]
-    names = name(t, lms, order)
-    if names.max() + 1 < len(lms):
-        of = np.empty(n, dtype=np.int32)
-        of[order] = names
-        order = lms[suffix_array(of[lms], int(names.max()) + 1)]
-    return induce(t, small, order, heads, tails)
-
-
-def name(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Rank of each leftmost-smaller substring in sorted order, the same for equal ones."""
-    length = np.zeros(len(t), dtype=np.int32)
-    length[lms] = np.append(np.diff(lms), 0) + 1
-    a, b = order[:-1], order[1:]
-    same = length[a] == length[b]
-    active, offset = np.flatnonzero(same), 0
-    while len(active):
-        equal = t[a[active] + offset] == t[b[active] + offset]
-        same[active[~equal]] = False
-        offset += 1
-        active = active[equal]
-        active = active[length[a[active]] > offset]
-    return np.concatenate([[0], np.cumsum(~same)])
+    bits = max(size - 1, 1).bit_length()
+    depth = 63 // bits
+    key = packed(t, bits, depth)
+    order = key.argsort()
+    places, suffixes, rank = np.arange(n), order, np.empty(n, dtype=np.int64)
+    key = key[order]
+    while True:
+        new = np.ones(len(key) + 1, dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        first = np.flatnonzero(new[:-1])
+        rank[suffixes] = places[first].repeat(np.diff(np.append(first, len(key))))
+        tied = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(tied):
+            return order.astype(np.int32)
+        # Equal so far, so the end is not among what was compared, and the group's places are kept by its suffixes.
+        places, suffixes = places[tied], suffixes[tied]
+        key = (rank[suffixes] << 32) | rank[suffixes + depth]
+        by = key.argsort()
+        key, suffixes = key[by], suffixes[by]
+        order[places] = suffixes
+        depth *= 2
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:

@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from sqlcorpus.llm.blocks import in_blocks, measure_blocks, mix, shard_of, split_at
 from sqlcorpus.llm.sais import permuted_prefixes, ranges, suffix_array
 
-#: Bytes whose digest anchors a window; bytes of text that are digested, and sorted, at once.
-ANCHOR, STRIDE, SORTED = 20, 1 << 16, 1 << 20
+#: Bytes whose digest anchors a window; bytes of text that are digested, and sorted, at once, so that arrays fit a cache.
+ANCHOR, STRIDE, SORTED = 20, 1 << 16, 1 << 18
 #: A digest is hot when what surrounds it, at two widths a place, could fill more than this share of a block.
 HOT_SHARE = 1.0
 #: Places of a digest in one block from which on the block says how many there are.
@@ -195,19 +195,24 @@ def first_owners(texts: list[bytes], owners: np.ndarray, width: int) -> np.ndarr
     """For each window of each text the smallest owner of any text that holds it: groups of the suffix array."""
     lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths + 1)
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int32) + np.int32(2)
-    joined[ends - 1] = 1
-    t = np.append(joined, np.int32(0))
+    t = np.empty(ends[-1] + 1, dtype=np.int32)
+    t[:-1] = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+    t[:-1] += 2
+    t[ends - 1], t[-1] = 1, 0
     sa = suffix_array(t, 258)
-    common = permuted_prefixes(t, sa, 1)[sa] >= width
-    # Both ends of a suffix array's run of long common prefixes hold the window, so the run is the window's group.
-    text_of = np.repeat(np.arange(len(texts)), lengths + 1)
-    group = np.flatnonzero(~common)
-    owner = np.append(owners[text_of], LAST)
-    lowest = np.minimum.reduceat(owner[sa], group)
+    prefixes = permuted_prefixes(t, sa, 1)
+    # Both ends of a suffix array's run of long common prefixes hold the window, so the run is the window's group. Only
+    # suffixes that begin with a window have long ones.
+    windows = lengths - width + 1
+    text_of = np.full(len(t), -1, dtype=np.int32)
+    at = ranges(ends - lengths - 1, windows)
+    text_of[at] = np.arange(len(texts), dtype=np.int32).repeat(windows)
+    held = sa[text_of[sa] >= 0]
+    group = np.flatnonzero(prefixes[held] < width)
+    lowest = np.minimum.reduceat(owners[text_of[held]], group)
     result = np.empty(len(t), dtype=np.int64)
-    result[sa] = np.repeat(lowest, np.diff(np.append(group, len(sa))))
-    return result[ranges(ends - lengths - 1, lengths - width + 1)]
+    result[held] = np.repeat(lowest, np.diff(np.append(group, len(held))))
+    return result[at]
 
 
 def judge(part: pa.Table, width: int) -> pa.Table:
@@ -261,7 +266,7 @@ def remove_repeats(
        distinct window around it, so that windows of one document only, at the ends of a passage, go no further; the
        others go one by one, each to the shard of its own digest.
     3. Blocks send each distinct stretch of the rest, once, to the shard of its anchor, with its smallest id. The
-       shard sorts all suffixes of its stretches by induced sorting; permuted common prefixes of ``width`` or more
+       shard sorts all suffixes of its stretches by prefix doubling; permuted common prefixes of ``width`` or more
        join windows, whose smallest id goes back.
     4. Blocks drop what a smaller id holds.
 

@@ -1,4 +1,6 @@
+import cProfile
 import hashlib
+import pstats
 import random
 from collections import Counter
 
@@ -12,7 +14,7 @@ from sqlcorpus.llm import blocks
 from sqlcorpus.llm.queries import op3_suffix_array_dedup
 from sqlcorpus.llm.sais import permuted_prefixes, suffix_array
 from sqlcorpus.llm.blocks import measure_blocks
-from sqlcorpus.llm.suffix import Block, answer, read_bits, remove_repeats
+from sqlcorpus.llm.suffix import Block, answer, judge, read_bits, remove_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +53,39 @@ def test_suffix_array_and_prefixes(seed):
         assert found[b] == n
 
 
+def test_suffix_array_takes_few_steps():
+    """Characters compared double from step to step, so the number of steps does not grow with the text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    text = " ".join(rng.choice(words) for _ in range(10_000)).encode() * 2
+    t = np.append(np.frombuffer(text, dtype=np.uint8).astype(np.int32) + 2, 0)
+    profile = cProfile.Profile()
+    sa = profile.runcall(suffix_array, t, 258)
+    assert pstats.Stats(profile).total_calls < 1000
+    at = rng.sample(range(len(sa) - 1), 2000)
+    assert sorted(sa.tolist()) == list(range(len(t))) and all(text[sa[i]:] < text[sa[i + 1]:] for i in at)
+
+
+def test_a_shard_answers_with_the_smallest_owners():
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("ab") for _ in range(30)) for _ in range(40)]
+    held = {(rng.choice(runs)[:25] + rng.choice(runs)).encode()[:rng.randint(21, 55)] for _ in range(200)}
+    sent = [(b, sorted(rng.sample(sorted(held), 60))) for b in range(5)]
+    owners = [np.array([rng.randint(0, 99) for _ in texts]) for _, texts in sent]
+    low = {}
+    for (_, texts), own in zip(sent, owners):
+        for t, o in zip(texts, own.tolist()):
+            for p in range(len(t) - 20):
+                low[t[p:p + 21]] = min(low.get(t[p:p + 21], 1000), o)
+    got = judge(pa.table({
+        "_shard": [0] * 5, "_block": [b for b, _ in sent], "_texts": [b"".join(t) for _, t in sent],
+        "_lengths": [np.array([len(x) for x in t], dtype=np.uint16).tobytes() for _, t in sent],
+        "_owners": [o.astype(np.int64).tobytes() for o in owners],
+        "_marks": [np.zeros(len(t), dtype=np.uint16).tobytes() for _, t in sent]}), 21)
+    for (_, texts), firsts in zip(sent, got.column("_firsts").to_pylist()):
+        assert np.frombuffer(firsts, dtype=np.int64).tolist() == [low[t[p:p + 21]] for t in texts for p in range(len(t) - 20)]
+
+
 def test_query_equals_plain_removal(spark, monkeypatch):
     monkeypatch.setattr(blocks, "LEAST_BLOCK", 60_000)
     monkeypatch.setattr(blocks, "PER_MESSAGE", 1)
